@@ -155,7 +155,7 @@ def _turnover_post(p) -> dict[str, Column]:
 
     ratio = F.col("cashwd_usd") / (F.col("revenue_usd") + EPS)
     score = 0.6 * deviation(F.col("turnover_usd")) + 0.4 * deviation(ratio)
-    return {"abnormal_turnover_monthly": F.round(score, 4)}
+    return {"_raw_turnover_score": score, "abnormal_turnover_monthly": F.round(score, 4)}
 
 
 def _ratio_to_previous(name: str, source: str) -> Callable:

@@ -5,6 +5,7 @@ import importlib
 MODULES = [
     "row_queries",
     "monthly_queries",
+    "relation_queries",
 ]
 
 

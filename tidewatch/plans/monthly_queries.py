@@ -134,20 +134,24 @@ SELECT customer_id, month_offset, p AS month_total_prev, round(c / nullif(p, 0),
   SELECT *, lag(c) OVER (PARTITION BY customer_id ORDER BY month_offset) AS p FROM (
     SELECT customer_id, month_offset, round(sum(amount_usd), 2) AS c FROM trx GROUP BY 1, 2))""",
 )
-_register(
-    "abnormal_turnover_monthly",
-    """
+@query("""
 SELECT customer_id, month_offset, turnover_usd, cashwd_usd, revenue_usd,
-       round(0.6 * CASE WHEN tm IS NULL THEN 0 ELSE (turnover_usd - tm) / (coalesce(ts, 1e-6) + 1e-6) END
-           + 0.4 * CASE WHEN rm IS NULL THEN 0 ELSE (r - rm) / (coalesce(rs, 1e-6) + 1e-6) END, 4) AS abnormal_turnover_monthly
+       printf('%.8e', 0.6 * CASE WHEN tm IS NULL THEN 0 ELSE (turnover_usd - tm) / (coalesce(ts, 1e-6) + 1e-6) END
+           + 0.4 * CASE WHEN rm IS NULL THEN 0 ELSE (r - rm) / (coalesce(rs, 1e-6) + 1e-6) END)::DOUBLE AS abnormal_turnover_monthly
 FROM (SELECT *, avg(turnover_usd) OVER h AS tm, stddev_samp(turnover_usd) OVER h AS ts, avg(r) OVER h AS rm, stddev_samp(r) OVER h AS rs
   FROM (SELECT *, cashwd_usd / (revenue_usd + 1e-6) AS r FROM (
     SELECT customer_id, month_offset, round(sum(abs(amount_usd)), 2) AS turnover_usd,
            round(sum(CASE WHEN method = 'cash_withdrawal' THEN amount_usd ELSE 0 END), 2) AS cashwd_usd,
            round(sum(CASE WHEN method = 'wire_in' THEN amount_usd ELSE 0 END), 2) AS revenue_usd
     FROM trx GROUP BY 1, 2))
-  WINDOW h AS (PARTITION BY customer_id ORDER BY month_offset RANGE BETWEEN 6 PRECEDING AND 1 PRECEDING))""",
-)
+  WINDOW h AS (PARTITION BY customer_id ORDER BY month_offset RANGE BETWEEN 6 PRECEDING AND 1 PRECEDING))""", trx=True)
+def feature_abnormal_turnover_monthly(spark, sf):
+    # a month without revenue has a ratio near 1e11, so scores are compared to nine digits
+    out = run_features(transactions(spark, sf, [ENTITY, PERIOD, "method", "amount_usd"]), features("abnormal_turnover_monthly"), PARAMS, keep_inner=True)
+    score = F.format_string("%.8e", F.col("_raw_turnover_score")).cast("double")
+    return out.select(ENTITY, PERIOD, "turnover_usd", "cashwd_usd", "revenue_usd", score.alias("abnormal_turnover_monthly"))
+
+
 _register(
     "many_small_trx",
     """
