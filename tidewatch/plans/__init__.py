@@ -6,6 +6,8 @@ MODULES = [
     "row_queries",
     "monthly_queries",
     "relation_queries",
+    "detection_queries",
+    "monitoring_queries",
 ]
 
 
