@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.history import history, trailing, zscore
-from tidewatch.operators.features import Feature, count, distinct, largest, total
+from tidewatch.operators.features import Feature, carried, count, distinct, largest, total
 from tidewatch.operators.neighbours import with_neighbours
 
 ENTITY, PERIOD = "customer_id", "month_offset"
@@ -178,7 +178,7 @@ CATALOGUE: dict[str, Feature] = {
     for f in [
         _f("cnt_trx", "", measures=lambda p: {"cnt_trx": count()}),
         _f("max_trx", "amount_usd", measures=lambda p: {"max_trx": largest(_amount())}),
-        _f("customer_name", "customer_name", measures=lambda p: {"customer_name": largest(F.col("customer_name"))}),
+        _f("customer_name", "customer_name", measures=lambda p: {"customer_name": carried(F.col("customer_name"))}),
         _f(
             "cnt_trx_cash", "method",
             measures=lambda p: {"cnt_trx_cash": total(F.lit(1), _is_cash())},

@@ -17,18 +17,16 @@ def split_reference(df: DataFrame, period: str, start, end) -> tuple[DataFrame,
     return df.filter((p >= start) & (p <= end)), df.filter(p > end)
 
 
-def _stability(
-    long: DataFrame, edge_rows: DataFrame, totals: tuple[Column, Column] | None, bins: int
-) -> DataFrame:
+def _stability(long: DataFrame, edge_rows: DataFrame, bins: int) -> DataFrame:
     """Per feature: sum of (a - e) * ln(a / e) over bins filled on both sides.
 
     ``long`` is (is_ref, feature, value); edges come from the reference.
     """
     probs = {f"q{i}": i / bins for i in range(1, bins)}
-    marks = percentiles(edge_rows, ["feature"], "value", probs, "discrete")
+    marks = percentiles(edge_rows, ["feature"], "value", probs, "discrete", few_groups=True)
     edges = marks.select("feature", F.array_distinct(F.array(*probs)).alias("edges"))
-    # one row per feature on the right: AQE broadcasts it by its measured size
-    binned = long.join(edges, "feature").withColumn(
+    # one row of at most ``bins`` numbers per listed feature
+    binned = long.join(F.broadcast(edges), "feature").withColumn(
         "bin",
         F.when(F.col("value").isNull(), F.lit(-1)).otherwise(
             F.size(F.filter("edges", lambda e: e <= F.col("value")))
@@ -55,7 +53,7 @@ def csi(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: int = 10,
     FAIL from the threshold on.
     """
     long = _tagged(ref, cur, features)
-    out = _stability(long, long.filter("is_ref AND value <> 0"), None, bins)
+    out = _stability(long, long.filter("is_ref AND value <> 0"), bins)
     return out.select(
         "feature", F.col("stability").alias("csi"), F.when(F.col("stability") >= threshold, "FAIL").otherwise("PASS").alias("result")
     )
@@ -64,7 +62,7 @@ def csi(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: int = 10,
 def psi(ref: DataFrame, cur: DataFrame, column: str, bins: int = 10, threshold: float = 0.25) -> DataFrame:
     """Population stability of one column; FAIL above the threshold."""
     long = _tagged(ref, cur, [column])
-    out = _stability(long, long.filter("is_ref"), None, bins)
+    out = _stability(long, long.filter("is_ref"), bins)
     return out.select(
         "feature", F.col("stability").alias("psi"), F.when(F.col("stability") > threshold, "FAIL").otherwise("PASS").alias("result")
     )
@@ -174,7 +172,7 @@ def drift_metrics(
     )
     quart = {"q1": 0.25, "q3": 0.75}
     spread = [
-        percentiles(d.select(F.lit(1).alias("k"), score), ["k"], score, quart, "discrete").select("k", (F.col("q3") - F.col("q1")).alias(n))
+        percentiles(d.select(F.lit(1).alias("k"), score), ["k"], score, quart, "discrete", few_groups=True).select("k", (F.col("q3") - F.col("q1")).alias(n))
         for d, n in ((ref, "r"), (cur, "c"))
     ]
     iqr = spread[0].join(spread[1], "k").select(

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tidewatch.functions.text import char_ngrams
 from tidewatch.operators.components import connected_components
 from tidewatch.operators.explain import packed
+from tidewatch.session import cut_lineage
 
 # Defaults of the resolution.
 NGRAM = 2
@@ -286,6 +287,8 @@ def cluster(pairs: DataFrame, people: DataFrame, clique_limit: int = 30) -> Data
     by matches and clique search is exponential. Profiles that only have exact
     copies form a party of their own. ``clique_size`` counts accounts.
     """
+    # read four times below: computed once, in shared storage
+    pairs = cut_lineage(pairs)
     comp = connected_components(pairs, "a", "b")
     sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
     id_type = dict(people.dtypes)["profile"]

@@ -27,7 +27,8 @@ def population_stats(
 
 
 def with_population(df: DataFrame, period: str, means: Mapping[str, str], holders: Mapping[str, str]) -> DataFrame:
-    return df.join(population_stats(df, period, means, holders), period, "left")
+    """The statistics beside every entity; one row per calendar period is broadcast."""
+    return df.join(F.broadcast(population_stats(df, period, means, holders)), period, "left")
 
 
 def explain_by(

@@ -27,7 +27,7 @@ Columns = dict[str, Column]
 class Measure:
     """An aggregate that can be computed in two steps."""
 
-    kind: str  # count | sum | max | min | distinct
+    kind: str  # count | sum | max | min | distinct | carried
     value: Column | None = None
     where: Column | None = None
     key: str | None = None  # the counted column of a distinct measure
@@ -79,6 +79,16 @@ def distinct(key: str, where: Column | None = None) -> Measure:
     return Measure("distinct", None, where, key)
 
 
+def carried(text: Column) -> Measure:
+    """Largest text of the rows.
+
+    Texts cannot be kept in a hash aggregate's buffers, so they would turn the
+    whole aggregation into a sort. They are reduced to distinct values first, on
+    their own, and joined.
+    """
+    return Measure("carried", text)
+
+
 def _nothing(params: Params) -> dict:
     return {}
 
@@ -218,6 +228,12 @@ def check_features(df: DataFrame, features: Sequence[Feature], common: Params) -
 
 def aggregate_measures(df: DataFrame, keys: Sequence[str], measures: Mapping[str, Measure]) -> DataFrame:
     """All measures in one pass over the transactions."""
+    texts = {n: m.value for n, m in measures.items() if m.kind == "carried"}
+    if texts:
+        few = df.select(*keys, *[v.alias(n) for n, v in texts.items()]).distinct()
+        held = few.groupBy(*keys).agg(*[F.max(n).alias(n) for n in texts])
+        others = {n: m for n, m in measures.items() if n not in texts}
+        return held if not others else aggregate_measures(df, keys, others).join(held, list(keys))
     counted = {m.key for m in measures.values() if m.kind == "distinct"}
     if len(counted) == 1:
         (key,) = counted

@@ -17,7 +17,11 @@ def account_nodes(trx: DataFrame) -> DataFrame:
         F.col("cp_id").alias("id"), F.col("counterparty_name").alias("NM"),
         F.col("cp_jurisdiction").alias("CT"), F.col("txn_ts").alias("ts"),
     )
-    rows = own.unionByName(other).filter(F.col("id").isNotNull())
+    # one row per distinct attributes first: a hash aggregate that shrinks hot ids
+    rows = (
+        own.unionByName(other).filter(F.col("id").isNotNull())
+        .groupBy("id", "NM", "CT").agg(F.min("ts").alias("ts"))
+    )
 
     def earliest(name: str) -> Column:
         return F.min_by(name, F.when(F.col(name).isNotNull(), F.struct("ts", name))).alias(name)

@@ -13,8 +13,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def ranked_values(df: DataFrame, by: Sequence[str], value: str, ranges: int = 16) -> DataFrame:
-    """(by, value, n, upto, total): distinct values with cumulative row counts."""
+def ranked_values(df: DataFrame, by: Sequence[str], value: str, ranges: int = 32, few_groups: bool = False) -> DataFrame:
+    """(by, value, n, upto, total): distinct values with cumulative row counts.
+
+    ``few_groups`` says that the number of groups is bounded by the caller (such
+    as one per listed feature), so that the edges are broadcast.
+    """
     by = list(by)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     steps = [i / ranges for i in range(1, ranges)]
@@ -22,7 +26,7 @@ def ranked_values(df: DataFrame, by: Sequence[str], value: str, ranges: int = 16
         F.percentile_approx(F.col(value).cast("double"), steps, 20 * ranges).alias("_edges")
     )
     if by:
-        cut = counts.join(edges, by)
+        cut = counts.join(F.broadcast(edges) if few_groups else edges, by)
     else:
         # a one-row sketch: read it and inline the edges
         marks = edges.first()["_edges"]
@@ -56,14 +60,15 @@ def percentiles(
     value: str,
     probs: Mapping[str, float],
     method: str = "linear",
-    ranges: int = 16,
+    ranges: int = 32,
+    few_groups: bool = False,
 ) -> DataFrame:
     """One row per group and one column per named probability.
 
     ``linear`` interpolates between neighbours; ``discrete`` takes the smallest
     value that covers the share.
     """
-    rows = ranked_values(df, by, value, ranges)
+    rows = ranked_values(df, by, value, ranges, few_groups)
     total = F.col("total")
     aggs: list[Column] = []
     for name, p in probs.items():

@@ -34,24 +34,29 @@ def lookback_stats(
 
 
 def customer_insights(df: DataFrame, entity: str, attributes: Sequence[str] = ()) -> DataFrame:
-    """Monthly in/out counts and sums, countries by risk level, carried attributes."""
-    month = F.col("month_offset")
+    """Monthly in/out counts and sums, countries by risk level, carried attributes.
+
+    The first grouping keeps countries and attributes as keys, so the collected
+    sets are built from a few rows per entity and month.
+    """
+    credit, debit = F.col("direction") == "credit", F.col("direction") == "debit"
+    first = df.groupBy(entity, "month_offset", "cp_country_risk_level", "cp_jurisdiction", *attributes).agg(
+        F.count(F.when(credit, 1)).alias("tr_in_count"), F.sum(F.when(credit, F.col("amount_usd"))).alias("tr_in"),
+        F.count(F.when(debit, 1)).alias("tr_out_count"), F.sum(F.when(debit, F.col("amount_usd"))).alias("tr_out"),
+    )
 
     def countries(level: str) -> Column:
         hit = F.when(F.col("cp_country_risk_level") == level, F.col("cp_jurisdiction"))
         return F.array_sort(F.collect_set(hit))
 
-    def side(direction: str, value: Column) -> Column:
-        return F.when(F.col("direction") == direction, value)
-
-    start = F.add_months(F.lit("1970-01-01").cast("date"), month.cast("int"))
+    start = F.add_months(F.lit("1970-01-01").cast("date"), F.col("month_offset").cast("int"))
     return (
-        df.groupBy(entity, "month_offset")
+        first.groupBy(entity, "month_offset")
         .agg(
-            F.count(side("credit", F.lit(1))).alias("tr_in_count"),
-            F.round(F.sum(side("credit", F.col("amount_usd"))), 2).alias("tr_in"),
-            F.count(side("debit", F.lit(1))).alias("tr_out_count"),
-            F.round(F.sum(side("debit", F.col("amount_usd"))), 2).alias("tr_out"),
+            F.sum("tr_in_count").alias("tr_in_count"),
+            F.round(F.sum("tr_in"), 2).alias("tr_in"),
+            F.sum("tr_out_count").alias("tr_out_count"),
+            F.round(F.sum("tr_out"), 2).alias("tr_out"),
             countries("High").alias("hr_cc"),
             countries("Medium").alias("mr_cc"),
             countries("Low").alias("lr_cc"),
@@ -95,13 +100,18 @@ def account_insights(
         b = F.collect_set(F.when(F.col("_r2") == level, F.col("_c2")))
         return F.array_sort(F.array_union(a, b))
 
-    flows = seen.groupBy(F.col("id").alias("account_id")).agg(
-        F.count(F.when(F.col("incoming"), 1)).alias("tr_in_count"),
-        F.round(F.sum(F.when(F.col("incoming"), F.col("amount"))), 2).alias("tr_in"),
-        F.count(F.when(~F.col("incoming"), 1)).alias("tr_out_count"),
-        F.round(F.sum(F.when(~F.col("incoming"), F.col("amount"))), 2).alias("tr_out"),
-        F.min("ts").alias("trx_from_date"),
-        F.max("ts").alias("trx_to_date"),
+    # per account, side and country pair first: a hot account shrinks before it moves
+    first = seen.groupBy(F.col("id").alias("account_id"), "incoming", "_c1", "_r1", "_c2", "_r2").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("amount").alias("s"), F.min("ts").alias("t0"), F.max("ts").alias("t1")
+    )
+    incoming = F.col("incoming")
+    flows = first.groupBy("account_id").agg(
+        F.sum(F.when(incoming, F.col("n"))).alias("tr_in_count"),
+        F.round(F.sum(F.when(incoming, F.col("s"))), 2).alias("tr_in"),
+        F.sum(F.when(~incoming, F.col("n"))).alias("tr_out_count"),
+        F.round(F.sum(F.when(~incoming, F.col("s"))), 2).alias("tr_out"),
+        F.min("t0").alias("trx_from_date"),
+        F.max("t1").alias("trx_to_date"),
         countries("High").alias("hr_cc"),
         countries("Medium").alias("mr_cc"),
         countries("Low").alias("lr_cc"),

@@ -211,7 +211,7 @@ def score_distribution(activities: DataFrame, score: str, alerts: DataFrame | No
     """Range, moments, interpolated percentiles, and rows at or above the 95th."""
     s = F.col(score)
     probs = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
-    cut = percentiles(activities.select(F.lit(1).alias("k"), score), ["k"], score, probs)
+    cut = percentiles(activities.select(F.lit(1).alias("k"), score), ["k"], score, probs, few_groups=True)
     base = activities.agg(
         F.count(F.lit(1)).alias("activities"), F.count(s).alias("scored"), F.round(F.min(s), 6).alias("min"),
         F.round(F.max(s), 6).alias("max"), F.round(F.avg(s), 4).alias("mean"), F.round(F.stddev_samp(s), 4).alias("std"),

@@ -123,11 +123,11 @@ class ScoreModel:
 def fit_scores(train: DataFrame, features: Sequence[str], top: int = 3, scale: float = 4.0) -> ScoreModel:
     """Median and MAD per feature; a zero MAD falls back to the standard deviation."""
     long = long_features(train, [], features)
-    median = percentiles(long, ["feature"], "value", {"m": 0.5})
+    median = percentiles(long, ["feature"], "value", {"m": 0.5}, few_groups=True)
     centre = {r["feature"]: r["m"] for r in median.collect()}  # one row per feature
     centred = train.select(*[F.abs(F.col(f).cast("double") - centre.get(f)).alias(f) for f in features if centre.get(f) is not None])
     known = centred.columns
-    mad = percentiles(long_features(centred, [], known), ["feature"], "value", {"m": 0.5})
+    mad = percentiles(long_features(centred, [], known), ["feature"], "value", {"m": 0.5}, few_groups=True)
     mads = {r["feature"]: r["m"] for r in mad.collect()}
     devs = train.agg(*[F.stddev_pop(F.col(f).cast("double")).alias(f) for f in known]).first()
     spread = {f: (mads.get(f) or 0.0) * MAD_FACTOR or (devs[f] or 0.0) for f in known}

@@ -8,6 +8,8 @@ MODULES = [
     "relation_queries",
     "detection_queries",
     "monitoring_queries",
+    "quality_queries",
+    "party_queries",
 ]
 
 
