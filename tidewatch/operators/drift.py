@@ -7,6 +7,7 @@ from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewatch.functions.numbers import mean
 from tidewatch.operators.percentiles import percentiles
 from tidewatch.operators.scoring import long_features, top_triggers
 
@@ -253,12 +254,12 @@ def trigger_history(report: DataFrame, score: str, values: Sequence[str], k: int
     long = report.select(score, *values, F.explode(places).alias("p")).filter(F.col("p.f").isNotNull())
     aggs = [F.count(F.when(F.col("p.place") == i, 1)).alias(f"n_trigger_{i}") for i in range(1, k + 1)]
     for v in values:
-        aggs += [F.min(v).alias(f"min_{v}"), F.max(v).alias(f"max_{v}"), F.round(F.avg(v), 2).alias(f"avg_{v}")]
+        aggs += [F.min(v).alias(f"min_{v}"), F.max(v).alias(f"max_{v}"), mean(F.col(v), 2).alias(f"avg_{v}")]
     return long.groupBy(F.col("p.f").alias("trigger_feature")).agg(
         F.count(F.lit(1)).alias("alerts"),
         F.round(F.lit(100.0) * F.count(F.lit(1)) / F.lit(max(size, 1)), 2).alias("alerts_pct"),
-        F.round(F.avg(score), 4).alias("avg_score"),
-        F.round(F.avg("p.rating"), 4).alias("avg_rating"),
+        mean(F.col(score), 4).alias("avg_score"),
+        mean(F.col("p.rating"), 4).alias("avg_rating"),
         *aggs,
     )
 
@@ -268,7 +269,7 @@ def pattern_stats(report: DataFrame, values: Sequence[str], k: int = 3) -> DataF
     size = report.count()
     aggs = []
     for v in values:
-        aggs += [F.min(v).alias(f"min_{v}"), F.max(v).alias(f"max_{v}"), F.round(F.avg(v), 2).alias(f"avg_{v}")]
+        aggs += [F.min(v).alias(f"min_{v}"), F.max(v).alias(f"max_{v}"), mean(F.col(v), 2).alias(f"avg_{v}")]
     return report.groupBy(*[f"trigger_{i}" for i in range(1, k + 1)]).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.lit(100.0) * F.count(F.lit(1)) / F.lit(max(size, 1)), 2).alias("pct"), *aggs
     )

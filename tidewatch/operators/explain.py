@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewatch.functions.numbers import mean
+
 PAGE = 10_000
 
 
@@ -21,7 +23,7 @@ def population_stats(
 
     ``df`` has one row per entity and period, so counting rows counts entities.
     """
-    aggs = [F.round(F.avg(F.when(F.col(c) > 0, F.col(c))), 2).alias(out) for out, c in means.items()]
+    aggs = [mean(F.when(F.col(c) > 0, F.col(c)), 2).alias(out) for out, c in means.items()]
     aggs += [F.count(F.when(F.col(c) > 0, F.lit(1))).alias(out) for out, c in holders.items()]
     return df.groupBy(period).agg(*aggs)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import drift
 from tidewatch.plans.detection import ACTS_SQL, FEATURES, SCORED_SQL, STEP, THRESHOLD, activities, scored
-from tidewatch.plans.registry import query
+from tidewatch.plans.registry import mean_sql, query
 from tidewatch.sources.model import ENTITY, PERIOD
 
 # The reference period: months 300 (January 1995) to 359 (December 1999).
@@ -154,19 +154,19 @@ def score_bins_by_trigger(spark, sf):
     return drift.bin_counts(_report(spark, sf, 1), "algo_score", "trigger_1")
 
 
-@query("""
+@query(f"""
 SELECT f AS trigger_feature, count(*) AS alerts, round(100.0 * count(*) / (SELECT count(DISTINCT tr_id) FROM trig), 2) AS alerts_pct,
-       round(avg(algo_score), 4) AS avg_score, round(avg(rating), 4) AS avg_rating,
+       {mean_sql("algo_score", 4)} AS avg_score, {mean_sql("rating", 4)} AS avg_rating,
        count(*) FILTER (WHERE rnk = 1) AS n_trigger_1, count(*) FILTER (WHERE rnk = 2) AS n_trigger_2, count(*) FILTER (WHERE rnk = 3) AS n_trigger_3,
-       min(sum_trx) AS min_sum_trx, max(sum_trx) AS max_sum_trx, round(avg(sum_trx), 2) AS avg_sum_trx, min(cnt_trx) AS min_cnt_trx, max(cnt_trx) AS max_cnt_trx, round(avg(cnt_trx), 2) AS avg_cnt_trx
+       min(sum_trx) AS min_sum_trx, max(sum_trx) AS max_sum_trx, {mean_sql("sum_trx", 2)} AS avg_sum_trx, min(cnt_trx) AS min_cnt_trx, max(cnt_trx) AS max_cnt_trx, {mean_sql("cnt_trx", 2)} AS avg_cnt_trx
 FROM trig WHERE rnk <= 3 GROUP BY 1""", trx=True, ctes=_REPORT)
 def trigger_feature_history(spark, sf):
     return drift.trigger_history(_report(spark, sf, 3), "algo_score", ["sum_trx", "cnt_trx"])
 
 
-@query("""
+@query(f"""
 SELECT split_part(algo_pattern, '|', 1) AS trigger_1, split_part(algo_pattern, '|', 2) AS trigger_2, split_part(algo_pattern, '|', 3) AS trigger_3, count(*) AS n,
-       round(100.0 * count(*) / (SELECT count(*) FROM scored WHERE algo_score > 0.5), 2) AS pct, min(sum_trx) AS min_sum_trx, max(sum_trx) AS max_sum_trx, round(avg(sum_trx), 2) AS avg_sum_trx
+       round(100.0 * count(*) / (SELECT count(*) FROM scored WHERE algo_score > 0.5), 2) AS pct, min(sum_trx) AS min_sum_trx, max(sum_trx) AS max_sum_trx, {mean_sql("sum_trx", 2)} AS avg_sum_trx
 FROM scored WHERE algo_score > 0.5 GROUP BY 1, 2, 3""", trx=True, ctes=_REPORT)
 def trigger_patterns(spark, sf):
     return drift.pattern_stats(_report(spark, sf, 3), ["sum_trx"])

@@ -9,7 +9,7 @@ from tidewatch.functions.periods import month_start
 from tidewatch.operators.catalogue import CATALOGUE, ENTITY, LOOK_BACK, MONTHLY, PERIOD, features
 from tidewatch.operators.explain import explain_by, concentration, with_population
 from tidewatch.operators.features import aggregate_measures, count, run_feature, run_features
-from tidewatch.plans.registry import query
+from tidewatch.plans.registry import mean_sql, query
 from tidewatch.sources.model import transactions
 
 PARAMS = {
@@ -225,7 +225,7 @@ SELECT m.customer_id, m.month_offset, one_to_many, many_to_one, coalesce(cnt_trx
 FROM (SELECT *, round((sum_trx - a) / nullif(s, 0), 2) AS z FROM (
         SELECT *, round(avg(sum_trx) OVER h, 2) AS a, round(stddev_samp(sum_trx) OVER h, 2) AS s FROM base
         WINDOW h AS (PARTITION BY customer_id ORDER BY month_offset RANGE BETWEEN 6 PRECEDING AND 1 PRECEDING))) m
-JOIN (SELECT month_offset, round(avg(CASE WHEN sum_trx > 0 THEN sum_trx END), 2) AS pop_avg_sum_trx,
+JOIN (SELECT month_offset, {mean_sql("CASE WHEN sum_trx > 0 THEN sum_trx END", 2)} AS pop_avg_sum_trx,
              count(DISTINCT CASE WHEN cnt_trx > 0 THEN customer_id END) AS pop_dstnct_cust_trx FROM base GROUP BY 1) p USING (month_offset)
 LEFT JOIN (SELECT customer_id, month_offset, max(s) AS cp_concentration_s, max(s) / nullif(round(sum(s), 2), 0) AS cp_concentration FROM (
              SELECT customer_id, month_offset, cp_id, round(sum(amount_usd), 2) AS s FROM trx WHERE direction = 'debit' GROUP BY 1, 2, 3) GROUP BY 1, 2) c

@@ -8,6 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.sources.model import TRX_SQL
 
+def mean_sql(value: str, digits: int, scale: int = 6) -> str:
+    """Mean rounded half up in whole numbers (for values >= 0)."""
+    units = f"({value})::DECIMAL(26,{scale})"
+    n, step = f"count({value})", 10 ** (scale - digits)
+    whole = f"(sum({units}) * {10**scale})::HUGEINT"
+    return f"(((2 * {whole} + {n} * {step}) // nullif(2 * {n} * {step}, 0))::DOUBLE / {10**digits})"
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}

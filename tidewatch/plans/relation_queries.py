@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import explain as ex, profiles, relate
 from tidewatch.operators.percentiles import percentiles
-from tidewatch.plans.registry import query
+from tidewatch.plans.registry import mean_sql, query
 from tidewatch.sources.model import ENTITY, PERIOD, table, transactions
 
 KEYS = [ENTITY, PERIOD]
@@ -14,8 +14,8 @@ KEYS = [ENTITY, PERIOD]
 # --- explanations -------------------------------------------------------------
 
 
-@query("""
-SELECT month_offset, round(avg(CASE WHEN s > 0 THEN s END), 2) AS pop_avg_sum_trx, round(avg(CASE WHEN n > 0 THEN n END), 2) AS pop_avg_cnt_trx,
+@query(f"""
+SELECT month_offset, {mean_sql("CASE WHEN s > 0 THEN s END", 2)} AS pop_avg_sum_trx, {mean_sql("CASE WHEN n > 0 THEN n END", 2)} AS pop_avg_cnt_trx,
        count(DISTINCT CASE WHEN cash > 0 THEN customer_id END) AS pop_dstnct_cust_trx_cash
 FROM (SELECT customer_id, month_offset, round(sum(amount_usd), 2) AS s, count(*) AS n, count(*) FILTER (WHERE method LIKE 'cash%') AS cash FROM trx GROUP BY 1, 2)
 GROUP BY 1""", trx=True)
