@@ -78,13 +78,13 @@ def anomaly_rate(df: DataFrame, score: str, threshold: float, by: str) -> DataFr
 
 def trigger_share(df: DataFrame, period: str, step: str, features: Sequence[str], k: int = 3) -> DataFrame:
     """Per period and feature: share of anomalies with the feature in the top k."""
-    sizes = df.groupBy(period).agg(F.count(F.lit(1)).alias("anomalies"))
-    names = F.array(*[F.when(F.col(f"{step}_{f}_rank") <= k, F.lit(f)) for f in features])
-    hits = (
-        df.select(period, F.explode(F.array_compact(names)).alias("trigger_feature"))
-        .groupBy(period, "trigger_feature").agg(F.count(F.lit(1)).alias("hits"))
+    hits = [F.count(F.when(F.col(f"{step}_{f}_rank") <= k, 1)).alias(f) for f in features]
+    wide = df.groupBy(period).agg(F.count(F.lit(1)).alias("anomalies"), *hits)
+    entries = F.array(*[F.struct(F.lit(f).alias("trigger_feature"), F.col(f).alias("hits")) for f in features])
+    return (
+        wide.select(period, "anomalies", F.explode(entries).alias("e")).select(period, "anomalies", "e.*")
+        .filter("hits > 0").withColumn("share", F.col("hits") / F.col("anomalies"))
     )
-    return hits.join(sizes, period).withColumn("share", F.col("hits") / F.col("anomalies"))
 
 
 def trigger_drift(

@@ -126,27 +126,24 @@ def lsh_pairs(
 ) -> DataFrame:
     """(text_a, text_b, jaccard) of distinct texts that share a band and pass.
 
-    ``texts`` is reduced to distinct values first. A pair is reported by the
-    first band it shares, so the result needs no de-duplication.
+    ``texts`` is reduced to distinct values first, and a pair is verified where
+    it meets; only verified pairs are moved again to drop those met twice.
     """
     rows_per_band = k // bands
     distinct = texts.select(F.col(text).alias("text")).filter(F.col("text").isNotNull()).distinct()
     signed = distinct.withColumn("grams", char_ngrams(F.col("text"), n)).withColumn("sig", minhash(F.col("grams"), k))
-    keyed = signed.select(
-        "text", F.transform("grams", lambda g: F.xxhash64(g)).alias("grams"), band_keys(F.col("sig"), bands, rows_per_band).alias("bands")
-    )
-    banded = keyed.select("text", "grams", "bands", F.posexplode("bands").alias("band", "key"))
+    hashes = F.transform("grams", lambda g: F.xxhash64(g)).alias("grams")
+    banded = signed.select("text", hashes, F.posexplode(band_keys(F.col("sig"), bands, rows_per_band)).alias("band", "key"))
     left, right = _cells(banded, ["band", "key"], "text", block_size)
     small, large = F.least(F.size("grams"), F.size("grams_b")), F.greatest(F.size("grams"), F.size("grams_b"))
     pairs = left.join(right, ["band", "key", "_i", "_j"]).filter(
         ((F.col("_i") < F.col("_j")) | (F.col("text") < F.col("text_b")))
         & (small >= large * threshold)
-        & (F.array_position(F.zip_with("bands", "bands_b", lambda x, y: x == y), True) == F.col("band") + 1)
-    )
-    scored = pairs.withColumn("jaccard", _jaccard(F.col("grams"), F.col("grams_b"))).filter(F.col("jaccard") >= threshold)
-    return scored.select(
+        & (_jaccard(F.col("grams"), F.col("grams_b")) >= threshold)
+    ).withColumn("jaccard", _jaccard(F.col("grams"), F.col("grams_b")))
+    return pairs.select(
         F.least("text", "text_b").alias("text_a"), F.greatest("text", "text_b").alias("text_b"), F.round("jaccard", 6).alias("jaccard")
-    )
+    ).distinct()
 
 
 # --- pair scores -------------------------------------------------------------

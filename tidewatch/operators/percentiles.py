@@ -22,15 +22,18 @@ def ranked_values(df: DataFrame, by: Sequence[str], value: str, ranges: int = 32
     by = list(by)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     steps = [i / ranges for i in range(1, ranges)]
+    # the total keeps ``n`` in this branch, so that all branches share one shuffle
     edges = counts.groupBy(*by).agg(
-        F.percentile_approx(F.col(value).cast("double"), steps, 20 * ranges).alias("_edges")
+        F.percentile_approx(F.col(value).cast("double"), steps, 20 * ranges).alias("_edges"),
+        F.sum("n").alias("total"),
     )
     if by:
         cut = counts.join(F.broadcast(edges) if few_groups else edges, by)
     else:
         # a one-row sketch: read it and inline the edges
-        marks = edges.first()["_edges"]
-        cut = counts.withColumn("_edges", F.array(*[F.lit(float(m)) for m in marks]) if marks else F.array().cast("array<double>"))
+        row = edges.first()
+        marks = F.array(*[F.lit(float(m)) for m in row["_edges"] or []]).cast("array<double>")
+        cut = counts.withColumns({"_edges": marks, "total": F.lit(row["total"])})
     cut = cut.withColumn(
         "_range", F.size(F.filter("_edges", lambda e: e < F.col(value).cast("double")))
     ).drop("_edges")
@@ -39,7 +42,6 @@ def ranked_values(df: DataFrame, by: Sequence[str], value: str, ranges: int = 32
     before = sums.select(
         *by, "_range",
         (F.sum("_rows").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_rows")).alias("_before"),
-        F.sum("_rows").over(whole).alias("total"),
     )
     inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return (

@@ -138,12 +138,13 @@ def build_alerts(risks: DataFrame, entity: str, created: str) -> DataFrame:
     trigger = F.struct(
         F.col("tr_id").alias("triggerID"), F.struct(F.col(entity).cast("string").alias(entity)).alias("primaryKeySet")
     )
-    live = risks.filter(~F.col("is_suppressed"))
-    hidden = risks.filter("is_suppressed").groupBy(entity, created).agg(F.count(F.lit(1)).alias("_hidden"))
-    out = live.groupBy(entity, created).agg(
-        F.array_sort(F.collect_set(trigger)).alias("_t"), F.round(F.max("risk_severity"), 2).alias("severity")
-    )
-    return out.join(hidden, [entity, created], "left").select(
+    hidden = F.col("is_suppressed")
+    out = risks.groupBy(entity, created).agg(
+        F.array_sort(F.collect_set(F.when(~hidden, trigger))).alias("_t"),
+        F.round(F.max(F.when(~hidden, F.col("risk_severity"))), 2).alias("severity"),
+        F.count(F.when(hidden, 1)).alias("suppressioncount"),
+    ).filter(F.size("_t") > 0)
+    return out.select(
         F.concat_ws("_", F.lit("alert"), entity, created).alias("id"),
         entity,
         F.col(created).alias("createdate"),
@@ -151,5 +152,5 @@ def build_alerts(risks: DataFrame, entity: str, created: str) -> DataFrame:
         F.size("_t").cast("long").alias("trigger_count"),
         (F.size("_t") > 1).alias("isconsolidated"),
         "severity",
-        F.coalesce("_hidden", F.lit(0)).cast("long").alias("suppressioncount"),
+        "suppressioncount",
     )

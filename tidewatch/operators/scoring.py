@@ -121,7 +121,11 @@ class ScoreModel:
 
 
 def fit_scores(train: DataFrame, features: Sequence[str], top: int = 3, scale: float = 4.0) -> ScoreModel:
-    """Median and MAD per feature; a zero MAD falls back to the standard deviation."""
+    """Median and MAD per feature; a zero MAD falls back to the standard deviation.
+
+    The training columns are read three times, so they are kept while fitting.
+    """
+    train = train.select(*features).persist()
     long = long_features(train, [], features)
     median = percentiles(long, ["feature"], "value", {"m": 0.5}, few_groups=True)
     centre = {r["feature"]: r["m"] for r in median.collect()}  # one row per feature
@@ -130,6 +134,7 @@ def fit_scores(train: DataFrame, features: Sequence[str], top: int = 3, scale: f
     mad = percentiles(long_features(centred, [], known), ["feature"], "value", {"m": 0.5}, few_groups=True)
     mads = {r["feature"]: r["m"] for r in mad.collect()}
     devs = train.agg(*[F.stddev_pop(F.col(f).cast("double")).alias(f) for f in known]).first()
+    train.unpersist()
     spread = {f: (mads.get(f) or 0.0) * MAD_FACTOR or (devs[f] or 0.0) for f in known}
     return ScoreModel({f: centre[f] for f in known}, spread, top, scale)
 

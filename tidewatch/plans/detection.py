@@ -37,8 +37,12 @@ def activities(spark, sf):
 
 
 def scored(spark, sf):
-    """Activities scored by a model fitted on the training period."""
-    acts = activities(spark, sf)
+    """Activities scored by a model fitted on the training period.
+
+    Fitting and scoring both read the activities: they are kept like the stored
+    feature table they stand for.
+    """
+    acts = activities(spark, sf).persist()
     train, _ = scoring.split_by_time(acts, "year_month", TRAIN_END)
     return scoring.fit_scores(train, FEATURES).score(acts, STEP)
 

@@ -72,12 +72,12 @@ def minhash_signatures(spark, sf):
 
 @query("SELECT * FROM name_pairs", ctes=PAIRS_SQL)
 def similar_name_pairs(spark, sf):
-    return er.lsh_pairs(accounts(spark, sf), "normalized_name", bands=32, block_size=200)
+    return er.lsh_pairs(accounts(spark, sf), "normalized_name", block_size=200)
 
 
 def _pairs(spark, sf, **kw):
     people = er.profiles(accounts(spark, sf))
-    return er.score_pairs(people, er.lsh_pairs(people, "normalized_name", bands=32), **kw), people
+    return er.score_pairs(people, er.lsh_pairs(people, "normalized_name"), **kw), people
 
 
 @query("SELECT a, b, score FROM pairs", ctes=PAIRS_SQL)
@@ -123,7 +123,7 @@ SELECT source, mean_score, clique_size FROM (
 WHERE clique_size > 1""", ctes=PAIRS_SQL)
 def resolved_parties(spark, sf):
     # here no three profiles match each other, so every clique is a pair
-    return er.resolve(accounts(spark, sf), bands=32).select("source", "mean_score", "clique_size")
+    return er.resolve(accounts(spark, sf)).select("source", "mean_score", "clique_size")
 
 
 _ASSIGNED_SQL = PAIRS_SQL + """,
