@@ -9,7 +9,7 @@ task is cut into cells that each compare two blocks of it.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -252,14 +252,15 @@ def _cliques(neighbours: dict) -> list[frozenset]:
     return found
 
 
-def _best_cliques(pdf: pd.DataFrame) -> pd.DataFrame:
+def _best_cliques(edges: Iterable[Mapping]) -> list[tuple]:
     """Per profile of one component: its clique with the best mean score."""
     score, neighbours, copies = {}, {}, {}
-    for a, b, s, ca, cb in pdf[["a", "b", "score", "copies_a", "copies_b"]].itertuples(index=False):
-        score[a, b] = score[b, a] = s
+    for e in edges:
+        a, b = e["a"], e["b"]
+        score[a, b] = score[b, a] = e["score"]
         neighbours.setdefault(a, set()).add(b)
         neighbours.setdefault(b, set()).add(a)
-        copies[a], copies[b] = ca, cb
+        copies[a], copies[b] = e["copies_a"], e["copies_b"]
     best: dict = {}
     for clique in _cliques(neighbours):
         members = sorted(clique)
@@ -270,21 +271,26 @@ def _best_cliques(pdf: pd.DataFrame) -> pd.DataFrame:
             entry = (round(total / (size - 1), 6), name)
             if m not in best or entry > best[m]:
                 best[m] = entry
-    return pd.DataFrame(
-        [(m, n, s) for m, (s, n) in best.items()], columns=["profile", "clique", "mean_score"]
-    )
+    return [(m, n, s) for m, (s, n) in best.items()]
+
+
+def _clique_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [r for edges in pdf["edges"] for r in _best_cliques(edges)]
+        yield pd.DataFrame(rows, columns=["profile", "clique", "mean_score"])
 
 
 def cluster(pairs: DataFrame, people: DataFrame, clique_limit: int = 30) -> DataFrame:
     """(profile, clique, mean_score, clique_size, method).
 
     Profiles take their best maximal clique. Cliques are searched inside
-    connected components of at most ``clique_limit`` profiles; a larger component
-    is one party as a whole (``method`` says so), since its members are chained
-    by matches and clique search is exponential. Profiles that only have exact
+    connected components of at most ``clique_limit`` profiles, whose edges travel
+    as one row; a component of two is its own clique. A larger component is one
+    party as a whole (``method`` says so), since its members are chained by
+    matches and clique search is exponential. Profiles that only have exact
     copies form a party of their own. ``clique_size`` counts accounts.
     """
-    # read four times below: computed once, in shared storage
+    # read several times below: computed once, in shared storage
     pairs = cut_lineage(pairs)
     comp = connected_components(pairs, "a", "b")
     sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
@@ -296,27 +302,42 @@ def cluster(pairs: DataFrame, people: DataFrame, clique_limit: int = 30) -> Data
         .join(copies.select(F.col("profile").alias("b"), F.col("copies").alias("copies_b")), "b")
         .join(sizes, "component")
     )
-    small = edges.filter(F.col("nodes") <= clique_limit).groupBy("component").applyInPandas(
-        _best_cliques, f"profile {id_type}, clique string, mean_score double"
+    edges = cut_lineage(edges)
+
+    def sides(df: DataFrame) -> DataFrame:
+        rest = [c for c in df.columns if c not in ("a", "b", "copies_a", "copies_b")]
+        return df.select(F.col("a").alias("profile"), F.col("copies_a").alias("own"), F.col("copies_b").alias("others"), *rest).unionByName(
+            df.select(F.col("b").alias("profile"), F.col("copies_b").alias("own"), F.col("copies_a").alias("others"), *rest)
+        )
+
+    def mean(score: Column, own: Column, others: Column) -> Column:
+        """Mean over an account's partners; its own copies count with score 1."""
+        return F.round((score + own - 1) / (others + own - 1), 6).alias("mean_score")
+
+    two = sides(
+        edges.filter(F.col("nodes") == 2).withColumn("clique", F.sha1(F.concat_ws("|", "a", "b")).substr(1, 16))
+    ).select("profile", "clique", mean(F.col("score") * F.col("others"), F.col("own"), F.col("others")))
+    some = (
+        edges.filter((F.col("nodes") > 2) & (F.col("nodes") <= clique_limit))
+        .groupBy("component").agg(F.collect_list(F.struct("a", "b", "score", "copies_a", "copies_b")).alias("edges"))
+        .select("edges").mapInPandas(_clique_rows, f"profile {id_type}, clique string, mean_score double")
     )
-    both = edges.filter(F.col("nodes") > clique_limit)
-    sides = both.select(F.col("a").alias("profile"), "component", "score", "copies_a", "copies_b").unionByName(
-        both.select(F.col("b").alias("profile"), "component", "score", F.col("copies_b").alias("copies_a"), F.col("copies_a").alias("copies_b"))
+    whole = sides(edges.filter(F.col("nodes") > clique_limit)).groupBy("profile", "component").agg(
+        F.sum(F.col("score") * F.col("others")).alias("s"), F.sum("others").alias("others"), F.max("own").alias("own")
+    ).select(
+        "profile", F.concat(F.lit("component-"), F.col("component").cast("string")).alias("clique"),
+        mean(F.col("s"), F.col("own"), F.col("others")),
     )
-    whole = sides.groupBy("profile", "component").agg(
-        F.round(
-            (F.sum(F.col("score") * F.col("copies_b")) + F.max("copies_a") - 1) / (F.sum("copies_b") + F.max("copies_a") - 1), 6
-        ).alias("mean_score")
-    ).select("profile", F.concat(F.lit("component-"), F.col("component").cast("string")).alias("clique"), "mean_score")
-    lonely = people.filter("copies > 1").join(comp, F.col("profile") == F.col("node"), "left_anti").select(
+    alone = people.filter("copies > 1").join(comp, F.col("profile") == F.col("node"), "left_anti").select(
         "profile", F.sha1(F.col("profile").cast("string")).substr(1, 16).alias("clique"), F.lit(1.0).alias("mean_score")
     )
     chosen = (
-        small.withColumn("method", F.lit("clique"))
+        two.unionByName(some).withColumn("method", F.lit("clique"))
         .unionByName(whole.withColumn("method", F.lit("component")))
-        .unionByName(lonely.withColumn("method", F.lit("copies")))
+        .unionByName(alone.withColumn("method", F.lit("copies")))
         .join(copies, "profile")
     )
+    chosen = cut_lineage(chosen)
     accounts = chosen.groupBy("clique").agg(F.sum("copies").alias("clique_size")).filter("clique_size > 1")
     return chosen.drop("copies").join(accounts, "clique")
 

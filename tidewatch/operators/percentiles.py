@@ -1,9 +1,9 @@
 """Exact percentiles per group without holding a group in one task.
 
 Values are counted first (a map-side combine), then cut into ranges by the edges
-of a bounded sketch. Ranges are cumulated on a table of a few rows per group and
-windows run inside (group, range) only, so that a group with a third of all rows
-is worked on by many tasks.
+of a bounded sketch. The ranges, a few rows per group, are cumulated to see which
+of them hold the wanted positions; only those ranges are sorted. A group with a
+third of all rows is worked on by many tasks, and most of it is never moved.
 """
 
 from __future__ import annotations
@@ -13,47 +13,19 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def ranked_values(df: DataFrame, by: Sequence[str], value: str, ranges: int = 32, few_groups: bool = False) -> DataFrame:
-    """(by, value, n, upto, total): distinct values with cumulative row counts.
-
-    ``few_groups`` says that the number of groups is bounded by the caller (such
-    as one per listed feature), so that the edges are broadcast.
-    """
-    by = list(by)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    steps = [i / ranges for i in range(1, ranges)]
-    # the total keeps ``n`` in this branch, so that all branches share one shuffle
-    edges = counts.groupBy(*by).agg(
-        F.percentile_approx(F.col(value).cast("double"), steps, 20 * ranges).alias("_edges"),
-        F.sum("n").alias("total"),
-    )
-    if by:
-        cut = counts.join(F.broadcast(edges) if few_groups else edges, by)
-    else:
-        # a one-row sketch: read it and inline the edges
-        row = edges.first()
-        marks = F.array(*[F.lit(float(m)) for m in row["_edges"] or []]).cast("array<double>")
-        cut = counts.withColumns({"_edges": marks, "total": F.lit(row["total"])})
-    cut = cut.withColumn(
-        "_range", F.size(F.filter("_edges", lambda e: e < F.col(value).cast("double")))
-    ).drop("_edges")
-    sums = cut.groupBy(*by, "_range").agg(F.sum("n").alias("_rows"))
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = sums.select(
-        *by, "_range",
-        (F.sum("_rows").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_rows")).alias("_before"),
-    )
-    inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        cut.withColumn("_upto", F.sum("n").over(inside))
-        .join(before, [*by, "_range"])
-        .select(*by, value, "n", (F.col("_before") + F.col("_upto")).alias("upto"), "total")
-    )
-
-
-def _at(index: Column, value: str) -> Column:
-    """Value at a 0-based index of the sorted rows."""
-    return F.min(F.when(F.col("upto") > index, F.col(value)))
+def _indexes(probs: Mapping[str, float], method: str) -> list[tuple[str, Column]]:
+    """(output, 0-based position among the sorted rows) for every probability."""
+    total = F.col("total")
+    out = []
+    for name, p in probs.items():
+        if method == "discrete":
+            out.append((name, F.greatest(F.ceil(total * F.lit(float(p))) - 1, F.lit(0))))
+        elif method == "linear":
+            spot = (total - 1) * F.lit(float(p))
+            out += [(f"_l_{name}", F.floor(spot)), (f"_h_{name}", F.ceil(spot))]
+        else:
+            raise ValueError(f"unknown method {method!r}")
+    return out
 
 
 def percentiles(
@@ -68,24 +40,45 @@ def percentiles(
     """One row per group and one column per named probability.
 
     ``linear`` interpolates between neighbours; ``discrete`` takes the smallest
-    value that covers the share.
+    value that covers the share. ``few_groups`` says that the number of groups is
+    bounded by the caller (such as one per listed feature), so that the per-group
+    tables are broadcast.
     """
-    rows = ranked_values(df, by, value, ranges, few_groups)
-    total = F.col("total")
-    aggs: list[Column] = []
-    for name, p in probs.items():
-        if method == "discrete":
-            index = F.greatest(F.ceil(total * F.lit(float(p))) - 1, F.lit(0))
-            aggs.append(_at(index, value).alias(name))
-        else:
-            spot = (total - 1) * F.lit(float(p))
-            aggs += [_at(F.floor(spot), value).alias(f"_l_{name}"), _at(F.ceil(spot), value).alias(f"_h_{name}")]
-    out = rows.groupBy(*by).agg(*aggs, F.max("total").alias("_total"))
+    by = list(by)
+    small = F.broadcast if few_groups else (lambda d: d)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    steps = [i / ranges for i in range(1, ranges)]
+    # the total keeps ``n`` in this branch, so that all branches share one shuffle
+    edges = counts.groupBy(*by).agg(
+        F.percentile_approx(F.col(value).cast("double"), steps, 20 * ranges).alias("_edges"),
+        F.sum("n").alias("total"),
+    )
+    cut = counts.join(small(edges), by).withColumn(
+        "_range", F.size(F.filter("_edges", lambda e: e < F.col(value).cast("double")))
+    ).drop("_edges")
+    wanted = _indexes(probs, method)
+
+    # which ranges hold a wanted position
+    sums = cut.groupBy(*by, "_range", "total").agg(F.sum("n").alias("_rows"))
+    along = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    before = sums.withColumn("_before", F.sum("_rows").over(along) - F.col("_rows"))
+    hit = F.lit(False)
+    for _, index in wanted:
+        hit = hit | ((index >= F.col("_before")) & (index < F.col("_before") + F.col("_rows")))
+    need = before.filter(hit).select(*by, "_range", "_before")
+
+    inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    rows = cut.join(small(need), [*by, "_range"]).withColumn("_upto", F.col("_before") + F.sum("n").over(inside))
+    # the value at a position is the smallest one that more rows than it lie up to
+    at = [
+        F.min(F.when((F.col("_upto") > i) & (F.col("_upto") - F.col("n") <= i), F.col(value))).alias(name) for name, i in wanted
+    ]
+    out = rows.groupBy(*by).agg(*at, F.max("total").alias("total"))
     if method == "discrete":
-        return out.drop("_total")
+        return out.drop("total")
     cols = []
     for name, p in probs.items():
-        spot = (F.col("_total") - 1) * F.lit(float(p))
+        spot = (F.col("total") - 1) * F.lit(float(p))
         low, high = F.col(f"_l_{name}"), F.col(f"_h_{name}")
         cols.append((low + (high - low) * (spot - F.floor(spot))).cast("double").alias(name))
     return out.select(*by, *cols)
