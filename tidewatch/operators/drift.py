@@ -164,20 +164,15 @@ def drift_metrics(
     anomaly: float = 0.5, csi_limit: float = 0.25, alpha: float = 0.05,
 ) -> DataFrame:
     """The five overall drift figures as (test, value) rows."""
-    rates = anomaly_rate(ref, score, anomaly, period).agg(
-        F.avg("ratio").alias("m"), F.stddev_samp("ratio").alias("s")
-    ).withColumn("k", F.lit(1))
-    worst = anomaly_rate(cur, score, anomaly, period).withColumn("k", F.lit(1)).join(rates, "k").agg(
-        F.lit("anomaly_percentage").alias("test"),
-        F.max(F.abs(F.round(F.try_divide(F.col("ratio") - F.col("m"), F.col("s")), 4))).alias("value"),
-    )
-    quart = {"q1": 0.25, "q3": 0.75}
-    spread = [
-        percentiles(d.select(F.lit(1).alias("k"), score), ["k"], score, quart, "discrete", few_groups=True).select("k", (F.col("q3") - F.col("q1")).alias(n))
-        for d, n in ((ref, "r"), (cur, "c"))
-    ]
-    iqr = spread[0].join(spread[1], "k").select(
-        F.lit("iqr_score").alias("test"), F.round(F.abs(F.col("r") - F.col("c")), 6).alias("value")
+    # mean and spread of the reference rates: two numbers, inlined
+    rate = anomaly_rate(ref, score, anomaly, period).agg(F.avg("ratio").alias("m"), F.stddev_samp("ratio").alias("s")).first()
+    off = F.abs(F.round(F.try_divide(F.col("ratio") - F.lit(rate["m"]), F.lit(rate["s"])), 4))
+    worst = anomaly_rate(cur, score, anomaly, period).agg(F.lit("anomaly_percentage").alias("test"), F.max(off).alias("value"))
+    both = ref.select(F.lit(True).alias("is_ref"), score).unionByName(cur.select(F.lit(False).alias("is_ref"), score))
+    spread = F.col("q3") - F.col("q1")
+    iqr = percentiles(both, ["is_ref"], score, {"q1": 0.25, "q3": 0.75}, "discrete", few_groups=True).agg(
+        F.lit("iqr_score").alias("test"),
+        F.round(F.abs(F.max(F.when(F.col("is_ref"), spread)) - F.max(F.when(~F.col("is_ref"), spread))), 6).alias("value"),
     )
     shifts = csi(ref, cur, features, threshold=csi_limit)
     failed = shifts.agg(

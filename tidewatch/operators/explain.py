@@ -39,15 +39,20 @@ def explain_by(
     category: str,
     amount: str,
     where: Column | None = None,
-    extra: Mapping[str, Column] | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Count and rounded sum per (keys, category); ``extra`` adds aggregates."""
+    """Count and rounded sum per (keys, category), with the largest ``carry`` texts.
+
+    Carried texts are keys of a first grouping: kept in the buffers they would
+    turn the aggregation of all rows into a sort.
+    """
     rows = df.filter(F.col(category).isNotNull() if where is None else where)
-    return rows.groupBy(*keys, category).agg(
-        F.count(F.lit(1)).alias("c"),
-        F.round(F.sum(amount), 2).alias("s"),
-        *[e.alias(n) for n, e in (extra or {}).items()],
-    )
+    first = rows.groupBy(*keys, category, *carry).agg(F.count(F.lit(1)).alias("c"), F.sum(amount).alias("s"))
+    if carry:
+        first = first.groupBy(*keys, category).agg(
+            F.sum("c").alias("c"), F.sum("s").alias("s"), *[F.max(t).alias(t) for t in carry]
+        )
+    return first.withColumn("s", F.round("s", 2))
 
 
 def explain_many(

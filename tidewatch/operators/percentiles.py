@@ -53,14 +53,21 @@ def percentiles(
         F.percentile_approx(F.col(value).cast("double"), steps, 20 * ranges).alias("_edges"),
         F.sum("n").alias("total"),
     )
-    cut = counts.join(small(edges), by).withColumn(
+    if by:
+        counts = counts.join(small(edges), by)
+    else:
+        row = edges.first()  # one sketch for the whole table, inlined
+        marks = F.array(*[F.lit(float(m)) for m in row["_edges"] or []]).cast("array<double>")
+        counts = counts.withColumns({"_edges": marks, "total": F.lit(row["total"] or 0)})
+    cut = counts.withColumn(
         "_range", F.size(F.filter("_edges", lambda e: e < F.col(value).cast("double")))
     ).drop("_edges")
     wanted = _indexes(probs, method)
 
     # which ranges hold a wanted position
     sums = cut.groupBy(*by, "_range", "total").agg(F.sum("n").alias("_rows"))
-    along = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    # at most ``ranges`` rows per group
+    along = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
     before = sums.withColumn("_before", F.sum("_rows").over(along) - F.col("_rows"))
     hit = F.lit(False)
     for _, index in wanted:

@@ -149,17 +149,16 @@ def split_entities(alerts: DataFrame, id: str = "id") -> DataFrame:
 def consolidation(alerts: DataFrame, id: str = "id") -> DataFrame:
     """Whether alerts of one entity are kept together, as one verdict row."""
     per_entity = _alert_entities(alerts, id).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
-    e = per_entity.agg(
-        F.count(F.lit(1)).alias("entities"), F.count(F.when(F.col("n") > 1, 1)).alias("in_several")
-    ).withColumn("k", F.lit(1))
-    a = alert_counts(alerts).select("total_alerts", "consolidated", F.col("avg_triggers")).withColumn("k", F.lit(1))
+    # two counts, read to the driver and inlined
+    e = per_entity.agg(F.count(F.lit(1)).alias("entities"), F.count(F.when(F.col("n") > 1, 1)).alias("in_several")).first()
+    a = alert_counts(alerts).withColumns({"entities": F.lit(e["entities"]), "in_several": F.lit(e["in_several"])})
     share = F.try_divide(F.col("in_several"), F.col("entities"))
     status = (
         F.when((F.col("consolidated") == 0) | (F.col("in_several") == 0), "PASS")
         .when(share <= 0.10, "WARNING")
         .otherwise("FAIL")
     )
-    return a.join(e, "k").select(
+    return a.select(
         status.alias("status"),
         (F.col("consolidated") > 0).alias("active"),
         F.col("entities").alias("total_entities"),
@@ -211,21 +210,17 @@ def score_distribution(activities: DataFrame, score: str, alerts: DataFrame | No
     """Range, moments, interpolated percentiles, and rows at or above the 95th."""
     s = F.col(score)
     probs = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
-    cut = percentiles(activities.select(F.lit(1).alias("k"), score), ["k"], score, probs, few_groups=True)
-    base = activities.agg(
+    # five numbers, read to the driver and inlined
+    cut = percentiles(activities.select(score), [], score, probs).first()
+    rows = activities.agg(
         F.count(F.lit(1)).alias("activities"), F.count(s).alias("scored"), F.round(F.min(s), 6).alias("min"),
         F.round(F.max(s), 6).alias("max"), F.round(F.avg(s), 4).alias("mean"), F.round(F.stddev_samp(s), 4).alias("std"),
-    ).withColumn("k", F.lit(1))
-    # the 95th percentile is one number
-    p95 = cut.first()["p95"]
-    high = activities.agg(F.count(F.when(s >= F.lit(p95), 1)).alias("high_scores")).withColumn("k", F.lit(1))
-    out = base.join(cut, "k").join(high, "k")
-    cols = ["activities", "scored", "min", "max", "mean", "std", *[F.round(p, 4).alias(p) for p in probs], "high_scores"]
-    if alerts is not None:
-        n = alerts.agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(1))
-        out = out.join(n, "k")
-        cols.append(F.round(F.try_divide(F.col("n"), F.col("activities")) * 100, 2).alias("alert_ratio_pct"))
-    return out.select(*cols)
+        *[F.round(F.lit(cut[p]), 4).alias(p) for p in probs],
+        F.count(F.when(s >= F.lit(cut["p95"]), 1)).alias("high_scores"),
+    )
+    if alerts is None:
+        return rows
+    return rows.withColumn("alert_ratio_pct", F.round(F.try_divide(F.lit(alerts.count()), F.col("activities")) * 100, 2))
 
 
 def temporal_pattern(alerts: DataFrame, created: str = "createdate") -> DataFrame:
@@ -267,9 +262,9 @@ def alert_quality_report(
         alert_metadata(alerts).select("assignment_rate"),
         risk_metadata(risks).select("suppression_pct"),
         temporal_pattern(alerts).filter("unit = 'hour'").agg(F.max("pct").alias("max_hour_pct")),
-        alerts.agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(1))
-        .join(activities.agg(F.count(F.lit(1)).alias("m")).withColumn("k", F.lit(1)), "k")
-        .select(F.round(F.try_divide("n", "m") * 100, 2).alias("alert_ratio_pct")),
+        activities.agg(
+            F.round(F.try_divide(F.lit(alerts.count()), F.count(F.lit(1))) * 100, 2).alias("alert_ratio_pct")
+        ),
     ]
     rows = None
     for d in one:

@@ -51,9 +51,9 @@ def country_explanation_json(spark, sf):
     trx = transactions(spark, sf, [*KEYS, "cp_jurisdiction", "cp_country_risk_level", "amount_usd"])
     rows = ex.explain_by(
         trx, KEYS, "cp_jurisdiction", "amount_usd", F.col("cp_country_risk_level").isin("High", "Medium", "Low"),
-        {"cr": F.max("cp_country_risk_level")},
+        ["cp_country_risk_level"],
     )
-    return ex.packed(rows, KEYS, {"ct": "cp_jurisdiction", "cr": "cr", "c": "c"}, "explanation")
+    return ex.packed(rows, KEYS, {"ct": "cp_jurisdiction", "cr": "cp_country_risk_level", "c": "c"}, "explanation")
 
 
 @query("""
@@ -62,7 +62,7 @@ FROM trx GROUP BY 1, 2, 3, 4""", trx=True)
 def country_explanation(spark, sf):
     trx = transactions(spark, sf, [*KEYS, "cp_jurisdiction", "cp_country_risk_level", "amount_usd"])
     return ex.explain_by(
-        trx, KEYS, "cp_jurisdiction", "amount_usd", extra={"cp_country_risk_level": F.max("cp_country_risk_level")}
+        trx, KEYS, "cp_jurisdiction", "amount_usd", carry=["cp_country_risk_level"]
     )
 
 
