@@ -215,6 +215,12 @@ def score_pairs(
     def total(measure) -> Column:
         return sum((F.lit(w) * measure(F.col(f), F.col(f"{f}_b")) for f, w in weights.items()), F.lit(0.0))
 
+    # edits are at least the difference in length: a cheap bound that loses nothing
+    def bound(x: Column, y: Column) -> Column:
+        longest = F.greatest(F.length(x), F.length(y))
+        return F.coalesce(F.try_divide(F.least(F.length(x), F.length(y)), longest), F.lit(1.0))
+
+    met = met.filter(total(bound) >= threshold - 1e-6)
     if transpositions:
         # a swap counts as two plain edits, which bounds what it can gain
         def ceiling(x: Column, y: Column) -> Column:

@@ -22,7 +22,8 @@ def entity_star(account: DataFrame, disp: DataFrame, loan: DataFrame, client: Da
 
 
 def new_only(df: DataFrame, existing: DataFrame, key: str) -> DataFrame:
-    return df.join(existing.select(key), key, "left_anti")
+    """Rows whose key is not known yet; known keys are reduced before they move."""
+    return df.join(existing.select(key).distinct(), key, "left_anti")
 
 
 def trace(
@@ -162,7 +163,7 @@ def key_coverage(tables: Mapping[str, DataFrame], key: str) -> DataFrame:
 
 def orphans(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Distinct keys of ``left`` that ``right`` does not have."""
-    return left.select(key).distinct().join(right.select(key), key, "left_anti")
+    return left.select(key).distinct().join(right.select(key).distinct(), key, "left_anti")
 
 
 def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

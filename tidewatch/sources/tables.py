@@ -116,7 +116,7 @@ def read_as_of(
 
 def upsert(existing: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Changed keys replaced, new keys added, the others kept."""
-    return existing.join(changes, list(keys), "left_anti").unionByName(changes)
+    return existing.join(changes.select(*keys).distinct(), list(keys), "left_anti").unionByName(changes)
 
 
 def write_table(df: DataFrame, spec: TableSpec) -> None:
