@@ -176,3 +176,15 @@ def test_sides_are_not_one_task(spark):
     plan = percentiles(df, ["g"], "v", {"m": 0.5})._jdf.queryExecution().executedPlan().toString()
     windows = [line for line in plan.splitlines() if "Exchange hashpartitioning(g" in line and "_range" in line]
     assert windows and "windowspecdefinition(g" in plan
+
+
+def test_task_helpers_travel_by_value(tmp_path):
+    """Executors without this package can load the helpers."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps((er._clique_rows, er._signatures)))
+    code = "import pickle; fs = pickle.load(open('f.pkl', 'rb')); assert len(fs) == 2"
+    subprocess.run([sys.executable, "-P", "-c", code], cwd=tmp_path, check=True)

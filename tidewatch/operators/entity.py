@@ -9,10 +9,12 @@ task is cut into cells that each compare two blocks of it.
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidewatch.functions.text import char_ngrams
@@ -20,6 +22,10 @@ from tidewatch.operators.components import connected_components
 from tidewatch.operators.explain import packed
 from tidewatch.session import cut_lineage
 
+# The task-side helpers below travel with their tasks, so that executors need no
+# copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Defaults of the resolution.
 NGRAM = 2
 PERMUTATIONS = 64
