@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import drift
 from tidewatch.plans.detection import ACTS_SQL, FEATURES, SCORED_SQL, STEP, THRESHOLD, activities, scored
 from tidewatch.plans.registry import mean_sql, query
+from tidewatch.session import cut_lineage
 from tidewatch.sources.model import ENTITY, PERIOD
 
 # The reference period: months 300 (January 1995) to 359 (December 1999).
@@ -109,8 +110,8 @@ figures AS (
 @query("""
 SELECT test, round(value::DOUBLE, 6) AS value, threshold::DOUBLE AS threshold, CASE WHEN value > threshold THEN 'FAIL' ELSE 'PASS' END AS result FROM figures""", trx=True, ctes=_VERDICT_CTES)
 def drift_test_verdicts(spark, sf):
-    # both halves of every test read the scores: keep them for the length of the query
-    df = scored(spark, sf).persist()
+    # both halves of every test read the scores: written once to the checkpoint folder
+    df = cut_lineage(scored(spark, sf))
     return drift.drift_verdict(drift.drift_metrics(*_halves(df), PERIOD, "algo_score", STEP, FEATURES))
 
 
