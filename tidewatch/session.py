@@ -23,17 +23,21 @@ def local_session(cores: str | int = "*", app: str = "tidewatch") -> SparkSessio
     )
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all executors share.
+
+    Where it is unset a local session (tests, bench) takes a folder of its own, once; a
+    cluster has to name one.
+    """
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-        return
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -42,5 +46,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Iterative operators call this once per few rounds so that a lost executor
     is recovered from shared storage and the plan does not grow with rounds.
     """
-    _checkpoint_dir(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
