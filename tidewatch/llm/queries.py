@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import licenses, packing, tokens, urls
+from tidewatch.llm import language, licenses, packing, pii, tokens, urls
 from tidewatch.llm.common import table
 
 
@@ -37,9 +37,17 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary, pattern)
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents")).drop("text")
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_license_scan, op4_token_counts, op5_packing, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op3_license_scan, op4_token_counts, op5_packing, op7_personal_data, op8_language, op10_url_filter)}
 ORACLES: dict[str, str] = {}
