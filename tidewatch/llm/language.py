@@ -200,11 +200,11 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
     ``und`` with score 0 where the text is NULL or holds no letter, and everywhere if
     nothing was learned. The score is the mean probability of the language over the words.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    arrays = docs.sparkSession.sparkContext.broadcast((model.labels, model.weights, model.lexicon, model.trans, model.start))
 
     @per_task
     def factory():
-        m: Model = shared.value
+        m = Model(*arrays.value)
         n = len(m.labels)
         neutral = np.ones((1, max(n, 1)), dtype=np.float32)  # id 0: runs without a letter, such as superscripts
         known = [neutral]

@@ -290,17 +290,20 @@ def find(docs: DataFrame, train_docs: int = 4000, train_longest: int = 20_000, s
     is fitted on a bounded sample (``train_docs``, ``train_longest``) and run on all rows.
     """
     docs = one_text_per_id(docs)
-    field = docs.sparkSession.sparkContext.broadcast(fit(training_texts(docs, train_docs, train_longest)))
+    learned = fit(training_texts(docs, train_docs, train_longest))
+    arrays = docs.sparkSession.sparkContext.broadcast((learned.weights, learned.trans, learned.skip))
 
     @per_task
     def factory():
+        field = Field(*arrays.value)
+
         def rows(cols):
             texts = cols["text"].to_pylist()
             base = [base_spans(t) for t in texts]
             split = {i: s for i, t in enumerate(texts) if _TRIGGER.search(t) and (s := tokens_of(t)).spans}
             more: dict[int, list] = {}
             if split:
-                p = field.value.marginals(*_batch(list(split.values())))
+                p = field.marginals(*_batch(list(split.values())))
                 at = 0
                 for i, s in split.items():
                     more[i] = added_spans(texts[i], s, p[at : at + len(s.spans)], base[i], sure)
