@@ -12,8 +12,6 @@ from pyspark.sql.types import StructType
 
 from tidewatch.session import checkpoint_folder
 
-WORD_SPACE = b" \t\n\x0b\x0c\r"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -72,14 +70,6 @@ def one_text_per_id(docs: DataFrame, *more: str) -> DataFrame:
 
 # ---- spans of words -------------------------------------------------------------
 
-_BASES = (0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    p = np.full(n, base, dtype=np.uint64)
-    p[0] = 1
-    return np.multiply.accumulate(p)
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, on uint64."""
@@ -88,42 +78,73 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class SpanHashes:
-    """Hashes of word spans: spans with the same words have the same hash, in any text.
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_BYTE_CODES = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019 + 2 * k)) for k in range(2)]
+_power_cache: dict[tuple[int, bool], np.ndarray] = {}
 
-    ``data`` holds words separated by one space. A polynomial over the bytes is summed
-    once; the hash of any span is then a difference of two sums, whatever its length.
-    """
 
-    tables = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019 + 2 * i)) for i in range(2)]
+def _powers(which: int, n: int, inverse: bool = False) -> np.ndarray:
+    """base ** i (or its inverse) modulo 2 ** 64 for i < n."""
+    have = _power_cache.get((which, inverse))
+    if have is None or len(have) < n:
+        base = pow(_BASES[which], -1, 1 << 64) if inverse else _BASES[which]
+        have = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+        have[0] = 1
+        have = _power_cache[which, inverse] = np.multiply.accumulate(have)
+    return have[:n]
+
+
+def words_bytes(text: str) -> list[bytes]:
+    """Runs of anything but space, tab, line feed, vertical tab, form feed and carriage return."""
+    return text.encode("utf-8", "surrogatepass").split()
+
+
+class Spans:
+    """Hashes of spans of words: equal words give equal hashes, wherever they stand.
+
+    A polynomial over the bytes (words joined by one space) is summed once; the hash of
+    a span is a difference of two sums, so it costs the same at every length. Several
+    texts may lie in one buffer; ``first`` and ``stop`` say which words are a text's.
+    """
 
-    def __init__(self, data: bytes, which: tuple[int, ...] = (0,)):
-        b = np.frombuffer(data, dtype=np.uint8)
-        gaps = np.flatnonzero(b == 32)
-        self.start = np.concatenate(([0], gaps + 1)) if len(b) else np.zeros(0, dtype=np.int64)
-        self.end = np.concatenate((gaps, [len(b)])) if len(b) else np.zeros(0, dtype=np.int64)
+    def __init__(self, texts: list[list[bytes]], which: tuple[int, ...] = (0,)):
+        data = np.frombuffer(b" ".join(b" ".join(t) for t in texts if t), dtype=np.uint8)
+        gaps = np.flatnonzero(data == 32)
+        some = np.ones(1 if len(data) else 0, dtype=np.int64)
+        self.start = np.concatenate((some * 0, gaps + 1))
+        self.end = np.concatenate((gaps, some * len(data)))
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        self.first = np.cumsum(sizes) - sizes
+        self.stop = self.first + sizes
         self.n = len(self.start)
-        self.sums, self.inverse = {}, {}
+        self.sums = {}
         for k in which:
-            base = _BASES[k]
-            p = _powers(base, len(b) + 1)
-            s = np.zeros(len(b) + 1, dtype=np.uint64)
-            np.cumsum(self.tables[k][b] * p[:-1], out=s[1:])
+            s = np.zeros(len(data) + 1, dtype=np.uint64)
+            np.cumsum(_BYTE_CODES[k][data] * _powers(k, len(data)), out=s[1:])
             self.sums[k] = s
-            self.inverse[k] = _powers(pow(base, -1, 1 << 64), len(b) + 1)
 
-    def spans(self, first: np.ndarray, last: np.ndarray, which: int = 0) -> np.ndarray:
+    def hashes(self, first: np.ndarray, last: np.ndarray, which: int = 0) -> np.ndarray:
         """Hash of the words first..last (inclusive) for each pair, as uint64."""
         a, z = self.start[first], self.end[last]
         s = self.sums[which]
-        return mix((s[z] - s[a]) * self.inverse[which][a] + (z - a).astype(np.uint64))
+        return mix((s[z] - s[a]) * _powers(which, len(s), True)[a] + (z - a).astype(np.uint64))
 
     def windows(self, length: int, which: int = 0) -> np.ndarray:
-        """Hash of every window of ``length`` words, by start."""
-        if self.n < length:
-            return np.zeros(0, dtype=np.uint64)
-        first = np.arange(self.n - length + 1)
-        return self.spans(first, first + length - 1, which)
+        """Hash of every window of ``length`` words by its start, over the borders of texts too."""
+        p = np.arange(max(0, self.n - length + 1))
+        return self.hashes(p, p + length - 1, which)
+
+
+def chunks(texts: list, size: int = 1_000_000):
+    """Ranges of texts of about ``size`` characters together."""
+    start, total = 0, 0
+    for i, t in enumerate(texts):
+        total += len(t)
+        if total >= size:
+            yield start, i + 1
+            start, total = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import language, licenses, packing, pii, tokens, urls
+from tidewatch.llm import language, licenses, packing, passages, pii, tokens, urls
 from tidewatch.llm.common import table
 
 
@@ -17,6 +17,38 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+OP1_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), starts AS (
+  SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 49)) AS p FROM cut WHERE len(ws) >= 50
+), windows AS (
+  SELECT doc_id, p, array_to_string(ws[p:p + 49], ' ') AS w FROM starts
+), firsts AS (
+  SELECT w, min(doc_id) AS earliest FROM windows GROUP BY w
+), marks AS (
+  SELECT doc_id, p FROM windows JOIN firsts USING (w) WHERE doc_id > earliest
+), gone AS (
+  SELECT DISTINCT doc_id, p + k AS pos FROM marks, range(50) AS r(k)
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM cut
+), judged AS (
+  SELECT w.doc_id, w.pos, w.word, g.pos IS NULL AS stays FROM words w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.pos = g.pos
+), summed AS (
+  SELECT doc_id, count(*) FILTER (WHERE NOT stays) AS n_removed,
+         coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (WHERE stays), '') AS kept
+  FROM judged GROUP BY doc_id
+)
+SELECT c.doc_id, len(c.ws)::BIGINT AS n_words, coalesce(s.n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(s.kept, '')) AS kept_sha256
+FROM cut c LEFT JOIN summed s ON c.doc_id = s.doc_id
+"""
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
 
@@ -49,5 +81,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_license_scan, op4_token_counts, op5_packing, op7_personal_data, op8_language, op10_url_filter)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_license_scan, op4_token_counts, op5_packing, op7_personal_data, op8_language, op10_url_filter)}
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL}
