@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import language, licenses, packing, passages, pii, tokens, urls
+from tidewatch.llm import language, licenses, near, packing, passages, pii, tokens, urls
 from tidewatch.llm.common import table
 
 
@@ -77,9 +77,13 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_license_scan, op4_token_counts, op5_packing, op7_personal_data, op8_language, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_license_scan, op4_token_counts, op5_packing, op7_personal_data, op8_language, op9_near_duplicates, op10_url_filter)}
 ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL}
