@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import language, licenses, near, packing, passages, pii, tokens, urls
+from tidewatch.llm import language, leaks, licenses, near, packing, passages, pii, tokens, urls
 from tidewatch.llm.common import table
 
 
@@ -49,6 +49,10 @@ FROM cut c LEFT JOIN summed s ON c.doc_id = s.doc_id
 """
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
 
@@ -85,5 +89,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_license_scan, op4_token_counts, op5_packing, op7_personal_data, op8_language, op9_near_duplicates, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_license_scan, op4_token_counts, op5_packing, op7_personal_data, op8_language, op9_near_duplicates, op10_url_filter)}
 ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL}

@@ -44,7 +44,7 @@ def read_model(path: str) -> bytes:
 
 
 def frequent(docs: DataFrame, model: bytes, size: int, sample_docs: int) -> dict[str, int]:
-    """Pieces of the ``size`` pre-tokens found most often in ``sample_docs`` documents.
+    """Pieces of the ``size`` pre-tokens found most often in about ``sample_docs`` documents.
 
     Both bounds are parameters: what is broadcast never grows with the corpus, and
     which pre-tokens are in it changes no result, only how much is shuffled.
@@ -56,13 +56,15 @@ def frequent(docs: DataFrame, model: bytes, size: int, sample_docs: int) -> dict
             c.update(pre_tokens(t))
         return {"word": list(c), "n": list(c.values())}
 
-    sample = docs.select("text").filter(F.length("text") > 0).limit(sample_docs)
+    n = docs.count()
+    share = int(1_000_000 * min(1.0, sample_docs / n)) if n else 0
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).select("text")
     top = arrow_map(sample, rows, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = [r["word"] for r in top.filter(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(size).select("word").toLocalIterator()]
     return dict(zip(words, piece_counts(_load(model), words))) if words else {}
 
 
-def count_tokens(docs: DataFrame, model: bytes, limit: int = 4096, head: int = 50_000, sample_docs: int = 5_000) -> DataFrame:
+def count_tokens(docs: DataFrame, model: bytes, limit: int = 4096, head: int = 200_000, sample_docs: int = 20_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > ``limit``) of every document.
 
     Pieces of the head pre-tokens are counted once and broadcast (at most ``head``
