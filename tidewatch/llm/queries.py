@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import language, leaks, licenses, near, packing, passages, pii, tokens, urls
+from tidewatch.llm import forest, language, leaks, licenses, near, packing, passages, pii, tokens, urls
 from tidewatch.llm.common import table
 
 
@@ -73,6 +73,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary, pattern)
 
 
+def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).drop("text")
 
@@ -89,5 +93,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_license_scan, op4_token_counts, op5_packing, op7_personal_data, op8_language, op9_near_duplicates, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_license_scan, op4_token_counts, op5_packing, op6_nearest_vectors, op7_personal_data, op8_language, op9_near_duplicates, op10_url_filter)}
 ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL}
