@@ -113,13 +113,19 @@ def _windows(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return arrow_map(docs.join(lists, "doc_id"), rows, "w1 long, w2 long, doc_id long, mark long")
 
 
+def _with_id(docs: DataFrame) -> DataFrame:
+    """The same plan wherever texts are joined, so that they are shuffled once."""
+    return one_text_per_id(docs).filter(F.col("doc_id").isNotNull())
+
+
 def repeated(docs: DataFrame, length: int = 50) -> DataFrame:
     """doc_id, mark: windows of ``length`` words that also start in a document with a smaller id."""
     if not 2 <= length <= 256:
         raise ValueError("length must be from 2 to 256 words")
-    docs = one_text_per_id(docs).filter(F.col("doc_id").isNotNull())
+    docs = _with_id(docs)
     places = _occurrences(docs, length)
-    classes = places.groupBy("anchor", "words").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"))
+    # always true, but it keeps both columns wherever classes are used, so that they are shuffled once
+    classes = places.groupBy("anchor", "words").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).filter("earliest <= latest")
     # first level: anchors of one document alone do not survive
     alive = (
         classes.groupBy("anchor")
@@ -158,7 +164,6 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     NULL id is smaller than none and greater than none: its row is kept as it is. Rows that
     repeat an id never remove each other's words, and each row is answered for itself.
     """
-    rows_in = one_text_per_id(docs)
     marks = repeated(docs, length).groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
 
     def rows(cols):
@@ -177,4 +182,6 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
                 out[k].append(v)
         return out
 
-    return arrow_map(rows_in.join(marks, "doc_id", "left"), rows, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    nameless = one_text_per_id(docs).filter(F.col("doc_id").isNull()).withColumn("marks", F.lit(None).cast("array<long>"))
+    both = _with_id(docs).join(marks, "doc_id", "left").unionByName(nameless)
+    return arrow_map(both, rows, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
