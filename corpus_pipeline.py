@@ -4,12 +4,69 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm.common import table, written
+from tidewatch.llm import language, leaks, near, packing, pii
+from tidewatch.llm.common import arrow_map, carried, carry_schema, table, written
+from tidewatch.llm.queries import byte_vocabulary
 
-STAGES: list[tuple[str, Callable]] = []
+#: The columns that stages work on; all others travel along.
+ID, TEXT = "doc_id", "text"
 
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language cannot be told (no letter, or no text)."""
+    tagged = language.tag(carried(docs), language.learned(docs))
+    return tagged.filter(F.col("lang_pred") != language.UNDECIDED).select("row.*")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each near-duplicate class; of rows that repeat its id, one."""
+    classes = near.classes(docs)
+    gone = classes.filter(F.col("class_id") < F.col(ID)).select(ID)
+    again = classes.filter(F.col(ID).isNotNull()).groupBy(ID).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(ID)
+    once = docs.join(gone.unionByName(again).distinct(), ID, "left_anti")
+    repeated = docs.join(again.join(gone, ID, "left_anti"), ID, "left_semi").dropDuplicates([ID])
+    return once.unionByName(repeated).select(*docs.columns)
+
+
+def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that repeat a benchmark item."""
+    leaked = leaks.contaminated(docs, table(spark, sf_dir, "benchmark")).select(ID).distinct()
+    return docs.join(leaked, ID, "left_anti").select(*docs.columns)
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data in the texts by its kind; n_chars follows where the column is there."""
+
+    def rows(cols):
+        pairs = zip(cols["text"].to_pylist(), cols["spans"].to_pylist())
+        return {"row": cols["row"], "clean": [pii.redact_text(t, s) if s else None for t, s in pairs]}
+
+    found = pii.find(carried(docs))
+    out = arrow_map(found.select("text", "spans", "row"), rows, carry_schema(found, "clean string"))
+    changed = {TEXT: F.coalesce("clean", f"row.{TEXT}")}
+    if "n_chars" in docs.columns:
+        size = F.length("clean").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col("clean").isNotNull(), size).otherwise(F.col("row.n_chars"))
+    return out.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 tokens, one row per piece."""
+    vocabulary, pattern = byte_vocabulary()
+    return packing.pack(docs, vocabulary, pattern)
+
+
+STAGES: list[tuple[str, Callable]] = [
+    ("language", known_language),
+    ("near_duplicates", one_of_each),
+    ("decontamination", no_leaks),
+    ("personal_data", redacted),
+    ("packing", packed),
+]
+
+#: The field models, signatures and tokenisation are beyond SQL.
 ORACLE_SQL = None
 
 

@@ -17,22 +17,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_map(df: DataFrame, rows: Callable, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, rows: Callable, schema: str | StructType) -> DataFrame:
     """mapInArrow over plain columns: ``rows(dict of column -> list)`` gives a dict of columns.
 
     ``rows`` may also be a factory marked by ``per_task``: it is then called once in
     each task and its result is used for every batch.
     """
-    names, out = df.columns, to_arrow_schema(StructType.fromDDL(schema))
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    names, out = df.columns, to_arrow_schema(schema)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        def column(values, kind):
+            if isinstance(values, pa.Array):
+                return values if values.type == kind else values.cast(kind)
+            return pa.array(values, type=kind)
+
         fn = rows() if getattr(rows, "per_task", False) else rows
         for batch in batches:
             got = fn({n: batch.column(i) for i, n in enumerate(names)})
             if got is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
+                yield pa.RecordBatch.from_arrays([column(got[f.name], f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
 
@@ -63,6 +69,17 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """doc_id, text and ``row``: a whole row as one column, which operators pass on untouched."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def carry_schema(docs: DataFrame, more: str) -> StructType:
+    """The fields of ``more`` (DDL), and ``row`` where docs carry their rows."""
+    fields = list(StructType.fromDDL(more).fields)
+    return StructType(fields + [f for f in docs.schema.fields if f.name == "row"])
+
+
 def one_text_per_id(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text and further columns, whatever else the table holds."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)

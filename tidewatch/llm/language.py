@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from tidewatch.llm.common import arrow_map, mix, per_task
+from tidewatch.llm.common import arrow_map, carry_schema, mix, per_task
 
 UNDECIDED = "und"
 BITS = 17
@@ -195,7 +195,8 @@ def training_texts(docs: DataFrame, bound: int, longest: int) -> list[tuple[str,
 
 
 def tag(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred and score of every row, from its whole text.
+    """doc_id, lang_pred and score of every row, from its whole text; docs hold doc_id, text and
+    perhaps ``row``, which is passed on.
 
     ``und`` with score 0 where the text is NULL or holds no letter, and everywhere if
     nothing was learned. The score is the mean probability of the language over the words.
@@ -241,19 +242,23 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
                 for d, row in zip(full, mean):
                     best = int(row.argmax())
                     langs[d], scores[d] = m.labels[best], min(1.0, float(row[best]))
-            return {"doc_id": cols["doc_id"], "lang_pred": langs, "score": scores}
+            return {c: cols[c] for c in ("doc_id", "row") if c in cols} | {"lang_pred": langs, "score": scores}
 
         return rows
 
-    return arrow_map(docs.select("doc_id", "text"), factory, "doc_id long, lang_pred string, score double")
+    return arrow_map(docs, factory, carry_schema(docs, "doc_id long, lang_pred string, score double"))
+
+
+def learned(docs: DataFrame, train_docs: int = 2000, train_longest: int = 20_000) -> Model:
+    """A model fitted on a bounded sample: ``train_docs`` texts of at most ``train_longest`` characters."""
+    return fit(training_texts(docs, train_docs, train_longest))
 
 
 def identify(docs: DataFrame, train_docs: int = 2000, train_longest: int = 20_000) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document.
 
-    The model is fitted on a bounded sample (``train_docs`` texts of at most
-    ``train_longest`` characters); it is applied to all rows. A NULL id counts as held out.
+    The model is fitted on a bounded sample and applied to all rows. A NULL id counts as held out.
     """
-    model = fit(training_texts(docs, train_docs, train_longest))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
-    return tag(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    tagged = tag(docs.select("doc_id", "text"), learned(docs, train_docs, train_longest))
+    return tagged.select("doc_id", held.alias("held_out"), "lang_pred", "score")

@@ -19,7 +19,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidewatch.llm.common import arrow_map, one_text_per_id, per_task
+from tidewatch.llm.common import arrow_map, carry_schema, one_text_per_id, per_task
 from tidewatch.llm.language import forward_backward
 
 #: The base kinds, in the order in which spans are listed.
@@ -283,13 +283,14 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find(docs: DataFrame, train_docs: int = 4000, train_longest: int = 20_000, sure: float = 0.8) -> DataFrame:
-    """doc_id, text, the counts of base spans, their digest, and all spans of every document.
+    """doc_id, text, the counts of base spans, their digest, and all spans of every document;
+    a column ``row`` is passed on.
 
     Offsets are in code points, ends exclusive. NULL and empty texts have no span (and
     the digest of the empty string); repeated rows are judged each for itself. The field
     is fitted on a bounded sample (``train_docs``, ``train_longest``) and run on all rows.
     """
-    docs = one_text_per_id(docs)
+    docs = one_text_per_id(docs, *[c for c in docs.columns if c == "row"])
     learned = fit(training_texts(docs, train_docs, train_longest))
     arrays = docs.sparkSession.sparkContext.broadcast((learned.weights, learned.trans, learned.skip))
 
@@ -309,14 +310,15 @@ def find(docs: DataFrame, train_docs: int = 4000, train_longest: int = 20_000, s
                     more[i] = added_spans(texts[i], s, p[at : at + len(s.spans)], base[i], sure)
                     at += len(s.spans)
             out = {f"n_{k}": [sum(s[0] == k for s in b) for b in base] for k in BASE_KINDS}
-            out["doc_id"], out["text"] = cols["doc_id"], cols["text"]
+            out |= {c: cols[c] for c in ("doc_id", "text", "row") if c in cols}
             out["base_sha256"] = [hashlib.sha256(joined(b).encode()).hexdigest() for b in base]
             out["spans"] = [joined([*b, *more.get(i, [])]) for i, b in enumerate(base)]
             return out
 
         return rows
 
-    return arrow_map(docs, factory, "doc_id long, text string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    columns = "doc_id long, text string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    return arrow_map(docs, factory, carry_schema(docs, columns))
 
 
 def redact_text(text: str, spans: str) -> str:
