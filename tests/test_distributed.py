@@ -110,7 +110,7 @@ def test_minhash_estimates_jaccard(spark):
 
 
 def test_edit_distance_with_swaps(spark):
-    for a, b, d in [("abcd", "abdc", 1), ("", "abc", 3), ("kitten", "sitting", 3), ("ca", "abc", 3), ("same", "same", 0)]:
+    for a, b, d in [("abcd", "abdc", 1), ("", "abc", 3), ("kitten", "sitting", 3), ("ca", "abc", 2), ("same", "same", 0)]:
         assert er._transposing_distance(a, b) == d
     df = spark.createDataFrame([("abcd", "abdc"), ("", "")], "a string, b string")
     got = [r[0] for r in df.select(er.damerau_similarity(F.col("a"), F.col("b"))).collect()]
@@ -132,15 +132,40 @@ def test_cliques_equal_brute_force():
 
 
 def test_cluster_methods(spark):
-    # a chain 1-2-3, a pair 10-11, a star too large for clique search, copies only
-    edges = [(1, 2, 0.9), (2, 3, 0.8), (10, 11, 0.85), *[(100, 100 + i, 0.9) for i in range(1, 7)]]
-    people = spark.createDataFrame([(i, 2 if i in (2, 50) else 1) for i in (1, 2, 3, 10, 11, 50, 60, *range(100, 107))], "profile long, copies long")
-    out = {r["profile"]: r for r in er.cluster(spark.createDataFrame(edges, "a long, b long, score double"), people, clique_limit=5).collect()}
+    # a chain 1-2-3, a pair 10-11, a star, copies only
+    edges = [(1, 2, 0.9), (2, 3, 0.8), (10, 11, 0.85), *[(100, 100 + i, 0.9 if i == 1 else 0.85) for i in range(1, 40)]]
+    people = spark.createDataFrame([(i, 2 if i in (2, 50) else 1) for i in (1, 2, 3, 10, 11, 50, 60, *range(100, 140))], "profile long, copies long")
+    out = {r["profile"]: r for r in er.cluster(spark.createDataFrame(edges, "a long, b long, score double"), people).collect()}
     assert out[1]["clique"] == out[2]["clique"] and 3 not in out and 60 not in out
     assert out[2]["mean_score"] == 0.95 and out[1]["mean_score"] == 0.9 and out[1]["clique_size"] == 3
     assert out[10]["clique"] == out[11]["clique"] and out[10]["clique_size"] == 2
     assert out[50]["method"] == "copies" and out[50]["clique_size"] == 2
-    assert {out[i]["method"] for i in range(100, 107)} == {"component"} and out[101]["clique_size"] == 7
+    # members of a star are in pairs only: the best pair is a party, the other leaves are alone
+    assert out[100]["clique"] == out[101]["clique"] and not any(100 + i in out for i in range(2, 40))
+
+
+def test_cluster_equals_whole_graph_search(spark):
+    rng = random.Random(7)
+    nodes = list(range(45))
+    edges = [(a, b, round(rng.uniform(0.8, 1), 2)) for a, b in itertools.combinations(nodes, 2) if rng.random() < 0.25]
+    adj = {n: set() for n in nodes}
+    score = {}
+    for a, b, s in edges:
+        adj[a].add(b)
+        adj[b].add(a)
+        score[a, b] = score[b, a] = s
+    best = {}
+    for c in er._cliques(adj):
+        members = sorted(c)
+        name = __import__("hashlib").sha256("|".join(map(str, members)).encode()).hexdigest()
+        for m in members if len(members) > 1 else ():
+            entry = (round(sum(score[m, o] for o in members if o != m) / (len(members) - 1), 6), name)
+            best[m] = max(best.get(m, entry), entry)
+    people = spark.createDataFrame([(n, 1) for n in nodes], "profile long, copies long")
+    out = er.cluster(spark.createDataFrame(edges, "a long, b long, score double"), people).collect()
+    assert {r["profile"]: (r["mean_score"], r["clique"]) for r in out}.items() <= best.items()
+    sizes = __import__("collections").Counter(c for _, c in best.values())
+    assert {r["profile"] for r in out} == {m for m, (_, c) in best.items() if sizes[c] > 1}
 
 
 def test_packed_pages(spark):
@@ -185,6 +210,6 @@ def test_task_helpers_travel_by_value(tmp_path):
 
     from pyspark import cloudpickle
 
-    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps((er._clique_rows, er._signatures)))
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps((er._clique_rows, er._transposing_distance)))
     code = "import pickle; fs = pickle.load(open('f.pkl', 'rb')); assert len(fs) == 2"
     subprocess.run([sys.executable, "-P", "-c", code], cwd=tmp_path, check=True)

@@ -240,7 +240,7 @@ CATALOGUE: dict[str, Feature] = {
         ),
         _f(
             "cnt_trx_name_mis", "counterparty_name declared_counterparty_name",
-            measures=lambda p: {"cnt_trx_name_mis": count(_name_mismatch())},
+            measures=lambda p: {"cnt_trx_name_mis": total(F.lit(1), _name_mismatch())},
             trace=lambda p: _name_mismatch(),
         ),
         _f(

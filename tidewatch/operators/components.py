@@ -25,7 +25,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v")
 
 
-def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """(node, component): the smallest node id of each component names it."""
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter("u <> v").distinct()
     e = cut_lineage(e)
@@ -35,13 +35,11 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
         return row["n"], row["h"]
 
     seen = state(e)
-    for _ in range(max_rounds):
+    while True:
         e = cut_lineage(_small_star(_large_star(e).distinct()).distinct())
         now = state(e)
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.distinct())

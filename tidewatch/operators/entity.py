@@ -12,13 +12,11 @@ import hashlib
 import sys
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidewatch.functions.text import char_ngrams
-from tidewatch.operators.components import connected_components
 from tidewatch.operators.explain import packed
 from tidewatch.session import cut_lineage
 
@@ -61,34 +59,13 @@ def profiles(accounts: DataFrame) -> DataFrame:
 # --- MinHash bands -----------------------------------------------------------
 
 
-def _permutations(k: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(7)
-    a = rng.integers(1, 2**63 - 1, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return a, rng.integers(0, 2**63 - 1, k, dtype=np.uint64)
-
-
-def _signatures(hashes: pd.Series, k: int) -> np.ndarray:
-    """Minimum of k permutations over each row's gram hashes; rows x k."""
-    a, b = _permutations(k)
-    lengths = np.array([len(h) for h in hashes])
-    flat = np.concatenate(hashes.to_numpy()).astype(np.int64).view(np.uint64)
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    out = np.empty((len(hashes), k), dtype=np.uint64)
-    for i in range(k):
-        out[:, i] = np.minimum.reduceat(flat * a[i] + b[i], starts)
-    return out
-
-
 def minhash(grams: Column, k: int = PERMUTATIONS) -> Column:
-    """MinHash signature of an array of grams, hashed in the JVM, as array<bigint>."""
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for hashes in batches:
-            if len(hashes):
-                yield pd.Series(list(_signatures(hashes, k).view(np.int64)))
-
-    return sign(F.transform(grams, lambda g: F.xxhash64(g)))
+    """MinHash signature of an array of grams, as array<bigint>: the smallest of the
+    grams' hashes for each of ``k`` seeds. NULL for an empty or NULL array."""
+    seeds = F.sequence(F.lit(0), F.lit(k - 1))
+    hashed = F.transform(grams, lambda g: F.xxhash64(g))
+    signature = F.transform(seeds, lambda i: F.array_min(F.transform(hashed, lambda h: F.xxhash64(h, i))))
+    return F.when(F.size(grams) > 0, signature)
 
 
 def band_keys(signature: Column, bands: int, rows: int) -> Column:
@@ -162,17 +139,27 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def _transposing_distance(a: str, b: str) -> int:
-    """Edit distance in which swapping two neighbours is one edit."""
-    before, last = None, list(range(len(b) + 1))
-    for i, ca in enumerate(a, 1):
-        row = [i]
-        for j, cb in enumerate(b, 1):
-            best = min(last[j] + 1, row[-1] + 1, last[j - 1] + (ca != cb))
-            if i > 1 and j > 1 and ca == b[j - 2] and a[i - 2] == cb:
-                best = min(best, before[j - 2] + 1)
-            row.append(best)
-        before, last = last, row
-    return last[-1]
+    """Edit distance in which swapping two neighbours is one edit, also if more is edited
+    between them: a matrix over the texts' prefixes that remembers where each letter stood last."""
+    n, m = len(a), len(b)
+    far = n + m
+    cost = [[far] * (m + 2) for _ in range(n + 2)]
+    for i in range(n + 1):
+        cost[i + 1][1] = i
+    for j in range(m + 1):
+        cost[1][j + 1] = j
+    row_of: dict[str, int] = {}
+    for i in range(1, n + 1):
+        column = 0  # where this row's letter stood last in b
+        for j in range(1, m + 1):
+            k, last = row_of.get(b[j - 1], 0), column
+            same = a[i - 1] == b[j - 1]
+            if same:
+                column = j
+            swapped = cost[k][last] + (i - k - 1) + 1 + (j - last - 1)
+            cost[i + 1][j + 1] = min(cost[i][j] + (not same), cost[i + 1][j] + 1, cost[i][j + 1] + 1, swapped)
+        row_of[a[i - 1]] = i
+    return cost[n + 1][m + 1]
 
 
 def damerau_similarity(a: Column, b: Column) -> Column:
@@ -247,15 +234,18 @@ def damerau_pairs(people: DataFrame, name_pairs: DataFrame, **kw) -> DataFrame:
 # --- parties -----------------------------------------------------------------
 
 
-def _cliques(neighbours: dict) -> list[frozenset]:
-    """Maximal cliques of a small graph (Bron-Kerbosch with pivoting)."""
+def _cliques(neighbours: dict, root: frozenset = frozenset(), inside: set | None = None, seen: set | None = None) -> list[frozenset]:
+    """Maximal cliques (Bron-Kerbosch with pivoting) that hold ``root``, further members from
+    ``inside`` only, and are not extended by any of ``seen``."""
     found: list[frozenset] = []
-    stack = [(frozenset(), set(neighbours), set())]
+    stack = [(root, set(neighbours) if inside is None else set(inside), set(seen or ()))]
     while stack:
         r, p, x = stack.pop()
         if not p and not x:
             found.append(r)
             continue
+        if not p:
+            continue
         pivot = max(p | x, key=lambda u: len(neighbours[u] & p))
         for v in sorted(p - neighbours[pivot]):
             stack.append((r | {v}, p & neighbours[v], x & neighbours[v]))
@@ -264,101 +254,92 @@ def _cliques(neighbours: dict) -> list[frozenset]:
     return found
 
 
-def _best_cliques(edges: Iterable[Mapping]) -> list[tuple]:
-    """Per profile of one component: its clique with the best mean score."""
-    score, neighbours, copies = {}, {}, {}
-    for e in edges:
+def _rooted_cliques(root, copies_root: int, later: Iterable[Mapping], links: Iterable[Mapping]) -> list[tuple]:
+    """(profile, clique, mean score) for the maximal cliques of which ``root`` is the first member."""
+    score, copies, neighbours = {}, {root: copies_root}, {}
+    for e in later:
+        score[root, e["profile"]] = score[e["profile"], root] = e["score"]
+        copies[e["profile"]] = e["copies"]
+        neighbours.setdefault(e["profile"], set())
+    inside = set(neighbours)
+    for e in links:
         a, b = e["a"], e["b"]
         score[a, b] = score[b, a] = e["score"]
         neighbours.setdefault(a, set()).add(b)
         neighbours.setdefault(b, set()).add(a)
-        copies[a], copies[b] = e["copies_a"], e["copies_b"]
-    best: dict = {}
-    for clique in _cliques(neighbours):
+    rows = []
+    for clique in _cliques(neighbours, frozenset([root]), inside, set(neighbours) - inside):
         members = sorted(clique)
         size = sum(copies[m] for m in members)
-        name = hashlib.sha1("|".join(map(str, members)).encode()).hexdigest()[:16]
+        name = hashlib.sha256("|".join(map(str, members)).encode()).hexdigest()
         for m in members:
             total = (copies[m] - 1) + sum(copies[o] * score[m, o] for o in members if o != m)
-            entry = (round(total / (size - 1), 6), name)
-            if m not in best or entry > best[m]:
-                best[m] = entry
-    return [(m, n, s) for m, (s, n) in best.items()]
+            rows.append((m, name, round(total / (size - 1), 6)))
+    return rows
 
 
 def _clique_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [r for edges in pdf["edges"] for r in _best_cliques(edges)]
+        rows = [r for v in pdf.itertuples() for r in _rooted_cliques(v.root, v.copies, v.later, v.links if v.links is not None else ())]
         yield pd.DataFrame(rows, columns=["profile", "clique", "mean_score"])
 
 
-def cluster(pairs: DataFrame, people: DataFrame, clique_limit: int = 30) -> DataFrame:
+def cluster(pairs: DataFrame, people: DataFrame) -> DataFrame:
     """(profile, clique, mean_score, clique_size, method).
 
-    Profiles take their best maximal clique. Cliques are searched inside
-    connected components of at most ``clique_limit`` profiles, whose edges travel
-    as one row; a component of two is its own clique. A larger component is one
-    party as a whole (``method`` says so), since its members are chained by
-    matches and clique search is exponential. Profiles that only have exact
-    copies form a party of their own. ``clique_size`` counts accounts.
+    Profiles take their best maximal clique (by mean score, ties by name). Profiles are
+    ordered by their number of matches; each one searches the cliques of which it is the
+    first member, among its later neighbours and the matches between its neighbours, so
+    work follows the matches around a profile and not the size of a component. Profiles
+    that only have exact copies form a party of their own. ``clique_size`` counts accounts.
     """
     # read several times below: computed once, in shared storage
     pairs = cut_lineage(pairs)
-    comp = connected_components(pairs, "a", "b")
-    sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
     id_type = dict(people.dtypes)["profile"]
     copies = people.select("profile", "copies")
-    edges = (
-        pairs.join(comp.select(F.col("node").alias("a"), "component"), "a")
-        .join(copies.select(F.col("profile").alias("a"), F.col("copies").alias("copies_a")), "a")
-        .join(copies.select(F.col("profile").alias("b"), F.col("copies").alias("copies_b")), "b")
-        .join(sizes, "component")
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("profile")).groupBy("profile").agg(F.count(F.lit(1)).alias("degree"))
+    ends = pairs.join(degree.select(F.col("profile").alias("a"), F.col("degree").alias("da")), "a").join(
+        degree.select(F.col("profile").alias("b"), F.col("degree").alias("db")), "b"
     )
+    before = F.struct("da", "a") < F.struct("db", "b")
+    edges = ends.select(F.when(before, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(before, F.col("b")).otherwise(F.col("a")).alias("y"), "score")
     edges = cut_lineage(edges)
 
-    def sides(df: DataFrame) -> DataFrame:
-        rest = [c for c in df.columns if c not in ("a", "b", "copies_a", "copies_b")]
-        return df.select(F.col("a").alias("profile"), F.col("copies_a").alias("own"), F.col("copies_b").alias("others"), *rest).unionByName(
-            df.select(F.col("b").alias("profile"), F.col("copies_b").alias("own"), F.col("copies_a").alias("others"), *rest)
-        )
-
-    def mean(score: Column, own: Column, others: Column) -> Column:
-        """Mean over an account's partners; its own copies count with score 1."""
-        return F.round((score + own - 1) / (others + own - 1), 6).alias("mean_score")
-
-    two = sides(
-        edges.filter(F.col("nodes") == 2).withColumn("clique", F.sha1(F.concat_ws("|", "a", "b")).substr(1, 16))
-    ).select("profile", "clique", mean(F.col("score") * F.col("others"), F.col("own"), F.col("others")))
-    some = (
-        edges.filter((F.col("nodes") > 2) & (F.col("nodes") <= clique_limit))
-        .groupBy("component").agg(F.collect_list(F.struct("a", "b", "score", "copies_a", "copies_b")).alias("edges"))
-        .select("edges").mapInPandas(_clique_rows, f"profile {id_type}, clique string, mean_score double")
-    )
-    whole = sides(edges.filter(F.col("nodes") > clique_limit)).groupBy("profile", "component").agg(
-        F.sum(F.col("score") * F.col("others")).alias("s"), F.sum("others").alias("others"), F.max("own").alias("own")
-    ).select(
-        "profile", F.concat(F.lit("component-"), F.col("component").cast("string")).alias("clique"),
-        mean(F.col("s"), F.col("own"), F.col("others")),
-    )
-    alone = people.filter("copies > 1").join(comp, F.col("profile") == F.col("node"), "left_anti").select(
-        "profile", F.sha1(F.col("profile").cast("string")).substr(1, 16).alias("clique"), F.lit(1.0).alias("mean_score")
+    def named(x: str, y: str, score: str) -> DataFrame:
+        return edges.select(F.col("x").alias(x), F.col("y").alias(y), F.col("score").alias(score))
+
+    # triangles x before y before z: an edge between later neighbours of x, and one from an earlier to a later neighbour of y
+    triangles = named("x", "y", "xy").join(named("x", "z", "xz"), "x").join(named("y", "z", "yz"), ["y", "z"])
+    links = triangles.select(
+        F.explode(
+            F.array(
+                F.struct(F.col("x").alias("root"), F.col("y").alias("a"), F.col("z").alias("b"), F.col("yz").alias("score")),
+                F.struct(F.col("y").alias("root"), F.col("x").alias("a"), F.col("z").alias("b"), F.col("xz").alias("score")),
+            )
+        ).alias("l")
+    ).groupBy(F.col("l.root").alias("root")).agg(F.collect_list(F.struct("l.a", "l.b", "l.score")).alias("links"))
+    later = (
+        edges.join(copies.withColumnRenamed("profile", "y"), "y")
+        .groupBy(F.col("x").alias("root"))
+        .agg(F.collect_list(F.struct(F.col("y").alias("profile"), "score", "copies")).alias("later"))
     )
-    chosen = (
-        two.unionByName(some).withColumn("method", F.lit("clique"))
-        .unionByName(whole.withColumn("method", F.lit("component")))
-        .unionByName(alone.withColumn("method", F.lit("copies")))
-        .join(copies, "profile")
+    rooted = later.join(copies.withColumnRenamed("profile", "root"), "root").join(links, "root", "left").select("root", "copies", "later", "links")
+    found = rooted.mapInPandas(_clique_rows, f"profile {id_type}, clique string, mean_score double")
+    best = found.groupBy("profile").agg(F.max(F.struct("mean_score", "clique")).alias("_b")).select("profile", "_b.clique", "_b.mean_score")
+    alone = people.filter("copies > 1").join(degree, "profile", "left_anti").select(
+        "profile", F.sha2(F.col("profile").cast("string"), 256).alias("clique"), F.lit(1.0).alias("mean_score")
     )
+    chosen = best.withColumn("method", F.lit("clique")).unionByName(alone.withColumn("method", F.lit("copies"))).join(copies, "profile")
     chosen = cut_lineage(chosen)
     accounts = chosen.groupBy("clique").agg(F.sum("copies").alias("clique_size")).filter("clique_size > 1")
     return chosen.drop("copies").join(accounts, "clique")
 
 
-def resolve(accounts: DataFrame, clique_limit: int = 30, bands: int = 16, **scoring) -> DataFrame:
+def resolve(accounts: DataFrame, bands: int = 16, **scoring) -> DataFrame:
     """Accounts with their party: id, party, mean_score, clique_size and fields."""
     people = profiles(accounts)
     pairs = score_pairs(people, lsh_pairs(people, "normalized_name", bands=bands), **scoring)
-    parties = cluster(pairs, people, clique_limit)
+    parties = cluster(pairs, people)
     return (
         accounts.join(people.select("normalized_name", "AD", "profile"), ["normalized_name", "AD"])
         .join(parties, "profile")

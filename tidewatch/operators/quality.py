@@ -134,7 +134,10 @@ def consistency(alerts: DataFrame, risks: DataFrame, activities: DataFrame) -> D
 
 def _alert_entities(alerts: DataFrame, id: str) -> DataFrame:
     rows = alerts.select(F.col(id).alias("alert_id"), F.explode(_entries(F.col("triggers"))).alias("e"))
-    return rows.select("alert_id", F.get_json_object("e", "$.primaryKeySet").alias("entity")).filter(
+    # keys in one order, so that an entity has one spelling
+    keys = F.from_json(F.get_json_object("e", "$.primaryKeySet"), "map<string,string>")
+    sorted_keys = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(keys))))
+    return rows.select("alert_id", sorted_keys.alias("entity")).filter(
         F.col("entity").isNotNull() & (F.col("entity") != "{}")
     ).distinct()
 

@@ -116,38 +116,40 @@ def label_lookup(labels: Mapping[str, str], feature: Column) -> Column:
     return F.create_map(*pairs)[feature]
 
 
-def suppress(alerts: DataFrame, entity: str, key: str, ts: str, days: Column | int) -> DataFrame:
-    """Flags alerts whose (entity, key) fired within ``days`` before.
+def suppress(alerts: DataFrame, entity: str, key: str, ts: str, days: Column | int, rule: str | None = None) -> DataFrame:
+    """Flags alerts whose (entity, key) fired within ``days`` before, by the same rule if one is named.
 
     A negative period turns suppression off. Groups are an entity's alerts with
     one pattern: at most one per period and rule.
     """
     days = F.lit(days) if isinstance(days, int) else days
-    earlier = F.lag(ts).over(Window.partitionBy(entity, key).orderBy(ts))
+    earlier = F.lag(ts).over(Window.partitionBy(entity, key, *([rule] if rule else [])).orderBy(ts))
     gap = F.datediff(F.col(ts), earlier)
     near = (days >= 0) & (gap <= days) & F.col(key).isNotNull()
     return alerts.withColumn("is_suppressed", F.coalesce(near, F.lit(False)))
 
 
-def build_alerts(risks: DataFrame, entity: str, created: str) -> DataFrame:
-    """One alert per entity and creation date from its unsuppressed risks.
+def build_alerts(risks: DataFrame, entity: str, created: str, window: str | None = None) -> DataFrame:
+    """One alert per entity (and consolidation window, if a column is named) from its unsuppressed risks.
 
-    ``triggers`` lists the activities behind the alert (JSON). A list is bounded
-    by the periods and rules of one entity.
+    The alert is created with its latest trigger. ``triggers`` lists the activities behind it
+    (JSON); the list is bounded by the periods and rules of one entity.
     """
     trigger = F.struct(
         F.col("tr_id").alias("triggerID"), F.struct(F.col(entity).cast("string").alias(entity)).alias("primaryKeySet")
     )
     hidden = F.col("is_suppressed")
-    out = risks.groupBy(entity, created).agg(
+    keys = [entity, *([window] if window else [])]
+    out = risks.groupBy(*keys).agg(
         F.array_sort(F.collect_set(F.when(~hidden, trigger))).alias("_t"),
+        F.max(F.when(~hidden, F.col(created))).alias("createdate"),
         F.round(F.max(F.when(~hidden, F.col("risk_severity"))), 2).alias("severity"),
         F.count(F.when(hidden, 1)).alias("suppressioncount"),
     ).filter(F.size("_t") > 0)
     return out.select(
-        F.concat_ws("_", F.lit("alert"), entity, created).alias("id"),
-        entity,
-        F.col(created).alias("createdate"),
+        F.concat_ws("_", F.lit("alert"), *keys).alias("id"),
+        *keys,
+        "createdate",
         F.to_json("_t").alias("triggers"),
         F.size("_t").cast("long").alias("trigger_count"),
         (F.size("_t") > 1).alias("isconsolidated"),

@@ -86,7 +86,7 @@ RULES = [
             " | ", *[rk.label_lookup(LABELS, F.split("algo_pattern", r"\|")[i]) for i in (0, 1)]
         ),
         dynamic_category=lambda: rk.label_lookup(CATEGORIES, F.split("algo_pattern", r"\|")[0]),
-        suppression_key=lambda: F.col("algo_pattern"),
+        suppression_key=lambda: F.split("algo_pattern", r"\|")[0],
         suppression_days=365,
     ),
     rk.RiskRule(
@@ -111,7 +111,7 @@ def risks(spark, sf):
 
 
 def suppressed(spark, sf):
-    return rk.suppress(risks(spark, sf), ENTITY, "suppression_identifier", "year_month", F.col("suppression_days"))
+    return rk.suppress(risks(spark, sf), ENTITY, "suppression_identifier", "year_month", F.col("suppression_days"), "risk_id")
 
 
 def _case(mapping: dict[str, str], expr: str) -> str:
@@ -124,10 +124,10 @@ risks AS (
   SELECT tr_id, customer_id, year_month, 'monthly_anomaly' AS risk_id,
     {_case(LABELS, "split_part(algo_pattern, '|', 1)")} || ' | ' || {_case(LABELS, "split_part(algo_pattern, '|', 2)")} AS risk_name,
     {_case(CATEGORIES, "split_part(algo_pattern, '|', 1)")} AS risk_category, round(algo_score * 100, 2) AS risk_severity,
-    'AI' AS risk_analysis_method, algo_pattern AS suppression_identifier, 365 AS suppression_days
+    'AI' AS risk_analysis_method, split_part(algo_pattern, '|', 1) AS suppression_identifier, 365 AS suppression_days
   FROM scored WHERE algo_score >= 0.5 AND year_month > DATE '1997-01-01'
   UNION ALL SELECT tr_id, customer_id, year_month, 'record_turnover', 'record_turnover', 'default', 27.0, 'Rule', NULL, -1
   FROM scored WHERE sum_trx > 400000 AND sum_trx >= (SELECT max(b.sum_trx) FROM acts b WHERE b.customer_id = scored.customer_id)),
 flagged AS (SELECT *, coalesce(suppression_days >= 0 AND suppression_identifier IS NOT NULL AND
-  date_diff('day', lag(year_month) OVER (PARTITION BY customer_id, suppression_identifier ORDER BY year_month), year_month) <= suppression_days, false) AS is_suppressed
+  date_diff('day', lag(year_month) OVER (PARTITION BY customer_id, suppression_identifier, risk_id ORDER BY year_month), year_month) <= suppression_days, false) AS is_suppressed
   FROM risks)"""

@@ -52,9 +52,9 @@ def scored_activities(spark, sf):
 @query(f"""
 SELECT tr_id, {', '.join(f"(SELECT f FROM ranked r WHERE r.tr_id = s.tr_id AND rnk = {i}) AS trigger_{i}" for i in (1, 2, 3))},
   {', '.join("CASE split_part(algo_pattern, '|', " + str(i) + ") " + " ".join(f"WHEN '{f}' THEN algo_{f}_rating / 10000" for f in FEATURES) + f" END AS trigger_{i}_rating" for i in (1, 2, 3))}
-FROM scored s WHERE algo_score > 0.3""", trx=True, ctes=SCORED_SQL)
+FROM scored s""", trx=True, ctes=SCORED_SQL)
 def top_trigger_features(spark, sf):
-    df = scored(spark, sf).filter("algo_score > 0.3")
+    df = scored(spark, sf)
     cols = [f"trigger_{i}{s}" for i in (1, 2, 3) for s in ("", "_rating")]
     return scoring.top_triggers(df, STEP, FEATURES, 3).select("tr_id", *cols)
 
@@ -82,11 +82,11 @@ def suppressed_risks(spark, sf):
 
 
 @query("""
-SELECT 'alert_' || customer_id || '_' || strftime(year_month, '%Y-%m-%d') AS id, customer_id, year_month AS createdate,
-       '[{"triggerID":"' || any_value(tr_id) || '","primaryKeySet":{"customer_id":"' || customer_id || '"}}]' AS triggers,
+SELECT 'alert_' || customer_id AS id, customer_id, max(year_month) AS createdate,
+       '[' || string_agg(DISTINCT '{"triggerID":"' || tr_id || '","primaryKeySet":{"customer_id":"' || customer_id || '"}}', ',' ORDER BY '{"triggerID":"' || tr_id || '","primaryKeySet":{"customer_id":"' || customer_id || '"}}') || ']' AS triggers,
        count(DISTINCT tr_id) AS trigger_count, count(DISTINCT tr_id) > 1 AS isconsolidated, round(max(risk_severity), 2) AS severity,
-       (SELECT count(*) FROM flagged g WHERE g.is_suppressed AND g.customer_id = f.customer_id AND g.year_month = f.year_month) AS suppressioncount
-FROM flagged f WHERE NOT is_suppressed GROUP BY customer_id, year_month""", trx=True, ctes=RISKS_SQL)
+       (SELECT count(*) FROM flagged g WHERE g.is_suppressed AND g.customer_id = f.customer_id) AS suppressioncount
+FROM flagged f WHERE NOT is_suppressed GROUP BY customer_id""", trx=True, ctes=RISKS_SQL)
 def built_alerts(spark, sf):
     return rk.build_alerts(suppressed(spark, sf), ENTITY, "year_month")
 

@@ -80,9 +80,9 @@ def trigger_feature_drift(spark, sf):
 
 @query(f"""
 SELECT f AS feature FROM (SELECT unnest([{', '.join(repr(f) for f in FEATURES)}]) AS f) WHERE f NOT IN (
-  SELECT f FROM scored JOIN ranked USING (tr_id) WHERE rnk <= 1 AND algo_score > 0.85)""", trx=True, ctes=SCORED_SQL)
+  SELECT f FROM scored JOIN ranked USING (tr_id) WHERE rnk <= 1 AND algo_score > 0.5)""", trx=True, ctes=SCORED_SQL)
 def never_triggered_features(spark, sf):
-    return drift.never_triggered(scored(spark, sf).filter("algo_score > 0.85"), STEP, FEATURES, k=1)
+    return drift.never_triggered(scored(spark, sf).filter("algo_score > 0.5"), STEP, FEATURES, k=1)
 
 
 @query("""

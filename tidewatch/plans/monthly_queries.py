@@ -64,7 +64,7 @@ _SIMPLE = {
         f"round(sum(CASE WHEN {_MIS} THEN amount_usd END), 2) AS sum_trx_name_mis",
         f"count(DISTINCT CASE WHEN {_MIS} THEN cp_id END) AS cnt_dstnct_name_mis",
     ],
-    "cnt_trx_name_mis": [f"count(*) FILTER (WHERE {_MIS}) AS cnt_trx_name_mis"],
+    "cnt_trx_name_mis": [f"nullif(count(*) FILTER (WHERE {_MIS}), 0) AS cnt_trx_name_mis"],
 }
 for _fid, _cols in _SIMPLE.items():
     _register(_fid, _grouped(*_cols))

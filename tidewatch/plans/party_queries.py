@@ -126,6 +126,26 @@ def resolved_parties(spark, sf):
     return er.resolve(accounts(spark, sf)).select("source", "mean_score", "clique_size")
 
 
+# Every part matches the next two: one component of all parts whose cliques overlap.
+@query("""
+WITH e AS (SELECT a.p_partkey AS a, b.p_partkey AS b, 0.8 + ((a.p_partkey * 7 + b.p_partkey) % 20) / 100 AS s
+  FROM part a JOIN part b ON b.p_partkey - a.p_partkey IN (1, 2)),
+sym AS (SELECT a, b, s FROM e UNION ALL SELECT b, a, s FROM e),
+three AS (SELECT x.a AS i, x.b AS j, y.b AS k FROM e x JOIN e y ON y.a = x.b JOIN e z ON z.a = x.a AND z.b = y.b),
+cliques AS (SELECT [i, j, k] AS members FROM three WHERE NOT EXISTS (
+    SELECT 1 FROM sym p JOIN sym q ON q.b = p.b JOIN sym r ON r.b = p.b WHERE p.a = i AND q.a = j AND r.a = k)
+  UNION ALL SELECT [a, b] FROM e WHERE NOT EXISTS (SELECT 1 FROM sym p JOIN sym q ON q.b = p.b WHERE p.a = e.a AND q.a = e.b)),
+means AS (SELECT m AS profile, sha256(array_to_string(members, '|')) AS clique, round(avg(s), 6) AS mean_score
+  FROM (SELECT unnest(members) AS m, members FROM cliques) JOIN sym ON sym.a = m AND list_contains(members, sym.b) GROUP BY m, members),
+best AS (SELECT profile, max(mean_score) AS mean_score, arg_max(clique, (mean_score, clique)) AS clique FROM means GROUP BY 1)
+SELECT profile, clique, mean_score, n AS clique_size FROM best JOIN (SELECT clique, count(*) AS n FROM best GROUP BY 1 HAVING count(*) > 1) USING (clique)""")
+def overlapping_cliques(spark, sf):
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("profile"), F.lit(1).cast("long").alias("copies"))
+    near = part.select(F.col("profile").alias("a"), F.explode(F.array(F.col("profile") + 1, F.col("profile") + 2)).alias("b"))
+    pairs = near.join(part.select(F.col("profile").alias("b")), "b").select("a", "b", (0.8 + (F.col("a") * 7 + F.col("b")) % 20 / 100).alias("score"))
+    return er.cluster(pairs, part).select("profile", "clique", "mean_score", "clique_size")
+
+
 _ASSIGNED_SQL = PAIRS_SQL + """,
 existing AS (SELECT profile AS id, 'P' || (profile // 8) AS party FROM people WHERE profile % 4 <> 0)"""
 

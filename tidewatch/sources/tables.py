@@ -115,8 +115,25 @@ def read_as_of(
 
 
 def upsert(existing: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Changed keys replaced, new keys added, the others kept."""
-    return existing.join(changes.select(*keys).distinct(), list(keys), "left_anti").unionByName(changes)
+    """Changed keys replaced, new keys added, the others kept.
+
+    NULL keys are keys like others. Of several changes to one key one is taken, by the
+    order of all its values, whatever order the rows come in.
+    """
+    one = _one_of_each(changes, keys)
+    marked = one.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return existing.join(marked, same, "left_anti").unionByName(one)
+
+
+def _one_of_each(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key, chosen by the rows' values and so always the same."""
+    rest = [c for c in df.columns if c not in keys]
+    order = F.struct(*[F.xxhash64(F.col(c).cast("string")) for c in rest]) if rest else F.lit(1)
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in df.columns]), order).alias("_row"))
+    return best.select("_row.*")
 
 
 def write_table(df: DataFrame, spec: TableSpec) -> None:
@@ -141,19 +158,22 @@ def write_table(df: DataFrame, spec: TableSpec) -> None:
     merged = upsert(spark.read.schema(spec.schema).parquet(spec.path), out, spec.keys)
     beside = spec.path.rstrip("/") + "__next"
     (merged.write.partitionBy(*spec.partition_by) if spec.partition_by else merged.write).mode("overwrite").parquet(beside)
-    fs.delete(fs_path, True)
-    if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(beside), fs_path):
-        raise RuntimeError(f"the new state of {spec.path} is left in {beside}")
+    # the old state is kept until the new one is in place
+    old = spark._jvm.org.apache.hadoop.fs.Path(spec.path.rstrip("/") + "__old")
+    fs.delete(old, True)
+    if not (fs.rename(fs_path, old) and fs.rename(spark._jvm.org.apache.hadoop.fs.Path(beside), fs_path)):
+        raise RuntimeError(f"the new state of {spec.path} is left in {beside}, the old one in {old}")
+    fs.delete(old, True)
 
 
 def publish_nodes(df: DataFrame, path: str, node_type: str) -> None:
     """Append nodes of a type, one row per id; ids already there are skipped."""
-    _publish(df.dropDuplicates(["id"]).withColumn("node_type", F.lit(node_type)), path, "node_type", node_type)
+    _publish(_one_of_each(df, ["id"]).withColumn("node_type", F.lit(node_type)), path, "node_type", node_type)
 
 
 def publish_edges(df: DataFrame, path: str, edge_type: str, src: str, dst: str) -> None:
     """Append edges of a type between two node types, one row per (id, ends)."""
-    keyed = df.dropDuplicates(["id", "source_node", "target_node"]).withColumns(
+    keyed = _one_of_each(df, ["id", "source_node", "target_node"]).withColumns(
         {"edge_type": F.lit(edge_type), "source_type": F.lit(src), "target_type": F.lit(dst)}
     )
     _publish(keyed, path, "edge_type", edge_type, ["id", "source_node", "target_node"])
