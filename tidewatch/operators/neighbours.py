@@ -13,6 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidewatch.operators.sizes import pieces
+
 
 def _count_below(c: Column, edges: Sequence, strict: bool) -> Column:
     """How many of the sorted edges lie below ``c`` (or at it), by halving."""
@@ -57,13 +59,14 @@ def with_neighbours(
     value: str,
     tie: Sequence[str],
     carry: Sequence[str],
-    ranges: int = 64,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Adds ``prev`` and ``next`` structs of ``carry`` in (value, tie) order.
 
-    ``tie`` starts with a numeric column; rows with a NULL value come first.
+    ``tie`` starts with a numeric column; rows with a NULL value come first. The
+    number of ranges follows the size of the input.
     """
-    main, sub = range_cuts(df, value, tie[0], ranges)
+    main, sub = range_cuts(df, value, tie[0], ranges or pieces(df, 64, 1024))
     df = df.withColumns({"_r": F.coalesce(main, F.lit(-1)), "_s": F.coalesce(sub, F.lit(0))})
     order = [value, *tie]
     inside = Window.partitionBy(entity, "_r", "_s").orderBy(*order)

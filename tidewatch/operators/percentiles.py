@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidewatch.operators.sizes import pieces
+
 
 def _indexes(probs: Mapping[str, float], method: str) -> list[tuple[str, Column]]:
     """(output, 0-based position among the sorted rows) for every probability."""
@@ -34,7 +36,7 @@ def percentiles(
     value: str,
     probs: Mapping[str, float],
     method: str = "linear",
-    ranges: int = 32,
+    ranges: int | None = None,
     few_groups: bool = False,
 ) -> DataFrame:
     """One row per group and one column per named probability.
@@ -42,8 +44,9 @@ def percentiles(
     ``linear`` interpolates between neighbours; ``discrete`` takes the smallest
     value that covers the share. ``few_groups`` says that the number of groups is
     bounded by the caller (such as one per listed feature), so that the per-group
-    tables are broadcast.
+    tables are broadcast. The number of ranges follows the size of the input.
     """
+    ranges = ranges or pieces(df, 32)
     by = list(by)
     small = F.broadcast if few_groups else (lambda d: d)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))

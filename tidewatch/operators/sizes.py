@@ -1,0 +1,20 @@
+"""How many pieces a piece of work is cut into, from the size of what it reads."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+PIECE_BYTES = 128 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the relations that a frame reads, as the planner knows them; no job runs."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    known = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(b for b in known if b < 1 << 60)  # an unknown size is given as a huge one
+
+
+def pieces(df: DataFrame, least: int, most: int = 4096) -> int:
+    """At least ``least``; more for larger inputs, so that a piece keeps its size. A piece of a
+    sorted range is a fraction of the rows, and the bound keeps sketches and edges small."""
+    return max(least, min(most, -(-input_bytes(df) // PIECE_BYTES) * 2))

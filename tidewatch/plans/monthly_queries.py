@@ -28,7 +28,12 @@ def feature_rows(spark, sf, *ids):
     return run_features(transactions(spark, sf, sorted(need)), chosen, PARAMS)
 
 
+_FEATURE_SQL: dict[str, str] = {}
+
+
 def _register(fid: str, sql: str, ctes: str = "") -> None:
+    _FEATURE_SQL[fid] = sql
+
     def run(spark, sf):
         return feature_rows(spark, sf, fid)
 
@@ -217,26 +222,31 @@ def monthly_table(trx, params=PARAMS, ids=MONTHLY):
     return out.drop("sum_in_out_ratio").na.fill(0).withColumn("year_month", month_start(F.col(PERIOD)))
 
 
+def _filled(*cols: str) -> str:
+    return ", ".join(f"coalesce({c}, 0) AS {c}" for c in cols)
+
+
+_TABLE_COLUMNS = (
+    "one_to_many cnt_trx_cash sum_trx_cash cnt_trx_n_day z_score_cnt_trx many_to_one max_trx sum_in_trx sum_out_trx sum_pipe_customer "
+    "sum_hghrsk_cntry z_score_sum_hghrsk_cntry sum_new_account sum_trx_fop cnt_trx_fop cnt_dstnct_fop sum_trx_name_mis cnt_dstnct_name_mis "
+    "cnt_trx_name_mis cnt_trx sum_trx z_score_sum_trx sum_rapid_movement sum_rapid_movement_in sum_rapid_movement_out sum_trx_cash_in sum_trx_cash_out"
+).split()
+_POP_SQL = ", ".join(
+    [f"{mean_sql(f'CASE WHEN {c} > 0 THEN {c} END', 2)} AS {out}" for out, c in POP_MEANS.items()]
+    + [f"count(CASE WHEN {c} > 0 THEN 1 END) AS {out}" for out, c in POP_HOLDERS.items()]
+)
+
+
+# every feature by its own SQL, joined, with the population and the top counterparty
 @query(f"""
-SELECT m.customer_id, m.month_offset, one_to_many, many_to_one, coalesce(cnt_trx_cash, 0) AS cnt_trx_cash, coalesce(sum_trx_cash, 0) AS sum_trx_cash,
-       cnt_trx, sum_trx, coalesce(CASE WHEN z < 0 THEN 0.0 WHEN z > 5 THEN 5.0 ELSE z END, 0) AS z_score_sum_trx,
-       pop_avg_sum_trx, pop_dstnct_cust_trx, coalesce(cp_concentration_s, 0) AS cp_concentration_s, coalesce(cp_concentration, 0) AS cp_concentration,
-       (DATE '1970-01-01' + to_months(m.month_offset::INT))::DATE AS year_month
-FROM (SELECT *, round((sum_trx - a) / nullif(s, 0), 2) AS z FROM (
-        SELECT *, round(avg(sum_trx) OVER h, 2) AS a, round(stddev_samp(sum_trx) OVER h, 2) AS s FROM base
-        WINDOW h AS (PARTITION BY customer_id ORDER BY month_offset RANGE BETWEEN 6 PRECEDING AND 1 PRECEDING))) m
-JOIN (SELECT month_offset, {mean_sql("CASE WHEN sum_trx > 0 THEN sum_trx END", 2)} AS pop_avg_sum_trx,
-             count(DISTINCT CASE WHEN cnt_trx > 0 THEN customer_id END) AS pop_dstnct_cust_trx FROM base GROUP BY 1) p USING (month_offset)
+SELECT customer_id, month_offset, customer_name, {_filled(*_TABLE_COLUMNS, *POP_MEANS, *POP_HOLDERS, "cp_concentration", "cp_concentration_s")},
+       (DATE '1970-01-01' + to_months(month_offset::INT))::DATE AS year_month
+FROM wide JOIN (SELECT month_offset, {_POP_SQL} FROM wide GROUP BY 1) USING (month_offset)
 LEFT JOIN (SELECT customer_id, month_offset, max(s) AS cp_concentration_s, max(s) / nullif(round(sum(s), 2), 0) AS cp_concentration FROM (
-             SELECT customer_id, month_offset, cp_id, round(sum(amount_usd), 2) AS s FROM trx WHERE direction = 'debit' GROUP BY 1, 2, 3) GROUP BY 1, 2) c
-  USING (customer_id, month_offset)""", trx=True, ctes=f"""
-base AS (SELECT customer_id, month_offset, count(*) AS cnt_trx, round(sum(amount_usd), 2) AS sum_trx,
-  count(DISTINCT CASE WHEN direction = 'debit' THEN cp_id END) AS one_to_many, count(DISTINCT CASE WHEN direction = 'credit' THEN cp_id END) AS many_to_one,
-  sum(CASE WHEN {_CASH} THEN 1 END)::BIGINT AS cnt_trx_cash, round(sum(CASE WHEN {_CASH} THEN amount_usd END), 2) AS sum_trx_cash
-  FROM trx GROUP BY 1, 2)""")
+             SELECT customer_id, month_offset, cp_id, round(sum(amount_usd), 2) AS s FROM trx WHERE direction = 'debit' GROUP BY 1, 2, 3) GROUP BY 1, 2)
+  USING (customer_id, month_offset)""", trx=True, ctes=",\n".join([
+    *(f"f_{fid} AS ({_FEATURE_SQL[fid]})" for fid in MONTHLY),
+    "wide AS (SELECT * FROM f_cnt_trx " + " ".join(f"JOIN f_{fid} USING (customer_id, month_offset)" for fid in MONTHLY if fid != "cnt_trx") + ")",
+]))
 def monthly_feature_table(spark, sf):
-    trx = transactions(spark, sf)
-    return monthly_table(trx).select(
-        ENTITY, PERIOD, "one_to_many", "many_to_one", "cnt_trx_cash", "sum_trx_cash", "cnt_trx", "sum_trx", "z_score_sum_trx",
-        "pop_avg_sum_trx", "pop_dstnct_cust_trx", "cp_concentration_s", "cp_concentration", "year_month",
-    )
+    return monthly_table(transactions(spark, sf))
