@@ -67,6 +67,25 @@ def trace(
     return out.withColumn("is_relevant", flag).drop("_low", "_high", "_month", "_salt")
 
 
+def trace_features(
+    activities: DataFrame, trx: DataFrame, entity: str, anchor: str, relevant: Mapping[str, Column | None], salt: int = 1, **kw
+) -> DataFrame:
+    """The traces of several features from one join: (activity, feature, transaction).
+
+    ``relevant`` maps a feature to its own predicate over transactions; None traces
+    every row, as the global trace does. A row is listed once for each feature that it is relevant to.
+    """
+    rows = trace(activities, trx, entity, anchor, salt=salt, **kw).drop("is_relevant")
+    marks = [F.when(F.lit(True) if p is None else F.coalesce(p, F.lit(False)), F.lit(name)) for name, p in relevant.items()]
+    return rows.withColumn("feature", F.explode(F.array_compact(F.array(*marks))))
+
+
+def hot_salt(trx: DataFrame, keys: Sequence[str | Column], rows_per_task: int = 1_000_000) -> int:
+    """How many salts keep the largest key below ``rows_per_task`` rows; one number is read."""
+    largest = trx.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    return max(1, -(-largest // rows_per_task))
+
+
 def trace_group(
     activities: DataFrame, members: DataFrame, trx: DataFrame, group: str, entity: str, anchor: str, **kw
 ) -> DataFrame:

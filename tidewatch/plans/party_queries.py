@@ -96,14 +96,14 @@ def scored_account_pairs_with_swaps(spark, sf):
 
 
 @query("""
-WITH RECURSIVE edges AS (SELECT o_custkey AS a, 1000000000 + l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 50 = l_suppkey % 50 AND l_quantity > 49),
+WITH RECURSIVE edges AS (SELECT o_custkey AS a, 1000000000 + l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 50 = l_suppkey % 50),
 sides AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 walk AS (SELECT a AS node, a AS seen FROM sides UNION SELECT w.node, e.b FROM walk w JOIN sides e ON e.a = w.seen)
 SELECT node, min(seen) AS component FROM walk GROUP BY 1""")
 def connected_accounts(spark, sf):
     edges = (
         table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .filter((F.col("o_custkey") % 50 == F.col("l_suppkey") % 50) & (F.col("l_quantity") > 49))
+        .filter(F.col("o_custkey") % 50 == F.col("l_suppkey") % 50)
         .select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 1000000000).alias("b"))
     )
     return components.connected_components(edges, "a", "b")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.operators import explain as ex, profiles, relate
+from tidewatch.operators.catalogue import CATALOGUE
 from tidewatch.operators.percentiles import percentiles
 from tidewatch.plans.registry import mean_sql, query
 from tidewatch.sources.model import ENTITY, PERIOD, table, transactions
@@ -334,6 +335,22 @@ def activity_trace(spark, sf):
     return out.select(ENTITY, "year_month", "total", "txn_id", "amount_usd", "is_relevant")
 
 
+_TRACED = {"cnt_trx_cash": "method LIKE 'cash%'", "one_to_many": "direction = 'debit'", "sum_trx_fop": "ip_hash = counterparty_ip AND t.customer_id <> cp_id", "global": "true"}
+
+
+@query(f"""
+SELECT a.customer_id, a.year_month, f.feature, t.txn_id
+FROM acts a JOIN trx t ON t.customer_id = a.customer_id AND t.txn_ts >= a.year_month AND t.txn_ts < a.year_month + INTERVAL 1 MONTH
+JOIN (SELECT unnest([{", ".join(repr(f) for f in _TRACED)}]) AS feature) f
+  ON CASE f.feature {" ".join(f"WHEN '{f}' THEN {p}" for f, p in _TRACED.items())} END""", trx=True, ctes=_LARGE_SQL)
+def feature_traces(spark, sf):
+    trx = transactions(spark, sf, [ENTITY, "txn_id", "txn_ts", "method", "direction", "ip_hash", "counterparty_ip", "cp_id", PERIOD])
+    relevant = {f: CATALOGUE[f].trace({}) for f in _TRACED if f != "global"} | {"global": None}
+    salt = relate.hot_salt(trx, [ENTITY, PERIOD])
+    out = relate.trace_features(_large_months(spark, sf), trx, ENTITY, "year_month", relevant, salt)
+    return out.select(ENTITY, "year_month", "feature", "txn_id")
+
+
 @query("""
 SELECT a.party, a.year_month, t.customer_id, t.txn_id FROM (SELECT DISTINCT customer_id % 7 AS party, year_month FROM acts) a
 JOIN (SELECT s_suppkey AS customer_id, s_suppkey % 7 AS party FROM supplier) m USING (party)
@@ -342,7 +359,7 @@ def group_trace(spark, sf):
     acts = _large_months(spark, sf).select((F.col(ENTITY) % 7).alias("party"), "year_month").distinct()
     members = table(spark, sf, "supplier").select(F.col("s_suppkey").alias(ENTITY), (F.col("s_suppkey") % 7).alias("party"))
     trx = transactions(spark, sf, [ENTITY, "txn_id", "txn_ts"])
-    out = relate.trace_group(acts, members, trx, "party", ENTITY, "year_month", after=3, months_before=1, months_after=0)
+    out = relate.trace_group(acts, members, trx, "party", ENTITY, "year_month", after=3, months_before=1, months_after=0, salt=relate.hot_salt(trx, [ENTITY, F.trunc("txn_ts", "month")]))
     return out.select("party", "year_month", ENTITY, "txn_id")
 
 

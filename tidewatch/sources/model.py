@@ -56,20 +56,23 @@ def _columns() -> dict[str, Column]:
 
 
 def transactions(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Enriched transactions with just the asked-for columns."""
+    """Enriched transactions with just the asked-for columns.
+
+    A line without an order or party keeps its row, so the rows do not depend on the columns.
+    """
     exprs = _columns()
     wanted = list(columns or exprs)
     df = table(spark, sf_dir, "lineitem")
     need = set(wanted)
     if need & (_ORDERS | _PARTY):
         orders = table(spark, sf_dir, "orders")
-        df = df.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        df = df.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     if need & _PARTY:
         customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
-        df = df.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        df = df.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        df = df.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
+        df = df.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     if need & _ENTITY:
-        df = df.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        df = df.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
     return df.select(*[exprs[c].alias(c) for c in wanted])
 
 
@@ -94,8 +97,8 @@ trx AS (
          ((year(l_shipdate) - 1970) * 12 + month(l_shipdate) - 1)::BIGINT AS month_offset,
          date_diff('day', DATE '1970-01-01', l_shipdate::DATE)::BIGINT AS day_offset
   FROM lineitem
-  JOIN orders ON l_orderkey = o_orderkey
-  JOIN customer ON o_custkey = c_custkey
-  JOIN nation ON c_nationkey = n_nationkey
-  JOIN supplier ON l_suppkey = s_suppkey
+  LEFT JOIN orders ON l_orderkey = o_orderkey
+  LEFT JOIN customer ON o_custkey = c_custkey
+  LEFT JOIN nation ON c_nationkey = n_nationkey
+  LEFT JOIN supplier ON l_suppkey = s_suppkey
 )"""
