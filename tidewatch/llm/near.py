@@ -120,7 +120,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     def rows(cols):
         ids, texts = cols["doc_id"].to_pylist(), cols["text"].to_pylist()
         out = {k: [] for k in ("doc_id", "k1", "k2", "bands")}
-        for a, z in chunks(texts, 4_000_000):
+        for a, z in chunks(texts):
             part = texts[a:z]
             text, shingle, count = bags(part)
             keys = signed(band_keys(bag_minhash(len(part), text, shingle, count, BANDS * ROWS)))
@@ -145,7 +145,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         a, b = cols["a"].to_pylist(), cols["b"].to_pylist()
         ta, tb = cols["text_a"].to_pylist(), cols["text_b"].to_pylist()
         sims = []
-        for lo, hi in chunks(tb, 2_000_000):
+        for lo, hi in chunks(tb, 500_000):
             # a document that meets many others is cut once
             place: dict[str, int] = {}
             ia = [place.setdefault(t, len(place)) for t in ta[lo:hi]]
@@ -176,10 +176,14 @@ def similar_prefixes(texts: DataFrame, similar: float) -> DataFrame:
 
     def rows(cols):
         ids, texts_, classes_ = cols["doc_id"].to_pylist(), cols["text"].to_pylist(), cols["class"].to_pylist()
-        text, shingle, count = bags(texts_)
-        total = np.bincount(text, weights=count, minlength=len(ids)).astype(np.int64) if len(text) else np.zeros(len(ids), np.int64)
-        own = [np.asarray(x, dtype=np.int64)[text] for x in (ids, classes_, total)]
-        return {"doc_id": own[0], "class": own[1], "total": own[2], "shingle": signed(shingle), "times": count}
+        out = {k: [] for k in ("doc_id", "class", "total", "shingle", "times")}
+        for a, z in chunks(texts_):
+            text, shingle, count = bags(texts_[a:z])
+            total = np.zeros(z - a, dtype=np.int64)
+            np.add.at(total, text, count)
+            for k, v in zip(out, (np.array(ids[a:z])[text], np.array(classes_[a:z])[text], total[text], signed(shingle), count)):
+                out[k].append(v.astype(np.int64))
+        return {k: np.concatenate(v) for k, v in out.items()} if out["times"] else None
 
     held = arrow_map(texts.select("doc_id", "text", "class"), rows, "doc_id long, class long, total long, shingle long, times long")
     rarity = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("docs"))
