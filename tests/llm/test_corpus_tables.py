@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from compare import compare, duck
 from tidewatch.llm import forest, urls
+from tidewatch.llm.queries import ORACLES, QUERIES
 
 
 def test_nearest_recall(spark):
@@ -120,3 +122,13 @@ def test_stage_kept_documents_without_id(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))
     assert docs.count() == 3
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    assert compare(spark, duck(sf), name, QUERIES[name], ORACLES[name], sf) is None
+
+
+def test_one_query_for_each_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))

@@ -124,7 +124,7 @@ def detections(line: str, ruleset: list[tuple[Rule, re.Pattern]]) -> list[tuple[
         if not any(o[1] >= d[1] and o[2].priority <= d[2].priority for o in open_spans):
             kept.append(d)
             open_spans.append(d)
-    return [d for d in kept if not any(o is not d and o[0] <= d[0] and o[1] >= d[1] and o[2].priority < d[2].priority for o in kept if o[0] == d[0])]
+    return kept
 
 
 def scan(docs: DataFrame) -> DataFrame:
