@@ -23,7 +23,10 @@ def test_fills_and_vectors(spark):
     assert scoring.assemble(scoring.numeric_features(df, ["v"]), ["v"]).first()["features"][0] == 0.0
     coded = scoring.categorical_features(df, ["c"])
     assert [r["c_index"] for r in coded.orderBy("id").collect()] == [0.0, 1.0, 0.0]
-    assert "hashed_vec" in scoring.categorical_features(df, ["c"], limit=1).columns
+    assert [tuple(r["c_vec"]) for r in coded.orderBy("id").collect()] == [(2, 0), (2, 1), (2, 0)]
+    unknown = scoring.categorical_features(df.withColumn("c", F.when(F.col("id") > 1, F.col("c"))), ["c"]).orderBy("id").collect()
+    assert (unknown[0]["c_index"], tuple(unknown[0]["c_vec"])) == (2.0, (2, None))
+    assert scoring.numeric_features(df.withColumn("v", F.lit(None).cast("double")), ["v"], "mean").first()["v"] == 0.0
 
 
 def test_rule_literals_and_conditions(spark):

@@ -8,7 +8,7 @@ from tidewatch.plans import all_queries
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = all_queries()
 # Without SQL: checked in the unit tests instead.
-ROWS_ONLY = {"hashed_row_sample", "feature_vectors", "categorical_vectors", "minhash_signatures"}
+ROWS_ONLY = {"hashed_row_sample"}
 
 
 @pytest.fixture(scope="module")

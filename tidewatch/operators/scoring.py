@@ -11,9 +11,10 @@ import datetime as dt
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.operators.percentiles import percentiles
+from tidewatch.session import cut_lineage
 
 # Consistency factor of the MAD, and the scale of ratings.
 MAD_FACTOR = 1.4826
@@ -31,7 +32,7 @@ def numeric_features(df: DataFrame, columns: Sequence[str], strategy: str = "con
         values = {c: fill for c in columns}
     elif strategy == "mean":
         row = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
-        values = {c: row[c] for c in columns if row[c] is not None}
+        values = {c: fill if row[c] is None else row[c] for c in columns}  # a column without values has no mean
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(v))) for c, v in values.items()})
@@ -43,27 +44,35 @@ def assemble(df: DataFrame, columns: Sequence[str], output: str = "features") ->
     return VectorAssembler(inputCols=list(columns), outputCol=output, handleInvalid="keep").transform(df)
 
 
-def categorical_features(df: DataFrame, columns: Sequence[str], limit: int = 10_000) -> DataFrame:
-    """Index and one-hot encode; a column with too many labels is hashed instead.
+def labels_by_rank(df: DataFrame, column: str) -> DataFrame:
+    """(label, index): the distinct labels in alphabetical order, from 0, ranked range by range."""
+    labels = df.select(F.col(column).alias("label")).filter("label is not null").distinct()
+    ranged = cut_lineage(labels.repartitionByRange("label").withColumn("_range", F.spark_partition_id()))
+    # one row per range: the labels before it
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy("label"))
+    return ranged.withColumn("_rank", rank).join(before, "_range").select("label", (F.col("_before") + F.col("_rank") - 1).alias("index"))
 
-    An index needs its label list on the driver, so the number of labels is
-    checked first.
+
+def categorical_features(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``<c>_index`` (alphabetical; an unknown or NULL label takes the number of labels) and
+    ``<c>_vec``, the one-hot vector as its size and the position of the one (NULL: all zeros).
+
+    Labels are ranked and joined, never listed on the driver, so the output is the same for
+    any number of labels.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StringIndexer
-
-    sizes = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    small = [c for c in columns if sizes[c] <= limit]
-    large = [c for c in columns if sizes[c] > limit]
-    stages = []
-    if small:
-        stages += [
-            StringIndexer(inputCols=small, outputCols=[f"{c}_index" for c in small], handleInvalid="keep", stringOrderType="alphabetAsc"),
-            OneHotEncoder(inputCols=[f"{c}_index" for c in small], outputCols=[f"{c}_vec" for c in small]),
-        ]
-    if large:
-        stages.append(FeatureHasher(inputCols=large, outputCol="hashed_vec"))
-    return Pipeline(stages=stages).fit(df).transform(df)
+    for c in columns:
+        ranked = labels_by_rank(df, c)
+        n = ranked.count()
+        found = df.join(ranked.withColumnRenamed("label", c), c, "left").select(*df.columns, F.col("index").alias("_index"))
+        df = found.withColumns(
+            {
+                f"{c}_index": F.coalesce(F.col("_index"), F.lit(n)).cast("double"),
+                f"{c}_vec": F.struct(F.lit(n).cast("long").alias("size"), F.col("_index").cast("long").alias("position")),
+            }
+        ).drop("_index")
+    return df
 
 
 def long_features(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -22,16 +22,25 @@ def numeric_feature_fill(spark, sf):
     return scoring.numeric_features(scoring.numeric_features(df, ["x"], "mean"), ["y"])
 
 
-@query()
+@query(f"SELECT tr_id, {', '.join(f'{f}::DOUBLE AS {f}' for f in FEATURES)} FROM acts", trx=True, ctes=ACTS_SQL)
 def feature_vectors(spark, sf):
-    df = scoring.numeric_features(activities(spark, sf), FEATURES)
-    return scoring.assemble(df, FEATURES).select("tr_id", F.col("features").cast("string").alias("features"))
+    from pyspark.ml.functions import vector_to_array
 
+    df = scoring.numeric_features(activities(spark, sf).withColumnsRenamed({f: f"_{f}" for f in FEATURES}), [f"_{f}" for f in FEATURES])
+    v = vector_to_array("features")
+    return scoring.assemble(df, [f"_{f}" for f in FEATURES]).select("tr_id", *[v[i].alias(f) for i, f in enumerate(FEATURES)])
 
-@query()
+
+@query("""
+SELECT c_custkey, coalesce(i, n)::DOUBLE AS idx, n AS size, i AS position FROM (
+  SELECT c_custkey, CASE WHEN c_nationkey < 20 THEN c_mktsegment || c_nationkey END AS label FROM customer)
+LEFT JOIN (SELECT label, row_number() OVER (ORDER BY label) - 1 AS i FROM (
+  SELECT DISTINCT c_mktsegment || c_nationkey AS label FROM customer WHERE c_nationkey < 20)) USING (label),
+(SELECT count(DISTINCT c_mktsegment || c_nationkey) AS n FROM customer WHERE c_nationkey < 20)""")
 def categorical_vectors(spark, sf):
-    df = scoring.categorical_features(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), ["c_mktsegment"])
-    return df.select("c_custkey", "c_mktsegment_index", F.col("c_mktsegment_vec").cast("string").alias("vec"))
+    label = F.when(F.col("c_nationkey") < 20, F.concat("c_mktsegment", F.col("c_nationkey").cast("string")))
+    df = scoring.categorical_features(table(spark, sf, "customer").select("c_custkey", label.alias("label")), ["label"])
+    return df.select("c_custkey", F.col("label_index").alias("idx"), "label_vec.size", "label_vec.position")
 
 
 @query("SELECT year_month < DATE '2000-01-01' AS is_train, count(*) AS n FROM acts GROUP BY 1", trx=True, ctes=ACTS_SQL)

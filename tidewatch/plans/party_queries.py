@@ -64,10 +64,14 @@ def character_ngrams(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.explode(char_ngrams(F.col("p_name"))).alias("gram"))
 
 
-@query()
+# Equal names have one signature of 64 components, none of them NULL; a name without grams has none.
+@query("SELECT normalized_name, 1::BIGINT AS signatures, 64 AS components, 0 AS missing FROM accounts GROUP BY 1", ctes=ACCOUNTS_SQL)
 def minhash_signatures(spark, sf):
-    sig = er.minhash(char_ngrams(F.col("normalized_name")))
-    return accounts(spark, sf).select("id", F.array_join(sig, ",").alias("signature"))
+    rows = accounts(spark, sf).select("normalized_name", er.minhash(char_ngrams(F.col("normalized_name"))).alias("s"))
+    return rows.groupBy("normalized_name").agg(
+        F.count_distinct(F.xxhash64("s")).alias("signatures"), F.max(F.size("s")).alias("components"),
+        F.max(F.size(F.filter("s", lambda x: x.isNull()))).alias("missing"),
+    )
 
 
 @query("SELECT * FROM name_pairs", ctes=PAIRS_SQL)

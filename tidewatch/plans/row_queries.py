@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F, types as T
 
 from tidewatch.functions import enrich as en, periods, text
 from tidewatch.operators import profiles, sampling
 from tidewatch.plans.registry import query
+from tidewatch.session import checkpoint_folder
 from tidewatch.sources import tables as tb
 from tidewatch.sources.model import table, transactions
 
@@ -268,6 +271,34 @@ def key_upsert(spark, sf):
     return tb.upsert(base, changed.unionByName(added), ["c_custkey"])
 
 
+# written, appended to, updated with repeated and NULL keys, and read back
+@query("""
+SELECT k, max(b) AS b, count(*) AS n FROM (
+  SELECT CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE c_custkey END AS k, CASE WHEN c_custkey % 50 = 0 THEN 7.0 WHEN c_custkey % 10 = 3 THEN 5.0 ELSE c_acctbal END AS b
+  FROM customer WHERE c_custkey % 50 <> 0 OR c_custkey = 50) GROUP BY k""")
+def table_write_modes(spark, sf):
+    folder = f"{checkpoint_folder(spark)}/modes-{uuid.uuid4().hex}"
+    key = F.col("c_custkey")
+    base = table(spark, sf, "customer").select(F.when(key % 50 != 0, key).alias("k"), F.col("c_acctbal").alias("b"), key)
+    spec = tb.TableSpec(f"{folder}/t", base.select("k", "b").schema, ("k",), "overwrite")
+    tb.write_table(base.filter(key % 2 == 0).select("k", "b"), spec)
+    tb.write_table(base.filter(key % 2 == 1).select("k", "b"), replace(spec, mode="append"))
+    changed = base.filter(key % 10 == 3).select("k", F.lit(5.0).alias("b"))
+    nameless = base.filter("k is null").select("k", F.lit(7.0).alias("b"))
+    tb.write_table(changed.unionByName(changed).unionByName(nameless), replace(spec, mode="update"))
+    return spark.read.parquet(spec.path).groupBy("k").agg(F.max("b").alias("b"), F.count(F.lit(1)).alias("n"))
+
+
+# published twice; what is there already is skipped
+@query("SELECT 'N' || n_regionkey AS id, min(n_nationkey) AS first_nation, count(*) AS published FROM (SELECT n_regionkey, min(n_nationkey) AS n_nationkey FROM nation GROUP BY 1) GROUP BY 1, n_regionkey")
+def published_nodes(spark, sf):
+    folder = f"{checkpoint_folder(spark)}/nodes-{uuid.uuid4().hex}"
+    nodes = table(spark, sf, "nation").groupBy(F.concat(F.lit("N"), F.col("n_regionkey")).alias("id")).agg(F.min("n_nationkey").alias("first_nation"))
+    tb.publish_nodes(nodes.filter("first_nation < 3").unionByName(nodes.filter("first_nation < 3")), folder, "region")
+    tb.publish_nodes(nodes, folder, "region")
+    return spark.read.parquet(folder).groupBy("id").agg(F.min("first_nation").alias("first_nation"), F.count(F.lit(1)).alias("published"))
+
+
 @query("""
 SELECT o_custkey, o_orderkey, o_totalprice FROM (
   SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
