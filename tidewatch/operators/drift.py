@@ -113,16 +113,15 @@ def never_triggered(df: DataFrame, step: str, features: Sequence[str], k: int =
 
 
 def histogram_compare(ref: DataFrame, cur: DataFrame, column: str, bins: int = 20) -> DataFrame:
-    """Share of rows per equal-width bin over the joint range, for both sets."""
+    """Share of rows per equal-width bin over the joint range, for both sets; a constant column is one bin."""
     v = F.col(column).cast("double")
     both = ref.select(F.lit(True).alias("is_ref"), v.alias("v")).unionByName(
         cur.select(F.lit(False).alias("is_ref"), v.alias("v"))
     )
     ends = both.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    if ends["lo"] is None or ends["hi"] <= ends["lo"]:
-        raise ValueError(f"{column} has no range to cut into bins")
-    width = (ends["hi"] - ends["lo"]) / bins
-    index = F.least(F.floor((F.col("v") - ends["lo"]) / width), F.lit(bins - 1)).cast("int")
+    low = ends["lo"] or 0.0
+    width = ((ends["hi"] or 0.0) - low) / bins or 1.0  # a constant column fills one bin
+    index = F.least(F.floor((F.col("v") - low) / width), F.lit(bins - 1)).cast("int")
     counts = both.filter("v IS NOT NULL").groupBy(index.alias("bin")).agg(
         F.count(F.when(F.col("is_ref"), 1)).alias("r"), F.count(F.when(~F.col("is_ref"), 1)).alias("c")
     )
@@ -131,7 +130,7 @@ def histogram_compare(ref: DataFrame, cur: DataFrame, column: str, bins: int = 2
     ).first()
     return counts.select(
         "bin",
-        F.round(F.lit(ends["lo"]) + F.col("bin") * width, 6).alias("bin_start"),
+        F.round(F.lit(low) + F.col("bin") * width, 6).alias("bin_start"),
         F.round(F.try_divide(F.col("r"), F.lit(sizes["tr"])), 6).alias("rate_ref"),
         F.round(F.try_divide(F.col("c"), F.lit(sizes["tc"])), 6).alias("rate_cur"),
     )

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.operators.percentiles import percentiles
+from tidewatch.session import cut_lineage
 
 
 def _entries(triggers: Column) -> Column:
@@ -257,7 +258,11 @@ REPORT_LIMITS = {
 def alert_quality_report(
     alerts: DataFrame, risks: DataFrame, activities: DataFrame, limits: Mapping[str, tuple[str, float, str]] = REPORT_LIMITS
 ) -> DataFrame:
-    """One row per figure: value, whether it needs attention, and the overall status."""
+    """One row per figure: value, whether it needs attention, and the overall status.
+
+    Every figure reads the three inputs, so they are written once to the checkpoint folder.
+    """
+    alerts, risks, activities = (cut_lineage(d) for d in (alerts, risks, activities))
     one = [
         alert_counts(alerts).select("consolidation_rate"),
         duplicate_summary(alerts).select("duplicates"),

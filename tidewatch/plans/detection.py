@@ -11,6 +11,7 @@ from tidewatch.operators import risks as rk, scoring
 from tidewatch.operators.catalogue import features
 from tidewatch.operators.features import run_features
 from tidewatch.plans.monthly_queries import PARAMS
+from tidewatch.session import cut_lineage
 from tidewatch.sources.model import ENTITY, PERIOD, transactions
 
 FEATURES = ["cnt_trx", "many_to_one", "max_trx", "one_to_many", "sum_trx", "sum_trx_cash"]
@@ -39,10 +40,10 @@ def activities(spark, sf):
 def scored(spark, sf):
     """Activities scored by a model fitted on the training period.
 
-    Fitting and scoring both read the activities: they are kept like the stored
+    Fitting and scoring both read the activities: they are written once, like the stored
     feature table they stand for.
     """
-    acts = activities(spark, sf).persist()
+    acts = cut_lineage(activities(spark, sf))
     train, _ = scoring.split_by_time(acts, "year_month", TRAIN_END)
     return scoring.fit_scores(train, FEATURES).score(acts, STEP)
 

@@ -44,13 +44,13 @@ stability AS (SELECT feature, round(sum(CASE WHEN ex > 0 AND ac > 0 THEN (ac - e
 @query("SELECT feature, s AS csi, CASE WHEN s >= 0.25 THEN 'FAIL' ELSE 'PASS' END AS result FROM stability", trx=True,
        ctes=ACTS_SQL + "," + _stability_sql(FEATURES, "acts", "AND v <> 0"))
 def feature_stability(spark, sf):
-    return drift.csi(*_halves(activities(spark, sf)), FEATURES)
+    return drift.csi(*_halves(cut_lineage(activities(spark, sf))), FEATURES)
 
 
 @query("SELECT feature, s AS psi, CASE WHEN s > 0.25 THEN 'FAIL' ELSE 'PASS' END AS result FROM stability", trx=True,
        ctes=SCORED_SQL + "," + _stability_sql(["algo_score"], "scored", ""))
 def score_stability(spark, sf):
-    return drift.psi(*_halves(scored(spark, sf)), "algo_score")
+    return drift.psi(*_halves(cut_lineage(scored(spark, sf))), "algo_score")
 
 
 @query("""
@@ -91,7 +91,7 @@ FROM (SELECT month_offset <= 359 AS r, least(floor((sum_trx - lo) / w), 19)::INT
   (SELECT min(sum_trx) AS lo, (max(sum_trx) - min(sum_trx)) / 20 AS w, count(*) FILTER (WHERE month_offset <= 359) AS tr, count(*) FILTER (WHERE month_offset > 359) AS tc FROM acts))
 GROUP BY b, lo, w""", trx=True, ctes=ACTS_SQL)
 def histogram_comparison(spark, sf):
-    return drift.histogram_compare(*_halves(activities(spark, sf)), "sum_trx")
+    return drift.histogram_compare(*_halves(cut_lineage(activities(spark, sf))), "sum_trx")
 
 
 _VERDICT_CTES = (
