@@ -32,7 +32,7 @@ def keywords_of(df: DataFrame, group: str, keyword: str, limit: int = 5000) -> d
     """Read a keyword dimension to the driver after checking that it is small."""
     rows = df.select(F.lower(group).alias("g"), F.col(keyword).alias("k")).distinct().limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"more than {limit} keywords; explode the text and join the dimension instead")
+        raise ValueError(f"more than {limit} keywords; use keyword_hits, which joins the table")
     out: dict[str, list[str]] = {}
     for g, k in sorted((r["g"], r["k"]) for r in rows):
         out.setdefault(g, []).append(k)
@@ -50,6 +50,22 @@ def keyword_flags(df: DataFrame, text: str, keywords: Mapping[str, Sequence[str]
     return df.withColumns(hits).withColumns(flags)
 
 
+def keyword_hits(df: DataFrame, key: str, text: str, keywords: DataFrame, group: str, keyword: str) -> DataFrame:
+    """(key, group, keyword): whole-word hits (any case) of a keyword table of any size.
+
+    Texts meet the keywords that begin with one of their words, and the whole keyword is
+    then looked for, so nothing is listed on the driver. Word characters are ASCII.
+    """
+    split = r"[^A-Za-z0-9_]+"
+    table = keywords.select(F.col(group).alias("_g"), F.col(keyword).alias("_k")).filter(F.length("_k") > 0).distinct()
+    table = table.withColumn("_w", F.element_at(F.filter(F.split(F.lower("_k"), split), lambda w: w != ""), 1))
+    words = df.select(key, F.explode(F.array_distinct(F.split(F.lower(text), split))).alias("_w"))
+    met = words.join(table, "_w").select(key, "_g", "_k").distinct()
+    pattern = F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_])\Q"), "_k", F.lit(r"\E(?![A-Za-z0-9_])"))
+    found = met.join(df.select(key, text), key).filter(F.regexp_like(F.col(text), pattern))
+    return found.select(key, F.col("_g").alias(group), F.col("_k").alias(keyword))
+
+
 def name_words(c: Column) -> Column:
     """Lower-case words of four or more letters, punctuation read as blanks."""
     words = F.split(F.lower(F.regexp_replace(c, NAME_PUNCTUATION, " ")), " +")

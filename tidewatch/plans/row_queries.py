@@ -120,6 +120,17 @@ def keyword_groups(spark, sf):
     return text.keyword_flags(table(spark, sf, "documents").select("doc_id", "text"), "text", KEYWORDS).drop("text")
 
 
+# A keyword table: the first two words of every benchmark item.
+@query(r"""
+WITH words AS (SELECT item_id % 3 AS grp, regexp_extract(text, '^[A-Za-z0-9_]+ [A-Za-z0-9_]+') AS keyword FROM benchmark),
+kw AS (SELECT DISTINCT grp, keyword FROM words WHERE keyword <> '')
+SELECT DISTINCT doc_id, grp, keyword FROM documents JOIN kw ON regexp_matches(text, '(?i)\b' || keyword || '\b')""")
+def keyword_table_hits(spark, sf):
+    first = F.regexp_extract("text", "^[A-Za-z0-9_]+ [A-Za-z0-9_]+", 0)
+    keywords = table(spark, sf, "benchmark").select((F.col("item_id") % 3).alias("grp"), first.alias("keyword"))
+    return text.keyword_hits(table(spark, sf, "documents"), "doc_id", "text", keywords, "grp", "keyword")
+
+
 _NAMES_SQL = r"""
 names AS (SELECT p_partkey, p_name AS a,
   CASE p_partkey % 4 WHEN 0 THEN upper(p_name) || ', ltd.' WHEN 1 THEN replace(p_name, 'e', 'a')
