@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewatch.llm import language, leaks, near, packing, pii
-from tidewatch.llm.common import arrow_map, carried, carry_schema, table, written
+from tidewatch.llm.common import carried, table, written
 from tidewatch.llm.queries import byte_vocabulary
 
 #: The columns that stages work on; all others travel along.
@@ -38,13 +38,7 @@ def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data in the texts by its kind; n_chars follows where the column is there."""
-
-    def rows(cols):
-        pairs = zip(cols["text"].to_pylist(), cols["spans"].to_pylist())
-        return {"row": cols["row"], "clean": [pii.redact_text(t, s) if s else None for t, s in pairs]}
-
-    found = pii.find(carried(docs))
-    out = arrow_map(found.select("text", "spans", "row"), rows, carry_schema(found, "clean string"))
+    out = pii.find(carried(docs), redact=True)
     changed = {TEXT: F.coalesce("clean", f"row.{TEXT}")}
     if "n_chars" in docs.columns:
         size = F.length("clean").cast(docs.schema["n_chars"].dataType)

@@ -13,6 +13,10 @@ from pyspark.sql.types import StructType
 from tidewatch.session import checkpoint_folder
 
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -23,6 +27,8 @@ def arrow_map(df: DataFrame, rows: Callable, schema: str | StructType) -> DataFr
     ``rows`` may also be a factory marked by ``per_task``: it is then called once in
     each task and its result is used for every batch.
     """
+    # rows hold whole texts: small batches bound what a task and its worker hold at once
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     names, out = df.columns, to_arrow_schema(schema)
 
@@ -39,6 +45,8 @@ def arrow_map(df: DataFrame, rows: Callable, schema: str | StructType) -> DataFr
             got = fn({n: batch.column(i) for i, n in enumerate(names)})
             if got is not None:
                 yield pa.RecordBatch.from_arrays([column(got[f.name], f.type) for f in out], schema=out)
+            del got, batch
+        pa.default_memory_pool().release_unused()  # the worker outlives the task
 
     return df.mapInArrow(run, schema)
 
@@ -61,15 +69,37 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_with_counts(rows: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of rows with a table that was aggregated by the same (integer) keys.
+
+    Joined on keys of its own, so that both sides are shuffled for the join: only then does
+    Spark split the rows of a hot key over tasks.
+    """
+    own = [F.col(k).bitwiseXOR(F.lit(1)).alias(f"_{k}") for k in keys]
+    rest = [c for c in counts.columns if c not in keys]
+    joined = rows.select("*", *own).join(counts.select(*rest, *own), [f"_{k}" for k in keys])
+    return joined.drop(*[f"_{k}" for k in keys])
+
+
 def carried(docs: DataFrame) -> DataFrame:
-    """doc_id, text and ``row``: a whole row as one column, which operators pass on untouched."""
-    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    """doc_id and ``row``: a whole row as one column, which operators read the text from and pass on untouched."""
+    return docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def is_carried(docs: DataFrame) -> bool:
+    return docs.columns == ["doc_id", "row"]
+
+
+def texts_of(cols: dict) -> list[str]:
+    """The texts of a batch of plain or carried rows; NULL is empty."""
+    texts = cols["text"] if "text" in cols else cols["row"].field("text")
+    return [t or "" for t in texts.to_pylist()]
 
 
 def carry_schema(docs: DataFrame, more: str) -> StructType:
     """The fields of ``more`` (DDL), and ``row`` where docs carry their rows."""
     fields = list(StructType.fromDDL(more).fields)
-    return StructType(fields + [f for f in docs.schema.fields if f.name == "row"])
+    return StructType(fields + ([docs.schema["row"]] if is_carried(docs) else []))
 
 
 def one_text_per_id(docs: DataFrame, *more: str) -> DataFrame:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from tidewatch.llm.common import arrow_map, carry_schema, mix, per_task
+from tidewatch.llm.common import arrow_map, carry_schema, chunks, mix, per_task, texts_of
 
 UNDECIDED = "und"
 BITS = 17
@@ -195,8 +195,8 @@ def training_texts(docs: DataFrame, bound: int, longest: int) -> list[tuple[str,
 
 
 def tag(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred and score of every row, from its whole text; docs hold doc_id, text and
-    perhaps ``row``, which is passed on.
+    """doc_id, lang_pred and score of every row, from its whole text; docs hold doc_id and text,
+    or doc_id and ``row`` (see ``carried``), which is passed on.
 
     ``und`` with score 0 where the text is NULL or holds no letter, and everywhere if
     nothing was learned. The score is the mean probability of the language over the words.
@@ -220,28 +220,34 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
 
         ids = Ids()
 
-        def rows(cols):
-            texts = cols["text"].to_pylist()
-            if len(ids) > 1_000_000:  # keeps memory bounded; words are then scored anew
-                ids.clear()
-                known[0] = neutral
-            seqs = [[ids[w] for w in words_of(t)] if t and n else [] for t in texts]
-            seqs = [s if any(s) else [] for s in seqs]
+        def judged(texts: list) -> tuple[list[str], np.ndarray]:
+            seqs = [np.array([ids[w] for w in words_of(t)] if t and n else [], dtype=np.int32) for t in texts]
             if fresh:
                 known[0] = np.concatenate([known[0], m.emissions(fresh)])
                 fresh.clear()
-            lengths = np.array([len(s) for s in seqs], dtype=np.int64)
-            total = int(lengths.sum())
+            lengths = np.array([len(s) if s.any() else 0 for s in seqs], dtype=np.int64)
             langs, scores = [UNDECIDED] * len(texts), np.zeros(len(texts))
-            if total:
-                flat = np.concatenate([np.array(s, dtype=np.int64) for s in seqs if s])
-                full = np.flatnonzero(lengths)
+            full = np.flatnonzero(lengths)
+            if len(full):
+                flat = np.concatenate([seqs[i] for i in full])
                 p = forward_backward(known[0][flat], m.trans, m.start, lengths[full])
-                starts = (np.cumsum(lengths) - lengths)[full]
-                mean = np.add.reduceat(p.astype(np.float64), starts, axis=0) / lengths[full][:, None]
+                starts = np.cumsum(lengths[full]) - lengths[full]
+                mean = np.add.reduceat(p, starts, axis=0, dtype=np.float64) / lengths[full][:, None]
                 for d, row in zip(full, mean):
                     best = int(row.argmax())
                     langs[d], scores[d] = m.labels[best], min(1.0, float(row[best]))
+            return langs, scores
+
+        def rows(cols):
+            texts = texts_of(cols)
+            langs, scores = [], []
+            for a, z in chunks(texts, 5_000_000):
+                if len(ids) > 300_000:  # keeps memory bounded; words are then scored anew
+                    ids.clear()
+                    known[0] = neutral
+                some, their = judged(texts[a:z])
+                langs += some
+                scores += their.tolist()
             return {c: cols[c] for c in ("doc_id", "row") if c in cols} | {"lang_pred": langs, "score": scores}
 
         return rows

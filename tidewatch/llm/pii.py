@@ -19,7 +19,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidewatch.llm.common import arrow_map, carry_schema, one_text_per_id, per_task
+from tidewatch.llm.common import arrow_map, carry_schema, is_carried, per_task, texts_of
 from tidewatch.llm.language import forward_backward
 
 #: The base kinds, in the order in which spans are listed.
@@ -282,16 +282,16 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{z}" for k, a, z in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1])))
 
 
-def find(docs: DataFrame, train_docs: int = 4000, train_longest: int = 20_000, sure: float = 0.8) -> DataFrame:
+def find(docs: DataFrame, train_docs: int = 4000, train_longest: int = 20_000, sure: float = 0.8, redact: bool = False) -> DataFrame:
     """doc_id, text, the counts of base spans, their digest, and all spans of every document;
-    a column ``row`` is passed on.
+    docs hold doc_id and text, or doc_id and ``row`` (see ``carried``), which is passed on. ``redact`` gives, in place of the text, ``clean``: the text
+    with its spans replaced by their kinds, NULL where there is none.
 
     Offsets are in code points, ends exclusive. NULL and empty texts have no span (and
     the digest of the empty string); repeated rows are judged each for itself. The field
     is fitted on a bounded sample (``train_docs``, ``train_longest``) and run on all rows.
     """
-    docs = one_text_per_id(docs, *[c for c in docs.columns if c == "row"])
-    learned = fit(training_texts(docs, train_docs, train_longest))
+    learned = fit(training_texts(docs.select("row.*") if is_carried(docs) else docs, train_docs, train_longest))
     arrays = docs.sparkSession.sparkContext.broadcast((learned.weights, learned.trans, learned.skip))
 
     @per_task
@@ -299,7 +299,7 @@ def find(docs: DataFrame, train_docs: int = 4000, train_longest: int = 20_000, s
         field = Field(*arrays.value)
 
         def rows(cols):
-            texts = cols["text"].to_pylist()
+            texts = texts_of(cols)
             base = [base_spans(t) for t in texts]
             split = {i: s for i, t in enumerate(texts) if _TRIGGER.search(t) and (s := tokens_of(t)).spans}
             more: dict[int, list] = {}
@@ -310,15 +310,16 @@ def find(docs: DataFrame, train_docs: int = 4000, train_longest: int = 20_000, s
                     more[i] = added_spans(texts[i], s, p[at : at + len(s.spans)], base[i], sure)
                     at += len(s.spans)
             out = {f"n_{k}": [sum(s[0] == k for s in b) for b in base] for k in BASE_KINDS}
-            out |= {c: cols[c] for c in ("doc_id", "text", "row") if c in cols}
+            out["spans"] = joined_spans = [joined([*b, *more.get(i, [])]) for i, b in enumerate(base)]
+            out |= {c: cols[c] for c in ("doc_id", "row") if c in cols} | {"text": texts}
+            out["clean"] = [redact_text(t, s) if s else None for t, s in zip(texts, joined_spans)] if redact else None
             out["base_sha256"] = [hashlib.sha256(joined(b).encode()).hexdigest() for b in base]
-            out["spans"] = [joined([*b, *more.get(i, [])]) for i, b in enumerate(base)]
             return out
 
         return rows
 
-    columns = "doc_id long, text string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return arrow_map(docs, factory, carry_schema(docs, columns))
+    columns = f"doc_id long, {'clean' if redact else 'text'} string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    return arrow_map(docs.select("doc_id", "row" if is_carried(docs) else "text"), factory, carry_schema(docs, columns))
 
 
 def redact_text(text: str, spans: str) -> str:
