@@ -23,7 +23,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from tidewatch.llm.common import Spans, arrow_map, chunks, one_text_per_id, signed, words_bytes
+from tidewatch.llm.common import Spans, arrow_map, chunks, join_with_counts, one_text_per_id, signed, words_bytes
 
 
 def _tag(text: str) -> int:
@@ -135,7 +135,7 @@ def repeated(docs: DataFrame, length: int = 50) -> DataFrame:
     )
     # twice the length: whole classes first
     later = (
-        places.join(classes.filter("earliest < latest").select("anchor", "words", "earliest"), ["anchor", "words"])
+        join_with_counts(places, classes.filter("earliest < latest").select("anchor", "words", "earliest"), ["anchor", "words"])
         .filter("doc_id > earliest")
         .select("doc_id", "mark")
     )
@@ -143,7 +143,7 @@ def repeated(docs: DataFrame, length: int = 50) -> DataFrame:
     wanted = classes.join(alive, "anchor", "left_semi").select(F.col("earliest").alias("doc_id"), "anchor", "words")
     single = _windows(docs, wanted, length)
     firsts = single.groupBy("w1", "w2").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).filter("earliest < latest")
-    shared = single.join(firsts.select("w1", "w2", "earliest"), ["w1", "w2"]).filter("doc_id > earliest").select("doc_id", "mark")
+    shared = join_with_counts(single, firsts.select("w1", "w2", "earliest"), ["w1", "w2"]).filter("doc_id > earliest").select("doc_id", "mark")
     return later.unionByName(shared)
 
 
