@@ -28,6 +28,24 @@ def test_nearest_recall(spark):
         assert r["score"] == pytest.approx(exact, abs=1e-12)
 
 
+def test_nearest_recall_of_unequal_lengths(spark):
+    """Long vectors are the true neighbours; short ones must not fill the quota."""
+    rng = np.random.default_rng(4)
+    n, k = 6000, 2
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    far = np.ones(n)
+    far[:60] = 20
+    for lengths in (far, np.exp(rng.normal(0, 0.5, n)), 1e-160 * far):
+        y = x * lengths[:, None]
+        table = spark.createDataFrame([(i, v) for i, v in enumerate(y.tolist())], "vec_id long, embedding array<double>")
+        found = {(r["query_id"], r["vec_id"]) for r in forest.nearest(table, k=k, every=100, share=0.3).collect()}
+        score = y[::100] @ y.T
+        score[np.arange(n // 100), np.arange(0, n, 100)] = -np.inf
+        want = {(100 * i, j) for i, row in enumerate(score) for j in np.argsort(-row)[:k].tolist()}
+        assert len(found) == len(want) and len(found & want) / len(want) >= 0.9
+
+
 def test_nearest_odd(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 2.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [1.0]), (40, [None, 1.0]), (2, [1.0, 1.0]), (None, [1.0, 1.0])]
     table = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, rank int")
