@@ -15,8 +15,11 @@ ID, TEXT = "doc_id", "text"
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language cannot be told (no letter, or no text)."""
-    tagged = language.tag(carried(docs), language.learned(docs))
+    """Drops documents that hold no language (no letter, or no text), also where no label teaches one."""
+    model = language.learned(docs)
+    if not model.labels:  # one language without a name
+        model = language.fit([("a", "")])
+    tagged = language.tag(carried(docs), model)
     return tagged.filter(F.col("lang_pred") != language.UNDECIDED).select("row.*")
 
 

@@ -142,6 +142,14 @@ def test_stage_kept_documents_without_id(spark, tmp_path):
     assert docs.count() == 3
 
 
+@pytest.mark.parametrize("lang", [None, "und"])
+def test_language_stage_without_labels(spark, lang):
+    texts = ["the cat and the dog", "кот", None, "", "12 34", "²³", "x1"]
+    docs = spark.createDataFrame([(i, t, lang, "s", 1, 1.0, "c") for i, t in enumerate(texts)], DOCS)
+    kept = dict(corpus_pipeline.STAGES)["language"](spark, docs, "").collect()
+    assert sorted(x["doc_id"] for x in kept) == [0, 1, 6]
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, name):
     sf = "/root/testdata/sf0.001"

@@ -408,3 +408,15 @@ def test_language_odd(spark):
     assert language.identify(frame(spark, [])).count() == 0
     nothing = language.identify(frame(spark, ["a b", "c"], lang=None)).collect()
     assert [x["lang_pred"] for x in nothing] == ["und", "und"]
+
+
+def test_language_of_long_texts_is_learned(spark):
+    """A language found only in texts over the bound is learned from stretches of them."""
+    long = "1234567 " * 5000 + "der hund und die katze " * 1500
+    rows = [(i, long if i % 2 else "the cat and dog sat", "de" if i % 2 else "en", "x", 1, 1) for i in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    cut = language.training_texts(docs, 2000, 20_000)
+    assert {lang for _, lang in cut} == {"de", "en"} and all(len(t) <= 20_000 for t, _ in cut)
+    assert len({t for t, lang in cut if lang == "de"}) > 1
+    got = language.identify(docs).collect()
+    assert all(x["lang_pred"] == ("de" if x["doc_id"] % 2 else "en") for x in got)

@@ -179,9 +179,12 @@ def fit(texts: list[tuple[str, str]], sequences: int = 5000, length: int = 48, r
 
 
 def training_texts(docs: DataFrame, bound: int, longest: int) -> list[tuple[str, str]]:
-    """(text, language) of about ``bound`` documents of at most ``longest`` characters,
-    spread over the languages; documents whose crc32 of the id is divisible by 5 are held out."""
-    learn = docs.filter(F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
+    """(text, language) of about ``bound`` documents, spread over the languages; of the words of a text
+    over ``longest`` characters a stretch of that size at a place drawn by the id. Documents whose
+    crc32 of the id is divisible by 5 are held out; ``und``, and texts without a letter, teach nothing."""
+    learn = docs.filter(
+        (F.col("lang") != UNDECIDED) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0) & F.col("text").rlike(r"\p{L}")
+    )
     counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return []
@@ -190,7 +193,10 @@ def training_texts(docs: DataFrame, bound: int, longest: int) -> list[tuple[str,
     keep = F.lit(False)
     for lang, n in counts.items():
         keep = keep | ((F.col("lang") == lang) & (draw < int(1_000_000 * min(1.0, each / n))))
-    rows = learn.filter(keep & F.col("text").isNotNull() & (F.length("text") <= longest)).select("doc_id", "text", "lang").collect()
+    words = F.regexp_replace("text", r"[^\p{L}\p{No}\p{Nl}]+", " ")  # so that every stretch holds words
+    start = F.pmod(F.xxhash64("doc_id", F.lit("stretch")), F.greatest(F.length(words) - longest + 1, F.lit(1))) + 1
+    text = F.when(F.length("text") <= longest, F.col("text")).otherwise(F.substring(words, start.cast("int"), F.lit(longest)))
+    rows = learn.filter(keep).select("doc_id", text.alias("text"), "lang").collect()
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
 
 
@@ -256,7 +262,7 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def learned(docs: DataFrame, train_docs: int = 2000, train_longest: int = 20_000) -> Model:
-    """A model fitted on a bounded sample: ``train_docs`` texts of at most ``train_longest`` characters."""
+    """A model fitted on a bounded sample: ``train_docs`` texts, of each at most ``train_longest`` characters."""
     return fit(training_texts(docs, train_docs, train_longest))
 
 
