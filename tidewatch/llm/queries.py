@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import codes, forest, language, leaks, licenses, near, packing, passages, pii, tokens, urls, whitening
+from tidewatch.llm import codes, forest, language, leaks, licenses, near, packing, passages, pii, quality, tokens, urls, whitening
 from tidewatch.llm.common import table
 
 
@@ -97,9 +97,13 @@ def op11_whitened_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings"))[0].drop("label")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_license_scan, op4_token_counts, op5_packing, op6_nearest_vectors, op7_personal_data, op8_language, op9_near_duplicates, op10_url_filter, op11_whitened_vectors, op13_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_license_scan, op4_token_counts, op5_packing, op6_nearest_vectors, op7_personal_data, op8_language, op9_near_duplicates, op10_url_filter, op11_whitened_vectors, op12_quality, op13_vector_codes)}
 ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL}
