@@ -121,6 +121,38 @@ def test_near_classes(spark):
     assert [x["class_id"] for x in got if x["doc_id"] is None] == [None]
 
 
+def test_near_ids_with_several_texts(spark):
+    """All texts of an id count, and an id links the classes of its texts; one row out for each row in."""
+    r = random.Random(6)
+    a, b, c, d = (" ".join(f"{k}{r.randint(0, 9999)}" for _ in range(60)) for k in "abcd")
+    pairs = [(1, a), (2, b), (5, a), (5, b), (7, c)]
+    got = sorted((x["doc_id"], x["class_id"]) for x in near.classes(frame(spark, pairs)).collect())
+    assert got == [(1, 1), (2, 1), (5, 1), (5, 1), (7, 7)]
+    # neither text of 8 has an exact copy; 9 is near to one of them and 3 to the other
+    pairs = [(8, c), (8, d), (8, d), (9, c + " more"), (3, d + " more"), (4, a), (2**61, b), (2**61, a)]
+    got = sorted((x["doc_id"], x["class_id"]) for x in near.classes(frame(spark, pairs)).collect())
+    assert got == [(3, 3), (4, 4), (8, 3), (8, 3), (8, 3), (9, 3), (2**61, 4), (2**61, 4)]
+
+
+def thue_morse(size):
+    word = "a"
+    while len(word) < size:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_words_that_break_weak_hashes(spark, size):
+    """Long words for which every polynomial modulo a power of two has equal values."""
+    one, other = thue_morse(size)
+    rest = [f"w{i}" for i in range(49)]
+    pairs = [(1, " ".join([one, *rest])), (2, " ".join([other, *rest]))]
+    got = {x["doc_id"]: x["n_removed"] for x in passages.remove_repeats(frame(spark, pairs)).collect()}
+    assert got == {1: 0, 2: 0}
+    pairs = [(1, " ".join([one] * 30)), (2, " ".join([other] * 30))]
+    assert {x["class_id"] for x in near.classes(frame(spark, pairs)).collect()} == {1, 2}
+
+
 def test_near_documents(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     got = {x["doc_id"]: x["class_id"] for x in near.classes(rows).collect()}
@@ -415,8 +447,8 @@ def test_language_of_long_texts_is_learned(spark):
     long = "1234567 " * 5000 + "der hund und die katze " * 1500
     rows = [(i, long if i % 2 else "the cat and dog sat", "de" if i % 2 else "en", "x", 1, 1) for i in range(40)]
     docs = spark.createDataFrame(rows, SCHEMA)
-    cut = language.training_texts(docs, 2000, 20_000)
-    assert {lang for _, lang in cut} == {"de", "en"} and all(len(t) <= 20_000 for t, _ in cut)
-    assert len({t for t, lang in cut if lang == "de"}) > 1
+    cut = language.training_texts(docs, 2000, 20_000).collect()
+    assert {x["lang"] for x in cut} == {"de", "en"} and all(len(x["text"]) <= 20_000 for x in cut)
+    assert len({x["text"] for x in cut if x["lang"] == "de"}) > 1
     got = language.identify(docs).collect()
     assert all(x["lang_pred"] == ("de" if x["doc_id"] % 2 else "en") for x in got)

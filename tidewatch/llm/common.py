@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -56,6 +59,29 @@ def per_task(factory: Callable) -> Callable:
     return factory
 
 
+def fitted(sample: DataFrame, fit: Callable[[list[tuple]], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """Arrays that ``fit`` makes of all rows of a bounded sample, in one task; only they come to the driver.
+
+    Rows reach ``fit`` as tuples in the order of their values.
+    """
+    n = len(sample.columns)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        rows = [r for b in batches for r in zip(*[b.column(i).to_pylist() for i in range(n)])]
+        rows.sort(key=lambda r: [(v is not None, v) for v in r])
+        out = io.BytesIO()
+        np.savez(out, **fit(rows))
+        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["arrays"])
+
+    found = sample.repartition(1).mapInArrow(run, "arrays binary").first()
+    if found is None:  # Spark runs no task over a sample that it knows to be empty
+        return fit([])
+    arrays = np.load(io.BytesIO(bytes(found["arrays"])))
+    return {k: arrays[k] for k in arrays.files}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one that ``spark.checkpoint.dir`` names."""
     base = checkpoint_folder(spark)
@@ -117,22 +143,83 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-_BYTE_CODES = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019 + 2 * k)) for k in range(2)]
+#: Spans are hashed by polynomials modulo this prime, so that unequal spans of n words agree with
+#: probability n / PRIME at most, whatever the words.
+PRIME = (1 << 61) - 1
+_P = np.uint64(PRIME)
+# Two bases below the prime, taken at random once.
+_BASES = (0x0B1E5A7C93D4F26B, 0x16C80F3D72A95E41)
 _power_cache: dict[tuple[int, bool], np.ndarray] = {}
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Any uint64 modulo the prime."""
+    x = (x >> np.uint64(61)) + (x & _P)
+    return np.where(x >= _P, x - _P, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime, from halves of 30 and 31 bits."""
+    ah, al = a >> np.uint64(31), a & np.uint64((1 << 31) - 1)
+    bh, bl = b >> np.uint64(31), b & np.uint64((1 << 31) - 1)
+    middle = ah * bl + al * bh
+    high, low = middle >> np.uint64(30), middle & np.uint64((1 << 30) - 1)
+    return _reduced(ah * bh * np.uint64(2) + high + (low << np.uint64(31)) + al * bl)
+
+
+def _running(x: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, .. values modulo the prime; halves are summed apart, as whole values would overflow."""
+    out = np.zeros(len(x) + 1, dtype=np.uint64)
+    high = _reduced(np.cumsum(x >> np.uint64(31), dtype=np.uint64))
+    low = np.cumsum(x & np.uint64((1 << 31) - 1), dtype=np.uint64)
+    out[1:] = _reduced(_times(high, np.full(1, 1 << 31, dtype=np.uint64)) + _reduced(low))
+    return out
+
+
 def _powers(which: int, n: int, inverse: bool = False) -> np.ndarray:
-    """base ** i (or its inverse) modulo 2 ** 64 for i < n."""
-    have = _power_cache.get((which, inverse))
-    if have is None or len(have) < n:
-        base = pow(_BASES[which], -1, 1 << 64) if inverse else _BASES[which]
-        have = np.full(max(n, 1 << 16), base, dtype=np.uint64)
-        have[0] = 1
-        have = _power_cache[which, inverse] = np.multiply.accumulate(have)
+    """base ** i (or its inverse) modulo the prime for i < n, doubled as needed."""
+    have = _power_cache.get((which, inverse), np.ones(1, dtype=np.uint64))
+    base = pow(_BASES[which], -1, PRIME) if inverse else _BASES[which]
+    while len(have) < n:
+        have = np.concatenate([have, _times(have, np.full(1, pow(base, len(have), PRIME), dtype=np.uint64))])
+    _power_cache[which, inverse] = have
     return have[:n]
 
 
+class _WordCodes(dict):
+    """Numbers of words, and for each two values below the prime from a cryptographic hash of the
+    word. Words are remembered up to a bounded number of bytes."""
+
+    LIMIT = 32 << 20
+
+    def __init__(self):
+        super().__init__()
+        self.size = 0
+        self.known = np.zeros((0, 2), dtype=np.uint64)
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        i = self[word] = len(self)
+        self.size += len(word) + 100
+        self.fresh.append(hashlib.blake2b(word, digest_size=16).digest())
+        return i
+
+    def of(self, words: Iterable[bytes], n: int) -> np.ndarray:
+        """(n, 2) values of n words."""
+        if self.size > self.LIMIT:
+            self.__init__()
+            self.clear()
+        at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=n)
+        if self.fresh:
+            new = np.frombuffer(b"".join(self.fresh), dtype=np.uint64).reshape(-1, 2)
+            self.known = np.concatenate([self.known, _reduced(new)])
+            self.fresh = []
+        return self.known[at]
+
+
+_word_codes: list[_WordCodes] = []
+
+
 def words_bytes(text: str) -> list[bytes]:
     """Runs of anything but space, tab, line feed, vertical tab, form feed and carriage return."""
     return text.encode("utf-8", "surrogatepass").split()
@@ -141,32 +228,26 @@ def words_bytes(text: str) -> list[bytes]:
 class Spans:
     """Hashes of spans of words: equal words give equal hashes, wherever they stand.
 
-    A polynomial over the bytes (words joined by one space) is summed once; the hash of
-    a span is a difference of two sums, so it costs the same at every length. Several
-    texts may lie in one buffer; ``first`` and ``stop`` say which words are a text's.
+    A polynomial over the words' values is summed once; the hash of a span is a difference
+    of two sums, so it costs the same at every length. Several texts may lie in one buffer;
+    ``first`` and ``stop`` say which words are a text's.
     """
 
     def __init__(self, texts: list[list[bytes]], which: tuple[int, ...] = (0,)):
-        data = np.frombuffer(b" ".join(b" ".join(t) for t in texts if t), dtype=np.uint8)
-        gaps = np.flatnonzero(data == 32)
-        some = np.ones(1 if len(data) else 0, dtype=np.int64)
-        self.start = np.concatenate((some * 0, gaps + 1))
-        self.end = np.concatenate((gaps, some * len(data)))
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         self.first = np.cumsum(sizes) - sizes
         self.stop = self.first + sizes
-        self.n = len(self.start)
-        self.sums = {}
-        for k in which:
-            s = np.zeros(len(data) + 1, dtype=np.uint64)
-            np.cumsum(_BYTE_CODES[k][data] * _powers(k, len(data)), out=s[1:])
-            self.sums[k] = s
+        self.n = int(sizes.sum())
+        if not _word_codes:
+            _word_codes.append(_WordCodes())  # one for each worker
+        values = _word_codes[0].of(chain.from_iterable(texts), self.n)
+        self.sums = {k: _running(_times(values[:, k], _powers(k, self.n))) for k in which}
 
     def hashes(self, first: np.ndarray, last: np.ndarray, which: int = 0) -> np.ndarray:
         """Hash of the words first..last (inclusive) for each pair, as uint64."""
-        a, z = self.start[first], self.end[last]
         s = self.sums[which]
-        return mix((s[z] - s[a]) * _powers(which, len(s), True)[a] + (z - a).astype(np.uint64))
+        span = _times(_reduced(s[last + 1] + (_P - s[first])), _powers(which, self.n + 1, True)[first])
+        return mix(span + mix((last - first + 1).astype(np.uint64)))
 
     def windows(self, length: int, which: int = 0) -> np.ndarray:
         """Hash of every window of ``length`` words by its start, over the borders of texts too."""

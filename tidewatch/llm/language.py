@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from tidewatch.llm.common import arrow_map, carry_schema, chunks, mix, per_task, texts_of
+from tidewatch.llm.common import arrow_map, carry_schema, chunks, fitted, mix, per_task, texts_of
 
 UNDECIDED = "und"
 BITS = 17
@@ -178,17 +178,15 @@ def fit(texts: list[tuple[str, str]], sequences: int = 5000, length: int = 48, r
     return Model(labels, w, lex, np.exp(a).astype(np.float32), np.exp(s).astype(np.float32))
 
 
-def training_texts(docs: DataFrame, bound: int, longest: int) -> list[tuple[str, str]]:
-    """(text, language) of about ``bound`` documents, spread over the languages; of the words of a text
+def training_texts(docs: DataFrame, bound: int, longest: int) -> DataFrame:
+    """doc_id, text and language of about ``bound`` documents, spread over the languages; of the words of a text
     over ``longest`` characters a stretch of that size at a place drawn by the id. Documents whose
     crc32 of the id is divisible by 5 are held out; ``und``, and texts without a letter, teach nothing."""
     learn = docs.filter(
         (F.col("lang") != UNDECIDED) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0) & F.col("text").rlike(r"\p{L}")
     )
     counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return []
-    each = max(20, bound // len(counts))
+    each = bound / max(1, len(counts))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     keep = F.lit(False)
     for lang, n in counts.items():
@@ -196,8 +194,7 @@ def training_texts(docs: DataFrame, bound: int, longest: int) -> list[tuple[str,
     words = F.regexp_replace("text", r"[^\p{L}\p{No}\p{Nl}]+", " ")  # so that every stretch holds words
     start = F.pmod(F.xxhash64("doc_id", F.lit("stretch")), F.greatest(F.length(words) - longest + 1, F.lit(1))) + 1
     text = F.when(F.length("text") <= longest, F.col("text")).otherwise(F.substring(words, start.cast("int"), F.lit(longest)))
-    rows = learn.filter(keep).select("doc_id", text.alias("text"), "lang").collect()
-    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
+    return learn.filter(keep).select("doc_id", text.alias("text"), "lang")
 
 
 def tag(docs: DataFrame, model: Model) -> DataFrame:
@@ -262,8 +259,14 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def learned(docs: DataFrame, train_docs: int = 2000, train_longest: int = 20_000) -> Model:
-    """A model fitted on a bounded sample: ``train_docs`` texts, of each at most ``train_longest`` characters."""
-    return fit(training_texts(docs, train_docs, train_longest))
+    """A model fitted, in one task, on a bounded sample: about ``train_docs`` texts, of each at most ``train_longest`` characters."""
+
+    def arrays_of(rows):
+        m = fit([(text, lang) for _, text, lang in rows])
+        return {"labels": np.array(m.labels, dtype=str), "weights": m.weights, "lexicon": m.lexicon, "trans": m.trans, "start": m.start}
+
+    a = fitted(training_texts(docs, train_docs, train_longest), arrays_of)
+    return Model(a["labels"].tolist(), a["weights"], a["lexicon"], a["trans"], a["start"])
 
 
 def identify(docs: DataFrame, train_docs: int = 2000, train_longest: int = 20_000) -> DataFrame:

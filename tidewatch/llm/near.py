@@ -205,28 +205,60 @@ def similar_prefixes(texts: DataFrame, similar: float) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def one_node_per_text(known: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id and text with a doc_id of its own for each text, and the pairs (doc_id, b) of
+    ids that were given out to further texts of a document; None where no id has several texts.
+
+    The smallest text keeps the id. Given-out ids lie beyond all others.
+    """
+    again = written(known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id"))
+    if again.isEmpty():
+        return known, None
+    texts = known.join(again, "doc_id", "left_semi").distinct()
+    firsts = texts.groupBy("doc_id").agg(F.min("text").alias("_first"))
+    ends = known.agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).first()
+    number = F.monotonically_increasing_id()
+    node = F.lit(ends["most"] + 1) + number if ends["most"] < 1 << 62 else F.lit(ends["least"] - 1) - number
+    further = written(texts.join(firsts, "doc_id").filter("text <> _first").select("doc_id", "text", node.alias("b")))
+    renamed = known.join(further, ["doc_id", "text"], "left").select(F.coalesce("b", "doc_id").alias("doc_id"), "text")
+    return written(renamed.distinct()), further.select("doc_id", "b")
+
+
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """doc_id and class_id (the smallest id of its class) of every row.
+    """doc_id and class_id (the smallest id of its class) of every row, one row for each row of ``docs``.
 
     Documents are linked if their shingle multisets have a weighted Jaccard similarity
     of ``similar`` or more; classes are the connected components. Rows with the same
     words are linked outright. A text without words (also NULL) is a class of its own;
-    a NULL id has no class (NULL); rows that repeat an id are one document.
+    a NULL id has no class (NULL). Rows that repeat an id are one document, whatever
+    their texts: each of them is compared, and all are in one class.
     """
     docs = one_text_per_id(docs)
-    known = docs.filter(F.col("doc_id").isNotNull())
+    every = docs.select("doc_id")
+    known, further = one_node_per_text(docs.filter(F.col("doc_id").isNotNull()))
     signed_docs = written(signatures(known))
     groups = signed_docs.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     copies = signed_docs.select("doc_id", "k1", "k2").join(groups, ["k1", "k2"]).filter("doc_id > rep").select("doc_id", "rep")
     keys = signed_docs.select("doc_id", F.explode("bands").alias("bucket")).join(copies.select("doc_id").distinct(), "doc_id", "left_anti").distinct()
     shared = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = written(keys.join(shared.select("bucket"), "bucket"))
+    # equal rows of an id are one text
     texts = written(known.dropDuplicates(["doc_id"]).join(buckets.select("doc_id").distinct(), "doc_id", "left_semi"))
 
     # each document meets one bucket's first document, so most classes form at once
     first = buckets.groupBy("bucket").agg(F.min("doc_id").alias("a"))
     pairs = buckets.join(first, "bucket").filter("doc_id > a").groupBy(F.col("doc_id").alias("b")).agg(F.min("a").alias("a"))
-    tested = written(verified(pairs.select("a", "b"), texts))
+    tested = verified(pairs.select("a", "b"), texts)
+    if further is not None:
+        # the texts of one id are linked, through the first copies of their words
+        first_copy = copies.distinct()
+        ends = further.select(F.col("doc_id").alias("x"), F.col("b").alias("y"))
+        for end, name in (("x", "a"), ("y", "b")):
+            ends = ends.join(first_copy.select(F.col("doc_id").alias(end), F.col("rep").alias(name)), end, "left").withColumn(name, F.coalesce(name, end))
+        same = ends.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(1.0).alias("similarity"))
+        tested = tested.unionByName(same).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    tested = written(tested)
+
     def classes_of(pairs_tested: DataFrame) -> tuple[DataFrame, DataFrame]:
         links = pairs_tested.filter(F.col("similarity") >= similar).select("a", "b")
         found = connected_components(links, "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("class"))
@@ -258,6 +290,6 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     if not pairs.isEmpty():
         labels = classes_of(tested.unionByName(written(verified(pairs, texts))))[1]
 
-    result = docs.select("doc_id").join(copies.distinct(), "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    result = every.join(copies.distinct(), "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     result = result.join(labels.select(F.col("doc_id").alias("rep"), "class"), "rep", "left")
     return result.select("doc_id", F.coalesce("class", "rep").alias("class_id"))

@@ -19,7 +19,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidewatch.llm.common import arrow_map, carry_schema, is_carried, per_task, texts_of
+from tidewatch.llm.common import arrow_map, carry_schema, fitted, is_carried, per_task, texts_of
 from tidewatch.llm.language import forward_backward
 
 #: The base kinds, in the order in which spans are listed.
@@ -270,12 +270,12 @@ def added_spans(text: str, t: Tokens, p: np.ndarray, base: list[tuple[str, int,
     return trimmed
 
 
-def training_texts(docs: DataFrame, bound: int, longest: int) -> list[str]:
+def training_texts(docs: DataFrame, bound: int, longest: int) -> DataFrame:
     """About ``bound`` texts of at most ``longest`` characters, chosen by their id's hash."""
     n = docs.count()
     share = int(1_000_000 * min(1.0, bound / n)) if n else 0
     rows = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).filter(F.col("text").rlike("[0-9@+]") & (F.length("text") <= longest))
-    return sorted(r["text"] for r in rows.select("text").collect())
+    return rows.select("text")
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
@@ -291,8 +291,14 @@ def find(docs: DataFrame, train_docs: int = 4000, train_longest: int = 20_000, s
     the digest of the empty string); repeated rows are judged each for itself. The field
     is fitted on a bounded sample (``train_docs``, ``train_longest``) and run on all rows.
     """
-    learned = fit(training_texts(docs.select("row.*") if is_carried(docs) else docs, train_docs, train_longest))
-    arrays = docs.sparkSession.sparkContext.broadcast((learned.weights, learned.trans, learned.skip))
+
+    def arrays_of(rows):
+        field = fit([text for text, in rows])
+        return {"weights": field.weights, "trans": field.trans, "skip": field.skip}
+
+    sample = training_texts(docs.select("row.*") if is_carried(docs) else docs, train_docs, train_longest)
+    learned = fitted(sample, arrays_of)
+    arrays = docs.sparkSession.sparkContext.broadcast((learned["weights"], learned["trans"], learned["skip"]))
 
     @per_task
     def factory():

@@ -12,7 +12,6 @@ a bounded sample of them, and its arrays come back.
 
 from __future__ import annotations
 
-import io
 import zlib
 from dataclasses import dataclass
 
@@ -20,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
-from tidewatch.llm.common import chunks
+from tidewatch.llm.common import chunks, fitted
 from tidewatch.llm.vectors import batch_map
 
 BITS = 16
@@ -205,18 +204,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int) ->
 def learned(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = 2000) -> Machine:
     """A machine fitted in one task on the features of at most ``bound`` documents of each label."""
 
-    def run(batches):
-        table = [r for batch in batches for r in zip(*[batch.column(i).to_pylist() for i in range(5)])]
-        table.sort(key=lambda r: r[0])
+    def arrays_of(table):
         rows = [(np.array(a, dtype=np.int64), np.array(v)) for *_, a, v in table]
         m = fit(rows, np.array([r[1] for r in table], dtype=float), np.array([r[2] for r in table], dtype=float))
-        out = io.BytesIO()
-        np.savez(out, bias=np.array(m.bias), linear=m.linear, factors=m.factors.astype(np.float32))
-        yield {"model": [out.getvalue()]}
+        return {"bias": np.array(m.bias), "linear": m.linear, "factors": m.factors.astype(np.float32)}
 
-    sample = training_rows(docs, labels, label, bound)
-    data = batch_map(sample.coalesce(1), run, StructType.fromDDL("model binary")).first()["model"]
-    arrays = np.load(io.BytesIO(bytes(data)))
+    arrays = fitted(training_rows(docs, labels, label, bound), arrays_of)
     return Machine(float(arrays["bias"]), arrays["linear"], arrays["factors"].astype(np.float64))
 
 
