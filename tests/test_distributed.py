@@ -2,11 +2,13 @@
 
 import itertools
 import random
+from decimal import Decimal
 
 import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
 
+from tidewatch.functions.order import with_order_key
 from tidewatch.operators import components, entity as er, explain as ex, sampling
 from tidewatch.operators.neighbours import with_neighbours
 from tidewatch.operators.percentiles import percentiles
@@ -32,8 +34,8 @@ def test_percentiles_equal_numpy(spark, seed, values):
     rows = [("a" if rng.random() < 0.7 else "b", float(rng.integers(values))) for _ in range(1500)]
     df = spark.createDataFrame([*rows, ("c", None)], "g string, v double")
     probs = {f"p{int(p * 100)}": p for p in (0, 0.1, 0.5, 0.77, 1)}
-    got = {r["g"]: r for r in percentiles(df, ["g"], "v", probs, ranges=8).collect()}
-    disc = {r["g"]: r for r in percentiles(df, ["g"], "v", probs, "discrete", few_groups=True).collect()}
+    got = {r["g"]: r for r in percentiles(df, ["g"], "v", probs).collect()}
+    disc = {r["g"]: r for r in percentiles(df, ["g"], "v", probs, "discrete", few_groups=True, count_first=False).collect()}
     assert set(got) == {"a", "b"}
     for g in got:
         vals = np.array([v for k, v in rows if k == g])
@@ -195,12 +197,57 @@ def test_join_report_with_nulls(spark):
     assert (r["left_rows"], r["joined_rows"], r["left_unique_keys"], r["left_unmatched"], r["match_rate_left"]) == (4, 4, 2, 1, 75.0)
 
 
-def test_sides_are_not_one_task(spark):
-    """A hot group is worked on in several (group, range) windows."""
-    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select(F.col("l_linestatus").alias("g"), F.col("l_extendedprice").alias("v"))
-    plan = percentiles(df, ["g"], "v", {"m": 0.5})._jdf.queryExecution().executedPlan().toString()
-    windows = [line for line in plan.splitlines() if "Exchange hashpartitioning(g" in line and "_range" in line]
-    assert windows and "windowspecdefinition(g" in plan
+def largest_task(spark, run):
+    """Most shuffle records that one task read while ``run`` ran."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    lists = spark._jvm.scala.jdk.javaapi.CollectionConverters
+    stages = lambda: {s.stageId(): s for s in lists.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None))}
+    before = set(stages())
+    run()
+    most = 0
+    for i, s in stages().items():
+        if i not in before:
+            for t in lists.asJava(store.taskList(i, s.attemptId(), 100_000)):
+                if t.taskMetrics().isDefined():
+                    most = max(most, t.taskMetrics().get().shuffleReadMetrics().recordsRead())
+    return most
+
+
+@pytest.mark.parametrize("count_first", [True, False])
+def test_percentile_tasks_do_not_grow(spark, count_first):
+    """One group of nearly distinct values: no task reads rows in proportion to its size."""
+    most = []
+    for n in (100_000, 1_000_000):
+        df = spark.range(n).select(F.lit("g").alias("g"), (F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / 7 + 1).alias("v"))
+        most.append(largest_task(spark, percentiles(df, ["g"], "v", {"m": 0.5, "q": 0.9}, count_first=count_first, few_groups=True).collect))
+    assert most[1] < (1_000_000 / 6 if count_first else 60_000)
+
+
+def test_order_key(spark):
+    import struct
+
+    rng = random.Random(8)
+    doubles = [struct.unpack("<d", rng.randbytes(8))[0] for _ in range(3000)] + [rng.uniform(-9, 9) for _ in range(500)]
+    doubles += [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, float("inf"), float("-inf"), 1.0, 2.0, 4.0, 1 - 2**-53]
+    doubles += [2.0**e for e in range(-1074, 1024)] + [-(2.0**e) * (1 + 2**-52) for e in range(-1022, 1024)] + [2.0**e * (1 - 2**-53) for e in range(-1000, 1024)]
+    doubles = [d for d in doubles if d == d]
+    rows = with_order_key(spark.createDataFrame([(d,) for d in doubles], "d double"), "d", "k").collect()
+    for r in rows:
+        bits = struct.unpack("<q", struct.pack("<d", abs(r["d"])))[0]
+        assert r["k"] == (-bits if r["d"] < 0 else bits)
+    assert with_order_key(spark.createDataFrame([(float("nan"),)], "d double"), "d", "k").first()["k"] == (1 << 63) - 1
+
+
+def test_percentiles_of_other_types(spark):
+    rng = random.Random(4)
+    rows = [(Decimal(rng.randrange(-500, 500)).scaleb(-2), rng.randrange(-9, 9), Decimal(rng.randrange(10**20)).scaleb(-3)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "a decimal(12,2), b int, c decimal(25,3)")
+    for i, c in enumerate("abc"):
+        got = percentiles(df, [], c, {"m": 0.5, "z": 1.0, "s": 0.01}, "discrete").first()
+        values = sorted(r[i] for r in rows)
+        assert (got["m"], got["z"], got["s"]) == (values[199], values[-1], values[3])
+    assert percentiles(df.filter("false"), [], "a", {"m": 0.5}).first()["m"] is None
+    assert percentiles(df.filter("false"), ["b"], "a", {"m": 0.5}).count() == 0
 
 
 def test_task_helpers_travel_by_value(tmp_path):

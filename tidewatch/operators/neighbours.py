@@ -13,7 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewatch.operators.sizes import pieces
+#: Rows that one range should hold, over all entities, and the bounds of the number of ranges.
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 1 << 20, 64, 1024
 
 
 def _count_below(c: Column, edges: Sequence, strict: bool) -> Column:
@@ -31,11 +32,12 @@ def _count_below(c: Column, edges: Sequence, strict: bool) -> Column:
     return search(0, len(edges))
 
 
-def range_cuts(df: DataFrame, value: str, tie: str, ranges: int = 64) -> tuple[Column, Column]:
+def range_cuts(df: DataFrame, value: str, tie: str, ranges: int | None = None) -> tuple[Column, Column]:
     """Two columns that split the order (value, tie) into ranges.
 
     The edges are a bounded sketch (``ranges`` numbers) read to the driver.
     """
+    ranges = ranges or max(LEAST_RANGES, min(MOST_RANGES, df.count() // RANGE_ROWS))
     steps = [i / ranges for i in range(1, ranges)]
     marks = df.agg(
         F.percentile_approx(F.col(value).cast("double"), steps, 10 * ranges).alias("v"),
@@ -64,9 +66,9 @@ def with_neighbours(
     """Adds ``prev`` and ``next`` structs of ``carry`` in (value, tie) order.
 
     ``tie`` starts with a numeric column; rows with a NULL value come first. The
-    number of ranges follows the size of the input.
+    number of ranges follows the counted rows.
     """
-    main, sub = range_cuts(df, value, tie[0], ranges or pieces(df, 64, 1024))
+    main, sub = range_cuts(df, value, tie[0], ranges)
     df = df.withColumns({"_r": F.coalesce(main, F.lit(-1)), "_s": F.coalesce(sub, F.lit(0))})
     order = [value, *tie]
     inside = Window.partitionBy(entity, "_r", "_s").orderBy(*order)

@@ -1,9 +1,10 @@
-"""Exact percentiles per group without holding a group in one task.
+"""Exact percentiles per group by radix selection.
 
-Values are counted first (a map-side combine), then cut into ranges by the edges
-of a bounded sketch. The ranges, a few rows per group, are cumulated to see which
-of them hold the wanted positions; only those ranges are sorted. A group with a
-third of all rows is worked on by many tasks, and most of it is never moved.
+Values become 64-bit keys in the same order. Rows are counted by the leading bits of the
+key, the buckets that hold a wanted position are found by cumulating those counts, and
+only rows of these buckets are counted by the next bits, and at last by value. A round
+counts at most 2^22 buckets for each group or bucket it descends into, whatever the number
+of rows, so no group is held or sorted in one task, and no sketch or estimate is used.
 """
 
 from __future__ import annotations
@@ -12,12 +13,15 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewatch.operators.sizes import pieces
+from tidewatch.functions.order import with_order_key
+
+#: Bits of the key that the second and the third round resolve; the first takes the rest.
+SECOND, THIRD = 21, 21
 
 
 def _indexes(probs: Mapping[str, float], method: str) -> list[tuple[str, Column]]:
     """(output, 0-based position among the sorted rows) for every probability."""
-    total = F.col("total")
+    total = F.col("_total")
     out = []
     for name, p in probs.items():
         if method == "discrete":
@@ -36,59 +40,58 @@ def percentiles(
     value: str,
     probs: Mapping[str, float],
     method: str = "linear",
-    ranges: int | None = None,
     few_groups: bool = False,
+    count_first: bool = True,
 ) -> DataFrame:
-    """One row per group and one column per named probability.
+    """One row per group and one column per named probability; NULL values do not count.
 
     ``linear`` interpolates between neighbours; ``discrete`` takes the smallest
     value that covers the share. ``few_groups`` says that the number of groups is
-    bounded by the caller (such as one per listed feature), so that the per-group
-    tables are broadcast. The number of ranges follows the size of the input.
+    bounded by the caller (such as one per listed feature), so that the buckets of each round,
+    at most two for each group and probability, are broadcast. With ``count_first`` the
+    distinct values are counted once and all rounds share that shuffle; without it
+    ``df`` is read in each of the three rounds and nothing of its size is shuffled, which
+    suits a plain scan with nearly as many values as rows.
     """
-    ranges = ranges or pieces(df, 32)
     by = list(by)
-    small = F.broadcast if few_groups else (lambda d: d)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    steps = [i / ranges for i in range(1, ranges)]
-    # the total keeps ``n`` in this branch, so that all branches share one shuffle
-    edges = counts.groupBy(*by).agg(
-        F.percentile_approx(F.col(value).cast("double"), steps, 20 * ranges).alias("_edges"),
-        F.sum("n").alias("total"),
-    )
-    if by:
-        counts = counts.join(small(edges), by)
+    small = F.broadcast if few_groups or not by else (lambda d: d)
+    rows = df.filter(F.col(value).isNotNull())
+    if count_first:
+        rows = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     else:
-        row = edges.first()  # one sketch for the whole table, inlined
-        marks = F.array(*[F.lit(float(m)) for m in row["_edges"] or []]).cast("array<double>")
-        counts = counts.withColumns({"_edges": marks, "total": F.lit(row["total"] or 0)})
-    cut = counts.withColumn(
-        "_range", F.size(F.filter("_edges", lambda e: e < F.col(value).cast("double")))
-    ).drop("_edges")
+        rows = rows.select(*by, value, F.lit(1).cast("long").alias("n"))
+    bits = {
+        "_k1": F.shiftright("_key", SECOND + THIRD),
+        "_k2": F.shiftright("_key", THIRD).bitwiseAND(F.lit((1 << SECOND) - 1)),
+    }
+    rows = with_order_key(rows, value, "_key").withColumns(bits).drop("_key")
     wanted = _indexes(probs, method)
-
-    # which ranges hold a wanted position
-    sums = cut.groupBy(*by, "_range", "total").agg(F.sum("n").alias("_rows"))
-    # at most ``ranges`` rows per group
-    along = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
-    before = sums.withColumn("_before", F.sum("_rows").over(along) - F.col("_rows"))
-    hit = F.lit(False)
+    holds = F.lit(False)
     for _, index in wanted:
-        hit = hit | ((index >= F.col("_before")) & (index < F.col("_before") + F.col("_rows")))
-    need = before.filter(hit).select(*by, "_range", "_before")
+        holds = holds | ((index >= F.col("_before")) & (index < F.col("_before") + F.col("_rows")))
+
+    def cumulated(within: Sequence[str], order: str) -> Column:
+        along = Window.partitionBy(*(within or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return F.sum("_rows").over(along) - F.col("_rows")
+
+    first = rows.groupBy(*by, "_k1").agg(F.sum("n").alias("_rows"))
+    whole = F.sum("_rows").over(Window.partitionBy(*(by or [F.lit(0)])))
+    first = first.withColumns({"_before": cumulated(by, "_k1"), "_total": whole}).filter(holds).select(*by, "_k1", "_before", "_total")
+
+    inside = [*by, "_k1"]
+    second = rows.join(small(first), inside).groupBy(*inside, "_k2", "_total", F.col("_before").alias("_start")).agg(F.sum("n").alias("_rows"))
+    second = second.withColumn("_before", F.col("_start") + cumulated(inside, "_k2")).filter(holds).select(*inside, "_k2", "_before", "_total")
 
-    inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    rows = cut.join(small(need), [*by, "_range"]).withColumn("_upto", F.col("_before") + F.sum("n").over(inside))
-    # the value at a position is the smallest one that more rows than it lie up to
-    at = [
-        F.min(F.when((F.col("_upto") > i) & (F.col("_upto") - F.col("n") <= i), F.col(value))).alias(name) for name, i in wanted
-    ]
-    out = rows.groupBy(*by).agg(*at, F.max("total").alias("total"))
+    inside = [*inside, "_k2"]
+    third = rows.join(small(second), inside).groupBy(*inside, value, "_total", F.col("_before").alias("_start")).agg(F.sum("n").alias("_rows"))
+    third = third.withColumn("_before", F.col("_start") + cumulated(inside, value))
+    at = [F.min(F.when((index >= F.col("_before")) & (index < F.col("_before") + F.col("_rows")), F.col(value))).alias(name) for name, index in wanted]
+    out = third.groupBy(*by).agg(*at, F.max("_total").alias("_total"))
     if method == "discrete":
-        return out.drop("total")
+        return out.drop("_total")
     cols = []
     for name, p in probs.items():
-        spot = (F.col("total") - 1) * F.lit(float(p))
+        spot = (F.col("_total") - 1) * F.lit(float(p))
         low, high = F.col(f"_l_{name}"), F.col(f"_h_{name}")
         cols.append((low + (high - low) * (spot - F.floor(spot))).cast("double").alias(name))
     return out.select(*by, *cols)

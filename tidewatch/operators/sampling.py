@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidewatch.operators.sizes import pieces
+#: Rows of a slice, about.
+SLICE_ROWS = 1 << 16
 
 
 def stratified_cap(df: DataFrame, key: str, row_id: str, max_rows: int, seed: int = 0, slice_bits: int | None = None) -> DataFrame:
@@ -13,14 +14,15 @@ def stratified_cap(df: DataFrame, key: str, row_id: str, max_rows: int, seed: in
     Rows are taken in the order of a hash of ``row_id``. The hash is cut into
     slices: whole slices below a key's quota are kept, whole slices above it are
     dropped, and only the slice at the quota is sorted. A key with a third of all
-    rows is therefore never in one task. The number of slices follows the size of the input.
+    rows is therefore never in one task. The number of slices follows the
+    counted rows.
     """
-    slice_bits = slice_bits or (pieces(df, 64, 1 << 16) - 1).bit_length()
+    total = df.count()
+    slice_bits = slice_bits or max(6, (total // SLICE_ROWS).bit_length())
     h = F.xxhash64(F.lit(seed), F.col(row_id))
     # the top bits of a signed hash order the slices as the hash does
     rows = df.withColumns({"_h": h, "_s": F.shiftright(h, 64 - slice_bits)})
     sizes = rows.groupBy(key, "_s").agg(F.count(F.lit(1)).alias("_n"))
-    total = df.count()
     if total <= max_rows:
         return df
     per_key = Window.partitionBy(key)
