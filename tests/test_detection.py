@@ -47,6 +47,20 @@ def test_suppression(spark):
     assert rk.suppress(df, "e", "k", "t", -1).filter("is_suppressed").count() == 0
 
 
+def test_suppression_runs_from_the_last_emitted(spark):
+    """A chain that fires every 20 days with a period of 50 is heard on days 0, 60, 120, ..."""
+    start = dt.datetime(2024, 1, 1, 9)
+    rows = [("e", "p", start + dt.timedelta(days=20 * i, minutes=m), 10 * i + m) for i in range(12) for m in (0, 5)]
+    rows += [(None, "p", start, 900), (None, "p", start + dt.timedelta(days=50), 901), (None, "p", start + dt.timedelta(days=51), 902), ("e", "q", None, 903)]
+    df = spark.createDataFrame(rows, "e string, k string, t timestamp, id int")
+    got = {r["id"] for r in rk.suppress(df, "e", "k", "t", 50, tie=["id"]).filter("NOT is_suppressed").collect()}
+    assert got == {0, 30, 60, 90, 900, 902, 903}
+    # periods of their own: -1 is always heard and counts as emitted
+    df = df.withColumn("d", F.when(F.col("id") == 105, -1).otherwise(50))
+    got = {r["id"] for r in rk.suppress(df, "e", "k", "t", F.col("d"), tie=["id"]).filter("NOT is_suppressed AND k = 'p' AND e IS NOT NULL").collect()}
+    assert got == {0, 30, 60, 90, 105}
+
+
 def test_stability_of_equal_sets(spark):
     df = spark.range(1000).select(F.col("id").cast("double").alias("x"), F.lit(0.0).alias("zero"), F.lit(7.0).alias("same"))
     assert {r["feature"]: r["csi"] for r in drift.csi(df, df, ["x", "zero", "same"]).collect()} == {"x": 0.0, "same": 0.0}

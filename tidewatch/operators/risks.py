@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 @dataclass(frozen=True)
@@ -116,17 +116,40 @@ def label_lookup(labels: Mapping[str, str], feature: Column) -> Column:
     return F.create_map(*pairs)[feature]
 
 
-def suppress(alerts: DataFrame, entity: str, key: str, ts: str, days: Column | int, rule: str | None = None) -> DataFrame:
-    """Flags alerts whose (entity, key) fired within ``days`` before, by the same rule if one is named.
+def suppress(
+    alerts: DataFrame, entity: str, key: str, ts: str, days: Column | int, rule: str | None = None, tie: Sequence[str] = ()
+) -> DataFrame:
+    """Flags alerts whose (entity, key) was last *emitted* at most ``days`` before, by the same rule if one is named.
+
+    The period runs from the last emitted alert, not from the last one that fired: an entity
+    that fires every month with a period of 90 days is heard again after 90 days. Of several
+    alerts of one day the first by time (then by ``tie``) is the one emitted; alerts equal in
+    both are treated alike. A negative period turns suppression off for its alerts; an alert
+    without key or time is never suppressed.
 
-    A negative period turns suppression off. Groups are an entity's alerts with
-    one pattern: at most one per period and rule.
+    The scan is over days: alerts are first reduced to one entry for each group, day and period, so
+    a group's list is bounded by the calendar, whatever the number of its alerts.
     """
     days = F.lit(days) if isinstance(days, int) else days
-    earlier = F.lag(ts).over(Window.partitionBy(entity, key, *([rule] if rule else [])).orderBy(ts))
-    gap = F.datediff(F.col(ts), earlier)
-    near = (days >= 0) & (gap <= days) & F.col(key).isNotNull()
-    return alerts.withColumn("is_suppressed", F.coalesce(near, F.lit(False)))
+    keys = [entity, key, *([rule] if rule else [])]
+    rows = alerts.withColumns({"_days": days.cast("int"), "_day": F.to_date(ts), "_at": F.struct(ts, *tie)})
+    known = rows.filter(F.col(key).isNotNull() & F.col("_day").isNotNull() & F.col("_days").isNotNull())
+    entries = known.groupBy(*keys, "_day", "_days").agg(F.min("_at").alias("_at"))
+    lists = entries.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "_day", "_days"))).alias("_list"))
+    kind = rows.schema["_at"].dataType.simpleString()
+    nothing = F.struct(F.lit(None).cast("date").alias("last"), F.array().cast(f"array<{kind}>").alias("out"))
+
+    def step(state: Column, e: Column) -> Column:
+        near = (e["_days"] >= 0) & state["last"].isNotNull() & (F.datediff(e["_day"], state["last"]) <= e["_days"])
+        emit = F.struct(e["_day"].alias("last"), F.array_append(state["out"], e["_at"]).alias("out"))
+        return F.when(near, state).otherwise(emit)
+
+    emitted = lists.select(*[F.col(k).alias(f"_{k}") for k in keys], F.explode(F.aggregate("_list", nothing, step, lambda s: s["out"])).alias("_first")).distinct()
+    same = F.col("_at") == F.col("_first")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    hidden = F.col("_first").isNull() & F.col(key).isNotNull() & F.col("_day").isNotNull() & (F.col("_days") >= 0)
+    return rows.join(emitted, same, "left").select(*alerts.columns, F.coalesce(hidden, F.lit(False)).alias("is_suppressed"))
 
 
 def build_alerts(risks: DataFrame, entity: str, created: str, window: str | None = None) -> DataFrame:

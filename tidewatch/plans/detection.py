@@ -112,7 +112,7 @@ def risks(spark, sf):
 
 
 def suppressed(spark, sf):
-    return rk.suppress(risks(spark, sf), ENTITY, "suppression_identifier", "year_month", F.col("suppression_days"), "risk_id")
+    return rk.suppress(risks(spark, sf), ENTITY, "suppression_identifier", "year_month", F.col("suppression_days"), "risk_id", ["tr_id"])
 
 
 def _case(mapping: dict[str, str], expr: str) -> str:
@@ -129,6 +129,11 @@ risks AS (
   FROM scored WHERE algo_score >= 0.5 AND year_month > DATE '1997-01-01'
   UNION ALL SELECT tr_id, customer_id, year_month, 'record_turnover', 'record_turnover', 'default', 27.0, 'Rule', NULL, -1
   FROM scored WHERE sum_trx > 400000 AND sum_trx >= (SELECT max(b.sum_trx) FROM acts b WHERE b.customer_id = scored.customer_id)),
-flagged AS (SELECT *, coalesce(suppression_days >= 0 AND suppression_identifier IS NOT NULL AND
-  date_diff('day', lag(year_month) OVER (PARTITION BY customer_id, suppression_identifier, risk_id ORDER BY year_month), year_month) <= suppression_days, false) AS is_suppressed
-  FROM risks)"""
+flagged AS (
+  WITH RECURSIVE fired AS (SELECT DISTINCT customer_id, risk_id, suppression_identifier AS k, suppression_days AS d, year_month AS m
+    FROM risks WHERE suppression_days >= 0 AND suppression_identifier IS NOT NULL),
+  emitted AS (SELECT customer_id, risk_id, k, min(m) AS m FROM fired GROUP BY 1, 2, 3
+    UNION ALL SELECT f.customer_id, f.risk_id, f.k, min(f.m) FROM emitted e JOIN fired f ON f.customer_id = e.customer_id AND f.risk_id = e.risk_id AND f.k = e.k
+      AND date_diff('day', e.m, f.m) > f.d GROUP BY 1, 2, 3)
+  SELECT r.*, r.suppression_days >= 0 AND r.suppression_identifier IS NOT NULL AND e.m IS NULL AS is_suppressed
+  FROM risks r LEFT JOIN emitted e ON e.customer_id = r.customer_id AND e.risk_id = r.risk_id AND e.k = r.suppression_identifier AND e.m = r.year_month)"""
