@@ -170,6 +170,42 @@ def test_cluster_equals_whole_graph_search(spark):
     assert {r["profile"] for r in out} == {m for m, (_, c) in best.items() if sizes[c] > 1}
 
 
+def _addresses(rng, n, letters="abcdefghijklmnopqrstuvwxyz0123456789 .,-ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+    return ["".join(rng.choice(letters) for _ in range(rng.randint(12, 30))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("swaps", [False, True])
+def test_pairs_under_one_name_equal_all_pairs(spark, swaps):
+    """The index of grams loses no pair, also of short, empty, repetitive and edited addresses."""
+    rng = random.Random(11)
+    base = _addresses(rng, 12, "abcd1 ")
+    texts = base + ["", "a", "ab", "ba", "aaaaaaaa", "aaaaaab", "abababab", "babababa"] + _addresses(rng, 10)
+    for _ in range(90):
+        t = list(rng.choice(base))
+        for _ in range(rng.randint(1, 6)):
+            i = rng.randrange(len(t))
+            what = rng.random()
+            if what < 0.3:
+                t[i] = rng.choice("abcdxyz")
+            elif what < 0.5:
+                t.insert(i, rng.choice("abcdxyz"))
+            elif what < 0.7 and len(t) > 2:
+                del t[i]
+            elif i:
+                t[i - 1], t[i] = t[i], t[i - 1]
+        texts.append("".join(t))
+    people = spark.createDataFrame([(i, "one name", t) for i, t in enumerate(sorted(set(texts)))], "profile long, normalized_name string, AD string")
+    none = spark.createDataFrame([], "text_a string, text_b string")
+    got, want = ({tuple(r) for r in er.score_pairs(people, none, transpositions=swaps, few=few).collect()} for few in (10, 10_000))
+    assert got == want and len(want) > 100
+
+
+def test_a_common_name_costs_less_than_all_pairs(spark):
+    n = 20_000
+    rows = spark.createDataFrame([("name", i, a) for i, a in enumerate(_addresses(random.Random(12), n))], "k string, profile long, AD string")
+    assert er.near_texts(rows, "k", "profile", "AD", 0.6).count() < 0.01 * n * n / 2
+
+
 def test_packed_pages(spark):
     rows = spark.range(25).select(F.lit("a").alias("k"), F.col("id").cast("string").alias("cn"), F.lit(1).alias("c")).unionByName(
         spark.createDataFrame([("b", "x", 2)], "k string, cn string, c int")

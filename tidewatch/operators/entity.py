@@ -173,6 +173,59 @@ def damerau_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - F.try_divide(dist(a, b), longest))
 
 
+#: Profiles of one name that are compared all with all; larger names go through an index of grams.
+FEW_PROFILES = 256
+#: Grams known as common, so that an index prefers the others.
+COMMON_GRAMS = 1000
+
+
+def _pair_keys(tokens: Column) -> Column:
+    """One hash for each pair of tokens."""
+    following = lambda x, i: F.transform(F.slice(tokens, i + 2, F.size(tokens)), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))
+    return F.flatten(F.transform(tokens, following))
+
+
+def near_texts(rows: DataFrame, key: str, id: str, text: str, least: float, lost: int = 2, block_size: int = 2000) -> DataFrame:
+    """(id, id_b): under each key, the pairs of rows whose texts can have a similarity of ``least`` or more.
+
+    A text r with d distinct two-letter grams keeps at least d - ``lost`` * k of them after k edits, and
+    k is at most (1 - least) times the longer text. So the longer text shares a pair of grams with the
+    shorter one, and one even among its first ``lost`` * k + 2 grams, in an order that puts common grams
+    last. Pairs meet by the hash of two grams; where only one gram must be shared, by that
+    one; texts of which none must be shared (very short or repetitive ones) are compared with
+    all that are not longer, in blocks. No pair is lost.
+    """
+    size = F.length(text)
+    grams = rows.select(F.col(key).alias("_key"), F.col(id).alias("_id"), size.alias("_len"), char_ngrams(F.col(text), 2).alias("_grams")).filter(F.col("_len").isNotNull())
+    each = grams.select("_key", "_id", "_len", F.explode("_grams").alias("_g")).select("_key", "_id", "_len", F.xxhash64("_g").alias("_g"))
+    common = each.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_g").limit(COMMON_GRAMS)
+    ranked = each.join(F.broadcast(common), "_g", "left").groupBy("_key", "_id", "_len").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_g").alias("g")))).alias("_order")
+    )
+    edits = F.floor(F.col("_len") * F.lit(1 - least) + 1e-6)
+    texts = cut_lineage(
+        ranked.select("_key", "_id", "_len", F.transform("_order", lambda e: e["g"]).alias("_t"), (F.lit(lost) * edits).cast("int").alias("_gone"))
+        .withColumn("_must", F.size("_t") - F.col("_gone"))
+    )
+    long_ = lambda d, keys: d.select("_key", F.explode(keys).alias("_h"), F.col("_id").alias("r"), F.col("_len").alias("r_len"))
+    short = lambda keys: texts.select("_key", F.explode(keys).alias("_h"), F.col("_id").alias("t"), F.col("_len").alias("t_len"))
+    first = lambda n: F.slice("_t", F.lit(1), F.col("_gone") + n)
+    two = long_(texts.filter("_must >= 2"), _pair_keys(first(2))).join(short(_pair_keys(F.col("_t"))), ["_key", "_h"])
+    one = long_(texts.filter("_must = 1"), first(1)).join(short(F.col("_t")), ["_key", "_h"])
+    # no gram must be shared: every block of the key's texts
+    free = texts.filter("_must < 1")
+    blocks = texts.join(free.select("_key").distinct(), "_key", "left_semi").groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / block_size).cast("int").alias("_b"))
+    every = free.join(blocks, "_key").select("_key", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("_h"), F.col("_id").alias("r"), F.col("_len").alias("r_len"))
+    dealt = texts.join(blocks, "_key").select("_key", F.pmod(F.xxhash64("_id"), F.col("_b")).cast("int").alias("_h"), F.col("_id").alias("t"), F.col("_len").alias("t_len"))
+    zero = every.join(dealt, ["_key", "_h"])
+    out = None
+    for met in (two, one, zero):
+        fits = (F.col("t_len") >= F.col("r_len") * least - 1e-6) & ((F.col("t_len") < F.col("r_len")) | ((F.col("t_len") == F.col("r_len")) & (F.col("t") < F.col("r"))))
+        met = met.filter(fits).select(F.least("r", "t").alias(id), F.greatest("r", "t").alias(f"{id}_b"))
+        out = met if out is None else out.unionByName(met)
+    return out.distinct()
+
+
 def score_pairs(
     people: DataFrame,
     name_pairs: DataFrame,
@@ -180,30 +233,45 @@ def score_pairs(
     threshold: float = MATCH,
     block_size: int = 2000,
     transpositions: bool = False,
+    few: int = FEW_PROFILES,
 ) -> DataFrame:
     """(a, b, score) of profiles whose weighted field similarity reaches the threshold.
 
-    Profiles meet when their names are equal or form a name pair. The score is
-    part of the join, so only matches leave it.
+    Profiles meet when their names are equal or form a name pair. Under a name with more than
+    ``few`` profiles they meet by the field with the most weight besides the name: if all other
+    fields were equal it would still need a certain similarity, which ``near_texts`` finds
+    by shared grams. The score is part of the join, so only matches leave it.
     """
     fields = list(weights)
     cols = ["profile", *fields]
     p = people.select(*cols)
     other = p.select(*[F.col(c).alias(f"{c}_b") for c in cols])
+    wanted = [*cols, *[f"{c}_b" for c in cols]]
 
-    # same name: self-join in cells
+    # same name: self-join in cells, or by an index where the name has many profiles
     keyed = p.withColumn("_name", F.col("normalized_name"))
+    field = max((f for f in fields if f != "normalized_name"), key=lambda f: weights[f], default=None)
+    least = (threshold - (sum(weights.values()) - weights[field])) / weights[field] if field else 0.0
+    indexed = None
+    if least > 0:
+        many = keyed.groupBy("_name").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > few).select("_name")
+        large = cut_lineage(keyed.join(many, "_name", "left_semi"))
+        if not large.isEmpty():
+            met = near_texts(large, "_name", "profile", field, least, 3 if transpositions else 2, block_size)
+            indexed = met.join(large.select(*cols), "profile").join(large.select(*[F.col(c).alias(f"{c}_b") for c in cols]), "profile_b").select(*wanted)
+            keyed = keyed.join(many, "_name", "left_anti")
     left, right = _cells(keyed, ["_name"], "profile", block_size)
     same = left.join(right, ["_name", "_i", "_j"]).filter(
         (F.col("_i") < F.col("_j")) | (F.col("profile") < F.col("profile_b"))
-    )
+    ).select(*wanted)
+    if indexed is not None:
+        same = same.unionByName(indexed)
     # different names: through the name pairs
     near = (
         p.join(name_pairs.select(F.col("text_a").alias("normalized_name"), F.col("text_b").alias("_other")), "normalized_name")
         .join(other, F.col("_other") == F.col("normalized_name_b"))
     )
-    wanted = [*cols, *[f"{c}_b" for c in cols]]
-    met = same.select(*wanted).unionByName(near.select(*wanted))
+    met = same.unionByName(near.select(*wanted))
 
     def total(measure) -> Column:
         return sum((F.lit(w) * measure(F.col(f), F.col(f"{f}_b")) for f, w in weights.items()), F.lit(0.0))
