@@ -146,7 +146,27 @@ def test_cluster_methods(spark):
     assert out[100]["clique"] == out[101]["clique"] and not any(100 + i in out for i in range(2, 40))
 
 
-def test_cluster_equals_whole_graph_search(spark):
+def test_cliques_of_a_star_and_a_clique(spark):
+    """Hubs with thousands of matches, all shared with a second hub, beside a dense group: each search holds little."""
+    leaves, group = range(100, 3100), range(10, 30)
+    pairs = [(1, i) for i in leaves] + [(2, i) for i in leaves] + [(1, 2)] + list(itertools.combinations(group, 2)) + [(1, i) for i in group]
+    degree = __import__("collections").Counter(i for p in pairs for i in p)
+    order = lambda i: (degree[i], i)
+    rows = [(*sorted(p, key=order), *sorted(degree[i] for i in p), 0.9) for p in pairs]
+    edges = spark.createDataFrame(rows, "x long, y long, x_degree long, y_degree long, score double")
+    people = spark.createDataFrame([(i, 1) for i in [1, 2, *leaves, *group]], "profile long, copies long")
+    for most_links in (500_000, 50):
+        found, big = er.searches(edges, people, most_links)
+        sizes = found.select(F.size("later") + F.coalesce(F.size("links"), F.lit(0)))
+        assert max(r[0] for r in sizes.collect() if r[0] is not None) <= 20 + 20 * 19 // 2
+        assert (big.count() > 0) == (most_links == 50)
+        out = {r["profile"]: r for r in er.cluster(spark.createDataFrame([(a, b, 0.9) for a, b in pairs], "a long, b long, score double"), people, most_links).collect()}
+        # the hub may prefer another of its equally good cliques
+        assert {out[i]["clique_size"] for i in group} <= {20, 21} and len({out[i]["clique"] for i in group}) == 1
+
+
+@pytest.mark.parametrize("most_links", [500_000, 0, 4])
+def test_cluster_equals_whole_graph_search(spark, most_links):
     rng = random.Random(7)
     nodes = list(range(45))
     edges = [(a, b, round(rng.uniform(0.8, 1), 2)) for a, b in itertools.combinations(nodes, 2) if rng.random() < 0.25]
@@ -164,7 +184,7 @@ def test_cluster_equals_whole_graph_search(spark):
             entry = (round(sum(score[m, o] for o in members if o != m) / (len(members) - 1), 6), name)
             best[m] = max(best.get(m, entry), entry)
     people = spark.createDataFrame([(n, 1) for n in nodes], "profile long, copies long")
-    out = er.cluster(spark.createDataFrame(edges, "a long, b long, score double"), people).collect()
+    out = er.cluster(spark.createDataFrame(edges, "a long, b long, score double"), people, most_links).collect()
     assert {r["profile"]: (r["mean_score"], r["clique"]) for r in out}.items() <= best.items()
     sizes = __import__("collections").Counter(c for _, c in best.values())
     assert {r["profile"] for r in out} == {m for m, (_, c) in best.items() if sizes[c] > 1}

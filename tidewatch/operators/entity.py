@@ -302,11 +302,10 @@ def damerau_pairs(people: DataFrame, name_pairs: DataFrame, **kw) -> DataFrame:
 # --- parties -----------------------------------------------------------------
 
 
-def _cliques(neighbours: dict, root: frozenset = frozenset(), inside: set | None = None, seen: set | None = None) -> list[frozenset]:
-    """Maximal cliques (Bron-Kerbosch with pivoting) that hold ``root``, further members from
-    ``inside`` only, and are not extended by any of ``seen``."""
+def _cliques(neighbours: dict, root: frozenset = frozenset()) -> list[frozenset]:
+    """Maximal cliques (Bron-Kerbosch with pivoting) of a graph, each with ``root`` added."""
     found: list[frozenset] = []
-    stack = [(root, set(neighbours) if inside is None else set(inside), set(seen or ()))]
+    stack = [(root, set(neighbours), set())]
     while stack:
         r, p, x = stack.pop()
         if not p and not x:
@@ -322,77 +321,140 @@ def _cliques(neighbours: dict, root: frozenset = frozenset(), inside: set | None
     return found
 
 
-def _rooted_cliques(root, copies_root: int, later: Iterable[Mapping], links: Iterable[Mapping]) -> list[tuple]:
-    """(profile, clique, mean score) for the maximal cliques of which ``root`` is the first member."""
-    score, copies, neighbours = {}, {root: copies_root}, {}
+def _cliques_from(begin: tuple, copies_begin: tuple, score_begin: float, later: Iterable[Mapping], links: Iterable[Mapping]) -> list[tuple]:
+    """(profile, clique, mean score, root, second, size) for the cliques that begin with the one or two profiles
+    of ``begin`` and go on among ``later``, profiles after them that match all of them; maximal among those."""
+    score, copies, neighbours, rank = {}, dict(zip(begin, copies_begin)), {}, {}
+    if len(begin) == 2:
+        score[begin] = score[begin[::-1]] = score_begin
     for e in later:
-        score[root, e["profile"]] = score[e["profile"], root] = e["score"]
-        copies[e["profile"]] = e["copies"]
-        neighbours.setdefault(e["profile"], set())
-    inside = set(neighbours)
+        p = e["profile"]
+        for b, s in zip(begin, (e["score"], e["second_score"])):
+            score[b, p] = score[p, b] = s
+        copies[p], rank[p] = e["copies"], (e["degree"], p)
+        neighbours[p] = set()
     for e in links:
         a, b = e["a"], e["b"]
         score[a, b] = score[b, a] = e["score"]
-        neighbours.setdefault(a, set()).add(b)
-        neighbours.setdefault(b, set()).add(a)
+        neighbours[a].add(b)
+        neighbours[b].add(a)
     rows = []
-    for clique in _cliques(neighbours, frozenset([root]), inside, set(neighbours) - inside):
+    for clique in _cliques(neighbours, frozenset(begin)):
         members = sorted(clique)
         size = sum(copies[m] for m in members)
         name = hashlib.sha256("|".join(map(str, members)).encode()).hexdigest()
+        second = begin[1] if len(begin) == 2 else min((m for m in members if m not in begin), key=rank.get)
         for m in members:
             total = (copies[m] - 1) + sum(copies[o] * score[m, o] for o in members if o != m)
-            rows.append((m, name, round(total / (size - 1), 6)))
+            rows.append((m, name, round(total / (size - 1), 6), begin[0], second, len(members)))
     return rows
 
 
 def _clique_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["profile", "clique", "mean_score", "root", "second", "size"]
     for pdf in batches:
-        rows = [r for v in pdf.itertuples() for r in _rooted_cliques(v.root, v.copies, v.later, v.links if v.links is not None else ())]
-        yield pd.DataFrame(rows, columns=["profile", "clique", "mean_score"])
+        rows = []
+        for v in pdf.itertuples():
+            begin = (v.root, v.second) if v.split else (v.root,)
+            later, links = (x if x is not None else () for x in (v.later, v.links))
+            rows += _cliques_from(begin, (v.copies, v.second_copies)[: len(begin)], v.score, later, links)
+        yield pd.DataFrame(rows, columns=names)
 
 
-def cluster(pairs: DataFrame, people: DataFrame) -> DataFrame:
+#: Matches among one profile's later neighbours that one search takes at once.
+MOST_LINKS = 500_000
+
+
+def _named(edges: DataFrame, x: str, y: str, score: str, *more: Column) -> DataFrame:
+    return edges.select(F.col("x").alias(x), F.col("y").alias(y), F.col("score").alias(score), *more)
+
+
+def _triangles(edges: DataFrame) -> DataFrame:
+    """x before y before z: an edge between two later neighbours of x."""
+    both = _named(edges, "x", "y", "xy").join(_named(edges, "x", "z", "xz", F.col("y_degree").alias("z_degree")), "x")
+    return both.join(_named(edges, "y", "z", "yz"), ["y", "z"])
+
+
+def searches(edges: DataFrame, copies: DataFrame, most_links: int = MOST_LINKS) -> tuple[DataFrame, DataFrame]:
+    """One row per clique search, and the roots whose searches are split.
+
+    A search goes from a root over its ``later`` neighbours with the ``links`` between
+    them, or from a root and a ``second`` over their common later neighbours.
+    """
+    later_of = edges.join(copies.withColumnRenamed("profile", "y"), "y").withColumnRenamed("x", "root")
+    triangles = _triangles(edges).withColumnRenamed("x", "root")
+    big = cut_lineage(triangles.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most_links).select("root"))
+    member = F.struct(F.col("y").alias("profile"), "score", F.lit(0.0).alias("second_score"), "copies", F.col("y_degree").alias("degree"))
+    link = lambda a, b, score: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col(score).alias("score"))
+    links = triangles.join(big, "root", "left_anti").groupBy("root").agg(F.collect_list(link("y", "z", "yz")).alias("links"))
+    later = later_of.join(big, "root", "left_anti").groupBy("root").agg(F.collect_list(member).alias("later"))
+    whole = later.join(copies.withColumnRenamed("profile", "root"), "root").join(links, "root", "left").select(
+        "root", "copies", F.lit(False).alias("split"), F.col("root").alias("second"), F.lit(0).cast("long").alias("second_copies"), F.lit(0.0).alias("score"), "later", "links"
+    )
+    if big.isEmpty():
+        return whole, big
+    around = triangles.join(big, "root", "left_semi")
+    third = F.struct(F.col("z").alias("profile"), F.col("xz").alias("score"), F.col("yz").alias("second_score"), "copies", F.col("z_degree").alias("degree"))
+    thirds = around.join(copies.withColumnRenamed("profile", "z"), "z").groupBy("root", F.col("y").alias("second")).agg(F.collect_list(third).alias("later"))
+    # edges z - w between two common later neighbours of root and second
+    ends = around.select("root", F.col("y").alias("second"), "z")
+    inner = around.select("root", F.col("y").alias("z"), F.col("z").alias("w"), F.col("yz").alias("zw")).join(ends, ["root", "z"])
+    inner = inner.join(ends.withColumnRenamed("z", "w"), ["root", "second", "w"]).groupBy("root", "second").agg(F.collect_list(link("z", "w", "zw")).alias("links"))
+    pairs = _named(edges, "root", "second", "score").join(big, "root", "left_semi")
+    split = pairs.join(thirds, ["root", "second"], "left").join(inner, ["root", "second"], "left").withColumn("split", F.lit(True))
+    split = split.join(copies.withColumnRenamed("profile", "root"), "root").join(copies.withColumnsRenamed({"profile": "second", "copies": "second_copies"}), "second")
+    return whole.unionByName(split.select(*whole.columns)), big
+
+
+def maximal_cliques(edges: DataFrame, copies: DataFrame, most_links: int = MOST_LINKS) -> DataFrame:
+    """(profile, clique, mean_score): the members of all maximal cliques of two or more profiles.
+
+    ``edges``: x, y, x_degree, y_degree, score, x before y in the order of (degree, profile). A
+    clique is found from its first member, among that member's later neighbours: those have
+    at least its degree, so there are at most sqrt(2 * edges) of them, and a hub has hardly any.
+    Where the matches between them are over ``most_links`` the search is split by the second member,
+    and each part holds the common later neighbours of both. What an earlier profile would
+    extend is found afterwards, by joining each clique with the earlier neighbours of its first two members.
+    """
+    id_type = dict(edges.dtypes)["x"]
+    searched, big = searches(edges, copies, most_links)
+    schema = f"profile {id_type}, clique string, mean_score double, root {id_type}, second {id_type}, size int"
+    found = cut_lineage(searched.mapInPandas(_clique_rows, schema))
+    # not maximal: an earlier profile matches all members (first the root, then the second, then the others)
+    cliques = found.filter(F.col("profile") == F.col("root")).select("clique", "root", "second", "size")
+    before = edges.select(F.col("x").alias("earlier"), "y")
+    by = cliques.join(before.withColumnRenamed("y", "root"), "root").join(before.withColumnRenamed("y", "second"), ["earlier", "second"]).select("clique", "earlier", "size")
+    between = (
+        # a profile between the first two that matches all: only where the search was split by the second
+        cliques.join(big, "root", "left_semi")
+        .join(edges.select(F.col("x").alias("root"), F.col("y").alias("earlier")), "root").join(before.withColumnRenamed("y", "second"), ["earlier", "second"]).select("clique", "earlier", "size")
+    )
+    by = by.unionByName(between)
+    rest = found.filter("profile <> root AND profile <> second").select("clique", F.col("profile").alias("y"))
+    met = by.join(rest, "clique").join(before, ["earlier", "y"]).groupBy("clique", "earlier", "size").agg(F.count(F.lit(1)).alias("n"))
+    extended = met.filter("n = size - 2").select("clique").unionByName(by.filter("size = 2").select("clique")).distinct()
+    return found.join(extended, "clique", "left_anti").select("profile", "clique", "mean_score")
+
+
+def cluster(pairs: DataFrame, people: DataFrame, most_links: int = MOST_LINKS) -> DataFrame:
     """(profile, clique, mean_score, clique_size, method).
 
-    Profiles take their best maximal clique (by mean score, ties by name). Profiles are
-    ordered by their number of matches; each one searches the cliques of which it is the
-    first member, among its later neighbours and the matches between its neighbours, so
-    work follows the matches around a profile and not the size of a component. Profiles
-    that only have exact copies form a party of their own. ``clique_size`` counts accounts.
+    Profiles take their best maximal clique (by mean score, ties by name), see
+    ``maximal_cliques``; work follows the matches around a profile and not the size of a
+    component. Profiles that only have exact copies form a party of their own. ``clique_size``
+    counts accounts.
     """
     # read several times below: computed once, in shared storage
     pairs = cut_lineage(pairs)
-    id_type = dict(people.dtypes)["profile"]
     copies = people.select("profile", "copies")
     degree = pairs.select(F.explode(F.array("a", "b")).alias("profile")).groupBy("profile").agg(F.count(F.lit(1)).alias("degree"))
     ends = pairs.join(degree.select(F.col("profile").alias("a"), F.col("degree").alias("da")), "a").join(
         degree.select(F.col("profile").alias("b"), F.col("degree").alias("db")), "b"
     )
     before = F.struct("da", "a") < F.struct("db", "b")
-    edges = ends.select(F.when(before, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(before, F.col("b")).otherwise(F.col("a")).alias("y"), "score")
-    edges = cut_lineage(edges)
-
-    def named(x: str, y: str, score: str) -> DataFrame:
-        return edges.select(F.col("x").alias(x), F.col("y").alias(y), F.col("score").alias(score))
-
-    # triangles x before y before z: an edge between later neighbours of x, and one from an earlier to a later neighbour of y
-    triangles = named("x", "y", "xy").join(named("x", "z", "xz"), "x").join(named("y", "z", "yz"), ["y", "z"])
-    links = triangles.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("x").alias("root"), F.col("y").alias("a"), F.col("z").alias("b"), F.col("yz").alias("score")),
-                F.struct(F.col("y").alias("root"), F.col("x").alias("a"), F.col("z").alias("b"), F.col("xz").alias("score")),
-            )
-        ).alias("l")
-    ).groupBy(F.col("l.root").alias("root")).agg(F.collect_list(F.struct("l.a", "l.b", "l.score")).alias("links"))
-    later = (
-        edges.join(copies.withColumnRenamed("profile", "y"), "y")
-        .groupBy(F.col("x").alias("root"))
-        .agg(F.collect_list(F.struct(F.col("y").alias("profile"), "score", "copies")).alias("later"))
-    )
-    rooted = later.join(copies.withColumnRenamed("profile", "root"), "root").join(links, "root", "left").select("root", "copies", "later", "links")
-    found = rooted.mapInPandas(_clique_rows, f"profile {id_type}, clique string, mean_score double")
+    pick = lambda x, y: F.when(before, F.col(x)).otherwise(F.col(y))
+    edges = ends.select(pick("a", "b").alias("x"), pick("b", "a").alias("y"), pick("da", "db").alias("x_degree"), pick("db", "da").alias("y_degree"), "score")
+    found = maximal_cliques(cut_lineage(edges), copies, most_links)
     best = found.groupBy("profile").agg(F.max(F.struct("mean_score", "clique")).alias("_b")).select("profile", "_b.clique", "_b.mean_score")
     alone = people.filter("copies > 1").join(degree, "profile", "left_anti").select(
         "profile", F.sha2(F.col("profile").cast("string"), 256).alias("clique"), F.lit(1.0).alias("mean_score")
