@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import sys
 from collections.abc import Iterable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -98,6 +99,32 @@ def _jaccard(a: Column, b: Column) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
+def name_bands(texts: DataFrame, text: str, n: int = NGRAM, k: int = PERMUTATIONS, bands: int = 16) -> DataFrame:
+    """(text, grams, band, key): the band table of the distinct texts, one row per band.
+
+    The table can be stored: texts of a later batch meet it by (band, key), see ``new_name_pairs``.
+    """
+    distinct = texts.select(F.col(text).alias("text")).filter(F.col("text").isNotNull()).distinct()
+    signed = distinct.withColumn("grams", char_ngrams(F.col("text"), n)).withColumn("sig", minhash(F.col("grams"), k))
+    hashes = F.transform("grams", lambda g: F.xxhash64(g)).alias("grams")
+    return signed.select("text", hashes, F.posexplode(band_keys(F.col("sig"), bands, k // bands)).alias("band", "key"))
+
+
+def _verified_names(met: DataFrame, threshold: float) -> DataFrame:
+    """(text_a, text_b, jaccard) of the pairs (text, grams, text_b, grams_b) that pass; a pair may have met in several bands."""
+    small, large = F.least(F.size("grams"), F.size("grams_b")), F.greatest(F.size("grams"), F.size("grams_b"))
+    similar = _jaccard(F.col("grams"), F.col("grams_b"))
+    pairs = met.filter((small >= large * threshold) & (similar >= threshold)).withColumn("jaccard", similar)
+    return pairs.select(
+        F.least("text", "text_b").alias("text_a"), F.greatest("text", "text_b").alias("text_b"), F.round("jaccard", 6).alias("jaccard")
+    ).distinct()
+
+
+def _bucket_pairs(banded: DataFrame, block_size: int) -> DataFrame:
+    left, right = _cells(banded, ["band", "key"], "text", block_size)
+    return left.join(right, ["band", "key", "_i", "_j"]).filter((F.col("_i") < F.col("_j")) | (F.col("text") < F.col("text_b")))
+
+
 def lsh_pairs(
     texts: DataFrame,
     text: str,
@@ -112,21 +139,20 @@ def lsh_pairs(
     ``texts`` is reduced to distinct values first, and a pair is verified where
     it meets; only verified pairs are moved again to drop those met twice.
     """
-    rows_per_band = k // bands
-    distinct = texts.select(F.col(text).alias("text")).filter(F.col("text").isNotNull()).distinct()
-    signed = distinct.withColumn("grams", char_ngrams(F.col("text"), n)).withColumn("sig", minhash(F.col("grams"), k))
-    hashes = F.transform("grams", lambda g: F.xxhash64(g)).alias("grams")
-    banded = signed.select("text", hashes, F.posexplode(band_keys(F.col("sig"), bands, rows_per_band)).alias("band", "key"))
-    left, right = _cells(banded, ["band", "key"], "text", block_size)
-    small, large = F.least(F.size("grams"), F.size("grams_b")), F.greatest(F.size("grams"), F.size("grams_b"))
-    pairs = left.join(right, ["band", "key", "_i", "_j"]).filter(
-        ((F.col("_i") < F.col("_j")) | (F.col("text") < F.col("text_b")))
-        & (small >= large * threshold)
-        & (_jaccard(F.col("grams"), F.col("grams_b")) >= threshold)
-    ).withColumn("jaccard", _jaccard(F.col("grams"), F.col("grams_b")))
-    return pairs.select(
-        F.least("text", "text_b").alias("text_a"), F.greatest("text", "text_b").alias("text_b"), F.round("jaccard", 6).alias("jaccard")
-    ).distinct()
+    return _verified_names(_bucket_pairs(name_bands(texts, text, n, k, bands), block_size), threshold)
+
+
+def new_name_pairs(fresh: DataFrame, stored: DataFrame, threshold: float = JACCARD, block_size: int = 2000) -> DataFrame:
+    """The pairs of ``lsh_pairs`` in which at least one text is new, from two band tables (``name_bands``).
+
+    New texts meet the stored ones of their buckets and each other; stored texts do not meet
+    again. Texts that are stored already are not new.
+    """
+    fresh = fresh.join(stored.select("text").distinct(), "text", "left_anti")
+    old = stored.select("band", "key", F.col("text").alias("text_b"), F.col("grams").alias("grams_b"))
+    columns = ["text", "grams", "text_b", "grams_b"]
+    met = fresh.join(old, ["band", "key"]).select(*columns).unionByName(_bucket_pairs(fresh, block_size).select(*columns))
+    return _verified_names(met, threshold)
 
 
 # --- pair scores -------------------------------------------------------------
@@ -226,6 +252,19 @@ def near_texts(rows: DataFrame, key: str, id: str, text: str, least: float, lost
     return out.distinct()
 
 
+def _with_fresh(keyed: DataFrame, fresh: DataFrame, block_size: int) -> DataFrame:
+    """Pairs of profiles under one ``_name`` with at least one new profile; a name's profiles are cut into blocks,
+    and each new one visits them all."""
+    rows = keyed.join(fresh.select("profile", F.lit(True).alias("_new")).distinct(), "profile", "left").withColumn("_new", F.coalesce("_new", F.lit(False)))
+    sizes = rows.groupBy("_name").agg(F.ceil(F.count(F.lit(1)) / block_size).cast("int").alias("_b"), F.max("_new").alias("_any")).filter("_any").select("_name", "_b")
+    rows = rows.join(sizes, "_name")
+    left = rows.filter("_new").withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_b") - 1))).drop("_b", "_new")
+    right = rows.withColumn("_i", F.pmod(F.xxhash64(F.lit(11), "profile"), F.col("_b")).cast("int"))
+    right = right.select("_name", "_i", *[F.col(c).alias(f"{c}_b") for c in keyed.columns if c != "_name"], F.col("_new").alias("_new_b"))
+    once = (~F.col("_new_b") & (F.col("profile") != F.col("profile_b"))) | (F.col("profile") < F.col("profile_b"))
+    return left.join(right, ["_name", "_i"]).filter(once)
+
+
 def score_pairs(
     people: DataFrame,
     name_pairs: DataFrame,
@@ -234,13 +273,15 @@ def score_pairs(
     block_size: int = 2000,
     transpositions: bool = False,
     few: int = FEW_PROFILES,
+    fresh: DataFrame | None = None,
 ) -> DataFrame:
     """(a, b, score) of profiles whose weighted field similarity reaches the threshold.
 
     Profiles meet when their names are equal or form a name pair. Under a name with more than
     ``few`` profiles they meet by the field with the most weight besides the name: if all other
     fields were equal it would still need a certain similarity, which ``near_texts`` finds
-    by shared grams. The score is part of the join, so only matches leave it.
+    by shared grams. The score is part of the join, so only matches leave it. With ``fresh``, a
+    table of profiles, only pairs with at least one of them are made.
     """
     fields = list(weights)
     cols = ["profile", *fields]
@@ -253,25 +294,35 @@ def score_pairs(
     field = max((f for f in fields if f != "normalized_name"), key=lambda f: weights[f], default=None)
     least = (threshold - (sum(weights.values()) - weights[field])) / weights[field] if field else 0.0
     indexed = None
-    if least > 0:
+    if fresh is not None:
+        indexed = _with_fresh(keyed, fresh, block_size).select(*wanted)
+        keyed = None
+    elif least > 0:
         many = keyed.groupBy("_name").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > few).select("_name")
         large = cut_lineage(keyed.join(many, "_name", "left_semi"))
         if not large.isEmpty():
             met = near_texts(large, "_name", "profile", field, least, 3 if transpositions else 2, block_size)
             indexed = met.join(large.select(*cols), "profile").join(large.select(*[F.col(c).alias(f"{c}_b") for c in cols]), "profile_b").select(*wanted)
             keyed = keyed.join(many, "_name", "left_anti")
-    left, right = _cells(keyed, ["_name"], "profile", block_size)
-    same = left.join(right, ["_name", "_i", "_j"]).filter(
-        (F.col("_i") < F.col("_j")) | (F.col("profile") < F.col("profile_b"))
-    ).select(*wanted)
-    if indexed is not None:
-        same = same.unionByName(indexed)
+    same = indexed
+    if keyed is not None:
+        left, right = _cells(keyed, ["_name"], "profile", block_size)
+        same = left.join(right, ["_name", "_i", "_j"]).filter(
+            (F.col("_i") < F.col("_j")) | (F.col("profile") < F.col("profile_b"))
+        ).select(*wanted)
+        same = same.unionByName(indexed) if indexed is not None else same
     # different names: through the name pairs
     near = (
         p.join(name_pairs.select(F.col("text_a").alias("normalized_name"), F.col("text_b").alias("_other")), "normalized_name")
         .join(other, F.col("_other") == F.col("normalized_name_b"))
     )
-    met = same.unionByName(near.select(*wanted))
+    near = near.select(*wanted)
+    if fresh is not None:
+        # name pairs hold a new name, but not only new profiles
+        new = fresh.select("profile").distinct()
+        one = near.join(new, "profile", "left_semi")
+        near = one.unionByName(near.join(new, "profile", "left_anti").join(new.withColumnRenamed("profile", "profile_b"), "profile_b", "left_semi").select(*wanted))
+    met = same.unionByName(near)
 
     def total(measure) -> Column:
         return sum((F.lit(w) * measure(F.col(f), F.col(f"{f}_b")) for f, w in weights.items()), F.lit(0.0))
@@ -496,6 +547,53 @@ def attach_new(pairs: DataFrame, existing: DataFrame) -> DataFrame:
     ).select("id", "_p.*")
 
 
+def attach_all(pairs: DataFrame, existing: DataFrame) -> DataFrame:
+    """``attach_new`` until nothing changes: (id, party, mean_score, round).
+
+    Accounts that take a party in one round are assigned ones in the next, so a new account that
+    matches only other new ones follows them. Rounds are as many as the longest such chain.
+    """
+    known, out, number = existing.select("id", "party"), None, 0
+    while True:
+        number += 1
+        got = cut_lineage(attach_new(pairs, known).withColumn("round", F.lit(number)))
+        out = got if out is None else out.unionByName(got)
+        if got.isEmpty():
+            return out
+        known = cut_lineage(known.unionByName(got.select("id", "party")))
+
+
+@dataclass(frozen=True)
+class Matched:
+    """What was matched so far: profiles, the band table of their names, and the party of the assigned ones."""
+
+    people: DataFrame
+    bands: DataFrame
+    parties: DataFrame
+
+
+def match_batch(state: Matched, people: DataFrame, block_size: int = 2000, **scoring) -> tuple[DataFrame, Matched]:
+    """Attach the profiles of a batch: (id, party, mean_score, round), and the state for the next batch.
+
+    Only pairs with a new profile are made: new names meet the stored band table, and
+    new profiles those under their own and the met names. Profiles that no chain of matches
+    connects to a party stay unassigned; ``cluster`` makes parties of their pairs.
+    """
+    fresh = people.join(state.people.select("profile"), "profile", "left_anti")
+    bands = cut_lineage(name_bands(fresh, "normalized_name").join(state.bands.select("text").distinct(), "text", "left_anti"))
+    names = new_name_pairs(bands, state.bands, block_size=block_size)
+    # names that were stored before may pair with each other, too, once one of them has a new profile
+    again = fresh.select(F.col("normalized_name").alias("text")).distinct().join(state.bands.select("text").distinct(), "text", "left_semi")
+    old = state.bands.join(again, "text")
+    others = state.bands.select("band", "key", F.col("text").alias("text_b"), F.col("grams").alias("grams_b"))
+    names = names.unionByName(_verified_names(old.join(others, ["band", "key"]).filter("text <> text_b"), JACCARD)).distinct()
+    everyone = state.people.select(*people.columns).unionByName(fresh)
+    pairs = cut_lineage(score_pairs(everyone, names, block_size=block_size, fresh=fresh, **scoring))
+    attached = attach_all(pairs, state.parties)
+    parties = state.parties.select("id", "party").unionByName(attached.select("id", "party"))
+    return attached, Matched(everyone, state.bands.unionByName(bands.select(*state.bands.columns)), parties)
+
+
 def match_state(score: Column, threshold: float = AUTO_CONFIRM_FROM) -> Column:
     """Confirmed automatically from the threshold on; -1 turns that off."""
     if threshold == -1:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.text import char_ngrams
 from tidewatch.operators import components, entity as er
 from tidewatch.plans.registry import query
+from tidewatch.session import cut_lineage
 from tidewatch.sources.model import table
 
 
@@ -64,14 +65,20 @@ def character_ngrams(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.explode(char_ngrams(F.col("p_name"))).alias("gram"))
 
 
-# Equal names have one signature of 64 components, none of them NULL; a name without grams has none.
-@query("SELECT normalized_name, 1::BIGINT AS signatures, 64 AS components, 0 AS missing FROM accounts GROUP BY 1", ctes=ACCOUNTS_SQL)
+# Signatures of neighbouring accounts' names agree about as often as the exact Jaccard similarity says
+# (five standard deviations of 64 components); names are equal, similar or unlike.
+@query("""
+SELECT a.id, round(len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))), 6) AS jaccard, true AS agrees, 64 AS components
+FROM accounts a JOIN accounts b ON b.id = a.id + 1 JOIN names x ON x.t = a.normalized_name JOIN names y ON y.t = b.normalized_name""", ctes=PAIRS_SQL)
 def minhash_signatures(spark, sf):
-    rows = accounts(spark, sf).select("normalized_name", er.minhash(char_ngrams(F.col("normalized_name"))).alias("s"))
-    return rows.groupBy("normalized_name").agg(
-        F.count_distinct(F.xxhash64("s")).alias("signatures"), F.max(F.size("s")).alias("components"),
-        F.max(F.size(F.filter("s", lambda x: x.isNull()))).alias("missing"),
-    )
+    rows = accounts(spark, sf).select("id", char_ngrams(F.col("normalized_name")).alias("g"))
+    rows = rows.withColumn("s", er.minhash(F.col("g")))
+    pairs = rows.join(rows.select((F.col("id") - 1).alias("id"), F.col("g").alias("h"), F.col("s").alias("t")), "id")
+    shared = F.size(F.array_intersect("g", "h"))
+    exact = shared / (F.size("g") + F.size("h") - shared)
+    equal = F.size(F.filter(F.zip_with("s", "t", lambda x, y: x == y), lambda z: z)) / F.size("s")
+    near = F.abs(equal - exact) <= 5 * F.sqrt(exact * (1 - exact) / F.size("s"))
+    return pairs.select("id", F.round(exact, 6).alias("jaccard"), near.alias("agrees"), F.size("s").alias("components"))
 
 
 @query("SELECT * FROM name_pairs", ctes=PAIRS_SQL)
@@ -166,6 +173,42 @@ def incremental_matches(spark, sf):
     return er.attach_new(pairs, existing)
 
 
+_BATCH_SQL = PAIRS_SQL + """,
+known AS (SELECT profile AS id, 'P' || (profile // 8) AS party FROM people WHERE profile % 4 = 3),
+sides AS (SELECT a AS id, b AS other, score FROM pairs UNION ALL SELECT b, a, score FROM pairs),
+first AS (SELECT id, arg_max(party, (s, party)) AS party, max(s) AS mean_score FROM (
+  SELECT e.id, k.party, round(avg(e.score), 6) AS s FROM sides e JOIN known k ON k.id = e.other WHERE e.id % 4 <> 3 GROUP BY 1, 2) GROUP BY 1),
+known_1 AS (SELECT * FROM known UNION ALL SELECT id, party FROM first WHERE id % 4 = 0),
+batch_2 AS (SELECT id, arg_max(party, (s, party)) AS party, max(s) AS mean_score FROM (
+  SELECT e.id, k.party, round(avg(e.score), 6) AS s FROM sides e JOIN known_1 k ON k.id = e.other WHERE e.id % 4 = 2 GROUP BY 1, 2) GROUP BY 1),
+known_2 AS (SELECT * FROM known UNION ALL SELECT id, party FROM first),
+second AS (SELECT id, arg_max(party, (s, party)) AS party, max(s) AS mean_score FROM (
+  SELECT e.id, k.party, round(avg(e.score), 6) AS s FROM sides e JOIN known_2 k ON k.id = e.other WHERE e.id NOT IN (SELECT id FROM known_2) GROUP BY 1, 2) GROUP BY 1)"""
+
+
+# Of each owner's profiles p, p + 2 and p + 3 only the last has a party; p + 2 matches p alone. Once p and
+# p + 2 come in two batches, and once in one, where p + 2 follows p in a second round.
+@query("""
+SELECT 'batch 1' AS batch, id, party, mean_score, 1 AS round FROM first WHERE id % 4 = 0
+UNION ALL SELECT 'batch 2', id, party, mean_score, 1 FROM batch_2
+UNION ALL SELECT 'both', id, party, mean_score, 1 FROM first
+UNION ALL SELECT 'both', id, party, mean_score, 2 FROM second""", ctes=_BATCH_SQL)
+def matched_batches(spark, sf):
+    people = cut_lineage(er.profiles(accounts(spark, sf)))
+    kind = F.col("profile") % 4
+    known = people.filter(kind == 3)
+    parties = known.select(F.col("profile").alias("id"), F.concat(F.lit("P"), F.floor(F.col("profile") / 8)).alias("party"))
+    state = er.Matched(known, cut_lineage(er.name_bands(known, "normalized_name")), parties)
+    one, after = er.match_batch(state, people.filter(kind == 0))
+    two, _ = er.match_batch(after, people.filter(kind == 2))
+    both, _ = er.match_batch(state, people.filter(kind != 3))
+    out = None
+    for name, rows in (("batch 1", one), ("batch 2", two), ("both", both)):
+        rows = rows.withColumn("batch", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("SELECT a, b, CASE WHEN score >= 0.85 THEN 3 ELSE 0 END::BIGINT AS state, 0::BIGINT AS state_off FROM pairs", ctes=PAIRS_SQL)
 def match_states(spark, sf):
     score = F.col("score")
