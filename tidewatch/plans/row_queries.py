@@ -297,7 +297,7 @@ def table_write_modes(spark, sf):
     changed = base.filter(key % 10 == 3).select("k", F.lit(5.0).alias("b"))
     nameless = base.filter("k is null").select("k", F.lit(7.0).alias("b"))
     tb.write_table(changed.unionByName(changed).unionByName(nameless), replace(spec, mode="update"))
-    return spark.read.parquet(spec.path).groupBy("k").agg(F.max("b").alias("b"), F.count(F.lit(1)).alias("n"))
+    return tb.read_table(spark, spec).groupBy("k").agg(F.max("b").alias("b"), F.count(F.lit(1)).alias("n"))
 
 
 # published twice; what is there already is skipped
@@ -307,7 +307,7 @@ def published_nodes(spark, sf):
     nodes = table(spark, sf, "nation").groupBy(F.concat(F.lit("N"), F.col("n_regionkey")).alias("id")).agg(F.min("n_nationkey").alias("first_nation"))
     tb.publish_nodes(nodes.filter("first_nation < 3").unionByName(nodes.filter("first_nation < 3")), folder, "region")
     tb.publish_nodes(nodes, folder, "region")
-    return spark.read.parquet(folder).groupBy("id").agg(F.min("first_nation").alias("first_nation"), F.count(F.lit(1)).alias("published"))
+    return tb.read_published(spark, folder, nodes.schema).groupBy("id").agg(F.min("first_nation").alias("first_nation"), F.count(F.lit(1)).alias("published"))
 
 
 @query("""

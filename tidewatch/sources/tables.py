@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tidewatch.sources.versions import State, VersionedTable
+
 JOB_TS = "tr_job_ts"
 
 
@@ -128,63 +130,88 @@ def upsert(existing: DataFrame, changes: DataFrame, keys: Sequence[str]) -> Data
     return existing.join(marked, same, "left_anti").unionByName(one)
 
 
+def _has_map(kind: T.DataType) -> bool:
+    return "map<" in kind.simpleString()
+
+
 def _one_of_each(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per key, chosen by the rows' values and so always the same."""
     rest = [c for c in df.columns if c not in keys]
-    order = F.struct(*[F.xxhash64(F.col(c).cast("string")) for c in rest]) if rest else F.lit(1)
+    # the values themselves where Spark orders them; maps by their JSON
+    order = F.struct(*[F.to_json(c) if _has_map(df.schema[c].dataType) else F.col(c) for c in rest]) if rest else F.lit(1)
     best = df.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in df.columns]), order).alias("_row"))
     return best.select("_row.*")
 
 
+def versioned(spark: SparkSession, spec: TableSpec) -> VersionedTable:
+    return VersionedTable(spark, spec.path, spec.schema, spec.partition_by)
+
+
+def read_table(spark: SparkSession, spec: TableSpec) -> DataFrame:
+    """The latest whole state of a table."""
+    kept = versioned(spark, spec)
+    return kept.read() if kept.exists() else spark.read.schema(spec.schema).parquet(spec.path)
+
+
 def write_table(df: DataFrame, spec: TableSpec) -> None:
-    """Append, overwrite or key-upsert a parquet table with the declared schema."""
+    """Append, overwrite or key-upsert a parquet table with the declared schema.
+
+    A table becomes versioned by its first update (see ``VersionedTable``): from then on every mode
+    swaps whole states in one step, an update writes only the folders that hold changed keys, and
+    the table is read with ``read_table``. Before, it is a plain parquet folder.
+    """
     out = conform(df, spec.schema)
     spark = df.sparkSession
-    if spec.partition_by:
-        # AQE splits a partition value that holds a large share of the rows
-        out = out.hint("rebalance", *spec.partition_by)
-    writer = out.write.partitionBy(*spec.partition_by) if spec.partition_by else out.write
-    if spec.mode in ("append", "overwrite"):
-        writer.mode(spec.mode).parquet(spec.path)
-        return
-    if spec.mode != "update":
+    if spec.mode not in ("append", "overwrite", "update"):
         raise ValueError(f"unknown mode {spec.mode!r}")
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(spec.path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(fs_path):
-        writer.mode("overwrite").parquet(spec.path)
+    kept = versioned(spark, spec)
+    if not kept.exists() and spec.mode != "update":
+        if spec.partition_by:
+            # AQE splits a partition value that holds a large share of the rows
+            out = out.hint("rebalance", *spec.partition_by)
+        writer = out.write.partitionBy(*spec.partition_by) if spec.partition_by else out.write
+        writer.mode(spec.mode).parquet(spec.path)
         return
-    # The new state is written beside the table, then put in its place.
-    merged = upsert(spark.read.schema(spec.schema).parquet(spec.path), out, spec.keys)
-    beside = spec.path.rstrip("/") + "__next"
-    (merged.write.partitionBy(*spec.partition_by) if spec.partition_by else merged.write).mode("overwrite").parquet(beside)
-    # the old state is kept until the new one is in place
-    old = spark._jvm.org.apache.hadoop.fs.Path(spec.path.rstrip("/") + "__old")
-    fs.delete(old, True)
-    if not (fs.rename(fs_path, old) and fs.rename(spark._jvm.org.apache.hadoop.fs.Path(beside), fs_path)):
-        raise RuntimeError(f"the new state of {spec.path} is left in {beside}, the old one in {old}")
-    fs.delete(old, True)
+    if spec.mode == "append":
+        kept.append(out)
+    elif spec.mode == "overwrite":
+        kept.overwrite(out)
+    else:
+        fs_path = spark._jvm.org.apache.hadoop.fs.Path(spec.path)
+        if not kept.exists() and fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
+            kept.adopt(spark.read.schema(spec.schema).parquet(spec.path))
+        kept.merge(out, spec.keys, upsert)
 
 
 def publish_nodes(df: DataFrame, path: str, node_type: str) -> None:
     """Append nodes of a type, one row per id; ids already there are skipped."""
-    _publish(_one_of_each(df, ["id"]).withColumn("node_type", F.lit(node_type)), path, "node_type", node_type)
+    _publish(df, f"{path.rstrip('/')}/node_type={node_type}", ["id"])
 
 
 def publish_edges(df: DataFrame, path: str, edge_type: str, src: str, dst: str) -> None:
     """Append edges of a type between two node types, one row per (id, ends)."""
-    keyed = _one_of_each(df, ["id", "source_node", "target_node"]).withColumns(
-        {"edge_type": F.lit(edge_type), "source_type": F.lit(src), "target_type": F.lit(dst)}
-    )
-    _publish(keyed, path, "edge_type", edge_type, ["id", "source_node", "target_node"])
+    keyed = df.withColumns({"source_type": F.lit(src), "target_type": F.lit(dst)})
+    _publish(keyed, f"{path.rstrip('/')}/edge_type={edge_type}", ["id", "source_node", "target_node"])
 
 
-def _publish(df: DataFrame, path: str, type_col: str, type_value: str, keys: Sequence[str] = ("id",)) -> None:
-    spark = df.sparkSession
-    target = f"{path.rstrip('/')}/{type_col}={type_value}"
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(fs_path):
-        df = df.join(spark.read.parquet(target).select(*keys), list(keys), "left_anti")
-    df.write.mode("append").partitionBy(type_col).parquet(path)
+def _publish(df: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """Adds the rows of new keys in one step; a run that comes second sees what the first one added."""
+    table = VersionedTable(df.sparkSession, path, df.schema)
+    one = _one_of_each(df, keys)
+
+    def change(state: State):
+        return (one.join(table.read(state).select(*keys), list(keys), "left_anti") if state.folders else one), state.folders
+
+    table.commit(change)
+
 
+def read_published(spark: SparkSession, path: str, schema: T.StructType, type_col: str = "node_type") -> DataFrame:
+    """All published rows under a path, with their type; ``schema`` as they were published."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{type_col}=*"))
+    out = None
+    for status in found or []:
+        name = status.getPath().getName()
+        part = VersionedTable(spark, f"{path.rstrip('/')}/{name}", schema).read().withColumn(type_col, F.lit(name.split("=", 1)[1]))
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], schema).withColumn(type_col, F.lit(None).cast("string"))
