@@ -7,7 +7,7 @@ from tidewatch.functions import periods, text
 from tidewatch.functions.history import history, zscore
 from tidewatch.operators import features as fx
 from tidewatch.operators.catalogue import CATALOGUE, LOOK_BACK, features
-from tidewatch.operators.features import Feature, FeatureError
+from tidewatch.operators.features import Feature, FeatureError, run_features
 
 PARAMS = {LOOK_BACK: 6, "min_trx_amount": 1.0, "max_trx_amount": 1000.0, "ndays": 3, "similar_amounts_thr": 5.0}
 
@@ -152,3 +152,29 @@ def test_no_expand_and_hash_aggregates(spark):
     out = fx.run_features(df, features("one_to_many", "many_to_one", "sum_trx_fop", "sum_trx_name_mis"), PARAMS)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan and "SortAggregate" not in plan
+
+
+def test_the_monthly_table_reads_transactions_twice(spark):
+    """Once for the roll-up, once for the carried texts; the features equal those without a roll-up."""
+    from tidewatch.operators.catalogue import MONTHLY, features
+    from tidewatch.plans.monthly_queries import PARAMS, monthly_table
+    from tidewatch.sources.model import transactions
+
+    rows = transactions(spark, "/root/testdata/sf0.001").limit(1500)
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    trx = rows.mapInArrow(counted, rows.schema)
+    out = monthly_table(trx).collect()
+    assert len(out) > 100 and seen.value == 2 * 1500
+    plain = {(r["customer_id"], r["month_offset"]): r for r in run_features(rows, features(*MONTHLY), PARAMS).na.fill(0).collect()}
+    assert len(plain) == len(out)
+    for r in out:
+        want = plain[r["customer_id"], r["month_offset"]].asDict()
+        assert all(r[c] == pytest.approx(v, abs=0.011) if isinstance(v, float) else r[c] == v for c, v in want.items() if c in r)
+        assert (r["one_to_many_explainability"] is None) == (r["one_to_many"] == 0)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.history import history, trailing, zscore
-from tidewatch.operators.features import Feature, carried, count, distinct, largest, total
+from tidewatch.operators.features import Feature, Measure, RollUp, carried, count, distinct, largest, roll_up, total
 from tidewatch.operators.neighbours import with_neighbours
 
 ENTITY, PERIOD = "customer_id", "month_offset"
@@ -71,30 +71,44 @@ def _f(fid: str, needs: str, outputs: str | None = None, **stages) -> Feature:
 # --- frames: features that need more than one grouping ------------------------
 
 
-def _daily(df: DataFrame, **sums: Column) -> DataFrame:
+#: Features that are explained by their counterparties.
+EXPLAINED = ("one_to_many", "many_to_one", "sum_trx_fop")
+
+
+def _daily_measures() -> dict[str, Measure]:
+    """What the daily frames need: transactions, money in and money out."""
+    return {"n": count(), "i": total(_amount(), _is_credit()), "o": total(_amount(), _is_debit())}
+
+
+def _daily(source: DataFrame | RollUp, *names: str) -> DataFrame:
     """Entity-day totals: a hot entity shrinks to one row per calendar day."""
-    return df.groupBy(ENTITY, PERIOD, "day_offset").agg(*[e.alias(n) for n, e in sums.items()])
+    if isinstance(source, RollUp):
+        return source.by_day().select(*KEYS, "day_offset", *names)
+    measures = _daily_measures()
+    return source.groupBy(ENTITY, PERIOD, "day_offset").agg(*[measures[n].whole().alias(n) for n in names])
 
 
-def busiest_days(df: DataFrame, params) -> DataFrame:
+def monthly_roll_up(trx: DataFrame, ids, params) -> RollUp:
+    """The roll-up from which the features, their daily frames and their explanations are made."""
+    views = dict(zip(EXPLAINED, (_is_debit(), _is_credit(), _same_ip())))
+    return roll_up(trx, features(*ids), params, "day_offset", "cp_id", "amount_usd", _daily_measures(), views)
+
+
+def busiest_days(df: DataFrame | RollUp, params) -> DataFrame:
     """Most transactions in any ``n_days`` calendar days that end in the month."""
-    days = _daily(df, n=F.count(F.lit(1)))
+    days = _daily(df, "n")
     frame = trailing(ENTITY, "day_offset", int(params["n_days"]))
     days = days.select(*KEYS, F.sum("n").over(frame).alias("n"))
     return days.groupBy(*KEYS).agg(F.max("n").alias("cnt_trx_n_day"))
 
 
-def pass_through(df: DataFrame, params, name: str) -> DataFrame:
+def pass_through(df: DataFrame | RollUp, params, name: str) -> DataFrame:
     """Largest n-day turnover where money in and money out nearly balance.
 
     Totals run over the trailing days; a day qualifies when the in/out ratio is
     close to one, and the month takes the largest qualifying total, else 0.
     """
-    days = _daily(
-        df,
-        i=F.sum(F.when(_is_credit(), _amount())),
-        o=F.sum(F.when(_is_debit(), _amount())),
-    )
+    days = _daily(df, "i", "o")
     frame = trailing(ENTITY, "day_offset", int(params["n_days"]))
     days = days.select(*KEYS, F.round(F.sum("i").over(frame), 2).alias("i"), F.round(F.sum("o").over(frame), 2).alias("o"))
     ratio = F.round(F.try_divide("i", "o"), 2)
@@ -252,17 +266,17 @@ CATALOGUE: dict[str, Feature] = {
             },
             finish=_pipe_finish,
         ),
-        _f("cnt_trx_n_day", "day_offset", defaults={"n_days": 3}, frame=busiest_days),
+        _f("cnt_trx_n_day", "day_offset", defaults={"n_days": 3}, frame=busiest_days, daily=True),
         _f(
             "sum_trx_n_day", "day_offset direction amount_usd", "sum_trx_n_day sum_trx_n_day_in sum_trx_n_day_out",
             defaults={"n_days": 3},
-            frame=lambda df, p: pass_through(df, p, "sum_trx_n_day"),
+            frame=lambda df, p: pass_through(df, p, "sum_trx_n_day"), daily=True,
         ),
         _f(
             "sum_rapid_movement", "day_offset direction amount_usd",
             "sum_rapid_movement sum_rapid_movement_in sum_rapid_movement_out",
             defaults={"n_days": 3},
-            frame=lambda df, p: pass_through(df, p, "sum_rapid_movement"),
+            frame=lambda df, p: pass_through(df, p, "sum_rapid_movement"), daily=True,
         ),
         _f(
             "z_score_cnt_trx", "", params=frozenset({LOOK_BACK}),

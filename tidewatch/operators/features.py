@@ -19,6 +19,8 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewatch.session import stored
+
 Params = Mapping[str, object]
 Columns = dict[str, Column]
 
@@ -49,6 +51,10 @@ class Measure:
             return F.count(self._filtered(F.lit(1) if self.value is None else self.value))
         return {"sum": F.sum, "max": F.max, "min": F.min}[self.kind](self._filtered(self.value))
 
+    def combine(self, name: str) -> Column:
+        """Partial results of the same counted column, put together."""
+        return {"count": F.sum, "sum": F.sum, "min": F.min}.get(self.kind, F.max)(name)
+
     def merge(self, name: str) -> Column:
         """Second level, per keys."""
         if self.kind == "distinct":
@@ -108,7 +114,8 @@ class Feature:
     measures: Callable[[Params], dict[str, Measure]] = _nothing
     finish: Callable[[Params], Columns] = _nothing
     post: Callable[[Params], Columns] = _nothing
-    frame: Callable[[DataFrame, Params], DataFrame] | None = None
+    frame: Callable[[DataFrame | RollUp, Params], DataFrame] | None = None
+    daily: bool = False  # the frame needs no more than daily totals
     trace: Callable[[Params], Column] | None = None
 
 
@@ -243,13 +250,67 @@ def aggregate_measures(df: DataFrame, keys: Sequence[str], measures: Mapping[str
     return df.groupBy(*keys).agg(*[m.whole().alias(n) for n, m in measures.items()])
 
 
+@dataclass(frozen=True)
+class RollUp:
+    """Transactions reduced once to (keys, day, counterparty).
+
+    All measures are kept as partial results, which are put together upwards: by counterparty
+    for explanations, by day for trailing totals, by keys for features.
+    """
+
+    rows: DataFrame
+    keys: tuple[str, ...]
+    day: str
+    category: str
+    measures: Mapping[str, Measure]
+    daily: Mapping[str, Measure]
+
+    def by_keys(self) -> DataFrame:
+        """The measures per keys, over counterparties first, as a hot key is spread over them."""
+        first = self.rows.groupBy(*self.keys, self.category).agg(*[m.combine(n).alias(n) for n, m in self.measures.items()])
+        return first.groupBy(*self.keys).agg(*[m.merge(n).alias(n) for n, m in self.measures.items()])
+
+    def by_day(self) -> DataFrame:
+        """The daily measures per keys and day."""
+        return self.rows.groupBy(*self.keys, self.day).agg(*[m.combine(f"_day_{n}").alias(n) for n, m in self.daily.items()])
+
+    def explain(self, view: str) -> DataFrame:
+        """Count ``c`` and rounded sum ``s`` per keys and counterparty of a view; rows without counterparty are left out."""
+        rows = self.rows.filter((F.col(f"_c_{view}") > 0) & F.col(self.category).isNotNull())
+        return rows.groupBy(*self.keys, self.category).agg(F.sum(f"_c_{view}").alias("c"), F.round(F.sum(f"_s_{view}"), 2).alias("s"))
+
+
+def roll_up(
+    df: DataFrame, features: Sequence[Feature], params: Params | None, day: str, category: str, amount: str,
+    daily: Mapping[str, Measure], views: Mapping[str, Column],
+) -> RollUp:
+    """One pass over the transactions, written once; ``views`` are predicates whose counts and sums are explained."""
+    common = dict(params or {})
+    check_features(df, features, common)
+    keys = features[0].keys
+    measures = {n: m for n, m in _gather(features, common, "measures").items() if m.kind != "carried"}
+    other = sorted({m.key for m in measures.values() if m.kind == "distinct"} - {category})
+    if other:
+        raise FeatureError(f"a roll-up by {category} cannot count distinct {other}")
+    aggs = [m.partial().alias(n) for n, m in measures.items()] + [m.partial().alias(f"_day_{n}") for n, m in daily.items()]
+    for name, where in views.items():
+        aggs += [F.count(F.when(where, F.lit(1))).alias(f"_c_{name}"), F.sum(F.when(where, F.col(amount))).alias(f"_s_{name}")]
+    rows = stored(df.groupBy(*keys, day, category).agg(*aggs))
+    return RollUp(rows, tuple(keys), day, category, measures, daily)
+
+
 def run_features(
     df: DataFrame,
     features: Sequence[Feature],
     params: Params | None = None,
     keep_inner: bool = False,
+    roll: RollUp | None = None,
 ) -> DataFrame:
-    """One row per entity and period with the output columns of every feature."""
+    """One row per entity and period with the output columns of every feature.
+
+    With a roll-up of the same features, ``df`` is read only for carried texts and for frames
+    that need single transactions.
+    """
     common = dict(params or {})
     check_features(df, features, common)
     keys = list(features[0].keys)
@@ -260,10 +321,16 @@ def run_features(
 
     out = None
     if measures:
-        out = aggregate_measures(df, keys, measures).withColumns(finish)
+        if roll is None:
+            out = aggregate_measures(df, keys, measures)
+        else:
+            texts = {n: m for n, m in measures.items() if m.kind == "carried"}
+            out = roll.by_keys()
+            out = out.join(aggregate_measures(df, keys, texts), keys) if texts else out
+        out = out.withColumns(finish)
     for f in features:
         if f.frame is not None:
-            part = f.frame(df, merged_params(f, common))
+            part = f.frame(roll if roll is not None and f.daily else df, merged_params(f, common))
             out = part if out is None else out.join(part, keys, "left")
     if post:
         out = out.withColumns(post)

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.history import history, zscore
 from tidewatch.functions.periods import month_start
-from tidewatch.operators.catalogue import CATALOGUE, ENTITY, LOOK_BACK, MONTHLY, PERIOD, features
-from tidewatch.operators.explain import explain_by, concentration, with_population
+from tidewatch.operators.catalogue import CATALOGUE, ENTITY, EXPLAINED, LOOK_BACK, MONTHLY, PERIOD, features, monthly_roll_up
+from tidewatch.operators.explain import concentration, packed, with_population
 from tidewatch.operators.features import aggregate_measures, count, run_feature, run_features
 from tidewatch.plans.registry import mean_sql, query
+from tidewatch.session import cut_lineage
 from tidewatch.sources.model import transactions
 
 PARAMS = {
@@ -213,13 +214,29 @@ POP_HOLDERS = {
 
 
 def monthly_table(trx, params=PARAMS, ids=MONTHLY):
-    """One row per entity and month: features, population, concentration."""
-    out = run_features(trx, features(*ids), params)
+    """One row per entity and month: features, population, concentration, and the explanations of the
+    counterparty features as JSON.
+
+    The transactions are read once for the roll-up and once for the carried texts. Of an explanation
+    with several pages (see ``packed``) the first is in the table; ``<feature>_explainability_pages``
+    counts them, and ``explanation_pages`` gives them all.
+    """
+    roll = monthly_roll_up(trx, ids, params)
+    out = cut_lineage(run_features(trx, features(*ids), params, roll=roll))
     out = with_population(out, PERIOD, POP_MEANS, POP_HOLDERS)
-    debit = explain_by(trx, [ENTITY, PERIOD], "cp_id", "amount_usd", (F.col("direction") == "debit") & F.col("cp_id").isNotNull())
-    top = concentration(debit, [ENTITY, PERIOD], "cp_id").select(ENTITY, PERIOD, "cp_concentration", "cp_concentration_s")
-    out = out.join(top, [ENTITY, PERIOD], "left")
-    return out.drop("sum_in_out_ratio").na.fill(0).withColumn("year_month", month_start(F.col(PERIOD)))
+    top = concentration(roll.explain("one_to_many"), [ENTITY, PERIOD], "cp_id").select(ENTITY, PERIOD, "cp_concentration", "cp_concentration_s")
+    out = out.join(top, [ENTITY, PERIOD], "left").drop("sum_in_out_ratio").na.fill(0)
+    for view in EXPLAINED:
+        name = f"{view}_explainability"
+        first = explanation_pages(roll, view).groupBy(ENTITY, PERIOD).agg(F.min_by(name, "part").alias(name), F.count(F.lit(1)).alias(f"{name}_pages"))
+        out = out.join(first, [ENTITY, PERIOD], "left")
+    return out.withColumn("year_month", month_start(F.col(PERIOD)))
+
+
+def explanation_pages(roll, view):
+    """The explanation of a feature in pages: count and sum by counterparty."""
+    rows = roll.explain(view).withColumn("s", F.col("s").cast("decimal(18,2)"))
+    return packed(rows, [ENTITY, PERIOD], {"cn": "cp_id", "c": "c", "s": "s"}, f"{view}_explainability")
 
 
 def _filled(*cols: str) -> str:
@@ -237,14 +254,25 @@ _POP_SQL = ", ".join(
 )
 
 
-# every feature by its own SQL, joined, with the population and the top counterparty
+def _explained_sql(view: str, where: str) -> str:
+    return f"""LEFT JOIN (SELECT customer_id, month_offset, '{{"data":[' || string_agg('{{"cn":' || cp_id || ',"c":' || c || ',"s":' || s || '}}', ',' ORDER BY cp_id) || ']}}' AS {view}_explainability,
+    1::BIGINT AS {view}_explainability_pages FROM (SELECT customer_id, month_offset, cp_id, count(*) AS c, round(sum(amount_usd), 2)::DECIMAL(18,2) AS s
+    FROM trx WHERE {where} AND cp_id IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (customer_id, month_offset)"""
+
+
+_EXPLAINED_SQL = {"one_to_many": "direction = 'debit'", "many_to_one": "direction = 'credit'", "sum_trx_fop": _FOP}
+
+
+# every feature by its own SQL, joined, with the population, the top counterparty and the explanations
 @query(f"""
 SELECT customer_id, month_offset, customer_name, {_filled(*_TABLE_COLUMNS, *POP_MEANS, *POP_HOLDERS, "cp_concentration", "cp_concentration_s")},
-       (DATE '1970-01-01' + to_months(month_offset::INT))::DATE AS year_month
+       (DATE '1970-01-01' + to_months(month_offset::INT))::DATE AS year_month,
+       {", ".join(f"{v}_explainability, {v}_explainability_pages" for v in _EXPLAINED_SQL)}
 FROM wide JOIN (SELECT month_offset, {_POP_SQL} FROM wide GROUP BY 1) USING (month_offset)
 LEFT JOIN (SELECT customer_id, month_offset, max(s) AS cp_concentration_s, max(s) / nullif(round(sum(s), 2), 0) AS cp_concentration FROM (
              SELECT customer_id, month_offset, cp_id, round(sum(amount_usd), 2) AS s FROM trx WHERE direction = 'debit' GROUP BY 1, 2, 3) GROUP BY 1, 2)
-  USING (customer_id, month_offset)""", trx=True, ctes=",\n".join([
+  USING (customer_id, month_offset)
+{" ".join(_explained_sql(v, w) for v, w in _EXPLAINED_SQL.items())}""", trx=True, ctes=",\n".join([
     *(f"f_{fid} AS ({_FEATURE_SQL[fid]})" for fid in MONTHLY),
     "wide AS (SELECT * FROM f_cnt_trx " + " ".join(f"JOIN f_{fid} USING (customer_id, month_offset)" for fid in MONTHLY if fid != "cnt_trx") + ")",
 ]))
