@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from tidewatch.functions.order import with_order_key
-from tidewatch.operators import components, entity as er, explain as ex, sampling
+from tidewatch.operators import components, entity as er, explain as ex, relate, sampling
 from tidewatch.operators.neighbours import with_neighbours
 from tidewatch.operators.percentiles import percentiles
 from tidewatch.operators.relate import join_report, trace
@@ -241,11 +241,28 @@ def test_trace_bounds(spark):
     acts = spark.sql("select 'a' e, date'2024-01-01' d")
     days = ["2023-12-30", "2023-12-31", "2024-01-01", "2024-01-31", "2024-02-01", "2024-02-02"]
     rows = spark.createDataFrame([("a", d) for d in days] + [("b", "2024-01-05")], "e string, s string").select("e", F.to_timestamp_ntz("s").alias("txn_ts"))
-    for salt in (1, 3):
-        got = sorted(str(r["txn_ts"])[:10] for r in trace(acts, rows, "e", "d", before=1, after=1, salt=salt).collect())
+    for size in (1_000_000, 1):
+        got = sorted(str(r["txn_ts"])[:10] for r in trace(acts, rows, "e", "d", before=1, after=1, rows_per_task=size).collect())
         assert got == days[1:5]
 
 
+def test_only_heavy_months_are_split(spark):
+    """The hot entity-month is dealt into parts; activities of other months are not repeated."""
+    rows = spark.range(5000).select(F.when(F.col("id") < 4000, "hot").otherwise(F.concat(F.lit("e"), F.col("id") % 100)).alias("e"), F.lit("2024-01-05").cast("timestamp_ntz").alias("txn_ts"), "id")
+    heavy = relate.heavy_keys(rows.withColumn("m", F.lit(1)), ["e", "m"], 1000)
+    assert [tuple(r) for r in heavy.collect()] == [("hot", 1, 4)]
+    acts = rows.select("e").distinct().withColumn("d", F.lit("2024-01-01").cast("date"))
+    assert trace(acts, rows, "e", "d", rows_per_task=1000).count() == 5000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        most = largest_task(spark, lambda: trace(acts, rows, "e", "d", rows_per_task=250).write.format("noop").mode("overwrite").save())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert most < 3000
+
+
 def test_join_report_with_nulls(spark):
     a = spark.createDataFrame([(1,), (1,), (None,), (3,)], "k int")
     b = spark.createDataFrame([(1,), (2,), (None,)], "k int")

@@ -75,6 +75,28 @@ def test_keywords_are_escaped_and_limited(spark):
         text.keywords_of(words, "g", "k", limit=1)
 
 
+def test_keyword_table_of_any_script(spark):
+    texts = ["Die Größe zählt", "die grösse", "красный Кот идёт", "котик красный кот", "the cat", "THE CAT!", "the dog", "concat the", "café au lait", "cafés", "l'été", "$$$", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    words = ["größe", "кот", "красный кот", "The Cat", "café", "the", "été", "$$$", "", None, "unseen", "the unseen cat"]
+    table = spark.createDataFrame([("g", w) for w in words] + [("h", "кот")], "g string, k string")
+    got = {(r["id"], r["g"], r["k"]) for r in text.keyword_hits(df, "id", "t", table, "g", "k").collect()}
+    want = {(0, "größe"), (2, "кот"), (3, "кот"), (2, "красный кот"), (3, "красный кот"), (4, "The Cat"), (5, "The Cat"), (8, "café"), (10, "été")}
+    want |= {(i, "the") for i in (4, 5, 6, 7)}
+    assert got == {(i, "g", k) for i, k in want} | {(2, "h", "кот"), (3, "h", "кот")}
+
+
+def test_a_common_first_word_draws_nothing(spark):
+    """Keywords that begin with a word of every text meet the texts by their rare words."""
+    from test_distributed import largest_task
+
+    df = spark.range(20_000).select("id", F.concat(F.lit("the w"), F.col("id")).alias("t")).repartition(8)
+    table = spark.range(2000).select(F.lit("g").alias("g"), F.concat(F.lit("the w"), F.col("id") * 10).alias("k"))
+    hits = text.keyword_hits(df, "id", "t", table, "g", "k")
+    assert hits.count() == 2000
+    assert largest_task(spark, lambda: hits.write.format("noop").mode("overwrite").save()) < 45_000
+
+
 def test_planted_patterns(spark):
     rows = [("a", "2024-01-0%d" % d, 100.0, "credit", f"c{d}") for d in range(1, 6)]
     rows += [("a", "2024-01-03", 290.0, "debit", "z"), ("b", "2024-01-01", 10.0, "debit", None)]

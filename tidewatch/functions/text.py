@@ -50,20 +50,34 @@ def keyword_flags(df: DataFrame, text: str, keywords: Mapping[str, Sequence[str]
     return df.withColumns(hits).withColumns(flags)
 
 
+# Letters with their marks, digits and the underscore, of any script.
+WORD = r"\p{L}\p{M}\p{N}_"
+
+
+def _words(c: Column) -> Column:
+    """Distinct words of a text in lower case."""
+    return F.array_distinct(F.filter(F.split(F.lower(c), rf"[^{WORD}]+"), lambda w: w != ""))
+
+
 def keyword_hits(df: DataFrame, key: str, text: str, keywords: DataFrame, group: str, keyword: str) -> DataFrame:
     """(key, group, keyword): whole-word hits (any case) of a keyword table of any size.
 
-    Texts meet the keywords that begin with one of their words, and the whole keyword is
-    then looked for, so nothing is listed on the driver. Word characters are ASCII.
+    Each keyword is anchored at the one of its words that the fewest texts hold, so a common
+    first word ("the ...") draws nothing; a keyword with a word that no text holds is
+    dropped at once. Texts meet the keywords by those words, and the whole keyword is then looked for.
+    Nothing is listed on the driver. Words are of any script; a keyword without a letter or
+    digit hits nothing.
     """
-    split = r"[^A-Za-z0-9_]+"
-    table = keywords.select(F.col(group).alias("_g"), F.col(keyword).alias("_k")).filter(F.length("_k") > 0).distinct()
-    table = table.withColumn("_w", F.element_at(F.filter(F.split(F.lower("_k"), split), lambda w: w != ""), 1))
-    words = df.select(key, F.explode(F.array_distinct(F.split(F.lower(text), split))).alias("_w"))
-    met = words.join(table, "_w").select(key, "_g", "_k").distinct()
-    pattern = F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_])\Q"), "_k", F.lit(r"\E(?![A-Za-z0-9_])"))
+    table = keywords.select(F.col(group).alias("_g"), F.col(keyword).alias("_k")).distinct()
+    words = df.select(key, F.explode(_words(F.col(text))).alias("_w"))
+    texts = words.groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
+    parts = table.select("_g", "_k", F.explode(_words(F.col("_k"))).alias("_w"))
+    rarest = parts.join(texts, "_w", "left").groupBy("_g", "_k").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_w").alias("w"))).alias("_a"))
+    anchored = rarest.filter("_a.n > 0").select("_g", "_k", F.col("_a.w").alias("_w"))
+    met = words.join(anchored, "_w").select(key, "_g", "_k").distinct()
+    pattern = F.concat(F.lit(rf"(?iu)(?<![{WORD}])\Q"), "_k", F.lit(rf"\E(?![{WORD}])"))
     found = met.join(df.select(key, text), key).filter(F.regexp_like(F.col(text), pattern))
-    return found.select(key, F.col("_g").alias(group), F.col("_k").alias(keyword))
+    return found.select(key, F.col("_g").alias(group), F.col("_k").alias(keyword)).distinct()
 
 
 def name_words(c: Column) -> Column:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions.periods import month_offset
+from tidewatch.session import cut_lineage
 
 
 def entity_star(account: DataFrame, disp: DataFrame, loan: DataFrame, client: DataFrame, card: DataFrame) -> DataFrame:
@@ -26,6 +27,21 @@ def new_only(df: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     return df.join(existing.select(key).distinct(), key, "left_anti")
 
 
+#: Rows of one key that one task may join.
+ROWS_PER_TASK = 1_000_000
+#: Keys that are split, at most: the heaviest ones. Over that many, the others are light beside them.
+MOST_HEAVY = 100_000
+
+
+def heavy_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int) -> DataFrame | None:
+    """(keys, _salts): how many parts each key with more than ``rows_per_task`` rows is split into; None if there
+    is no such key. The table is counted, bounded and so broadcast."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_task)
+    parts = F.ceil(F.col("_n") / rows_per_task).cast("int")
+    heavy = cut_lineage(sizes.orderBy(F.desc("_n"), *keys).limit(MOST_HEAVY).select(*keys, parts.alias("_salts")))
+    return None if heavy.isEmpty() else F.broadcast(heavy)
+
+
 def trace(
     activities: DataFrame,
     trx: DataFrame,
@@ -37,7 +53,7 @@ def trace(
     months_after: int = 1,
     relevant: Column | None = None,
     ts: str = "txn_ts",
-    salt: int = 1,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Transactions behind each activity.
 
@@ -46,8 +62,8 @@ def trace(
     ``relevant`` marks the rows that made a feature fire.
 
     The range is cut into calendar months, so the join has the equi key (entity,
-    month) and an entity's rows spread over its months. ``salt`` splits one hot
-    entity-month further; the few activity rows are repeated instead.
+    month) and an entity's rows spread over its months. An entity-month with more than
+    ``rows_per_task`` rows, by count, is split further, and only the activities that meet it are repeated.
     """
     d = F.col(anchor).cast("date")
     low = F.date_sub(F.add_months(d, -months_before), before)
@@ -57,9 +73,11 @@ def trace(
     )
     rows = trx.withColumn("_month", month_offset(F.col(ts)))
     keys = [entity, "_month"]
-    if salt > 1:
-        acts = acts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*trx.columns), F.lit(salt)).cast("int"))
+    heavy = heavy_keys(rows, keys, rows_per_task)
+    if heavy is not None:
+        acts = acts.join(heavy, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+        spread = F.pmod(F.xxhash64(*trx.columns), F.coalesce("_salts", F.lit(1))).cast("int")
+        rows = rows.join(heavy, keys, "left").withColumn("_salt", spread).drop("_salts")
         keys.append("_salt")
     day = F.col(ts).cast("date")
     out = acts.join(rows, keys).filter((day >= F.col("_low")) & (day < F.col("_high")))
@@ -68,24 +86,18 @@ def trace(
 
 
 def trace_features(
-    activities: DataFrame, trx: DataFrame, entity: str, anchor: str, relevant: Mapping[str, Column | None], salt: int = 1, **kw
+    activities: DataFrame, trx: DataFrame, entity: str, anchor: str, relevant: Mapping[str, Column | None], **kw
 ) -> DataFrame:
     """The traces of several features from one join: (activity, feature, transaction).
 
     ``relevant`` maps a feature to its own predicate over transactions; None traces
     every row, as the global trace does. A row is listed once for each feature that it is relevant to.
     """
-    rows = trace(activities, trx, entity, anchor, salt=salt, **kw).drop("is_relevant")
+    rows = trace(activities, trx, entity, anchor, **kw).drop("is_relevant")
     marks = [F.when(F.lit(True) if p is None else F.coalesce(p, F.lit(False)), F.lit(name)) for name, p in relevant.items()]
     return rows.withColumn("feature", F.explode(F.array_compact(F.array(*marks))))
 
 
-def hot_salt(trx: DataFrame, keys: Sequence[str | Column], rows_per_task: int = 1_000_000) -> int:
-    """How many salts keep the largest key below ``rows_per_task`` rows; one number is read."""
-    largest = trx.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
-    return max(1, -(-largest // rows_per_task))
-
-
 def trace_group(
     activities: DataFrame, members: DataFrame, trx: DataFrame, group: str, entity: str, anchor: str, **kw
 ) -> DataFrame:

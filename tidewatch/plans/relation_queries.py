@@ -331,7 +331,7 @@ FROM acts a JOIN trx t ON t.customer_id = a.customer_id AND t.txn_ts >= a.year_m
   AND t.txn_ts < a.year_month + INTERVAL 1 MONTH + INTERVAL 5 DAY""", trx=True, ctes=_LARGE_SQL)
 def activity_trace(spark, sf):
     trx = transactions(spark, sf, [ENTITY, "txn_id", "txn_ts", "amount_usd", "direction"])
-    out = relate.trace(_large_months(spark, sf), trx, ENTITY, "year_month", 10, 5, relevant=F.col("direction") == "debit", salt=4)
+    out = relate.trace(_large_months(spark, sf), trx, ENTITY, "year_month", 10, 5, relevant=F.col("direction") == "debit", rows_per_task=20)
     return out.select(ENTITY, "year_month", "total", "txn_id", "amount_usd", "is_relevant")
 
 
@@ -346,8 +346,7 @@ JOIN (SELECT unnest([{", ".join(repr(f) for f in _TRACED)}]) AS feature) f
 def feature_traces(spark, sf):
     trx = transactions(spark, sf, [ENTITY, "txn_id", "txn_ts", "method", "direction", "ip_hash", "counterparty_ip", "cp_id", PERIOD])
     relevant = {f: CATALOGUE[f].trace({}) for f in _TRACED if f != "global"} | {"global": None}
-    salt = relate.hot_salt(trx, [ENTITY, PERIOD])
-    out = relate.trace_features(_large_months(spark, sf), trx, ENTITY, "year_month", relevant, salt)
+    out = relate.trace_features(_large_months(spark, sf), trx, ENTITY, "year_month", relevant)
     return out.select(ENTITY, "year_month", "feature", "txn_id")
 
 
@@ -359,7 +358,7 @@ def group_trace(spark, sf):
     acts = _large_months(spark, sf).select((F.col(ENTITY) % 7).alias("party"), "year_month").distinct()
     members = table(spark, sf, "supplier").select(F.col("s_suppkey").alias(ENTITY), (F.col("s_suppkey") % 7).alias("party"))
     trx = transactions(spark, sf, [ENTITY, "txn_id", "txn_ts"])
-    out = relate.trace_group(acts, members, trx, "party", ENTITY, "year_month", after=3, months_before=1, months_after=0, salt=relate.hot_salt(trx, [ENTITY, F.trunc("txn_ts", "month")]))
+    out = relate.trace_group(acts, members, trx, "party", ENTITY, "year_month", after=3, months_before=1, months_after=0, rows_per_task=10)
     return out.select("party", "year_month", ENTITY, "txn_id")
 
 
