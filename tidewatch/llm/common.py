@@ -6,7 +6,7 @@ import hashlib
 import io
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -143,78 +143,101 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: Spans are hashed by polynomials modulo this prime, so that unequal spans of n words agree with
-#: probability n / PRIME at most, whatever the words.
+#: A span has two hashes, polynomials over 61-bit values of its words: one modulo 2^64, which is fast,
+#: and one modulo this prime, for which unequal spans of n words agree with probability n / PRIME
+#: at most, whatever the words.
 PRIME = (1 << 61) - 1
-_P = np.uint64(PRIME)
-# Two bases below the prime, taken at random once.
+_P, _31, _30, _LOW31, _LOW30 = (np.uint64(x) for x in (PRIME, 31, 30, (1 << 31) - 1, (1 << 30) - 1))
+# Two odd numbers below the prime, taken at random once.
 _BASES = (0x0B1E5A7C93D4F26B, 0x16C80F3D72A95E41)
+_BLOCK = 1 << 14
 _power_cache: dict[tuple[int, bool], np.ndarray] = {}
 
 
 def _reduced(x: np.ndarray) -> np.ndarray:
     """Any uint64 modulo the prime."""
     x = (x >> np.uint64(61)) + (x & _P)
-    return np.where(x >= _P, x - _P, x)
+    return np.minimum(x, x - _P)  # below the prime the difference wraps round and is larger
 
 
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Products modulo the prime, from halves of 30 and 31 bits."""
-    ah, al = a >> np.uint64(31), a & np.uint64((1 << 31) - 1)
-    bh, bl = b >> np.uint64(31), b & np.uint64((1 << 31) - 1)
-    middle = ah * bl + al * bh
-    high, low = middle >> np.uint64(30), middle & np.uint64((1 << 30) - 1)
-    return _reduced(ah * bh * np.uint64(2) + high + (low << np.uint64(31)) + al * bl)
+    """Products modulo the prime, from halves of 30 and 31 bits; in blocks that stay in the cache."""
+    out = np.empty(len(a), dtype=np.uint64)
+    for i in range(0, len(a), _BLOCK):
+        x, y = a[i : i + _BLOCK], b[i : i + _BLOCK]
+        xh, xl, yh, yl = x >> _31, x & _LOW31, y >> _31, y & _LOW31
+        middle = xh * yl
+        middle += xl * yh
+        xh *= yh
+        xh += xh
+        xl *= yl
+        xh += xl
+        xh += middle >> _30
+        middle &= _LOW30
+        middle <<= _31
+        xh += middle
+        out[i : i + _BLOCK] = _reduced(xh)
+    return out
 
 
 def _running(x: np.ndarray) -> np.ndarray:
     """Sums of the first 0, 1, .. values modulo the prime; halves are summed apart, as whole values would overflow."""
     out = np.zeros(len(x) + 1, dtype=np.uint64)
-    high = _reduced(np.cumsum(x >> np.uint64(31), dtype=np.uint64))
-    low = np.cumsum(x & np.uint64((1 << 31) - 1), dtype=np.uint64)
-    out[1:] = _reduced(_times(high, np.full(1, 1 << 31, dtype=np.uint64)) + _reduced(low))
+    before = np.uint64(0)
+    for i in range(0, len(x), _BLOCK):
+        part = x[i : i + _BLOCK]
+        high = _reduced(np.cumsum(part >> _31, dtype=np.uint64))
+        low = np.cumsum(part & _LOW31, dtype=np.uint64)
+        # times 2^31: a rotation of 61 bits
+        sums = _reduced((((high & _LOW30) << _31) | (high >> _30)) + low + before)
+        out[i + 1 : i + 1 + len(part)] = sums
+        before = sums[-1]
     return out
 
 
 def _powers(which: int, n: int, inverse: bool = False) -> np.ndarray:
-    """base ** i (or its inverse) modulo the prime for i < n, doubled as needed."""
+    """base ** i (or its inverse) for i < n, modulo 2^64 (0) or the prime (1); doubled as needed."""
     have = _power_cache.get((which, inverse), np.ones(1, dtype=np.uint64))
-    base = pow(_BASES[which], -1, PRIME) if inverse else _BASES[which]
+    modulus = PRIME if which else 1 << 64
+    base = pow(_BASES[which], -1, modulus) if inverse else _BASES[which]
     while len(have) < n:
-        have = np.concatenate([have, _times(have, np.full(1, pow(base, len(have), PRIME), dtype=np.uint64))])
+        step = np.full(len(have), pow(base, len(have), modulus), dtype=np.uint64)
+        have = np.concatenate([have, _times(have, step) if which else have * step])
     _power_cache[which, inverse] = have
     return have[:n]
 
 
-class _WordCodes(dict):
-    """Numbers of words, and for each two values below the prime from a cryptographic hash of the
-    word. Words are remembered up to a bounded number of bytes."""
+class _WordCodes:
+    """Two values below the prime for each word, from a cryptographic hash of it. Words are remembered up to
+    a bounded number of bytes."""
 
     LIMIT = 32 << 20
 
     def __init__(self):
-        super().__init__()
+        self.number: dict[bytes, int] = {}
         self.size = 0
-        self.known = np.zeros((0, 2), dtype=np.uint64)
-        self.fresh: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        i = self[word] = len(self)
-        self.size += len(word) + 100
-        self.fresh.append(hashlib.blake2b(word, digest_size=16).digest())
-        return i
+        self.known = np.zeros((1024, 2), dtype=np.uint64)
 
-    def of(self, words: Iterable[bytes], n: int) -> np.ndarray:
-        """(n, 2) values of n words."""
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if self.size > self.LIMIT:
             self.__init__()
-            self.clear()
-        at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=n)
-        if self.fresh:
-            new = np.frombuffer(b"".join(self.fresh), dtype=np.uint64).reshape(-1, 2)
-            self.known = np.concatenate([self.known, _reduced(new)])
-            self.fresh = []
-        return self.known[at]
+        at = np.fromiter(map(self.number.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            hashed = []
+            for i in new:
+                w = words[i]
+                k = self.number.get(w)
+                if k is None:
+                    k = self.number[w] = len(self.number)
+                    self.size += len(w) + 100
+                    hashed.append(hashlib.blake2b(w, digest_size=16).digest())
+                at[i] = k
+            total = len(self.number)
+            if total > len(self.known):
+                self.known = np.concatenate([self.known, np.zeros((max(total, len(self.known)), 2), dtype=np.uint64)])
+            self.known[total - len(hashed) : total] = _reduced(np.frombuffer(b"".join(hashed), dtype=np.uint64).reshape(-1, 2))
+        return self.known[at, 0], self.known[at, 1]
 
 
 _word_codes: list[_WordCodes] = []
@@ -240,14 +263,28 @@ class Spans:
         self.n = int(sizes.sum())
         if not _word_codes:
             _word_codes.append(_WordCodes())  # one for each worker
-        values = _word_codes[0].of(chain.from_iterable(texts), self.n)
-        self.sums = {k: _running(_times(values[:, k], _powers(k, self.n))) for k in which}
+        values = _word_codes[0].of(list(chain.from_iterable(texts)))
+        self.sums = {}
+        for k in which:
+            powers = _powers(k, self.n)
+            if k:
+                self.sums[k] = _running(_times(values[k], powers))
+            else:
+                self.sums[k] = np.zeros(self.n + 1, dtype=np.uint64)
+                np.cumsum(values[k] * powers, out=self.sums[k][1:])
 
     def hashes(self, first: np.ndarray, last: np.ndarray, which: int = 0) -> np.ndarray:
         """Hash of the words first..last (inclusive) for each pair, as uint64."""
-        s = self.sums[which]
-        span = _times(_reduced(s[last + 1] + (_P - s[first])), _powers(which, self.n + 1, True)[first])
-        return mix(span + mix((last - first + 1).astype(np.uint64)))
+        s, powers = self.sums[which], _powers(which, self.n + 1, True)
+        out = np.empty(len(first), dtype=np.uint64)
+        for i in range(0, len(first), _BLOCK):
+            a, z = first[i : i + _BLOCK], last[i : i + _BLOCK]
+            size = (z - a).astype(np.uint64) * np.uint64(_BASES[1])
+            if which:
+                out[i : i + _BLOCK] = _times(_reduced(s[z + 1] + (_P - s[a])), powers[a]) + size
+            else:
+                out[i : i + _BLOCK] = mix((s[z + 1] - s[a]) * powers[a] + size)
+        return out
 
     def windows(self, length: int, which: int = 0) -> np.ndarray:
         """Hash of every window of ``length`` words by its start, over the borders of texts too."""
