@@ -18,23 +18,33 @@ def split_reference(df: DataFrame, period: str, start, end) -> tuple[DataFrame,
     return df.filter((p >= start) & (p <= end)), df.filter(p > end)
 
 
-def _stability(long: DataFrame, edge_rows: DataFrame, bins: int) -> DataFrame:
+def value_counts(df: DataFrame, period: str, columns: Sequence[str]) -> DataFrame:
+    """(period, feature, value, n): how often each value of each column occurs in a period, NULL included.
+
+    Such tables merge: a new period is appended to the stored ones, and stability over any
+    periods is computed from the counts without the rows behind them.
+    """
+    return long_features(df, [period], columns).groupBy(period, "feature", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _stability(counts: DataFrame, bins: int, zeros: bool) -> DataFrame:
     """Per feature: sum of (a - e) * ln(a / e) over bins filled on both sides.
 
-    ``long`` is (is_ref, feature, value); edges come from the reference.
+    ``counts`` is (is_ref, feature, value, n); edges come from the reference, without zeros if so asked.
     """
     probs = {f"q{i}": i / bins for i in range(1, bins)}
-    marks = percentiles(edge_rows, ["feature"], "value", probs, "discrete", few_groups=True)
+    edge_rows = counts.filter("is_ref" if zeros else "is_ref AND value <> 0")
+    marks = percentiles(edge_rows, ["feature"], "value", probs, "discrete", few_groups=True, weight="n")
     edges = marks.select("feature", F.array_distinct(F.array(*probs)).alias("edges"))
     # one row of at most ``bins`` numbers per listed feature
-    binned = long.join(F.broadcast(edges), "feature").withColumn(
+    binned = counts.join(F.broadcast(edges), "feature").withColumn(
         "bin",
         F.when(F.col("value").isNull(), F.lit(-1)).otherwise(
             F.size(F.filter("edges", lambda e: e <= F.col("value")))
         ),
     )
     filled = binned.groupBy("feature", "bin").agg(
-        F.count(F.when(F.col("is_ref"), 1)).alias("e"), F.count(F.when(~F.col("is_ref"), 1)).alias("a")
+        F.sum(F.when(F.col("is_ref"), F.col("n")).otherwise(0)).alias("e"), F.sum(F.when(F.col("is_ref"), 0).otherwise(F.col("n"))).alias("a")
     )
     sizes = filled.groupBy("feature").agg(F.sum("e").alias("te"), F.sum("a").alias("ta"))
     a, e = F.col("a") / F.col("ta"), F.col("e") / F.col("te")
@@ -44,31 +54,34 @@ def _stability(long: DataFrame, edge_rows: DataFrame, bins: int) -> DataFrame:
 
 def _tagged(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) -> DataFrame:
     sides = [d.select(F.lit(r).alias("is_ref"), *columns) for d, r in ((ref, True), (cur, False))]
-    return long_features(sides[0].unionByName(sides[1]), ["is_ref"], columns)
+    return long_features(sides[0].unionByName(sides[1]), ["is_ref"], columns).withColumn("n", F.lit(1).cast("long"))
 
 
-def csi(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: int = 10, threshold: float = 0.25) -> DataFrame:
-    """Characteristic stability per feature; deciles of non-zero reference values.
-
-    All features run in one pass. A feature without non-zero values is left out;
-    FAIL from the threshold on.
-    """
-    long = _tagged(ref, cur, features)
-    out = _stability(long, long.filter("is_ref AND value <> 0"), bins)
-    return out.select(
+def csi_of_counts(counts: DataFrame, bins: int = 10, threshold: float = 0.25) -> DataFrame:
+    """Characteristic stability per feature from (is_ref, feature, value, n), see ``value_counts``; deciles of
+    non-zero reference values. A feature without non-zero values is left out; FAIL from the threshold on."""
+    return _stability(counts, bins, zeros=False).select(
         "feature", F.col("stability").alias("csi"), F.when(F.col("stability") >= threshold, "FAIL").otherwise("PASS").alias("result")
     )
 
 
-def psi(ref: DataFrame, cur: DataFrame, column: str, bins: int = 10, threshold: float = 0.25) -> DataFrame:
-    """Population stability of one column; FAIL above the threshold."""
-    long = _tagged(ref, cur, [column])
-    out = _stability(long, long.filter("is_ref"), bins)
-    return out.select(
+def csi(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: int = 10, threshold: float = 0.25) -> DataFrame:
+    """``csi_of_counts`` of two sets of rows; all features run in one pass."""
+    return csi_of_counts(_tagged(ref, cur, features), bins, threshold)
+
+
+def psi_of_counts(counts: DataFrame, bins: int = 10, threshold: float = 0.25) -> DataFrame:
+    """Population stability from (is_ref, feature, value, n); FAIL above the threshold."""
+    return _stability(counts, bins, zeros=True).select(
         "feature", F.col("stability").alias("psi"), F.when(F.col("stability") > threshold, "FAIL").otherwise("PASS").alias("result")
     )
 
 
+def psi(ref: DataFrame, cur: DataFrame, column: str, bins: int = 10, threshold: float = 0.25) -> DataFrame:
+    """``psi_of_counts`` of one column of two sets of rows."""
+    return psi_of_counts(_tagged(ref, cur, [column]), bins, threshold)
+
+
 def anomaly_rate(df: DataFrame, score: str, threshold: float, by: str) -> DataFrame:
     hit = F.when(F.col(score) > threshold, 1).otherwise(0)
     return df.groupBy(by).agg(

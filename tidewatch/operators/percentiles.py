@@ -42,9 +42,12 @@ def percentiles(
     method: str = "linear",
     few_groups: bool = False,
     count_first: bool = True,
+    weight: str | None = None,
 ) -> DataFrame:
     """One row per group and one column per named probability; NULL values do not count.
 
+    A row stands for as many values as its ``weight`` says (1 without).
+
     ``linear`` interpolates between neighbours; ``discrete`` takes the smallest
     value that covers the share. ``few_groups`` says that the number of groups is
     bounded by the caller (such as one per listed feature), so that the buckets of each round,
@@ -57,9 +60,9 @@ def percentiles(
     small = F.broadcast if few_groups or not by else (lambda d: d)
     rows = df.filter(F.col(value).isNotNull())
     if count_first:
-        rows = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+        rows = rows.groupBy(*by, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
     else:
-        rows = rows.select(*by, value, F.lit(1).cast("long").alias("n"))
+        rows = rows.select(*by, value, (F.col(weight) if weight else F.lit(1)).cast("long").alias("n"))
     bits = {
         "_k1": F.shiftright("_key", SECOND + THIRD),
         "_k2": F.shiftright("_key", THIRD).bitwiseAND(F.lit((1 << SECOND) - 1)),

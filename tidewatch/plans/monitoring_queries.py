@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewatch.operators import drift
 from tidewatch.plans.detection import ACTS_SQL, FEATURES, SCORED_SQL, STEP, THRESHOLD, activities, scored
 from tidewatch.plans.registry import mean_sql, query
-from tidewatch.session import cut_lineage
+from tidewatch.session import checkpoint_folder, cut_lineage
 from tidewatch.sources.model import ENTITY, PERIOD
+from tidewatch.sources.versions import VersionedTable
 
 # The reference period: months 300 (January 1995) to 359 (December 1999).
 FIRST, LAST = 300, 359
@@ -53,6 +56,21 @@ def score_stability(spark, sf):
     return drift.psi(*_halves(cut_lineage(scored(spark, sf))), "algo_score")
 
 
+# The counts of each period are stored as they come in; stability over all periods needs no old rows.
+@query("SELECT feature, s AS csi, CASE WHEN s >= 0.25 THEN 'FAIL' ELSE 'PASS' END AS result FROM stability", trx=True,
+       ctes=ACTS_SQL + "," + _stability_sql(FEATURES, "acts", "AND v <> 0"))
+def stability_of_stored_counts(spark, sf):
+    acts = cut_lineage(activities(spark, sf))
+    counted = drift.value_counts(acts, PERIOD, FEATURES)
+    folder = f"{checkpoint_folder(spark)}/counts-{uuid.uuid4().hex}"
+    stored = VersionedTable(spark, folder, counted.schema, [PERIOD])
+    p = F.col(PERIOD)
+    for months in (p <= 340, (p > 340) & (p <= 359), (p > 359) & (p <= 370), p > 370):
+        stored.append(drift.value_counts(acts.filter(months), PERIOD, FEATURES))
+    counts = stored.read()
+    return drift.csi_of_counts(counts.select((p <= 359).alias("is_ref"), "feature", "value", "n"))
+
+
 @query("""
 SELECT month_offset, count(*) AS total, count(*) FILTER (WHERE algo_score > 0.5) AS anomalies, round(count(*) FILTER (WHERE algo_score > 0.5) / count(*), 6) AS ratio
 FROM scored GROUP BY 1""", trx=True, ctes=SCORED_SQL)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tidewatch.functions.history import history, zscore
 from tidewatch.functions.periods import month_start
 from tidewatch.operators.catalogue import CATALOGUE, ENTITY, EXPLAINED, LOOK_BACK, MONTHLY, PERIOD, features, monthly_roll_up
 from tidewatch.operators.explain import concentration, packed, with_population
-from tidewatch.operators.features import aggregate_measures, count, run_feature, run_features
+from tidewatch.operators.features import (
+    FeatureError, aggregate_measures, check_features, count, largest, max_look_back, run_feature, run_features, select_features,
+)
 from tidewatch.plans.registry import mean_sql, query
 from tidewatch.session import cut_lineage
 from tidewatch.sources.model import transactions
@@ -202,6 +206,51 @@ def trailing_week_events(spark, sf):
     return days.withColumn("n_7d", F.sum("n").over(trailing("user_id", "day_no", 7)))
 
 
+# --- choosing features -----------------------------------------------------------
+
+# One feature with its own window, one of the core layer replaced by an extension, one switched off.
+_SPEC = {
+    "cnt_trx_n_day": {"v1": {"active": True, "train": True, "params": {"n_days": 5}}},
+    "max_trx": {"v1": {"active": True, "train": False}},
+    "sum_trx_cash": {"v1": {"active": False, "train": True}},
+}
+
+
+@query("""
+SELECT customer_id, month_offset, max(n)::BIGINT AS cnt_trx_n_day, max(m) AS max_trx FROM (
+  SELECT customer_id, month_offset, sum(n) OVER (PARTITION BY customer_id ORDER BY day_offset RANGE BETWEEN 4 PRECEDING AND CURRENT ROW) AS n, m
+  FROM (SELECT customer_id, month_offset, day_offset, count(*) AS n, max(-amount_usd) AS m FROM trx GROUP BY 1, 2, 3)) GROUP BY 1, 2""", trx=True)
+def selected_features(spark, sf):
+    ext = replace(CATALOGUE["max_trx"], layer="ext", measures=lambda p: {"max_trx": largest(-F.col("amount_usd"))})
+    chosen = select_features([*CATALOGUE.values(), ext], _SPEC)
+    return run_features(transactions(spark, sf, [ENTITY, PERIOD, "day_offset", "amount_usd"]), chosen, {"n_days": 2})
+
+
+@query(_grouped("count(*) AS cnt_trx", "max(amount_usd) AS max_trx", *(c for f in ("cnt_trx_cash", "sum_trx_cash", "sum_trx_cash_in", "sum_trx_cash_out") for c in _SIMPLE[f])), trx=True)
+def runnable_features(spark, sf):
+    """The plain features that a table without counterparties can run."""
+    trx = transactions(spark, sf, [ENTITY, PERIOD, "amount_usd", "method"])
+    chosen = []
+    for fid in _SIMPLE:
+        try:
+            check_features(trx, features(fid), {})
+        except FeatureError:
+            continue
+        chosen += features(fid)
+    return run_features(trx, chosen)
+
+
+@query("""
+SELECT customer_id, count(*) AS n, min(month_offset) AS first_month FROM trx WHERE month_offset > (SELECT max(month_offset) FROM trx) - 9 GROUP BY 1""", trx=True)
+def longest_look_back(spark, sf):
+    """The transactions that the feature with the longest look-back needs."""
+    chosen = [CATALOGUE["z_score_cnt_trx"], replace(CATALOGUE["z_score_sum_trx"], defaults={LOOK_BACK: 9})]
+    months = max_look_back(chosen, PARAMS, LOOK_BACK, horizon=84)
+    trx = transactions(spark, sf, [ENTITY, PERIOD])
+    last = trx.agg(F.max(PERIOD).alias("m")).first()["m"]
+    return trx.filter(F.col(PERIOD) > last - months).groupBy(ENTITY).agg(F.count(F.lit(1)).alias("n"), F.min(PERIOD).alias("first_month"))
+
+
 # --- the whole table -------------------------------------------------------------
 
 POP_MEANS = {

@@ -284,6 +284,22 @@ def key_upsert(spark, sf):
     return tb.upsert(base, changed.unionByName(added), ["c_custkey"])
 
 
+# written as delimited text with dates of its own format, and read with a declared schema; bad dates are NULL
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate::DATE END AS o_orderdate, o_totalprice, CASE WHEN o_orderkey % 5 <> 0 THEN o_comment END AS o_comment
+FROM (SELECT o_orderkey, o_orderdate, o_totalprice, o_orderpriority || ';"x"' AS o_comment FROM orders)""")
+def flat_file_rows(spark, sf):
+    folder = f"{checkpoint_folder(spark)}/flat-{uuid.uuid4().hex}"
+    key = F.col("o_orderkey")
+    day = F.when(key % 7 != 0, F.date_format("o_orderdate", "dd.MM.yyyy")).otherwise("31.02.x")
+    comment = F.when(key % 5 != 0, F.concat("o_orderpriority", F.lit(';"x"')))
+    text_rows = table(spark, sf, "orders").select(key, day.alias("o_orderdate"), "o_totalprice", comment.alias("o_comment"))
+    text_rows.write.csv(folder, header=True, sep=";", quote='"', escape="\\")
+    fields = [("o_orderkey", T.LongType()), ("o_orderdate", T.DateType()), ("o_totalprice", T.DoubleType()), ("o_comment", T.StringType())]
+    schema = T.StructType([T.StructField(n, t) for n, t in fields])
+    return tb.read_flat(spark, folder, tb.FlatFileSpec(schema, ";", True, {"o_orderdate": "dd.MM.yyyy"}))
+
+
 # written, appended to, updated with repeated and NULL keys, and read back
 @query("""
 SELECT k, max(b) AS b, count(*) AS n FROM (
