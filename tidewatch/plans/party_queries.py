@@ -106,18 +106,17 @@ def scored_account_pairs_with_swaps(spark, sf):
     return _pairs(spark, sf, transpositions=True)[0]
 
 
+# Orders hang on customers, and customers on their nation and segment: a component for each of the latter.
 @query("""
-WITH RECURSIVE edges AS (SELECT o_custkey AS a, 1000000000 + l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 50 = l_suppkey % 50),
-sides AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
-walk AS (SELECT a AS node, a AS seen FROM sides UNION SELECT w.node, e.b FROM walk w JOIN sides e ON e.a = w.seen)
-SELECT node, min(seen) AS component FROM walk GROUP BY 1""")
+WITH c AS (SELECT c_custkey, 1000000000 + c_nationkey * 1000 + ascii(c_mktsegment) AS grp, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS component FROM customer)
+SELECT c_custkey AS node, component FROM c UNION ALL SELECT DISTINCT grp, component FROM c
+UNION ALL SELECT 2000000000 + o_orderkey, component FROM orders JOIN c ON c_custkey = o_custkey""")
 def connected_accounts(spark, sf):
-    edges = (
-        table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .filter(F.col("o_custkey") % 50 == F.col("l_suppkey") % 50)
-        .select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 1000000000).alias("b"))
+    customers = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("a"), (F.lit(1000000000) + F.col("c_nationkey") * 1000 + F.ascii("c_mktsegment")).cast("long").alias("b")
     )
-    return components.connected_components(edges, "a", "b")
+    orders = table(spark, sf, "orders").select((F.lit(2000000000).cast("long") + F.col("o_orderkey")).alias("a"), F.col("o_custkey").alias("b"))
+    return components.connected_components(customers.unionByName(orders), "a", "b")
 
 
 # Each owner's profiles p (two copies), p+2 and p+3: p-p+2 and p-p+3 may match.
