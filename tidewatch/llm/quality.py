@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
-from tidewatch.llm.common import chunks, fitted
+from tidewatch.llm.common import BATCH_ROWS, chunks, fitted
 from tidewatch.llm.vectors import batch_map
 
 BITS = 16
@@ -175,7 +175,7 @@ def featured(docs: DataFrame, carry: list[str]) -> DataFrame:
             got = [features(t or "", s, buckets) for t, s in zip(text, stated)]
             yield {c: batch.column(i) for i, c in enumerate(carry)} | {"at": [a.astype(np.int32) for a, _ in got], "value": [v for _, v in got]}
 
-    return batch_map(docs.select(*carry, "text", _stated(docs).alias("_stated")), read, schema)
+    return batch_map(docs.select(*carry, "text", _stated(docs).alias("_stated")), read, schema, BATCH_ROWS)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
@@ -231,7 +231,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFram
 
     rows = docs.select("doc_id", held_out().alias("held_out"), "text", _stated(docs).alias("_stated"))
     schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("held_out boolean, score double, predicted int").fields])
-    return batch_map(rows, read, schema)
+    return batch_map(rows, read, schema, BATCH_ROWS)
 
 
 def judge(docs: DataFrame, labels: DataFrame, bound: int = 2000, threshold: float = 0.7) -> DataFrame:

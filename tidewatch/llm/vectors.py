@@ -36,8 +36,12 @@ def lists(values: np.ndarray):
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
 
 
-def batch_map(df: DataFrame, rows: Callable[[Iterator], Iterator[dict]], schema: StructType) -> DataFrame:
-    """mapInArrow: ``rows`` turns a task's record batches into dicts of columns."""
+def batch_map(df: DataFrame, rows: Callable[[Iterator], Iterator[dict]], schema: StructType, batch_rows: int | None = None) -> DataFrame:
+    """mapInArrow: ``rows`` turns a task's record batches into dicts of columns.
+
+    ``batch_rows`` bounds the rows of a batch, where rows hold whole texts."""
+    if batch_rows:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
     out = to_arrow_schema(schema)
 
     def run(batches: Iterator) -> Iterator:
