@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
 import io
 import uuid
-from collections.abc import Callable, Iterable, Iterator
-from itertools import chain, repeat
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -143,14 +141,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: A span has two hashes, polynomials over 61-bit values of its words: one modulo 2^64, which is fast,
-#: and one modulo this prime, for which unequal spans of n words agree with probability n / PRIME
-#: at most, whatever the words.
+#: A span has two hashes, polynomials over its bytes (words joined by one space): one modulo 2^64, which is fast, and
+#: one modulo this prime, for which unequal spans of n bytes agree with probability n / PRIME at most, whatever they hold.
 PRIME = (1 << 61) - 1
 _P, _31, _30, _LOW31, _LOW30 = (np.uint64(x) for x in (PRIME, 31, 30, (1 << 31) - 1, (1 << 30) - 1))
 # Two odd numbers below the prime, taken at random once.
 _BASES = (0x0B1E5A7C93D4F26B, 0x16C80F3D72A95E41)
 _BLOCK = 1 << 14
+_BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 _power_cache: dict[tuple[int, bool], np.ndarray] = {}
 
 
@@ -180,21 +178,6 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _running(x: np.ndarray) -> np.ndarray:
-    """Sums of the first 0, 1, .. values modulo the prime; halves are summed apart, as whole values would overflow."""
-    out = np.zeros(len(x) + 1, dtype=np.uint64)
-    before = np.uint64(0)
-    for i in range(0, len(x), _BLOCK):
-        part = x[i : i + _BLOCK]
-        high = _reduced(np.cumsum(part >> _31, dtype=np.uint64))
-        low = np.cumsum(part & _LOW31, dtype=np.uint64)
-        # times 2^31: a rotation of 61 bits
-        sums = _reduced((((high & _LOW30) << _31) | (high >> _30)) + low + before)
-        out[i + 1 : i + 1 + len(part)] = sums
-        before = sums[-1]
-    return out
-
-
 def _powers(which: int, n: int, inverse: bool = False) -> np.ndarray:
     """base ** i (or its inverse) for i < n, modulo 2^64 (0) or the prime (1); doubled as needed."""
     have = _power_cache.get((which, inverse), np.ones(1, dtype=np.uint64))
@@ -207,40 +190,30 @@ def _powers(which: int, n: int, inverse: bool = False) -> np.ndarray:
     return have[:n]
 
 
-class _WordCodes:
-    """Two values below the prime for each word, from a cryptographic hash of it. Words are remembered up to
-    a bounded number of bytes."""
-
-    LIMIT = 32 << 20
-
-    def __init__(self):
-        self.number: dict[bytes, int] = {}
-        self.size = 0
-        self.known = np.zeros((1024, 2), dtype=np.uint64)
+def _sums_at(data: np.ndarray, *places: np.ndarray) -> list[np.ndarray]:
+    """The polynomial modulo the prime of the first k bytes, for every k of sorted ``places``.
 
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if self.size > self.LIMIT:
-            self.__init__()
-        at = np.fromiter(map(self.number.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        new = np.flatnonzero(at < 0).tolist()
-        if new:
-            hashed = []
-            for i in new:
-                w = words[i]
-                k = self.number.get(w)
-                if k is None:
-                    k = self.number[w] = len(self.number)
-                    self.size += len(w) + 100
-                    hashed.append(hashlib.blake2b(w, digest_size=16).digest())
-                at[i] = k
-            total = len(self.number)
-            if total > len(self.known):
-                self.known = np.concatenate([self.known, np.zeros((max(total, len(self.known)), 2), dtype=np.uint64)])
-            self.known[total - len(hashed) : total] = _reduced(np.frombuffer(b"".join(hashed), dtype=np.uint64).reshape(-1, 2))
-        return self.known[at, 0], self.known[at, 1]
-
-
-_word_codes: list[_WordCodes] = []
+    Halves of the powers are summed apart; with bytes of 9 bits a block's sums stay below 2^64, and
+    only those asked for are reduced.
+    """
+    powers = _powers(1, len(data))
+    out = [np.zeros(len(p), dtype=np.uint64) for p in places]
+    before = np.zeros(1, dtype=np.uint64)
+    for i in range(0, len(data), _BLOCK):
+        code = data[i : i + _BLOCK] + np.uint64(1)
+        own = powers[i : i + _BLOCK]
+        high, low = np.cumsum(code * (own >> _31)), np.cumsum(code * (own & _LOW31))
+
+        def upto(k: np.ndarray) -> np.ndarray:
+            h = _reduced(high[k])
+            # times 2^31: a rotation of 61 bits
+            return _reduced((((h & _LOW30) << _31) | (h >> _30)) + _reduced(low[k]) + before)
+
+        for place, values in zip(places, out):
+            a, z = np.searchsorted(place, (i, i + len(code)), side="right")
+            values[a:z] = upto(place[a:z] - i - 1)
+        before = upto(np.array([len(code) - 1]))
+    return out
 
 
 def words_bytes(text: str) -> list[bytes]:
@@ -251,39 +224,42 @@ def words_bytes(text: str) -> list[bytes]:
 class Spans:
     """Hashes of spans of words: equal words give equal hashes, wherever they stand.
 
-    A polynomial over the words' values is summed once; the hash of a span is a difference
-    of two sums, so it costs the same at every length. Several texts may lie in one buffer;
-    ``first`` and ``stop`` say which words are a text's.
+    A polynomial over the bytes is summed once; the hash of a span is a difference of two
+    sums, so it costs the same at every length. Several texts may lie in one buffer; ``first``
+    and ``stop`` say which words are a text's.
     """
 
     def __init__(self, texts: list[list[bytes]], which: tuple[int, ...] = (0,)):
+        data = np.frombuffer(b" ".join(b" ".join(t) for t in texts if t), dtype=np.uint8)
+        gaps = np.flatnonzero(data == 32)
+        some = np.ones(1 if len(data) else 0, dtype=np.int64)
+        self.start = np.concatenate((some * 0, gaps + 1))
+        self.end = np.concatenate((gaps, some * len(data)))
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         self.first = np.cumsum(sizes) - sizes
         self.stop = self.first + sizes
-        self.n = int(sizes.sum())
-        if not _word_codes:
-            _word_codes.append(_WordCodes())  # one for each worker
-        values = _word_codes[0].of(list(chain.from_iterable(texts)))
+        self.n, self.bytes = len(self.start), len(data)
+        # for each hash, the sums up to every word's start and end
         self.sums = {}
-        for k in which:
-            powers = _powers(k, self.n)
-            if k:
-                self.sums[k] = _running(_times(values[k], powers))
-            else:
-                self.sums[k] = np.zeros(self.n + 1, dtype=np.uint64)
-                np.cumsum(values[k] * powers, out=self.sums[k][1:])
+        if 0 in which:
+            s = np.zeros(len(data) + 1, dtype=np.uint64)
+            np.cumsum(_BYTE_CODES[data] * _powers(0, len(data)), out=s[1:])
+            self.sums[0] = s[self.start], s[self.end]
+        if 1 in which:
+            self.sums[1] = tuple(_sums_at(data, self.start, self.end))
 
     def hashes(self, first: np.ndarray, last: np.ndarray, which: int = 0) -> np.ndarray:
         """Hash of the words first..last (inclusive) for each pair, as uint64."""
-        s, powers = self.sums[which], _powers(which, self.n + 1, True)
+        (starts, ends), powers = self.sums[which], _powers(which, self.bytes + 1, True)
         out = np.empty(len(first), dtype=np.uint64)
         for i in range(0, len(first), _BLOCK):
             a, z = first[i : i + _BLOCK], last[i : i + _BLOCK]
-            size = (z - a).astype(np.uint64) * np.uint64(_BASES[1])
+            back = powers[self.start[a]]
+            size = (self.end[z] - self.start[a]).astype(np.uint64)
             if which:
-                out[i : i + _BLOCK] = _times(_reduced(s[z + 1] + (_P - s[a])), powers[a]) + size
+                out[i : i + _BLOCK] = _times(_reduced(ends[z] + (_P - starts[a])), back) + size * np.uint64(_BASES[1])
             else:
-                out[i : i + _BLOCK] = mix((s[z + 1] - s[a]) * powers[a] + size)
+                out[i : i + _BLOCK] = mix((ends[z] - starts[a]) * back + size)
         return out
 
     def windows(self, length: int, which: int = 0) -> np.ndarray:
