@@ -39,7 +39,7 @@ def normal_words(text: str) -> list[bytes]:
 def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, shingle, count): the shingle multisets of texts; under five words, all words are one shingle."""
     words = [normal_words(t) for t in texts]
-    spans = Spans(words, (0,))
+    spans = Spans(words, (1,))
     sizes = spans.stop - spans.first
     each = np.where(sizes >= SHINGLE, sizes - SHINGLE + 1, np.minimum(sizes, 1))
     text = np.repeat(np.arange(len(texts)), each)
@@ -48,7 +48,7 @@ def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return none, none.view(np.uint64), none
     first = np.arange(len(text)) - np.repeat(np.cumsum(each) - each, each) + spans.first[text]
     last = np.minimum(first + SHINGLE, spans.stop[text]) - 1
-    h = spans.hashes(first, last)
+    h = mix(spans.hashes(first, last, 1))
     order = np.lexsort((h, text))
     h, text = h[order], text[order]
     new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])))
