@@ -1,6 +1,9 @@
 """Vectors, urls and the pipeline against brute force on small tables."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -87,6 +90,74 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def letters(text):
+    return [w for w in re.split(r"[\x00-\x60\x7B-\x7F]+", text.lower()) if w]
+
+
+def brute_scores(made, rounds=urls.ROUNDS):
+    """(host, path) -> score by counting page after page."""
+    at = [brute_rule(u)[:2] for u in made]
+    pairs = {(h, tuple(sorted(letters(p)))) for h, p in at}
+    counts = Counter(w for _, ws in pairs for w in set(ws))
+    for label in {x for h, _ in at for x in h.split(".")}:
+        cut = letters(label)
+        counts.update(cut if len(cut) > 1 or len(label) <= 4 else [])
+    counts = Counter({w: n for w, n in counts.items() if len(w) <= urls.LONGEST_WORD})
+    counts.update({w: urls.SEED for w in {*urls.UNWANTED, *urls.NEUTRAL}})
+    total = sum(counts.values())
+    costs = {w: math.log(total / n) for w, n in counts.items()}
+
+    def bag(host, path):
+        labels = host.split(".")
+        words = [w for x in (labels[:-1] or labels) for part in letters(x) for w in urls.viterbi(part, costs, math.log(total))]
+        return Counter(words + ["/" + w for w in letters(path)])
+
+    bags = [bag(*x) for x in at]
+    seed = [any(w in urls.UNWANTED for w in b) for b in bags]
+    p = [float(x) for x in seed]
+    for _ in range(rounds + 1):
+        bad, good = Counter(), Counter()
+        for b, q in zip(bags, p):
+            for w, n in b.items():
+                bad[w] += n * q
+                good[w] += n * (1 - q)
+        all_bad, all_good = (sum(c.values()) + len(bad) + 1 for c in (bad, good))
+        start = math.log((sum(p) + 1) / (len(p) - sum(p) + 1))
+        odds = [start + sum(n * (math.log((bad[w] + 1) / all_bad) - math.log((good[w] + 1) / all_good)) for w, n in b.items()) for b in bags]
+        score = [1 / (1 + math.exp(-o)) if b else 0.0 for o, b in zip(odds, bags)]
+        p = [1.0 if s else x for s, x in zip(seed, score)]
+    return dict(zip(at, score))
+
+
+def test_url_scores(spark):
+    r = random.Random(2)
+    hosts = ["casino", "casinocasino.example.com", "win-casino.example.com", "meds-casino.com", "casinomeds.example.org", "meds.example.com", "getmeds.com", "garden-blog.com", "gardenmeds.com", "a.b.c.d", "x", "", "tea-shop.org"]
+    made = [f"http://{r.choice(hosts)}/{'/'.join(r.choice(['win', 'tea', 'win-win', '1', 'Ä', 'rules']) for _ in range(r.randrange(4)))}" for _ in range(200)]
+    made += [None, "http://", "http://casino/", "http://casinocasino.example.com/", "http://meds-casino.com/win/win/win/tea"]
+    got = urls.judge(spark.createDataFrame(list(enumerate(made)), "page_id long, url string")).collect()
+    want = brute_scores(made)
+    assert len(got) == len(made)
+    for x in got:
+        assert x["score"] == pytest.approx(want[x["host"], x["path"]], abs=1e-4), x
+    # a host of one label is judged by it, and repeated words weigh more
+    assert all(x["verdict"] == "block" for x in got if x["host"] in ("casino", "casinocasino.example.com"))
+
+
+def test_viterbi_is_the_cheapest_cut():
+    r = random.Random(3)
+    costs = {"".join(r.choice("ab") for _ in range(r.randrange(1, 5))): r.uniform(1, 9) for _ in range(12)}
+
+    def price(words):
+        return sum(costs.get(w, 7.0 + 2.3 * len(w)) for w in words)
+
+    for _ in range(60):
+        part = "".join(r.choice("ab") for _ in range(r.randrange(1, 10)))
+        cuts = [[i for i in range(1, len(part)) if m >> (i - 1) & 1] for m in range(1 << (len(part) - 1))]
+        every = [[part[a:z] for a, z in zip([0, *c], [*c, len(part)])] for c in cuts]
+        got = urls.viterbi(part, costs, 7.0)
+        assert "".join(got) == part and price(got) == pytest.approx(min(map(price, every)))
+
+
 def test_viterbi():
     costs = {"cheap": 3.0, "pills": 3.0, "che": 6.0, "a": 4.0}
     assert urls.viterbi("cheappills", costs, 8.0) == ["cheap", "pills"]
