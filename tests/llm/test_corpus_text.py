@@ -238,6 +238,33 @@ def test_leaks(spark):
     assert leaks.contaminated(frame(spark, docs), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_leaks_with_words_put_in_and_left_out(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(leaks, "BROADCAST_ANCHORS", 0)
+    r = random.Random(14)
+    items = [(i, " ".join(f"b{r.randint(0, 400)}" for _ in range(r.choice([12, 40, 60, 90, 120, 160])))) for i in range(10)]
+    docs = []
+    for i in range(150):
+        leak = items[r.randrange(10)][1].split()
+        for _ in range(r.randrange(1, 5)):
+            at = r.randrange(len(leak))
+            leak[at : at + r.choice([0, 1, 3])] = [f"n{r.randint(0, 9)}"] * r.choice([0, 1, 2, 6])
+        before = [f"d{r.randint(0, 500)}" for _ in range(r.randint(0, 60))]
+        docs.append((i, " ".join(before + leak + before[::-1])))
+    got = {(x["doc_id"], x["item_id"]): x["similarity"] for x in leaks.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_leaks(docs, items)
+    assert len(want) > 40 and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_fingerprint_of_very_many_shingles(spark):
+    hashes = [-1] * 17_000 + [5] * 100 + [-1] * 16_000
+    table = spark.createDataFrame([(1, hashes), (2, [5, 5, 1])], "item_id long, item array<long>")
+    got = {x["item_id"]: x["fingerprint"] for x in leaks.fingerprints(table, ["item_id"], "item").collect()}
+    assert got == {1: -1, 2: 5}
+
+
 def test_blocks_find_every_fingerprint_within_radius(spark):
     r = random.Random(6)
     base = [r.getrandbits(64) for _ in range(30)]

@@ -3,7 +3,9 @@
 DataFrame functions only. Texts are words (runs of ASCII letters and digits and of anything
 beyond ASCII, lower-cased) and five-word shingles. Windows as long as an item are
 placed where a document holds one of the item's *anchors*: so many of its rarest shingles
-that no window of the wanted similarity can lack them all. Each window gets a SimHash fingerprint
+that no window of the wanted similarity can lack them all. An anchor says where the item
+would start; as words may have been put in, left out or changed before it, windows start at
+every place that is off by no more than such a window allows. Each window gets a SimHash fingerprint
 of its shingles, weighted by how often they occur; fingerprints within the radius agree with the
 item's in one of eight blocks up to a few bits, and the items list all such block values,
 so an equi-join finds every one. Candidates are verified on the shingle multisets.
@@ -51,36 +53,54 @@ def anchors(items: DataFrame, similar: float) -> DataFrame:
     return placed.join(chosen.select("item_id", "shingle"), ["item_id", "shingle"]).select("shingle", "offset", "size").distinct()
 
 
-def windows(docs: DataFrame, marks: DataFrame) -> DataFrame:
+def slack(size: Column, similar: float) -> Column:
+    """How far the start of a window of ``size`` shingles may lie from where a shared shingle puts it.
+
+    Two multisets of one size that are ``similar`` differ in at most (1 - similar) / (1 + similar) of their
+    shingles each; where the shared ones keep their order, no more than these can stand before a
+    shared one on one side only.
+    """
+    return F.floor(size * ((1 - similar) / (1 + similar)) + 1e-9).cast("int")
+
+
+def windows(docs: DataFrame, marks: DataFrame, similar: float) -> DataFrame:
     """doc_id, start, size, window: the shingles of the item-sized windows that anchors place.
 
     A document shorter than the item is one window.
     """
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.size("shingles") - F.col("size")))
-    window = F.slice("shingles", F.col("start") + 1, F.col("size")).alias("window")
+    last = F.greatest(F.lit(0), F.col("n") - F.col("size"))
+
+    def within(x: Column) -> Column:
+        return F.greatest(F.lit(0), F.least(x, last))
+
+    at = F.col("pos") - F.col("offset")
+    hits = docs.select("doc_id", "shingles", F.size("shingles").alias("n"), F.posexplode("shingles").alias("pos", "shingle"))
+    # the anchors of one copy mostly give the same range of starts, which is cut out of the document once
+    ends = [within(at - slack(F.col("size"), similar)).alias("low"), within(at + slack(F.col("size"), similar)).alias("high"), "size"]
+    stretch = F.slice("shingles", F.col("low") + 1, F.col("high") - F.col("low") + F.col("size")).alias("stretch")
     if marks.count() <= BROADCAST_ANCHORS:
-        hits = docs.select("doc_id", "shingles", F.posexplode("shingles").alias("pos", "shingle")).join(F.broadcast(marks), "shingle")
-        placed = hits.select("doc_id", "shingles", start.alias("start"), "size").select("doc_id", "start", "size", window)
+        ranges = hits.join(F.broadcast(marks), "shingle").select("doc_id", "shingles", *ends).select("doc_id", "low", "high", "size", stretch).distinct()
     else:
-        hits = docs.select("doc_id", F.size("shingles").alias("n"), F.posexplode("shingles").alias("pos", "shingle")).join(marks, "shingle")
-        starts = hits.select("doc_id", F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.col("n") - F.col("size"))).alias("start"), "size").distinct()
-        placed = docs.join(starts, "doc_id").filter(F.col("start") < F.size("shingles")).select("doc_id", "start", "size", window)
-    return placed.groupBy("doc_id", "start", "size", "window").agg(F.count(F.lit(1)).alias("anchors"))
+        found = hits.drop("shingles").join(marks, "shingle").select("doc_id", *ends).distinct()
+        ranges = docs.join(found, "doc_id").filter(F.col("low") < F.size("shingles")).select("doc_id", "low", "high", "size", stretch)
+    placed = ranges.select("doc_id", "low", "size", "stretch", F.explode(F.sequence("low", "high")).alias("start"))
+    return placed.select("doc_id", "start", "size", F.slice("stretch", F.col("start") - F.col("low") + 1, F.col("size")).alias("window")).filter(F.size("window") > 0).distinct()
 
 
 def fingerprints(df: DataFrame, keys: list[str], shingles: str) -> DataFrame:
     """keys, shingles and a 64-bit SimHash: a bit is set if most of the shingles set it.
 
-    Sixteen sums hold four counters each, so a fingerprint is one pass of plain sums.
+    Each of 32 sums holds two counters of 32 bits, more than an array's length needs, so a
+    fingerprint is one pass of plain sums.
     """
-    lanes = 0x0001000100010001
-    sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(lanes))).alias(f"s{i}") for i in range(16)]
+    lanes = 0x0000000100000001
+    sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(lanes))).alias(f"s{i}") for i in range(32)]
     summed = df.select(*keys, shingles, F.explode(shingles).alias("h")).groupBy(*keys, shingles).agg(F.count(F.lit(1)).alias("n"), *sums)
     bits = F.lit(0).cast("long")
-    for i in range(16):
-        for lane in range(4):
-            count = F.shiftrightunsigned(f"s{i}", 16 * lane).bitwiseAND(F.lit(0xFFFF))
-            pos = 16 * lane + i
+    for i in range(32):
+        for lane in range(2):
+            count = F.shiftrightunsigned(f"s{i}", 32 * lane).bitwiseAND(F.lit(0xFFFFFFFF))
+            pos = 32 * lane + i
             value = (1 << pos) - (1 << 64 if pos == 63 else 0)
             bits = bits.bitwiseOR(F.when(count * 2 > F.col("n"), F.lit(value).cast("long")).otherwise(F.lit(0).cast("long")))
     return summed.select(*keys, shingles, bits.alias("fingerprint"))
@@ -125,12 +145,14 @@ def similarity(a: str, b: str) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
     """doc_id, item_id, similarity and start (word) of every document that repeats an item.
 
-    Where several windows repeat the item, the most similar one counts, and of equal ones the first. Texts
+    Where several windows repeat the item, the most similar one counts, and of equal ones the first. Found are
+    windows whose shared shingles keep their order; of a copy with its parts in another order only those that
+    start where an anchor puts them. Texts
     and items of under five words (NULL and empty ones too) have no shingles and match nothing. Rows
     that repeat an id are one document; a NULL id matches nothing.
     """
     items = shingled(benchmark.filter(F.col("item_id").isNotNull()), "item_id")
-    found = windows(shingled(docs.filter(F.col("doc_id").isNotNull()), "doc_id"), anchors(items, similar))
+    found = windows(shingled(docs.filter(F.col("doc_id").isNotNull()), "doc_id"), anchors(items, similar), similar)
     found = fingerprints(found, ["doc_id", "start", "size"], "window")
     sized = items.select("item_id", F.size("shingles").alias("size"), F.col("shingles").alias("item"))
     pairs = candidates(found, fingerprints(sized, ["item_id", "size"], "item"), radius)
