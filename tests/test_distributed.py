@@ -333,3 +333,27 @@ def test_task_helpers_travel_by_value(tmp_path):
     (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps((er._clique_rows, er._transposing_distance)))
     code = "import pickle; fs = pickle.load(open('f.pkl', 'rb')); assert len(fs) == 2"
     subprocess.run([sys.executable, "-P", "-c", code], cwd=tmp_path, check=True)
+
+
+MISSED = ["382c1cbf 9334bb56", "1c4e13b1 f0221606", "1dee7ead 0cd183ea", "99241cb1 28641226", "9e7c75da d869b269", "62a70c4b d1395bb6"]
+
+
+def test_lsh_pairs_near_the_threshold_are_found(spark):
+    # pairs of similarity 0.80 and 0.81 that shared none of 16 bands of 4
+    df = spark.createDataFrame([(x,) for t in MISSED for x in (t, f"{t}st")], "t string")
+    got = {(r["text_a"], r["text_b"]) for r in er.lsh_pairs(df, "t").collect()}
+    assert got == {(t, f"{t}st") for t in MISSED}
+
+
+def test_entity_joins_plan_no_broadcast(spark, tmp_path):
+    # small files, many rows: the planner goes by the size of the files, which says nothing about exploded or computed rows
+    spark.range(2000).write.parquet(str(tmp_path / "ids"))
+    ids = spark.read.parquet(str(tmp_path / "ids"))
+    accounts = ids.select("id", F.md5(F.floor(F.col("id") / 2).cast("string")).alias("normalized_name"), F.lit("x").alias("AD"))
+    people = er.profiles(accounts)
+    pairs = er.score_pairs(people, er.lsh_pairs(people, "normalized_name"))
+    existing = people.select(F.col("profile").alias("id"), F.lit("P").alias("party"))
+    for out in (pairs, er.attach_new(pairs, existing)):
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+        assert not [line for line in joins if "_name" not in line], joins

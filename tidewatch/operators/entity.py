@@ -13,13 +13,14 @@ import sys
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidewatch.functions.text import char_ngrams
 from tidewatch.operators.explain import packed
-from tidewatch.session import cut_lineage
+from tidewatch.session import cut_lineage, shuffled
 
 # The task-side helpers below travel with their tasks, so that executors need no
 # copy of this package.
@@ -28,6 +29,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Defaults of the resolution.
 NGRAM = 2
 PERMUTATIONS = 64
+BANDS, BAND_ROWS = 48, 5
 JACCARD = 0.8
 WEIGHTS = {"normalized_name": 0.5, "AD": 0.5}
 MATCH = 0.8
@@ -60,20 +62,51 @@ def profiles(accounts: DataFrame) -> DataFrame:
 # --- MinHash bands -----------------------------------------------------------
 
 
+def _signatures(hashes: pd.Series, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that have hashes, and their MinHash signatures: for each of ``k`` seeds the smallest mixed hash."""
+    kept = np.array([h is not None and len(h) > 0 for h in hashes], bool)
+    rows = [np.asarray(h, np.int64) for h, has in zip(hashes, kept) if has]
+    out = np.empty((len(rows), k), np.uint64)
+    if rows:
+        flat = np.concatenate(rows).view(np.uint64)
+        starts = np.cumsum([0, *[len(r) for r in rows[:-1]]])
+        seeds = np.random.Generator(np.random.PCG64(11)).integers(0, 2**64, k, np.uint64)
+        for i, seed in enumerate(seeds):
+            mixed = (flat ^ seed) * np.uint64(0xFF51AFD7ED558CCD)
+            mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)
+            out[:, i] = np.minimum.reduceat(mixed ^ (mixed >> np.uint64(32)), starts)
+    return kept, out.view(np.int64)
+
+
+def _listed(kept: np.ndarray, values: np.ndarray) -> pd.Series:
+    found = iter(values)
+    return pd.Series([next(found) if has else None for has in kept], dtype=object)
+
+
 def minhash(grams: Column, k: int = PERMUTATIONS) -> Column:
     """MinHash signature of an array of grams, as array<bigint>: the smallest of the
     grams' hashes for each of ``k`` seeds. NULL for an empty or NULL array."""
-    seeds = F.sequence(F.lit(0), F.lit(k - 1))
-    hashed = F.transform(grams, lambda g: F.xxhash64(g))
-    signature = F.transform(seeds, lambda i: F.array_min(F.transform(hashed, lambda h: F.xxhash64(h, i))))
-    return F.when(F.size(grams) > 0, signature)
 
+    @F.pandas_udf("array<bigint>")
+    def signature(hashes: pd.Series) -> pd.Series:
+        return _listed(*_signatures(hashes, k))
 
-def band_keys(signature: Column, bands: int, rows: int) -> Column:
-    """One hash per band of the signature."""
-    return F.array(
-        *[F.xxhash64(F.lit(i), F.slice(signature, i * rows + 1, rows)) for i in range(bands)]
-    )
+    return signature(F.transform(grams, lambda g: F.xxhash64(g)))
+
+
+def band_keys(hashes: Column, bands: int, rows: int) -> Column:
+    """One hash per band of the signature of the grams' hashes; NULL where there is none."""
+
+    @F.pandas_udf("array<bigint>")
+    def keys(hashes: pd.Series) -> pd.Series:
+        kept, signature = _signatures(hashes, bands * rows)
+        out = np.zeros((len(signature), bands), np.uint64)
+        for part in range(rows):
+            out = (out ^ signature[:, part::rows].view(np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
+            out ^= out >> np.uint64(29)
+        return _listed(kept, out.view(np.int64))
+
+    return keys(hashes)
 
 
 def _cells(df: DataFrame, key: Sequence[str], order: str, block_size: int) -> tuple[DataFrame, DataFrame]:
@@ -85,7 +118,7 @@ def _cells(df: DataFrame, key: Sequence[str], order: str, block_size: int) -> tu
     """
     sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     blocks = F.ceil(F.col("_n") / block_size).cast("int")
-    rows = df.join(sizes, list(key)).withColumn("_b", blocks).withColumn(
+    rows = df.join(shuffled(sizes), list(key)).withColumn("_b", blocks).withColumn(
         "_i", F.pmod(F.xxhash64(F.lit(11), order), F.col("_b")).cast("int")
     ).drop("_n")
     left = rows.withColumn("_j", F.explode(F.sequence("_i", F.col("_b") - 1))).drop("_b")
@@ -94,27 +127,44 @@ def _cells(df: DataFrame, key: Sequence[str], order: str, block_size: int) -> tu
     return left, right
 
 
-def _jaccard(a: Column, b: Column) -> Column:
-    shared = F.size(F.array_intersect(a, b))
-    return shared / (F.size(a) + F.size(b) - shared)
+def _jaccard(a: Column, b: Column, n: int) -> Column:
+    """Jaccard similarity of two texts' grams (``char_ngrams``); as a Python helper it makes them once per pair."""
+
+    @F.pandas_udf(T.DoubleType())
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        made: dict[str, frozenset] = {}
+
+        def grams(t: str) -> frozenset:
+            if t not in made:
+                padded = f" {t} "
+                made[t] = frozenset(padded[i : i + n] for i in range(max(len(padded) - n + 1, 1)))
+            return made[t]
+
+        out = []
+        for x, y in zip(a, b):
+            g, h = grams(x), grams(y)
+            shared = len(g & h)
+            out.append(shared / (len(g) + len(h) - shared))
+        return pd.Series(out, dtype=float)
+
+    return similar(a, b)
 
 
-def name_bands(texts: DataFrame, text: str, n: int = NGRAM, k: int = PERMUTATIONS, bands: int = 16) -> DataFrame:
-    """(text, grams, band, key): the band table of the distinct texts, one row per band.
+def name_bands(texts: DataFrame, text: str, n: int = NGRAM, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
+    """(text, band, key): the band table of the distinct texts, one row per band.
 
     The table can be stored: texts of a later batch meet it by (band, key), see ``new_name_pairs``.
+    Signatures are made once, for all that read the table, and kept as one row per text.
     """
     distinct = texts.select(F.col(text).alias("text")).filter(F.col("text").isNotNull()).distinct()
-    signed = distinct.withColumn("grams", char_ngrams(F.col("text"), n)).withColumn("sig", minhash(F.col("grams"), k))
-    hashes = F.transform("grams", lambda g: F.xxhash64(g)).alias("grams")
-    return signed.select("text", hashes, F.posexplode(band_keys(F.col("sig"), bands, k // bands)).alias("band", "key"))
+    hashes = F.transform(char_ngrams(F.col("text"), n), lambda g: F.xxhash64(g))
+    keyed = cut_lineage(distinct.select("text", band_keys(hashes, bands, rows).alias("keys")))
+    return keyed.select("text", F.posexplode("keys").alias("band", "key"))
 
 
-def _verified_names(met: DataFrame, threshold: float) -> DataFrame:
-    """(text_a, text_b, jaccard) of the pairs (text, grams, text_b, grams_b) that pass; a pair may have met in several bands."""
-    small, large = F.least(F.size("grams"), F.size("grams_b")), F.greatest(F.size("grams"), F.size("grams_b"))
-    similar = _jaccard(F.col("grams"), F.col("grams_b"))
-    pairs = met.filter((small >= large * threshold) & (similar >= threshold)).withColumn("jaccard", similar)
+def _verified_names(met: DataFrame, threshold: float, n: int = NGRAM) -> DataFrame:
+    """(text_a, text_b, jaccard) of the pairs (text, text_b) that pass; a pair may have met in several bands."""
+    pairs = met.withColumn("jaccard", _jaccard(F.col("text"), F.col("text_b"), n)).filter(F.col("jaccard") >= threshold)
     return pairs.select(
         F.least("text", "text_b").alias("text_a"), F.greatest("text", "text_b").alias("text_b"), F.round("jaccard", 6).alias("jaccard")
     ).distinct()
@@ -122,7 +172,7 @@ def _verified_names(met: DataFrame, threshold: float) -> DataFrame:
 
 def _bucket_pairs(banded: DataFrame, block_size: int) -> DataFrame:
     left, right = _cells(banded, ["band", "key"], "text", block_size)
-    return left.join(right, ["band", "key", "_i", "_j"]).filter((F.col("_i") < F.col("_j")) | (F.col("text") < F.col("text_b")))
+    return left.join(shuffled(right), ["band", "key", "_i", "_j"]).filter((F.col("_i") < F.col("_j")) | (F.col("text") < F.col("text_b")))
 
 
 def lsh_pairs(
@@ -130,16 +180,17 @@ def lsh_pairs(
     text: str,
     threshold: float = JACCARD,
     n: int = NGRAM,
-    k: int = PERMUTATIONS,
-    bands: int = 16,
+    bands: int = BANDS,
+    rows: int = BAND_ROWS,
     block_size: int = 2000,
 ) -> DataFrame:
     """(text_a, text_b, jaccard) of distinct texts that share a band and pass.
 
     ``texts`` is reduced to distinct values first, and a pair is verified where
-    it meets; only verified pairs are moved again to drop those met twice.
+    it meets; only verified pairs are moved again to drop those met twice. A pair at the
+    default threshold shares none of the default bands with probability 5e-9.
     """
-    return _verified_names(_bucket_pairs(name_bands(texts, text, n, k, bands), block_size), threshold)
+    return _verified_names(_bucket_pairs(name_bands(texts, text, n, bands, rows), block_size), threshold, n)
 
 
 def new_name_pairs(fresh: DataFrame, stored: DataFrame, threshold: float = JACCARD, block_size: int = 2000) -> DataFrame:
@@ -148,10 +199,9 @@ def new_name_pairs(fresh: DataFrame, stored: DataFrame, threshold: float = JACCA
     New texts meet the stored ones of their buckets and each other; stored texts do not meet
     again. Texts that are stored already are not new.
     """
-    fresh = fresh.join(stored.select("text").distinct(), "text", "left_anti")
-    old = stored.select("band", "key", F.col("text").alias("text_b"), F.col("grams").alias("grams_b"))
-    columns = ["text", "grams", "text_b", "grams_b"]
-    met = fresh.join(old, ["band", "key"]).select(*columns).unionByName(_bucket_pairs(fresh, block_size).select(*columns))
+    fresh = fresh.join(shuffled(stored.select("text").distinct()), "text", "left_anti")
+    old = stored.select("band", "key", F.col("text").alias("text_b"))
+    met = fresh.join(shuffled(old), ["band", "key"]).select("text", "text_b").unionByName(_bucket_pairs(fresh, block_size).select("text", "text_b"))
     return _verified_names(met, threshold)
 
 
@@ -255,14 +305,14 @@ def near_texts(rows: DataFrame, key: str, id: str, text: str, least: float, lost
 def _with_fresh(keyed: DataFrame, fresh: DataFrame, block_size: int) -> DataFrame:
     """Pairs of profiles under one ``_name`` with at least one new profile; a name's profiles are cut into blocks,
     and each new one visits them all."""
-    rows = keyed.join(fresh.select("profile", F.lit(True).alias("_new")).distinct(), "profile", "left").withColumn("_new", F.coalesce("_new", F.lit(False)))
+    rows = keyed.join(shuffled(fresh.select("profile", F.lit(True).alias("_new")).distinct()), "profile", "left").withColumn("_new", F.coalesce("_new", F.lit(False)))
     sizes = rows.groupBy("_name").agg(F.ceil(F.count(F.lit(1)) / block_size).cast("int").alias("_b"), F.max("_new").alias("_any")).filter("_any").select("_name", "_b")
-    rows = rows.join(sizes, "_name")
+    rows = rows.join(shuffled(sizes), "_name")
     left = rows.filter("_new").withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_b") - 1))).drop("_b", "_new")
     right = rows.withColumn("_i", F.pmod(F.xxhash64(F.lit(11), "profile"), F.col("_b")).cast("int"))
     right = right.select("_name", "_i", *[F.col(c).alias(f"{c}_b") for c in keyed.columns if c != "_name"], F.col("_new").alias("_new_b"))
     once = (~F.col("_new_b") & (F.col("profile") != F.col("profile_b"))) | (F.col("profile") < F.col("profile_b"))
-    return left.join(right, ["_name", "_i"]).filter(once)
+    return left.join(shuffled(right), ["_name", "_i"]).filter(once)
 
 
 def score_pairs(
@@ -285,7 +335,7 @@ def score_pairs(
     """
     fields = list(weights)
     cols = ["profile", *fields]
-    p = people.select(*cols)
+    p = cut_lineage(people.select(*cols))
     other = p.select(*[F.col(c).alias(f"{c}_b") for c in cols])
     wanted = [*cols, *[f"{c}_b" for c in cols]]
 
@@ -302,26 +352,26 @@ def score_pairs(
         large = cut_lineage(keyed.join(many, "_name", "left_semi"))
         if not large.isEmpty():
             met = near_texts(large, "_name", "profile", field, least, 3 if transpositions else 2, block_size)
-            indexed = met.join(large.select(*cols), "profile").join(large.select(*[F.col(c).alias(f"{c}_b") for c in cols]), "profile_b").select(*wanted)
+            indexed = met.join(shuffled(large.select(*cols)), "profile").join(shuffled(large.select(*[F.col(c).alias(f"{c}_b") for c in cols])), "profile_b").select(*wanted)
             keyed = keyed.join(many, "_name", "left_anti")
     same = indexed
     if keyed is not None:
         left, right = _cells(keyed, ["_name"], "profile", block_size)
-        same = left.join(right, ["_name", "_i", "_j"]).filter(
+        same = left.join(shuffled(right), ["_name", "_i", "_j"]).filter(
             (F.col("_i") < F.col("_j")) | (F.col("profile") < F.col("profile_b"))
         ).select(*wanted)
         same = same.unionByName(indexed) if indexed is not None else same
     # different names: through the name pairs
     near = (
-        p.join(name_pairs.select(F.col("text_a").alias("normalized_name"), F.col("text_b").alias("_other")), "normalized_name")
-        .join(other, F.col("_other") == F.col("normalized_name_b"))
+        p.join(shuffled(name_pairs.select(F.col("text_a").alias("normalized_name"), F.col("text_b").alias("_other"))), "normalized_name")
+        .join(shuffled(other), F.col("_other") == F.col("normalized_name_b"))
     )
     near = near.select(*wanted)
     if fresh is not None:
         # name pairs hold a new name, but not only new profiles
-        new = fresh.select("profile").distinct()
+        new = shuffled(fresh.select("profile").distinct())
         one = near.join(new, "profile", "left_semi")
-        near = one.unionByName(near.join(new, "profile", "left_anti").join(new.withColumnRenamed("profile", "profile_b"), "profile_b", "left_semi").select(*wanted))
+        near = one.unionByName(near.join(new, "profile", "left_anti").join(shuffled(new.withColumnRenamed("profile", "profile_b")), "profile_b", "left_semi").select(*wanted))
     met = same.unionByName(near)
 
     def total(measure) -> Column:
@@ -422,8 +472,8 @@ def _named(edges: DataFrame, x: str, y: str, score: str, *more: Column) -> DataF
 
 def _triangles(edges: DataFrame) -> DataFrame:
     """x before y before z: an edge between two later neighbours of x."""
-    both = _named(edges, "x", "y", "xy").join(_named(edges, "x", "z", "xz", F.col("y_degree").alias("z_degree")), "x")
-    return both.join(_named(edges, "y", "z", "yz"), ["y", "z"])
+    both = _named(edges, "x", "y", "xy").join(shuffled(_named(edges, "x", "z", "xz", F.col("y_degree").alias("z_degree"))), "x")
+    return both.join(shuffled(_named(edges, "y", "z", "yz")), ["y", "z"])
 
 
 def searches(edges: DataFrame, copies: DataFrame, most_links: int = MOST_LINKS) -> tuple[DataFrame, DataFrame]:
@@ -432,14 +482,14 @@ def searches(edges: DataFrame, copies: DataFrame, most_links: int = MOST_LINKS)
     A search goes from a root over its ``later`` neighbours with the ``links`` between
     them, or from a root and a ``second`` over their common later neighbours.
     """
-    later_of = edges.join(copies.withColumnRenamed("profile", "y"), "y").withColumnRenamed("x", "root")
+    later_of = edges.join(shuffled(copies.withColumnRenamed("profile", "y")), "y").withColumnRenamed("x", "root")
     triangles = _triangles(edges).withColumnRenamed("x", "root")
     big = cut_lineage(triangles.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most_links).select("root"))
     member = F.struct(F.col("y").alias("profile"), "score", F.lit(0.0).alias("second_score"), "copies", F.col("y_degree").alias("degree"))
     link = lambda a, b, score: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col(score).alias("score"))
     links = triangles.join(big, "root", "left_anti").groupBy("root").agg(F.collect_list(link("y", "z", "yz")).alias("links"))
     later = later_of.join(big, "root", "left_anti").groupBy("root").agg(F.collect_list(member).alias("later"))
-    whole = later.join(copies.withColumnRenamed("profile", "root"), "root").join(links, "root", "left").select(
+    whole = later.join(shuffled(copies.withColumnRenamed("profile", "root")), "root").join(shuffled(links), "root", "left").select(
         "root", "copies", F.lit(False).alias("split"), F.col("root").alias("second"), F.lit(0).cast("long").alias("second_copies"), F.lit(0.0).alias("score"), "later", "links"
     )
     if big.isEmpty():
@@ -497,33 +547,33 @@ def cluster(pairs: DataFrame, people: DataFrame, most_links: int = MOST_LINKS) -
     """
     # read several times below: computed once, in shared storage
     pairs = cut_lineage(pairs)
-    copies = people.select("profile", "copies")
+    copies = cut_lineage(people.select("profile", "copies"))
     degree = pairs.select(F.explode(F.array("a", "b")).alias("profile")).groupBy("profile").agg(F.count(F.lit(1)).alias("degree"))
-    ends = pairs.join(degree.select(F.col("profile").alias("a"), F.col("degree").alias("da")), "a").join(
-        degree.select(F.col("profile").alias("b"), F.col("degree").alias("db")), "b"
+    ends = pairs.join(shuffled(degree.select(F.col("profile").alias("a"), F.col("degree").alias("da"))), "a").join(
+        shuffled(degree.select(F.col("profile").alias("b"), F.col("degree").alias("db"))), "b"
     )
     before = F.struct("da", "a") < F.struct("db", "b")
     pick = lambda x, y: F.when(before, F.col(x)).otherwise(F.col(y))
     edges = ends.select(pick("a", "b").alias("x"), pick("b", "a").alias("y"), pick("da", "db").alias("x_degree"), pick("db", "da").alias("y_degree"), "score")
     found = maximal_cliques(cut_lineage(edges), copies, most_links)
     best = found.groupBy("profile").agg(F.max(F.struct("mean_score", "clique")).alias("_b")).select("profile", "_b.clique", "_b.mean_score")
-    alone = people.filter("copies > 1").join(degree, "profile", "left_anti").select(
+    alone = copies.filter("copies > 1").join(shuffled(degree), "profile", "left_anti").select(
         "profile", F.sha2(F.col("profile").cast("string"), 256).alias("clique"), F.lit(1.0).alias("mean_score")
     )
-    chosen = best.withColumn("method", F.lit("clique")).unionByName(alone.withColumn("method", F.lit("copies"))).join(copies, "profile")
+    chosen = best.withColumn("method", F.lit("clique")).unionByName(alone.withColumn("method", F.lit("copies"))).join(shuffled(copies), "profile")
     chosen = cut_lineage(chosen)
     accounts = chosen.groupBy("clique").agg(F.sum("copies").alias("clique_size")).filter("clique_size > 1")
-    return chosen.drop("copies").join(accounts, "clique")
+    return chosen.drop("copies").join(shuffled(accounts), "clique")
 
 
-def resolve(accounts: DataFrame, bands: int = 16, **scoring) -> DataFrame:
+def resolve(accounts: DataFrame, bands: int = BANDS, **scoring) -> DataFrame:
     """Accounts with their party: id, party, mean_score, clique_size and fields."""
-    people = profiles(accounts)
+    people = cut_lineage(profiles(accounts))
     pairs = score_pairs(people, lsh_pairs(people, "normalized_name", bands=bands), **scoring)
     parties = cluster(pairs, people)
     return (
-        accounts.join(people.select("normalized_name", "AD", "profile"), ["normalized_name", "AD"])
-        .join(parties, "profile")
+        accounts.join(shuffled(people.select("normalized_name", "AD", "profile")), ["normalized_name", "AD"])
+        .join(shuffled(parties), "profile")
         .select(F.col("id").alias("source"), "clique", "mean_score", "clique_size", "method", "NM", "AD", "CT", "effective_date")
     )
 
@@ -537,9 +587,9 @@ def attach_new(pairs: DataFrame, existing: DataFrame) -> DataFrame:
     both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "score").unionByName(
         pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "score")
     )
-    fresh = both.join(existing.select("id"), "id", "left_anti")
+    fresh = both.join(shuffled(existing.select("id")), "id", "left_anti")
     by_party = (
-        fresh.join(existing.select(F.col("id").alias("other"), "party"), "other")
+        fresh.join(shuffled(existing.select(F.col("id").alias("other"), "party")), "other")
         .groupBy("id", "party").agg(F.round(F.avg("score"), 6).alias("mean_score"))
     )
     return by_party.groupBy("id").agg(
@@ -579,14 +629,14 @@ def match_batch(state: Matched, people: DataFrame, block_size: int = 2000, **sco
     new profiles those under their own and the met names. Profiles that no chain of matches
     connects to a party stay unassigned; ``cluster`` makes parties of their pairs.
     """
-    fresh = people.join(state.people.select("profile"), "profile", "left_anti")
-    bands = cut_lineage(name_bands(fresh, "normalized_name").join(state.bands.select("text").distinct(), "text", "left_anti"))
+    fresh = cut_lineage(people.join(shuffled(state.people.select("profile")), "profile", "left_anti"))
+    bands = cut_lineage(name_bands(fresh, "normalized_name").join(shuffled(state.bands.select("text").distinct()), "text", "left_anti"))
     names = new_name_pairs(bands, state.bands, block_size=block_size)
     # names that were stored before may pair with each other, too, once one of them has a new profile
-    again = fresh.select(F.col("normalized_name").alias("text")).distinct().join(state.bands.select("text").distinct(), "text", "left_semi")
-    old = state.bands.join(again, "text")
-    others = state.bands.select("band", "key", F.col("text").alias("text_b"), F.col("grams").alias("grams_b"))
-    names = names.unionByName(_verified_names(old.join(others, ["band", "key"]).filter("text <> text_b"), JACCARD)).distinct()
+    again = fresh.select(F.col("normalized_name").alias("text")).distinct().join(shuffled(state.bands.select("text").distinct()), "text", "left_semi")
+    old = state.bands.join(shuffled(again), "text")
+    others = state.bands.select("band", "key", F.col("text").alias("text_b"))
+    names = names.unionByName(_verified_names(old.join(shuffled(others), ["band", "key"]).filter("text <> text_b"), JACCARD)).distinct()
     everyone = state.people.select(*people.columns).unionByName(fresh)
     pairs = cut_lineage(score_pairs(everyone, names, block_size=block_size, fresh=fresh, **scoring))
     attached = attach_all(pairs, state.parties)
