@@ -357,3 +357,11 @@ def test_entity_joins_plan_no_broadcast(spark, tmp_path):
         plan = out._jdf.queryExecution().sparkPlan().toString()
         joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
         assert not [line for line in joins if "_name" not in line], joins
+
+
+def test_minhash_agreement_of_an_unlike_pair(spark):
+    # names of similarity 0.03: nine equal components of 64 are no fault, sixty are
+    from tidewatch.plans.party_queries import agreement
+
+    rows = spark.createDataFrame([(0.030303, 9 / 64), (0.030303, 60 / 64), (1.0, 63 / 64), (0.0, 1 / 64), (1.0, 1.0), (0.0, 0.0), (0.8, 0.2)], "p double, q double")
+    assert [r[0] for r in rows.select(agreement(F.col("p"), F.col("q"), F.lit(64))).collect()] == [True, False, False, False, True, True, False]

@@ -65,8 +65,18 @@ def character_ngrams(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.explode(char_ngrams(F.col("p_name"))).alias("gram"))
 
 
-# Signatures of neighbouring accounts' names agree about as often as the exact Jaccard similarity says
-# (five standard deviations of 64 components); names are equal, similar or unlike.
+def agreement(exact, equal, components):
+    """Whether a share of equal components fits the exact similarity.
+
+    It may be as far off as a binomial of so many components is with probability e^-32 by Chernoff's bound,
+    which unlike standard deviations holds for small similarities too. At 0 and 1 it has to be exact.
+    """
+    part = lambda q, p: F.when(q == 0, 0.0).when(p > 0, q * F.ln(q / p)).otherwise(float("inf"))
+    return components * (part(equal, exact) + part(1 - equal, 1 - exact)) <= 32
+
+
+# Signatures of neighbouring accounts' names agree about as often as the exact Jaccard similarity says; names are
+# equal, similar or unlike.
 @query("""
 SELECT a.id, round(len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))), 6) AS jaccard, true AS agrees, 64 AS components
 FROM accounts a JOIN accounts b ON b.id = a.id + 1 JOIN names x ON x.t = a.normalized_name JOIN names y ON y.t = b.normalized_name""", ctes=PAIRS_SQL)
@@ -77,7 +87,7 @@ def minhash_signatures(spark, sf):
     shared = F.size(F.array_intersect("g", "h"))
     exact = shared / (F.size("g") + F.size("h") - shared)
     equal = F.size(F.filter(F.zip_with("s", "t", lambda x, y: x == y), lambda z: z)) / F.size("s")
-    near = F.abs(equal - exact) <= 5 * F.sqrt(exact * (1 - exact) / F.size("s"))
+    near = agreement(exact, equal, F.size("s"))
     return pairs.select("id", F.round(exact, 6).alias("jaccard"), near.alias("agrees"), F.size("s").alias("components"))
 
 
