@@ -365,3 +365,19 @@ def test_minhash_agreement_of_an_unlike_pair(spark):
 
     rows = spark.createDataFrame([(0.030303, 9 / 64), (0.030303, 60 / 64), (1.0, 63 / 64), (0.0, 1 / 64), (1.0, 1.0), (0.0, 0.0), (0.8, 0.2)], "p double, q double")
     assert [r[0] for r in rows.select(agreement(F.col("p"), F.col("q"), F.lit(64))).collect()] == [True, False, False, False, True, True, False]
+
+
+def test_percentiles_count_the_rows_once(spark):
+    # every round made the keys of all rows again: the source was read three times
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def watched(v):
+        seen.add(1)
+        return float(v % 97)
+
+    df = spark.range(500).select((F.col("id") % 2).alias("g"), watched("id").alias("v"))
+    got = {r["g"]: r["m"] for r in percentiles(df, ["g"], "v", {"m": 0.5}, few_groups=True).collect()}
+    want = {g: float(np.median([i % 97 for i in range(500) if i % 2 == g])) for g in (0, 1)}
+    assert got == want
+    assert seen.value <= 1000  # the filter and the count
