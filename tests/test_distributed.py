@@ -359,6 +359,29 @@ def test_entity_joins_plan_no_broadcast(spark, tmp_path):
         assert not [line for line in joins if "_name" not in line], joins
 
 
+def test_pairs_that_meet_by_chance_are_not_verified(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("0123456789abcdef") for _ in range(17)) for _ in range(150)]
+    texts += [t[:i] + "x" + t[i + 1 :] for t in texts[:50] for i in (0, 8)] + [t + c for t in texts[50:100] for c in ("s", "st")] + ["", "a", "é" * 90, "é" * 91]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    verified = spark.sparkContext.accumulator(0)
+
+    def counted(a, b, n):
+        def similar(x, y):
+            verified.add(1)
+            g, h = ({f" {t} "[i : i + 2] for i in range(len(t) + 1)} for t in (x, y))
+            return len(g & h) / len(g | h)
+
+        return F.udf(similar, "double")(a, b)
+
+    monkeypatch.setattr(er, "_jaccard", counted)
+    # with one row per band nearly all pairs meet
+    got = {(r["text_a"], r["text_b"]) for r in er.lsh_pairs(df, "t", bands=48, rows=1).collect()}
+    want = {(a, b) for a, b in itertools.combinations(sorted(texts), 2) if len(_grams(a) & _grams(b)) >= 0.8 * len(_grams(a) | _grams(b))}
+    assert got == want and len(want) >= 50
+    assert verified.value < 100 * len(want)
+
+
 def test_minhash_agreement_of_an_unlike_pair(spark):
     # names of similarity 0.03: nine equal components of 64 are no fault, sixty are
     from tidewatch.plans.party_queries import agreement

@@ -150,26 +150,49 @@ def _jaccard(a: Column, b: Column, n: int) -> Column:
     return similar(a, b)
 
 
+def _gram_bits(hashes: Column) -> Column:
+    """A long with one bit set for each gram, by the last six bits of its hash."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseOR(bit(h)))
+
+
+def _may_pass(threshold: float) -> Column:
+    """False only for pairs below the threshold: at a Jaccard similarity t two sets of m and n grams differ in
+    (m + n) * (1 - t) / (1 + t) grams, and every bit in which they differ takes a gram that only one has."""
+    most = (F.col("grams") + F.col("grams_b")) * F.lit((1 - threshold) / (1 + threshold)) + 1e-9
+    return F.bit_count(F.col("bits").bitwiseXOR(F.col("bits_b"))) <= most
+
+
 def name_bands(texts: DataFrame, text: str, n: int = NGRAM, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """(text, band, key): the band table of the distinct texts, one row per band.
+    """(text, bits, grams, band, key): the band table of the distinct texts, one row per band.
 
     The table can be stored: texts of a later batch meet it by (band, key), see ``new_name_pairs``.
-    Signatures are made once, for all that read the table, and kept as one row per text.
+    Signatures are made once, for all that read the table, and kept as one row per text. ``bits`` and
+    ``grams``, the number of grams, tell most pairs that meet by chance without a look at the texts.
     """
     distinct = texts.select(F.col(text).alias("text")).filter(F.col("text").isNotNull()).distinct()
     hashes = F.transform(char_ngrams(F.col("text"), n), lambda g: F.xxhash64(g))
-    keyed = cut_lineage(distinct.select("text", band_keys(hashes, bands, rows).alias("keys")))
-    return keyed.select("text", F.posexplode("keys").alias("band", "key"))
+    keyed = cut_lineage(distinct.select("text", _gram_bits(hashes).alias("bits"), F.size(hashes).alias("grams"), band_keys(hashes, bands, rows).alias("keys")))
+    return keyed.select("text", "bits", "grams", F.posexplode("keys").alias("band", "key"))
 
 
 def _verified_names(met: DataFrame, threshold: float, n: int = NGRAM) -> DataFrame:
     """(text_a, text_b, jaccard) of the pairs (text, text_b) that pass; a pair may have met in several bands."""
-    pairs = met.withColumn("jaccard", _jaccard(F.col("text"), F.col("text_b"), n)).filter(F.col("jaccard") >= threshold)
+    pairs = met.filter(_may_pass(threshold)).select("text", "text_b").withColumn("jaccard", _jaccard(F.col("text"), F.col("text_b"), n)).filter(F.col("jaccard") >= threshold)
     return pairs.select(
         F.least("text", "text_b").alias("text_a"), F.greatest("text", "text_b").alias("text_b"), F.round("jaccard", 6).alias("jaccard")
     ).distinct()
 
 
+#: What is known of two texts that met.
+_MET = ("text", "bits", "grams", "text_b", "bits_b", "grams_b")
+
+
+def _second(banded: DataFrame) -> DataFrame:
+    """A band table as the other side of a join."""
+    return banded.select("band", "key", *[F.col(c).alias(f"{c}_b") for c in _MET[:3]])
+
+
 def _bucket_pairs(banded: DataFrame, block_size: int) -> DataFrame:
     left, right = _cells(banded, ["band", "key"], "text", block_size)
     return left.join(shuffled(right), ["band", "key", "_i", "_j"]).filter((F.col("_i") < F.col("_j")) | (F.col("text") < F.col("text_b")))
@@ -200,8 +223,7 @@ def new_name_pairs(fresh: DataFrame, stored: DataFrame, threshold: float = JACCA
     again. Texts that are stored already are not new.
     """
     fresh = fresh.join(shuffled(stored.select("text").distinct()), "text", "left_anti")
-    old = stored.select("band", "key", F.col("text").alias("text_b"))
-    met = fresh.join(shuffled(old), ["band", "key"]).select("text", "text_b").unionByName(_bucket_pairs(fresh, block_size).select("text", "text_b"))
+    met = fresh.join(shuffled(_second(stored)), ["band", "key"]).select(*_MET).unionByName(_bucket_pairs(fresh, block_size).select(*_MET))
     return _verified_names(met, threshold)
 
 
@@ -635,8 +657,7 @@ def match_batch(state: Matched, people: DataFrame, block_size: int = 2000, **sco
     # names that were stored before may pair with each other, too, once one of them has a new profile
     again = fresh.select(F.col("normalized_name").alias("text")).distinct().join(shuffled(state.bands.select("text").distinct()), "text", "left_semi")
     old = state.bands.join(shuffled(again), "text")
-    others = state.bands.select("band", "key", F.col("text").alias("text_b"))
-    names = names.unionByName(_verified_names(old.join(shuffled(others), ["band", "key"]).filter("text <> text_b"), JACCARD)).distinct()
+    names = names.unionByName(_verified_names(old.join(shuffled(_second(state.bands)), ["band", "key"]).filter("text <> text_b"), JACCARD)).distinct()
     everyone = state.people.select(*people.columns).unionByName(fresh)
     pairs = cut_lineage(score_pairs(everyone, names, block_size=block_size, fresh=fresh, **scoring))
     attached = attach_all(pairs, state.parties)
