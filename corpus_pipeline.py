@@ -25,7 +25,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each near-duplicate class; of rows that repeat its id, one for each text."""
-    classes = near.classes(docs)
+    # read four times below: ids and classes are written once, so that the plan is not repeated
+    classes = written(near.classes(docs))
     gone = classes.filter(F.col("class_id") < F.col(ID)).select(ID)
     again = classes.filter(F.col(ID).isNotNull()).groupBy(ID).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(ID)
     once = docs.join(gone.unionByName(again).distinct(), ID, "left_anti")

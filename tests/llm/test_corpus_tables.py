@@ -229,3 +229,20 @@ def test_sql(spark, name):
 
 def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
+
+
+def test_the_pipeline_makes_near_duplicate_classes_once(spark, monkeypatch):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    made = spark.sparkContext.accumulator(0)
+
+    def class_of(i):
+        made.add(1)
+        return i // 3 * 3
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(30)] + [(3, "another")], "doc_id long, text string")
+    monkeypatch.setattr(corpus_pipeline.near, "classes", lambda d: d.select("doc_id", F.udf(class_of, "long").asNondeterministic()("doc_id").alias("class_id")))
+    kept = corpus_pipeline.one_of_each(spark, docs, "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(i, f"text {i}") for i in range(0, 30, 3)] + [(3, "another")])
+    assert made.value == 31
