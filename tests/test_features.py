@@ -200,3 +200,11 @@ def test_the_monthly_table_reads_transactions_twice(spark):
         want = plain[r["customer_id"], r["month_offset"]].asDict()
         assert all(r[c] == pytest.approx(v, abs=0.011) if isinstance(v, float) else r[c] == v for c, v in want.items() if c in r)
         assert (r["one_to_many_explainability"] is None) == (r["one_to_many"] == 0)
+
+
+def test_keyword_hits_broadcast_no_texts(spark):
+    df = spark.createDataFrame([(1, "the red fox"), (2, "a blue fox")], "id long, t string")
+    table = spark.createDataFrame([("g", "red fox")], "g string, k string")
+    hits = text.keyword_hits(df, "id", "t", table, "g", "k")
+    assert "BroadcastHashJoin" not in hits._jdf.queryExecution().executedPlan().toString()
+    assert [(r["id"], r["k"]) for r in hits.collect()] == [(1, "red fox")]

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tidewatch.session import shuffled
+
 # Texts that stand for "no value".
 NO_VALUE_TEXTS = ["", "none", "null", "unknown", "nil"]
 
@@ -72,11 +74,12 @@ def keyword_hits(df: DataFrame, key: str, text: str, keywords: DataFrame, group:
     words = df.select(key, F.explode(_words(F.col(text))).alias("_w"))
     texts = words.groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
     parts = table.select("_g", "_k", F.explode(_words(F.col("_k"))).alias("_w"))
-    rarest = parts.join(texts, "_w", "left").groupBy("_g", "_k").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_w").alias("w"))).alias("_a"))
+    rarest = parts.join(shuffled(texts), "_w", "left").groupBy("_g", "_k").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_w").alias("w"))).alias("_a"))
     anchored = rarest.filter("_a.n > 0").select("_g", "_k", F.col("_a.w").alias("_w"))
-    met = words.join(anchored, "_w").select(key, "_g", "_k").distinct()
+    # a hash table of the anchors: the words, which grow with the texts, are neither broadcast nor sorted
+    met = words.join(anchored.hint("shuffle_hash"), "_w").select(key, "_g", "_k").distinct()
     pattern = F.concat(F.lit(rf"(?iu)(?<![{WORD}])\Q"), "_k", F.lit(rf"\E(?![{WORD}])"))
-    found = met.join(df.select(key, text), key).filter(F.regexp_like(F.col(text), pattern))
+    found = met.join(shuffled(df.select(key, text)), key).filter(F.regexp_like(F.col(text), pattern))
     return found.select(key, F.col("_g").alias(group), F.col("_k").alias(keyword)).distinct()
 
 
