@@ -202,6 +202,23 @@ def test_the_monthly_table_reads_transactions_twice(spark):
         assert (r["one_to_many_explainability"] is None) == (r["one_to_many"] == 0)
 
 
+def test_the_roll_up_is_read_without_a_shuffle_of_its_rows(spark):
+    """By keys only what is reduced is shuffled, days are shuffled once; slices of a heavy entity change no result."""
+    from tidewatch.operators.catalogue import MONTHLY, monthly_roll_up
+    from tidewatch.sources.model import transactions
+
+    trx = transactions(spark, "/root/testdata/sf0.001")
+    trx = spark.createDataFrame(trx.limit(2000).collect(), trx.schema)
+    heavy = fx.heavy_entities(trx, "customer_id", most=100)
+    one, dealt = (monthly_roll_up(trx, MONTHLY, PARAMS, h) for h in (None, heavy))
+    assert heavy.count() >= 1 and dealt.rows.filter("_slice > 0").count() > 100 and one.rows.filter("_slice > 0").isEmpty()
+    for frame, most in ((lambda r: r.by_keys(), 1), (lambda r: r.by_day(), 1), (lambda r: r.explain("one_to_many"), 0)):
+        assert frame(dealt)._jdf.queryExecution().executedPlan().toString().count("Exchange") == most
+        rows = [{tuple(x for x in r if not isinstance(x, float)): [x for x in r if isinstance(x, float)] for r in frame(roll).collect()} for roll in (one, dealt)]
+        assert rows[0].keys() == rows[1].keys() and len(rows[0]) > 100
+        assert all(v == pytest.approx(rows[1][k]) for k, v in rows[0].items())
+
+
 def test_keyword_hits_broadcast_no_texts(spark):
     df = spark.createDataFrame([(1, "the red fox"), (2, "a blue fox")], "id long, t string")
     table = spark.createDataFrame([("g", "red fox")], "g string, k string")
