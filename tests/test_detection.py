@@ -84,3 +84,26 @@ def test_trigger_formats(spark):
 def test_timing_steps(spark):
     df = spark.createDataFrame([(0.8, 1.9, 1.5), (9.0, 9.0, 9.0)], "alert_details double, feature_loading double, network_view double")
     assert [r["overall_score"] for r in quality.timing_score(df).collect()] == [100, 40]
+
+
+def test_fit_reads_the_training_rows_once(spark):
+    """Median and MAD come from values counted once; a feature without spread takes the standard deviation."""
+    import statistics
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def watched(v):
+        seen.add(1)
+        return float(v % 13)
+
+    df = spark.range(200).select(watched("id").alias("a"), (F.col("id") % 10).cast("double").alias("b"))
+    model = scoring.fit_scores(df, ["a", "b"])
+    values = [float(i % 13) for i in range(200)]
+    middle = statistics.median(values)
+    assert model.centre == {"a": middle, "b": 4.5}
+    assert model.spread == {"a": statistics.median(abs(v - middle) for v in values) * scoring.MAD_FACTOR, "b": 2.5 * scoring.MAD_FACTOR}
+    assert seen.value <= 200
+    flat = spark.createDataFrame([(7.0, None, None)] * 9 + [(8.0, None, 1.0)], "a double, b double, c double")
+    model = scoring.fit_scores(flat, ["a", "b", "c"])
+    assert model.centre == {"a": 7.0, "c": 1.0} and abs(model.spread["a"] - 0.3) < 1e-9 and model.spread["c"] == 0.0

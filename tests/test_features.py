@@ -225,3 +225,25 @@ def test_keyword_hits_broadcast_no_texts(spark):
     hits = text.keyword_hits(df, "id", "t", table, "g", "k")
     assert "BroadcastHashJoin" not in hits._jdf.queryExecution().executedPlan().toString()
     assert [(r["id"], r["k"]) for r in hits.collect()] == [(1, "red fox")]
+
+
+def test_dealt_measures_equal_plain_ones(spark):
+    """With heavy entities named, rows are shuffled once and what is left of them once; no result changes."""
+    from tidewatch.sources.model import transactions
+
+    trx = transactions(spark, "/root/testdata/sf0.001")
+    trx = spark.createDataFrame(trx.limit(2000).collect(), trx.schema)
+    trx = trx.withColumn("cp_id", F.when(F.col("cp_id") % 7 != 0, F.col("cp_id")))  # some without counterparty
+    ids = features("cnt_trx", "many_to_one", "max_trx", "one_to_many", "sum_trx_cash", "sum_trx_fop", "customer_name")
+    heavy = fx.heavy_entities(trx, "customer_id", most=100)
+    none = heavy.filter("false")
+    assert not heavy.isEmpty()
+    plain, *dealt = ({r[:2]: r[2:] for r in fx.run_features(trx, ids, PARAMS, heavy=h).collect()} for h in (None, none, heavy))
+    assert len(plain) > 100
+    for rows in dealt:
+        assert rows.keys() == plain.keys()
+        assert all(x == (pytest.approx(y) if isinstance(y, float) else y) for k, r in rows.items() for x, y in zip(r, plain[k]))
+    marked = trx.withColumn("cp_id", F.concat(F.lit("c"), F.col("cp_id")))  # the text is wider than the counts
+    plan = fx.run_features(marked, features("one_to_many", "cnt_trx"), PARAMS, heavy=spark.createDataFrame([], heavy.schema))._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 2 and sum("REPARTITION" in line for line in shuffles) == 1
