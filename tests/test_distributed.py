@@ -404,3 +404,27 @@ def test_percentiles_count_the_rows_once(spark):
     want = {g: float(np.median([i % 97 for i in range(500) if i % 2 == g])) for g in (0, 1)}
     assert got == want
     assert seen.value <= 1000  # the filter and the count
+
+
+def test_each_name_pair_is_verified_once(spark):
+    # similar names meet in many of the 48 bands; each pair was verified in all of them
+    df = spark.createDataFrame([(f"{i:05d} holding company{x}",) for i in range(20) for x in ("", "s")], "t string")
+    plan = er.lsh_pairs(df, "t")._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    verify = next(i for i, line in enumerate(lines) if "ArrowEvalPython" in line)
+    once = next(i for i, line in enumerate(lines) if "Aggregate [text_a" in line)
+    assert verify < once and plan.count("ArrowEvalPython") == 1  # the step above works on what the one below gives
+
+
+def test_a_batch_meets_names_that_lie_stored(spark):
+    # known, repeated and new names in one batch; bands are made for the new ones only
+    rows = [(i, f"{i // 3:04d} holding company{'s' * (i % 3 == 2)}", f"{i // 3:012d}{i % 3}") for i in range(60)]
+    people = spark.createDataFrame(rows, "profile long, normalized_name string, AD string").withColumn("copies", F.lit(1).cast("long"))
+    known = people.filter("profile % 3 = 0")
+    parties = known.select(F.col("profile").alias("id"), F.concat(F.lit("P"), F.floor(F.col("profile") / 3)).alias("party"))
+    state = er.Matched(known, er.name_bands(known, "normalized_name"), parties)
+    got, after = er.match_batch(state, people)
+    pairs = er.score_pairs(people, er.lsh_pairs(people, "normalized_name"))
+    want = er.attach_all(pairs, parties)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and got.count() == 40
+    assert after.bands.select("text").distinct().count() == 40 and after.bands.count() == 40 * er.BANDS

@@ -147,7 +147,8 @@ def _jaccard(a: Column, b: Column, n: int) -> Column:
             out.append(shared / (len(g) + len(h) - shared))
         return pd.Series(out, dtype=float)
 
-    return similar(a, b)
+    # else a filter on the result moves below the step that leaves each pair once
+    return similar.asNondeterministic()(a, b)
 
 
 def _gram_bits(hashes: Column) -> Column:
@@ -177,11 +178,10 @@ def name_bands(texts: DataFrame, text: str, n: int = NGRAM, bands: int = BANDS,
 
 
 def _verified_names(met: DataFrame, threshold: float, n: int = NGRAM) -> DataFrame:
-    """(text_a, text_b, jaccard) of the pairs (text, text_b) that pass; a pair may have met in several bands."""
-    pairs = met.filter(_may_pass(threshold)).select("text", "text_b").withColumn("jaccard", _jaccard(F.col("text"), F.col("text_b"), n)).filter(F.col("jaccard") >= threshold)
-    return pairs.select(
-        F.least("text", "text_b").alias("text_a"), F.greatest("text", "text_b").alias("text_b"), F.round("jaccard", 6).alias("jaccard")
-    ).distinct()
+    """(text_a, text_b, jaccard) of the pairs (text, text_b) that pass; a pair that met in several bands is verified once."""
+    pairs = met.filter(_may_pass(threshold)).select(F.least("text", "text_b").alias("text_a"), F.greatest("text", "text_b").alias("text_b")).distinct()
+    pairs = pairs.withColumn("jaccard", _jaccard(F.col("text_a"), F.col("text_b"), n)).filter(F.col("jaccard") >= threshold)
+    return pairs.withColumn("jaccard", F.round("jaccard", 6))
 
 
 #: What is known of two texts that met.
@@ -209,8 +209,8 @@ def lsh_pairs(
 ) -> DataFrame:
     """(text_a, text_b, jaccard) of distinct texts that share a band and pass.
 
-    ``texts`` is reduced to distinct values first, and a pair is verified where
-    it meets; only verified pairs are moved again to drop those met twice. A pair at the
+    ``texts`` is reduced to distinct values first. Where a pair meets, its gram bits drop it unless it may
+    pass; only what is left is moved, to verify each pair once. A pair at the
     default threshold shares none of the default bands with probability 5e-9.
     """
     return _verified_names(_bucket_pairs(name_bands(texts, text, n, bands, rows), block_size), threshold, n)
@@ -222,7 +222,11 @@ def new_name_pairs(fresh: DataFrame, stored: DataFrame, threshold: float = JACCA
     New texts meet the stored ones of their buckets and each other; stored texts do not meet
     again. Texts that are stored already are not new.
     """
-    fresh = fresh.join(shuffled(stored.select("text").distinct()), "text", "left_anti")
+    return _pairs_with_new(fresh.join(shuffled(stored.select("text").distinct()), "text", "left_anti"), stored, threshold, block_size)
+
+
+def _pairs_with_new(fresh: DataFrame, stored: DataFrame, threshold: float, block_size: int) -> DataFrame:
+    """``new_name_pairs`` of texts that are all new."""
     met = fresh.join(shuffled(_second(stored)), ["band", "key"]).select(*_MET).unionByName(_bucket_pairs(fresh, block_size).select(*_MET))
     return _verified_names(met, threshold)
 
@@ -652,10 +656,13 @@ def match_batch(state: Matched, people: DataFrame, block_size: int = 2000, **sco
     connects to a party stay unassigned; ``cluster`` makes parties of their pairs.
     """
     fresh = cut_lineage(people.join(shuffled(state.people.select("profile")), "profile", "left_anti"))
-    bands = cut_lineage(name_bands(fresh, "normalized_name").join(shuffled(state.bands.select("text").distinct()), "text", "left_anti"))
-    names = new_name_pairs(bands, state.bands, block_size=block_size)
+    # names are told apart before they get bands, which are many times as many rows
+    given = fresh.select(F.col("normalized_name").alias("text")).distinct()
+    had = state.people.select(F.col("normalized_name").alias("text")).distinct()
+    bands = name_bands(given.join(shuffled(had), "text", "left_anti"), "text")
+    names = _pairs_with_new(bands, state.bands, JACCARD, block_size)
     # names that were stored before may pair with each other, too, once one of them has a new profile
-    again = fresh.select(F.col("normalized_name").alias("text")).distinct().join(shuffled(state.bands.select("text").distinct()), "text", "left_semi")
+    again = given.join(shuffled(had), "text", "left_semi")
     old = state.bands.join(shuffled(again), "text")
     names = names.unionByName(_verified_names(old.join(shuffled(_second(state.bands)), ["band", "key"]).filter("text <> text_b"), JACCARD)).distinct()
     everyone = state.people.select(*people.columns).unionByName(fresh)

@@ -207,7 +207,7 @@ def matched_batches(spark, sf):
     kind = F.col("profile") % 4
     known = people.filter(kind == 3)
     parties = known.select(F.col("profile").alias("id"), F.concat(F.lit("P"), F.floor(F.col("profile") / 8)).alias("party"))
-    state = er.Matched(known, cut_lineage(er.name_bands(known, "normalized_name")), parties)
+    state = er.Matched(known, er.name_bands(known, "normalized_name"), parties)
     one, after = er.match_batch(state, people.filter(kind == 0))
     two, _ = er.match_batch(after, people.filter(kind == 2))
     both, _ = er.match_batch(state, people.filter(kind != 3))
