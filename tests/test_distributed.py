@@ -390,6 +390,17 @@ def test_minhash_agreement_of_an_unlike_pair(spark):
     assert [r[0] for r in rows.select(agreement(F.col("p"), F.col("q"), F.lit(64))).collect()] == [True, False, False, False, True, True, False]
 
 
+def test_minhash_signatures_move_names_only(spark):
+    # grams and signatures of all names were broadcast, as the file of parts is small
+    from tidewatch.plans.party_queries import minhash_signatures
+
+    plan = minhash_signatures(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
+    lines = plan.splitlines()
+    moved = [i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+    assert len(moved) == 2 and max(i for i, line in enumerate(lines) if "ArrowEvalPython" in line) < min(moved)
+
+
 def test_percentiles_count_the_rows_once(spark):
     # every round made the keys of all rows again: the source was read three times
     seen = spark.sparkContext.accumulator(0)

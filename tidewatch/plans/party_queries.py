@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.text import char_ngrams
 from tidewatch.operators import components, entity as er
 from tidewatch.plans.registry import query
-from tidewatch.session import cut_lineage
+from tidewatch.session import cut_lineage, shuffled
 from tidewatch.sources.model import table
 
 
@@ -81,9 +81,11 @@ def agreement(exact, equal, components):
 SELECT a.id, round(len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))), 6) AS jaccard, true AS agrees, 64 AS components
 FROM accounts a JOIN accounts b ON b.id = a.id + 1 JOIN names x ON x.t = a.normalized_name JOIN names y ON y.t = b.normalized_name""", ctes=PAIRS_SQL)
 def minhash_signatures(spark, sf):
-    rows = accounts(spark, sf).select("id", char_ngrams(F.col("normalized_name")).alias("g"))
-    rows = rows.withColumn("s", er.minhash(F.col("g")))
-    pairs = rows.join(rows.select((F.col("id") - 1).alias("id"), F.col("g").alias("h"), F.col("s").alias("t")), "id")
+    # names meet first: grams and signatures are many times their size, and are neither broadcast nor shuffled
+    names = accounts(spark, sf).select("id", F.col("normalized_name").alias("x"))
+    pairs = names.join(shuffled(names.select((F.col("id") - 1).alias("id"), F.col("x").alias("y"))), "id")
+    pairs = pairs.select("id", char_ngrams(F.col("x")).alias("g"), char_ngrams(F.col("y")).alias("h"))
+    pairs = pairs.select("*", er.minhash(F.col("g")).alias("s"), er.minhash(F.col("h")).alias("t"))
     shared = F.size(F.array_intersect("g", "h"))
     exact = shared / (F.size("g") + F.size("h") - shared)
     equal = F.size(F.filter(F.zip_with("s", "t", lambda x, y: x == y), lambda z: z)) / F.size("s")
