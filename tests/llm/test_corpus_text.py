@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 
 from tidewatch.llm import language, leaks, licenses, near, packing, passages, pii, tokens
+from tidewatch.llm.common import Spans
 from tidewatch.llm.queries import byte_vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, score string, bucket int, row int"
@@ -64,6 +65,27 @@ def test_passages_odd(spark):
     assert passages.remove_repeats(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("length", [2, 3, 7, 50, 256])
+def test_anchors_of_few_words(length):
+    # what is left of a batch after its last full chunk may have any number of words; 30, 36 to 38 and 45 to 48 failed at 50
+    word = [b"w%d" % i for i in range(2 * length + 2)]
+    for n in range(len(word)):
+        for sizes in ([n], [n // 2, n - n // 2]):
+            texts = [word[: sizes[0]], word[sizes[0] : n]]
+            _, first, last, text = passages.anchors(Spans(texts), length)
+            starts = [(t, p) for t, a, z in zip(text, first, last) for p in range(a, z + 1)]
+            edges = [0, len(texts[0])]
+            assert starts == [(t, edges[t] + p) for t in (0, 1) for p in range(len(texts[t]) - length + 1)]
+
+
+def test_passages_after_a_long_text(spark):
+    # a batch of a full chunk and 37 words more
+    docs = [(0, "lorem ipsum dolor " * 60_000), (1, " ".join(f"w{i}" for i in range(37)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = passages.remove_repeats(df).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert Counter(map(tuple, got)) == Counter((d, len(t.split()), 0, hashlib.sha256(" ".join(t.split()).encode()).hexdigest()) for d, t in docs)
+
+
 # ---- near duplicates ------------------------------------------------------------
 
 

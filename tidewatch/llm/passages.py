@@ -42,6 +42,9 @@ def anchors(spans: Spans, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     reach = length - half + 1  # half-length windows inside a window
     text_of = np.repeat(np.arange(len(spans.first)), spans.stop - spans.first)
     h = spans.windows(half)
+    none = np.zeros(0, dtype=np.int64)
+    if len(h) < reach:  # all texts together are shorter than one window
+        return none.view(np.uint64), none, none, none
     # the smallest hash, of equal ones the leftmost: high bits of the hash, then the position
     places = np.uint64((1 << max(24, len(h).bit_length())) - 1)
     key = (h & ~places) | np.arange(len(h), dtype=np.uint64)
@@ -55,7 +58,6 @@ def anchors(spans: Spans, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     valid = spans.stop[text_of[p]] - p >= length
     p, at = p[valid], (low[valid] & places).astype(np.int64)
     if not len(p):
-        none = np.zeros(0, dtype=np.int64)
         return none.view(np.uint64), none, none, none
     new = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(p, prepend=-2) != 1))
     first = p[new]
